@@ -120,3 +120,16 @@ def r6(x) -> Column:
 def sorted_csv(arr) -> Column:
     """Array as a sorted comma string (stable across engines)."""
     return F.array_join(F.sort_array(_c(arr).cast("array<string>")), ",")
+
+
+def epoch_micros(ts) -> Column:
+    """Microseconds since epoch (bigint), time-zone independent."""
+    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"),
+                            _c(ts).cast("timestamp_ntz"))
+
+
+def bucket_index(ts, seconds: int) -> Column:
+    """Exact integer ``floor(epoch / seconds)`` (no floating-point rounding)."""
+    m = epoch_micros(ts)
+    d = F.lit(seconds * 1_000_000).cast("bigint")
+    return ((m - F.pmod(m, d)) / d).cast("bigint")

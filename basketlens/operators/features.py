@@ -153,12 +153,11 @@ def user_statistics(b: DataFrame, sessions: DataFrame, as_of: Column) -> DataFra
              .withColumn("category_entropy", F.coalesce("category_entropy", F.lit(0.0))))
 
 
-def user_segments(b: DataFrame, as_of: Column) -> DataFrame:
-    """A19 (ours): rule segment and ``purchase_power`` = percent rank of the
-    user's mean order value among purchasing users.
+def user_segment_rule(b: DataFrame, as_of: Column) -> DataFrame:
+    """A19 rule part: segment per user from purchases and recency.
 
-    segment: no purchase -> 'browser'; last event more than 14 days before
-    as_of -> 'dormant'; 15+ purchases -> 'loyal'; else 'regular'.
+    no purchase -> 'browser'; last event more than 14 days before as_of ->
+    'dormant'; 15+ purchases -> 'loyal'; else 'regular'.
     """
     s = b.groupBy("user_id").agg(
         F.count(F.when(_is("purchase"), True)).alias("purchases"),
@@ -167,11 +166,17 @@ def user_segments(b: DataFrame, as_of: Column) -> DataFrame:
     s = s.withColumn("avg_order_value",
                      F.try_divide(F.col("_rev_cents").cast("double"), F.col("purchases") * F.lit(100.0)))
     recency = F.extract(F.lit("DAY"), as_of - F.col("last_ts"))
-    s = s.withColumn("user_segment",
-                     F.when(F.col("purchases") == 0, "browser")
-                      .when(recency > 14, "dormant")
-                      .when(F.col("purchases") >= 15, "loyal")
-                      .otherwise("regular"))
+    return s.withColumn("user_segment",
+                        F.when(F.col("purchases") == 0, "browser")
+                         .when(recency > 14, "dormant")
+                         .when(F.col("purchases") >= 15, "loyal")
+                         .otherwise("regular")).drop("_rev_cents")
+
+
+def user_segments(b: DataFrame, as_of: Column) -> DataFrame:
+    """A19 (ours): rule segment plus ``purchase_power`` = percent rank of the
+    user's mean order value among purchasing users (distributed rank)."""
+    s = user_segment_rule(b, as_of)
     ranked = global_rank(s, "avg_order_value", out="_rank")
     n = s.where(F.col("avg_order_value").isNotNull()).select(F.count(F.lit(1))).scalar()
     return ranked.select(
@@ -179,3 +184,12 @@ def user_segments(b: DataFrame, as_of: Column) -> DataFrame:
         F.when(F.col("_rank").isNull(), F.lit(None).cast("double"))
          .when(n <= 1, F.lit(0.0))
          .otherwise((F.col("_rank") - 1) / (n - 1)).alias("purchase_power"))
+
+
+def daily_stats(b: DataFrame, key: str, prefix: str) -> DataFrame:
+    """Per key and calendar day: clicks and purchases, stamped at day end
+    (the time the day's statistics become available)."""
+    day_end = F.to_date("ts").cast("timestamp_ntz") + F.expr("INTERVAL 1 DAY")
+    return b.groupBy(key, day_end.alias("event_timestamp")).agg(
+        F.count(F.when(_is("click"), True)).alias(f"{prefix}clicks"),
+        F.count(F.when(_is("purchase"), True)).alias(f"{prefix}purchases"))

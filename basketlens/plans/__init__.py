@@ -1,4 +1,4 @@
 """Query plans: every registered query with its oracle SQL."""
 
-from . import feature_queries, metric_queries, similarity_queries, store_queries  # noqa: F401
+from . import experiment_queries, feature_queries, metric_queries, similarity_queries, store_queries  # noqa: F401
 from .registry import DOCS, ORACLES, QUERIES  # noqa: F401

@@ -1,4 +1,5 @@
 """Query plans: every registered query with its oracle SQL."""
 
-from . import experiment_queries, feature_queries, metric_queries, similarity_queries, store_queries  # noqa: F401
+from . import (experiment_queries, feature_queries, metric_queries, recommend_queries,  # noqa: F401
+               similarity_queries, store_queries)
 from .registry import DOCS, ORACLES, QUERIES  # noqa: F401

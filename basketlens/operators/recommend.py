@@ -165,34 +165,28 @@ def mmr_rerank(scored: DataFrame, lam: Column | float = MMR_LAMBDA,
 MMR_SCHEMA = "user_id long, item_id long, score double, category_id string, mmr_rank long"
 
 
-def mmr_select(score, cats, lam: float, max_select: int) -> list[int]:
-    """Greedy MMR over candidates already sorted (score desc, id asc);
-    returns the chosen positions in selection order."""
+def mmr_select(score, code, prefix, nonempty, lam: float, max_select: int) -> list[int]:
+    """Greedy MMR over one user's candidates, already sorted (score desc, id
+    asc). ``code``: category codes, ``prefix``: 3-char prefix codes,
+    ``nonempty``: category is non-empty. Returns chosen positions in order."""
     import numpy as np
 
     n = len(score)
     if n == 0:
         return []
-    cats = ["" if c is None else str(c) for c in cats]
-    _, code = np.unique(np.asarray(cats, dtype=object), return_inverse=True)
-    prefix = np.asarray([c[:3] for c in cats], dtype=object)
-    nonempty = np.asarray([len(c) > 0 for c in cats])
-    score = np.asarray(score, dtype=np.float64)
     chosen = [0]
     alive = np.ones(n, dtype=bool)
     alive[0] = False
     max_sim = np.full(n, 0.1)
 
     def absorb(j: int) -> None:
-        same = code == code[j]
-        pre = nonempty & nonempty[j] & (prefix == prefix[j])
-        sim = np.where(same, 0.8, np.where(pre, 0.5, 0.1))
+        sim = np.where(code == code[j], 0.8,
+                       np.where(nonempty & nonempty[j] & (prefix == prefix[j]), 0.5, 0.1))
         np.maximum(max_sim, sim, out=max_sim)
 
     absorb(0)
     for _ in range(min(max_select, n) - 1):
-        mmr = lam * score - (1.0 - lam) * max_sim
-        mmr = np.where(alive, mmr, -np.inf)
+        mmr = np.where(alive, lam * score - (1.0 - lam) * max_sim, -np.inf)
         j = int(np.argmax(mmr))  # first index wins ties
         chosen.append(j)
         alive[j] = False
@@ -200,22 +194,59 @@ def mmr_select(score, cats, lam: float, max_select: int) -> list[int]:
     return chosen
 
 
-def _mmr_pandas(d: DataFrame, max_select: int) -> DataFrame:
+def _mmr_batches(batches, max_select: int):
+    """Rows arrive clustered by user and sorted (user, score desc, item asc);
+    a user's rows may span Arrow batches, so the open user is carried over."""
+    import numpy as np
     import pandas as pd
 
-    def per_user(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["score", "item_id"], ascending=[False, True], kind="mergesort")
-        pdf = pdf.reset_index(drop=True)
-        lam = float(pdf["_lam"].iloc[0])
-        picks = mmr_select(pdf["score"].to_numpy(), pdf["category_id"].tolist(), lam, max_select)
-        out = pdf.iloc[picks][["user_id", "item_id", "score", "category_id"]].copy()
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        users = pdf["user_id"].to_numpy()
+        cats = pdf["category_id"].fillna("").astype(str)
+        code = pd.factorize(cats)[0]
+        prefix = pd.factorize(cats.str.slice(0, 3))[0]
+        nonempty = (cats.str.len() > 0).to_numpy()
+        score = pdf["score"].to_numpy(dtype=np.float64)
+        lam = pdf["_lam"].to_numpy(dtype=np.float64)
+        starts = np.flatnonzero(np.r_[True, users[1:] != users[:-1]])
+        ends = np.r_[starts[1:], len(users)]
+        pos, rank = [], []
+        for s0, e0 in zip(starts, ends):
+            picks = mmr_select(score[s0:e0], code[s0:e0], prefix[s0:e0], nonempty[s0:e0],
+                               float(lam[s0]), max_select)
+            pos.extend(s0 + p for p in picks)
+            rank.extend(range(len(picks)))
+        out = pdf.iloc[pos][["user_id", "item_id", "score", "category_id"]].copy()
         out["category_id"] = out["category_id"].fillna("")
-        out["mmr_rank"] = range(len(out))
+        out["mmr_rank"] = np.asarray(rank, dtype=np.int64)
         return out
 
+    carry = None
+    for pdf in batches:
+        if carry is not None:
+            pdf = pd.concat([carry, pdf], ignore_index=True)
+        if len(pdf) == 0:
+            continue
+        last = pdf["user_id"].iloc[-1]
+        tail = pdf["user_id"].to_numpy() == last
+        carry = pdf[tail].reset_index(drop=True)
+        done = pdf[~tail].reset_index(drop=True)
+        if len(done):
+            yield run(done)
+    if carry is not None and len(carry):
+        yield run(carry)
+
+
+MMR_SCHEMA = "user_id long, item_id long, score double, category_id string, mmr_rank long"
+
+
+def _mmr_pandas(d: DataFrame, max_select: int) -> DataFrame:
     cols = d.select("user_id", "item_id", F.col("score").cast("double").alias("score"),
                     "category_id", "_lam")
-    return cols.groupBy("user_id").applyInPandas(per_user, MMR_SCHEMA)
+    n_parts = int(d.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    clustered = (cols.repartition(n_parts, "user_id")
+                     .sortWithinPartitions("user_id", F.desc("score"), F.asc("item_id")))
+    return clustered.mapInPandas(lambda it: _mmr_batches(it, max_select), MMR_SCHEMA)
 
 
 def with_reasons(recs: DataFrame, recent_items: DataFrame, item_stats: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 """Query plans: every registered query with its oracle SQL."""
 
-from . import (experiment_queries, feature_queries, metric_queries, recommend_queries,  # noqa: F401
+from . import (commerce_queries, experiment_queries, feature_queries, metric_queries,  # noqa: F401
+               recommend_queries,
                similarity_queries, store_queries)
 from .registry import DOCS, ORACLES, QUERIES  # noqa: F401

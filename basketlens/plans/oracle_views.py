@@ -6,7 +6,7 @@ emitted in dependency order.
 
 from __future__ import annotations
 
-VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
+VIEWS: dict[str, tuple] = {
     "as_of_t": ((), "SELECT max(ts) AS as_of FROM events"),
     "rec_as_of_t": ((), "SELECT max(l_shipdate) AS as_of FROM lineitem"),
     "raw_behaviors": ((), """
@@ -69,7 +69,12 @@ def with_views(sql: str, *names: str, extra: dict[str, tuple[tuple[str, ...], st
     if not order:
         return sql.strip()
     ctes = ",\n".join(f"{n} AS ({views[n][1].strip()})" for n in order)
+    recursive = any(len(views[n]) > 2 and views[n][2] for n in order)
+    head = "WITH RECURSIVE" if recursive else "WITH"
     body = sql.strip()
     if body[:4].upper() == "WITH":
-        return f"WITH {ctes},\n{body[4:].lstrip()}"
-    return f"WITH {ctes}\n{body}"
+        rest = body[4:].lstrip()
+        if rest[:9].upper() == "RECURSIVE":
+            head, rest = "WITH RECURSIVE", rest[9:].lstrip()
+        return f"{head} {ctes},\n{rest}"
+    return f"{head} {ctes}\n{body}"

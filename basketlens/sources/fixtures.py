@@ -100,16 +100,14 @@ class Fixtures(Tables):
         """One op per lineitem, ``seq`` = position within the sku's history."""
         l = self.lineitem
         w = Window.partitionBy("l_partkey").orderBy(*LEDGER_ORDER)
-        led = l.select(
-            F.col("l_partkey").alias("sku"), *LEDGER_ORDER,
+        led = l.withColumn("seq", F.row_number().over(w).cast("bigint"))
+        return led.select(
+            F.col("l_partkey").alias("sku"), "seq",
             _case_map(F.col("l_returnflag"), LEDGER_OP, "ADD").alias("op"),
-            F.col("l_quantity").cast("int").alias("qty"),
-            F.col("l_extendedprice"), F.col("l_quantity"),
-        ).withColumn("seq", F.row_number().over(w).cast("bigint"))
-        return led.select("sku", "seq", "op", "qty", F.col("l_shipdate").alias("ts"),
-                          F.col("l_orderkey").alias("order_id"),
-                          F.floor(F.col("l_extendedprice") * 100 / F.col("l_quantity") + 0.5)
-                           .cast("bigint").alias("unit_price_cents"))
+            F.col("l_quantity").cast("int").alias("qty"), F.col("l_shipdate").alias("ts"),
+            F.col("l_orderkey").alias("order_id"),
+            F.floor(F.col("l_extendedprice") * 100 / F.col("l_quantity") + 0.5).cast("bigint")
+             .alias("unit_price_cents"))
 
     @cached_property
     def opening_stock(self) -> DataFrame:

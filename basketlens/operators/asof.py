@@ -63,7 +63,7 @@ def asof_join(entities: DataFrame, features: DataFrame, keys: list[str], entity_
     feat_side = f.select(*keys, "_b", F.col(feature_ts).cast(entities.schema[entity_ts].dataType).alias("_t"),
                          (F.col(created) if created else F.lit(None).cast(c_type)).alias("_c"),
                          F.lit(0).alias("_side"), F.lit(None).cast(ent_type).alias("_e"), payload.alias("_p"))
-    w_in = (Window.partitionBy(*keys, "_b").orderBy("_t", F.col("_c").asc_nulls_first(), "_side")
+    w_in = (Window.partitionBy(*keys, "_b").orderBy("_t", "_side", F.col("_c").asc_nulls_first())
                   .rowsBetween(Window.unboundedPreceding, 0))
     inb = (ent_side.unionByName(feat_side)
                    .withColumn("_in", F.last("_p", ignorenulls=True).over(w_in))

@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .sequences import interval_anti_join
+
 # Coupon catalogue (percent off) with validity windows.
 COUPONS = [("C10", 10, "2024-01-01 00:00:00", "2024-12-31 23:59:59"),
            ("C20", 20, "2023-01-01 00:00:00", "2023-12-31 23:59:59"),
@@ -67,12 +69,10 @@ def apply_coupons(totals: DataFrame, assigned: DataFrame, coupons: DataFrame) ->
                     (F.round(F.col("total_price") * 100) * (100 - pct) / F.lit(10000.0)).alias("discounted_total"))
 
 
-def unanswered(starts: DataFrame, answers: DataFrame, key: str, within: Column) -> DataFrame:
+def unanswered(starts: DataFrame, answers: DataFrame, key: str, within_seconds: int) -> DataFrame:
     """J19/A33 kernel: start rows with no answer row of the same key in
-    (ts, ts + within] (equi join on the key + range predicate, anti)."""
-    a = answers.select(F.col(key).alias("_k"), F.col("ts").alias("_a_ts"))
-    cond = (F.col(key) == F.col("_k")) & (F.col("_a_ts") > F.col("ts")) & (F.col("_a_ts") <= F.col("ts") + within)
-    return starts.join(a, cond, "left_anti")
+    (ts, ts + within] -- a time-bucketed interval anti join."""
+    return interval_anti_join(starts, answers, key, within_seconds)
 
 
 def checkout_funnel(orders: DataFrame) -> DataFrame:

@@ -19,24 +19,19 @@ def products(part: DataFrame) -> DataFrame:
         .alias("specs"))
 
 
-def page_rank(df: DataFrame, order: list[Column], partition: list[str] | None = None,
+def page_rank(df: DataFrame, order: list[Column], partition: str | None = None,
               page_size: int = 20) -> DataFrame:
-    """0-based rank and page number in a total order (whole result kept;
-    a page is ``where(page == n)``)."""
-    w = Window.partitionBy(*partition).orderBy(*order) if partition else None
-    if w is None:
-        # global order: rank via a range-partitioned sort, not one partition
-        from .sequences import global_rank
-        keyed = df.withColumn("_k", F.struct(*order_keys(order)))
-        ranked = global_rank(keyed, "_k", out="_r").drop("_k", "_r_ties")
-        return ranked.withColumn("rank", F.col("_r") - 1).drop("_r").withColumn(
-            "page", (F.col("rank") / page_size).cast("bigint"))
-    return (df.withColumn("rank", (F.row_number().over(w) - 1).cast("bigint"))
-              .withColumn("page", (F.col("rank") / page_size).cast("bigint")))
-
-
-def order_keys(order: list[Column]) -> list[Column]:
-    return order
+    """0-based rank and page number in a total order; the whole result is
+    kept (a page is ``where(page == n)``). Ranks come from a distributed
+    range sort, never from a single-partition or per-group window."""
+    from .sequences import global_rank, rank_within
+    if partition is None:
+        keyed = df.withColumn("_k", F.struct(*order))
+        r = global_rank(keyed, "_k", out="_r").drop("_k", "_r_ties")
+        r = r.withColumn("rank", (F.col("_r") - 1).cast("bigint")).drop("_r")
+    else:
+        r = rank_within(df, partition, order, out="rank")
+    return r.withColumn("page", (F.col("rank") / page_size).cast("bigint"))
 
 
 def available_products(p: DataFrame) -> DataFrame:
@@ -157,3 +152,29 @@ def duplicate_siblings(items: DataFrame, id_col: str, name_col: str, parent_col:
 def count_per_category(p: DataFrame) -> DataFrame:
     """Products per category."""
     return p.groupBy("category_id").agg(F.count(F.lit(1)).alias("products"))
+
+
+# Allowed order status transitions.
+ORDER_TRANSITIONS = {("CREATED", "PAID"), ("PAID", "SHIPPED"), ("SHIPPED", "COMPLETED"),
+                     ("CREATED", "CANCELLED")}
+
+
+def order_status_audit(status_events: DataFrame) -> DataFrame:
+    """Each status change of an order against the allowed transitions
+    CREATED -> PAID -> SHIPPED -> COMPLETED (CREATED -> CANCELLED). The
+    previous status comes from an equi join on (order_id, seq - 1), so a
+    long-lived order never needs a window over its whole history."""
+    cur = status_events.select("order_id", "seq", "status", "ts")
+    prev = status_events.select("order_id", (F.col("seq") + 1).alias("seq"), F.col("status").alias("prev_status"))
+    allowed = F.lit(False)
+    for a, b in sorted(ORDER_TRANSITIONS):
+        allowed = allowed | ((F.col("prev_status") == a) & (F.col("status") == b))
+    first_ok = F.col("prev_status").isNull() & (F.col("status") == "CREATED")
+    return cur.join(prev, ["order_id", "seq"], "left").withColumn(
+        "valid", F.coalesce(first_ok | allowed, F.lit(False)))
+
+
+def latest_version(models: DataFrame, name_col: str = "model_name", version_col: str = "version") -> DataFrame:
+    """Newest model version per model by the maximum version string
+    (lexicographic, as the reference compares names)."""
+    return models.groupBy(name_col).agg(F.max(version_col).alias("latest_version"))

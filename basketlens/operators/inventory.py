@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .sequences import interval_anti_join
+
 REPLAY_SCHEMA = ("sku long, seq long, op string, qty int, ts timestamp_ntz, accepted int, "
                  "available_before long, available_after long, total_after long, reserved_after long")
 
@@ -147,14 +149,14 @@ def orphan_rollbacks(ledger: DataFrame) -> DataFrame:
     return rb.join(orig, ["sku", "orig_seq"], "left_anti")
 
 
-def expired_reservations(ledger: DataFrame, ttl: Column) -> DataFrame:
+def expired_reservations(ledger: DataFrame, ttl_seconds: int = 86400) -> DataFrame:
     """ST8 batch twin: RESERVE ops with no DEDUCT of the same sku within
-    (reserve time, reserve time + ttl] -- an interval anti join on sku."""
-    r = ledger.where(F.col("op") == "RESERVE").select("sku", "seq", F.col("ts").alias("reserved_at"))
-    d = ledger.where(F.col("op") == "DEDUCT").select(F.col("sku").alias("d_sku"), F.col("ts").alias("d_ts"))
-    cond = ((F.col("sku") == F.col("d_sku")) & (F.col("d_ts") > F.col("reserved_at"))
-            & (F.col("d_ts") <= F.col("reserved_at") + ttl))
-    return r.join(d, cond, "left_anti").withColumn("expires_at", F.col("reserved_at") + ttl)
+    (reserve time, reserve time + ttl] (time-bucketed interval anti join)."""
+    r = ledger.where(F.col("op") == "RESERVE").select("sku", "seq", "ts")
+    d = ledger.where(F.col("op") == "DEDUCT").select("sku", "ts")
+    out = interval_anti_join(r, d, "sku", ttl_seconds)
+    return out.select("sku", "seq", F.col("ts").alias("reserved_at"),
+                      (F.col("ts") + F.make_dt_interval(secs=F.lit(ttl_seconds))).alias("expires_at"))
 
 
 def price_changes(ledger: DataFrame) -> DataFrame:

@@ -101,3 +101,39 @@ def global_rank(df: DataFrame, value: str, out: str = "rank", partitions: int |
                   .select(value, (F.col("_offset") + F.col("_before_local") + 1).cast("bigint").alias(out),
                           F.col("_n").alias(f"{out}_ties")))
     return df.join(ranks, value, "left")
+
+
+def interval_anti_join(starts: DataFrame, answers: DataFrame, key: str, within_seconds: int,
+                       start_ts: str = "ts", answer_ts: str = "ts") -> DataFrame:
+    """Start rows with no answer of the same key in (t, t + within].
+
+    The equality key is (key, time bucket of width ``within``): an answer in
+    bucket ``c`` can only serve starts in buckets ``c`` and ``c - 1``, so it
+    is sent to both and the range test runs inside one (key, bucket) pair.
+    A key with a third of all rows is therefore spread over all its time
+    buckets instead of comparing every start with every answer in one task.
+    """
+    w = F.make_dt_interval(secs=F.lit(within_seconds))
+    s = starts.withColumn("_b", _bucket_of(start_ts, within_seconds))
+    a = (answers.select(F.col(key).alias("_k"), F.col(answer_ts).alias("_a_ts"))
+                .withColumn("_ab", _bucket_of("_a_ts", within_seconds))
+                .select("_k", "_a_ts", F.explode(F.array(F.col("_ab"), F.col("_ab") - 1)).alias("_b2")))
+    cond = ((F.col(key) == F.col("_k")) & (F.col("_b") == F.col("_b2"))
+            & (F.col("_a_ts") > F.col(start_ts)) & (F.col("_a_ts") <= F.col(start_ts) + w))
+    return s.join(a, cond, "left_anti").drop("_b")
+
+
+def _bucket_of(ts: str, seconds: int) -> Column:
+    m = _micros(ts)
+    d = F.lit(seconds * 1_000_000).cast("bigint")
+    return ((m - F.pmod(m, d)) / d).cast("bigint")
+
+
+def rank_within(df: DataFrame, group: str, order: list[Column], out: str = "rank") -> DataFrame:
+    """0-based rank inside ``group`` by ``order`` without a per-group window:
+    a global distributed rank of (group, order...) minus the group's first
+    rank (one row per group)."""
+    keyed = df.withColumn("_k", F.struct(F.col(group).alias("_g"), *order))
+    r = global_rank(keyed, "_k", out="_gr").drop("_gr_ties")
+    first = r.groupBy(group).agg(F.min("_gr").alias("_g0"))
+    return r.join(first, group).withColumn(out, (F.col("_gr") - F.col("_g0")).cast("bigint")).drop("_k", "_gr", "_g0")

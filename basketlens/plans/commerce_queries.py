@@ -103,7 +103,7 @@ WHERE r.op = 'RESERVE' AND NOT EXISTS (
   SELECT 1 FROM ledger d WHERE d.sku = r.sku AND d.op = 'DEDUCT' AND d.ts > r.ts AND d.ts <= r.ts + INTERVAL 1 DAY)""")
 def expired_reservations(fx):
     """ST8 batch twin: reservations not followed by a DEDUCT within 1 day."""
-    return inv.expired_reservations(fx.ledger, F.expr("INTERVAL 1 DAY"))
+    return inv.expired_reservations(fx.ledger, 86400)
 
 
 @query("price_change", views=("ledger",), oracle="""
@@ -195,7 +195,7 @@ SELECT category_id, product_id, price,
 FROM ({PRODUCTS_SQL})""")
 def products_by_category(fx):
     """Products by category with in-category page rank."""
-    r = cg.page_rank(_products(fx), [F.desc("price"), F.asc("product_id")], partition=["category_id"])
+    r = cg.page_rank(_products(fx), [-F.col("price"), F.col("product_id")], partition="category_id")
     return r.select("category_id", "product_id", "price", "rank", "page")
 
 
@@ -264,14 +264,18 @@ def category_product_counts(fx):
 
 
 @query("product_view", oracle=f"""
-SELECT p.product_id, p.name, p.price, p.category_id, c.products AS category_products
+SELECT p.product_id, p.name, p.price, p.category_id, c.products AS category_products,
+       lower(p.category_id) AS spec_type, CAST(p.p_size AS VARCHAR) AS spec_size
 FROM ({PRODUCTS_SQL}) p JOIN (SELECT p_type, count(*) AS products FROM part GROUP BY p_type) c
   ON c.p_type = p.category_id""")
 def product_view(fx):
-    """Product response joined with its category's product count."""
+    """Product response joined with its category's product count and
+    spec attributes looked up from the product's map."""
     p = _products(fx)
     return p.join(cg.count_per_category(p).withColumnRenamed("products", "category_products"),
-                  "category_id").select("product_id", "name", "price", "category_id", "category_products")
+                  "category_id").select("product_id", "name", "price", "category_id", "category_products",
+                                        F.lower(F.element_at("specs", F.lit("type"))).alias("spec_type"),
+                                        F.element_at("specs", F.lit("size")).alias("spec_size"))
 
 
 @query("duplicate_categories", oracle="""
@@ -360,7 +364,7 @@ def unpaid_timeouts(fx):
     b = fx.behaviors
     starts = b.where(F.col("action") == "add_to_cart").select("event_id", "user_id", "item_id", "ts")
     paid = b.where(F.col("action") == "purchase").select("user_id", "ts")
-    return ct.unanswered(starts, paid, "user_id", F.expr("INTERVAL 15 MINUTES"))
+    return ct.unanswered(starts, paid, "user_id", 15 * 60)
 
 
 @query("abandoned_carts", views=("behaviors", "as_of_t"), oracle="""
@@ -374,7 +378,7 @@ def abandoned_carts(fx):
     starts = (b.where((F.col("action") == "add_to_cart") & (F.col("ts") <= fx.as_of - F.expr("INTERVAL 1 DAY")))
                .select("event_id", "user_id", "item_id", "ts"))
     paid = b.where(F.col("action") == "purchase").select("user_id", "ts")
-    return ct.unanswered(starts, paid, "user_id", F.expr("INTERVAL 1 DAY"))
+    return ct.unanswered(starts, paid, "user_id", 86400)
 
 
 @query("checkout_funnel", oracle="""
@@ -397,3 +401,22 @@ WHERE ts > (SELECT as_of FROM as_of_t) - INTERVAL 24 HOUR AND ts <= (SELECT as_o
 def cart_history(fx):
     """ST7 batch twin: cart events in the 24 h before as_of."""
     return ct.cart_history(_cart_ev(fx), fx.as_of).select("event_id", "user_id", "item_id", "action", "ts")
+
+
+@query("validate_cart_lines", views=CART_VIEWS, oracle=f"""
+WITH l AS (SELECT event_id, item_id AS sku, name, price_cents, 1 AS quantity FROM ({CART_EV_SQL})
+           WHERE action = 'add_to_cart')
+SELECT event_id, array_to_string(list_filter([
+         CASE WHEN coalesce(length(trim(CAST(sku AS VARCHAR))) = 0, true) THEN 'sku_blank' END,
+         CASE WHEN coalesce(length(trim(name)) = 0, true) THEN 'name_blank' END,
+         CASE WHEN price_cents IS NULL THEN 'price_missing' END,
+         CASE WHEN coalesce(quantity < 1, true) THEN 'quantity_below_one' END], lambda x: x IS NOT NULL), ',')
+         AS reasons,
+       sku IS NOT NULL AND name IS NOT NULL AND length(trim(name)) > 0 AND price_cents IS NOT NULL AS valid
+FROM l""")
+def validate_cart_lines(fx):
+    """Cart-line validation (sku, name, price, quantity)."""
+    lines = _cart_ev(fx).where(F.col("action") == "add_to_cart").select(
+        "event_id", F.col("item_id").alias("sku"), "name", F.col("price_cents").alias("price"),
+        F.lit(1).alias("quantity"))
+    return cg.validate_cart_lines(lines).select("event_id", "reasons", "valid")

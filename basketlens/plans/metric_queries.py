@@ -55,7 +55,7 @@ SELECT event_id, user_id, item_id, action, ts, action = 'error' AS is_error, dwe
 
 
 def _kpis(fx, days=None):
-    k = mt.hourly_kpis(fx.behaviors, fx.as_of, days)
+    k = mt.hourly_kpis(fx.behaviors, fx.as_of, days).orderBy("hour")
     return k.select("hour", "active_users", "total_events", "impressions", "clicks", "purchases", "revenue",
                     "ctr", "purchase_rate", "revenue_per_user")
 

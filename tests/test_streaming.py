@@ -96,5 +96,5 @@ def test_stream_interval_join_expiry(spark, fx):
     r = s.where(F.col("op") == "RESERVE")
     d = s.where(F.col("op") == "DEDUCT")
     out = _run(spark, st.expired_reservations_stream(r, d, "1 day"), "expiry_stream")
-    batch = {(x.sku, x.seq) for x in inventory.expired_reservations(fx.ledger, F.expr("INTERVAL 1 DAY")).collect()}
+    batch = {(x.sku, x.seq) for x in inventory.expired_reservations(fx.ledger, 86400).collect()}
     assert {(x.sku, x.seq) for x in out.collect()} <= batch

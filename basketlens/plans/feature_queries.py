@@ -52,13 +52,13 @@ FROM behaviors GROUP BY session_id, user_id"""
 SELECT event_id, user_id, item_id, category_id, action, ts, dwell_time, session_id FROM behaviors""")
 def scan_behaviors(fx):
     """7-column behaviour scan (+ event_id); whole log, no day filter."""
-    return read_behaviors(fx.behaviors)
+    return read_behaviors(fx.sessionized)
 
 
 @query("user_stats", views=("behaviors",), oracle=USER_STATS_SQL)
 def user_stats(fx):
     """A1: per-user behaviour statistics."""
-    return ft.user_stats(fx.behaviors)
+    return ft.user_stats(fx.sessionized)
 
 
 @query("user_hour_hist", views=("behaviors",), oracle=HOUR_HIST_SQL)
@@ -86,7 +86,7 @@ FROM ({USER_STATS_SQL}) st LEFT JOIN ({PEAK_SQL}) pk USING (user_id)
      LEFT JOIN ({TOPCAT_SQL}) tc USING (user_id)""")
 def user_features(fx):
     """Assembled user profile features (flagship ETL slice)."""
-    return ft.user_features(fx.behaviors).withColumn(
+    return ft.user_features(fx.sessionized).withColumn(
         "top_categories", F.array_join("top_categories", ","))
 
 
@@ -121,7 +121,7 @@ def item_popularity(fx):
 @query("session_features", views=("behaviors",), oracle=SESSION_SQL)
 def session_features(fx):
     """Session features over 6 h gap sessions."""
-    return ft.session_features(fx.behaviors).drop("_dur_us")
+    return ft.session_features(fx.sessionized).drop("_dur_us")
 
 
 @query("recent_items", views=("behaviors",), oracle="""
@@ -178,7 +178,7 @@ FROM s LEFT JOIN sess USING (user_id) LEFT JOIN ent USING (user_id)""")
 def user_statistics(fx):
     """Trailing 7/30-day statistics, entropy, mean session length."""
     b = fx.behaviors
-    out = ft.user_statistics(b, ft.session_features(b), fx.as_of)
+    out = ft.user_statistics(b, ft.session_features(fx.sessionized), fx.as_of)
     return out.select("user_id", r6("click_7d_avg").alias("click_7d_avg"), "purchase_30d_total",
                       "active_days_30d", r6("session_avg_duration").alias("session_avg_duration"),
                       r6("category_entropy").alias("category_entropy"))

@@ -64,9 +64,14 @@ class Fixtures(Tables):
 
     @cached_property
     def behaviors(self) -> DataFrame:
-        """Clean behaviour log (no ``error`` rows) with 6 h gap sessions."""
-        b = self.raw_behaviors.where(F.col("action") != "error")
-        return sessionize(b, gap_seconds=SESSION_GAP_SECONDS)
+        """Clean behaviour log (no ``error`` rows)."""
+        return self.raw_behaviors.where(F.col("action") != "error")
+
+    @cached_property
+    def sessionized(self) -> DataFrame:
+        """Clean behaviour log with 6 h gap sessions (``session_id``); only the
+        queries that use sessions pay for sessionisation."""
+        return sessionize(self.behaviors, gap_seconds=SESSION_GAP_SECONDS)
 
     # -- dimensions ------------------------------------------------------
     @cached_property

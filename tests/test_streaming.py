@@ -78,7 +78,7 @@ def test_session_windows_and_timers_run(spark, fx):
     stream = st.with_event_time(spark.readStream.schema(b.schema).option("maxFilesPerTrigger", 1)
                                 .parquet(f"{src}/part=*"))
     sess = _run(spark, st.session_windows(stream, "6 hours"), "sess_stream")
-    batch = fx.behaviors.groupBy("user_id", "session_id").count().count()
+    batch = fx.sessionized.groupBy("user_id", "session_id").count().count()
     n = sess.count()
     assert 0 < n <= batch          # sessions still open at the end are not emitted
     ab = _run(spark, st.cart_abandonment(stream, 24.0), "abandon_stream")

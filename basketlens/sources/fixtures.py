@@ -48,10 +48,11 @@ class Fixtures(Tables):
         return self.lineitem.select(F.max("l_shipdate")).scalar()
 
     # -- behaviour log ---------------------------------------------------
-    @cached_property
-    def raw_behaviors(self) -> DataFrame:
-        """Every event as a behaviour row, ``error`` rows included (monitoring)."""
+    def _behavior_rows(self, with_errors: bool) -> DataFrame:
         e = self.events
+        if not with_errors:
+            # on the source column, so it is pushed into the parquet scan
+            e = e.where(F.col("event_type").isin(*ACTION_MAP))
         item = F.get_json_object("props", "$.k").cast("bigint")
         ev = e.select("event_id", "user_id", item.alias("item_id"),
                       _case_map(F.col("event_type"), ACTION_MAP, "error").alias("action"),
@@ -62,10 +63,15 @@ class Fixtures(Tables):
         return ev.join(part, "item_id").select(
             "event_id", "user_id", "item_id", "category_id", "action", "ts", "dwell_time", "price")
 
+    @cached_property
+    def raw_behaviors(self) -> DataFrame:
+        """Every event as a behaviour row, ``error`` rows included (monitoring)."""
+        return self._behavior_rows(with_errors=True)
+
     @cached_property
     def behaviors(self) -> DataFrame:
         """Clean behaviour log (no ``error`` rows)."""
-        return self.raw_behaviors.where(F.col("action") != "error")
+        return self._behavior_rows(with_errors=False)
 
     @cached_property
     def sessionized(self) -> DataFrame:

@@ -291,3 +291,13 @@ def upsert_stream(df: DataFrame, table_path: str, key: str, ts: str, checkpoint:
         out.write.mode("overwrite").parquet(f"{table_path}/v={epoch:012d}")
 
     return start(df, table_path, checkpoint, foreach_batch=merge)
+
+
+def unpaid_orders_stream(orders: DataFrame, payments: DataFrame, timeout: str = "15 minutes") -> DataFrame:
+    """J19 streaming form: orders (add_to_cart) with no payment (purchase) of
+    the same user within ``timeout``: a stream-stream left outer interval
+    join, emitted once the watermark passes the deadline."""
+    o = orders.select("event_id", "user_id", F.col("ts").alias("created_at"))
+    p = payments.select(F.col("user_id").alias("p_user"), F.col("ts").alias("paid_at"))
+    cond = F.expr(f"user_id = p_user AND paid_at > created_at AND paid_at <= created_at + INTERVAL {timeout}")
+    return o.join(p, cond, "leftOuter").where(F.col("paid_at").isNull()).select("event_id", "user_id", "created_at")

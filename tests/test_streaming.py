@@ -98,3 +98,37 @@ def test_stream_interval_join_expiry(spark, fx):
     out = _run(spark, st.expired_reservations_stream(r, d, "1 day"), "expiry_stream")
     batch = {(x.sku, x.seq) for x in inventory.expired_reservations(fx.ledger, 86400).collect()}
     assert {(x.sku, x.seq) for x in out.collect()} <= batch
+
+
+def test_hourly_counts_stream_and_raw_append(spark, fx):
+    b = fx.behaviors.select("event_id", "user_id", "item_id", "action", "ts")
+    src = _two_files(b, "ts", F.lit("2024-01-15").cast("timestamp_ntz"))
+    stream = st.with_event_time(spark.readStream.schema(b.schema).option("maxFilesPerTrigger", 1)
+                                .parquet(f"{src}/part=*"))
+    out = _run(spark, st.hourly_action_counts(stream), "hourly_stream")
+    batch = st.hourly_action_counts(b.withColumn("ts", F.col("ts").cast("timestamp")))
+    max_ts = b.select(F.max("ts").cast("timestamp")).collect()[0][0]
+    closed = batch.where(F.col("hour") + F.expr("INTERVAL 1 HOUR") <= F.lit(max_ts) - F.expr("INTERVAL 10 MINUTES"))
+    assert {tuple(r) for r in out.collect()} == {tuple(r) for r in closed.collect()}
+    # Append the raw stream to a dt-partitioned table
+    from basketlens.operators.io import append_raw
+    dest, ck = tempfile.mkdtemp(prefix="basketlens-raw-"), tempfile.mkdtemp(prefix="basketlens-ck-")
+    q = append_raw(stream, dest, ck, trigger={"availableNow": True})
+    q.awaitTermination()
+    back = spark.read.parquet(dest)
+    assert back.count() == b.count() and "dt" in back.columns
+
+
+def test_unpaid_orders_stream_subset_of_batch(spark, fx):
+    from basketlens.operators import cart
+    b = fx.behaviors.select("event_id", "user_id", "item_id", "action", "ts")
+    src = _two_files(b, "ts", F.lit("2024-01-15").cast("timestamp_ntz"))
+    s = st.with_event_time(spark.readStream.schema(b.schema).option("maxFilesPerTrigger", 1)
+                           .parquet(f"{src}/part=*"))
+    out = _run(spark, st.unpaid_orders_stream(s.where(F.col("action") == "add_to_cart"),
+                                              s.where(F.col("action") == "purchase")), "unpaid_stream")
+    starts = b.where(F.col("action") == "add_to_cart").select("event_id", "user_id", "item_id", "ts")
+    paid = b.where(F.col("action") == "purchase").select("user_id", "ts")
+    batch = {r.event_id for r in cart.unanswered(starts, paid, "user_id", 900).collect()}
+    got = {r.event_id for r in out.collect()}
+    assert got and got <= batch

@@ -420,3 +420,14 @@ def validate_cart_lines(fx):
         "event_id", F.col("item_id").alias("sku"), "name", F.col("price_cents").alias("price"),
         F.lit(1).alias("quantity"))
     return cg.validate_cart_lines(lines).select("event_id", "reasons", "valid")
+
+
+@query("category_search", oracle="""
+WITH cats AS (
+  SELECT CAST(r_regionkey AS BIGINT) AS category_id, r_name AS name, CAST(NULL AS BIGINT) AS parent_id FROM region
+  UNION ALL SELECT CAST(n_nationkey + 100 AS BIGINT), n_name, CAST(n_regionkey AS BIGINT) FROM nation)
+SELECT category_id, name, parent_id FROM cats WHERE contains(lower(name), 'ion_1')""")
+def category_search(fx):
+    """Category name search (case-insensitive substring)."""
+    c = cg.categories(fx.region, fx.nation)
+    return c.where(F.lower(F.col("name")).contains("ion_1"))

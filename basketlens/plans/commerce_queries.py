@@ -20,7 +20,7 @@ REPLAY_VIEWS = {
                                                           WHEN 'ADD' THEN qty ELSE 0 END ELSE 0 END AS available_after,
                    opening + CASE WHEN acc = 1 THEN CASE op WHEN 'DEDUCT' THEN -qty WHEN 'ADD' THEN qty ELSE 0 END
                                   ELSE 0 END AS total_after,
-                   CASE WHEN acc = 1 AND op = 'RESERVE' THEN qty ELSE 0 END AS reserved_after
+                   CAST(CASE WHEN acc = 1 AND op = 'RESERVE' THEN qty ELSE 0 END AS BIGINT) AS reserved_after
             FROM (SELECT *, CASE WHEN op IN ('DEDUCT', 'RESERVE') AND opening >= qty THEN 1
                                  WHEN op = 'ADD' THEN 1 ELSE 0 END AS acc FROM l WHERE seq = 1)
             UNION ALL
@@ -300,7 +300,7 @@ SELECT a.user_id, a.item_id, count(*) AS quantity, arg_max(a.price_cents, a.ts)
 FROM ev a LEFT JOIN lb USING (user_id, item_id)
 WHERE a.action = 'add_to_cart' AND (lb.bought IS NULL OR a.ts > lb.bought) GROUP BY ALL"""
 TOTALS_SQL = f"""
-SELECT user_id, count(*) AS lines, sum(quantity) AS items,
+SELECT user_id, count(*) AS lines, CAST(sum(quantity) AS BIGINT) AS items,
        CAST(sum(quantity * price_cents) AS DOUBLE) / 100.0e0 AS total_price, max(last_ts) AS last_ts
 FROM ({OPEN_LINES_SQL}) GROUP BY user_id"""
 CART_VIEWS = ("behaviors", "items")
@@ -387,8 +387,8 @@ WITH s AS (SELECT o_orderkey, 1 AS submitted, CAST(o_orderstatus IN ('P', 'F') A
                   CAST(o_orderstatus = 'O' AND o_orderpriority = '5-LOW' AS INTEGER) AS aborted FROM orders)
 SELECT CASE WHEN paid = 1 THEN 'paid' WHEN aborted = 1 THEN 'aborted' WHEN reserved = 1 THEN 'reserved'
             ELSE 'submitted' END AS terminal_state,
-       count(*) AS orders, sum(submitted) AS submitted, sum(reserved) AS reserved, sum(paid) AS paid,
-       sum(aborted) AS aborted, count(*) / (SELECT CAST(count(*) AS DOUBLE) FROM orders) AS share
+       count(*) AS orders, CAST(sum(submitted) AS BIGINT) AS submitted, CAST(sum(reserved) AS BIGINT) AS reserved,
+       CAST(sum(paid) AS BIGINT) AS paid, CAST(sum(aborted) AS BIGINT) AS aborted, count(*) / (SELECT CAST(count(*) AS DOUBLE) FROM orders) AS share
 FROM s GROUP BY 1""")
 def checkout_funnel(fx):
     """Checkout saga terminal states and stage counts."""

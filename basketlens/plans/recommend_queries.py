@@ -131,9 +131,9 @@ p AS (SELECT DISTINCT a.item_id AS item_i, b.item_id AS item_j FROM m a JOIN m b
       ON a.user_id = b.user_id AND a.item_id <= b.item_id
       WHERE a.item_id <> b.item_id OR a.m > 1)
 SELECT p.item_i, p.item_j, i.category_id AS category_i, j.category_id AS category_j,
-       CASE WHEN coalesce(i.category_id, '') = coalesce(j.category_id, '') THEN 0.8
+       CASE WHEN coalesce(i.category_id, '') = coalesce(j.category_id, '') THEN 0.8e0
             WHEN length(coalesce(i.category_id, '')) > 0 AND length(coalesce(j.category_id, '')) > 0
-                 AND substr(i.category_id, 1, 3) = substr(j.category_id, 1, 3) THEN 0.5 ELSE 0.1 END
+                 AND substr(i.category_id, 1, 3) = substr(j.category_id, 1, 3) THEN 0.5e0 ELSE 0.1e0 END
          AS category_similarity
 FROM p JOIN items i ON i.item_id = p.item_i JOIN items j ON j.item_id = p.item_j""")
 def category_similarity(fx):

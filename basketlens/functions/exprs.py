@@ -133,3 +133,23 @@ def bucket_index(ts, seconds: int) -> Column:
     m = epoch_micros(ts)
     d = F.lit(seconds * 1_000_000).cast("bigint")
     return ((m - F.pmod(m, d)) / d).cast("bigint")
+
+
+NTZ_EPOCH = "1970-01-01 00:00:00"
+
+
+def ntz_from_bucket(idx, seconds: int) -> Column:
+    """Start of bucket ``idx`` (of ``seconds``) as TIMESTAMP_NTZ, independent
+    of the session time zone."""
+    return (F.lit(NTZ_EPOCH).cast("timestamp_ntz")
+            + F.make_dt_interval(secs=(_c(idx) * F.lit(seconds)).cast("decimal(18,6)")))
+
+
+def trunc_hour_ntz(ts) -> Column:
+    """Hour start of a wall-clock timestamp without time-zone conversion."""
+    return ntz_from_bucket(bucket_index(ts, 3600), 3600)
+
+
+def week_start_ntz(ts) -> Column:
+    """Monday 00:00 of the timestamp's week (ISO), without time-zone conversion."""
+    return F.date_sub(F.next_day(F.to_date(_c(ts).cast("timestamp_ntz")), "Mon"), 7).cast("timestamp_ntz")

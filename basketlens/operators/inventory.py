@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .sequences import _shuffle_partitions
+
 from .sequences import interval_anti_join
 
 REPLAY_SCHEMA = ("sku long, seq long, op string, qty int, ts timestamp_ntz, accepted int, "
@@ -98,7 +100,7 @@ def replay(ledger: DataFrame, opening: DataFrame, partitions: int | None = None)
     CANCEL n: releases a reservation (reserved -= n, available += n).
     ADD n: available += n, total += n.
     """
-    n = partitions or int(ledger.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or _shuffle_partitions(ledger.sparkSession)
     d = (ledger.select("sku", "seq", "op", "qty", "ts").join(opening, "sku", "left")
                .withColumn("opening", F.coalesce("opening", F.lit(0).cast("bigint")))
                .repartition(n, "sku").sortWithinPartitions("sku", "seq"))

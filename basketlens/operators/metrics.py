@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import bucket_index, cents, try_ratio
+from ..functions.exprs import bucket_index, cents, ntz_from_bucket, trunc_hour_ntz, try_ratio, week_start_ntz
 
 
 def hourly_kpis(b: DataFrame, as_of: Column | None = None, days: int | None = None) -> DataFrame:
@@ -14,7 +14,7 @@ def hourly_kpis(b: DataFrame, as_of: Column | None = None, days: int | None = No
     d = b
     if days is not None:
         d = d.where(F.col("ts") >= as_of - F.make_dt_interval(F.lit(days)))
-    h = d.groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour")).agg(
+    h = d.groupBy(trunc_hour_ntz("ts").alias("hour")).agg(
         F.countDistinct("user_id").alias("active_users"),
         F.count(F.lit(1)).alias("total_events"),
         F.count(F.when(F.col("action") == "impression", True)).alias("impressions"),
@@ -29,7 +29,7 @@ def hourly_kpis(b: DataFrame, as_of: Column | None = None, days: int | None = No
 
 def weekly_report(hourly: DataFrame) -> DataFrame:
     """Per week, the mean of the hourly KPIs (nulls skipped)."""
-    return hourly.groupBy(F.date_trunc("week", "hour").cast("timestamp_ntz").alias("week_start")).agg(
+    return hourly.groupBy(week_start_ntz("hour").alias("week_start")).agg(
         F.count(F.lit(1)).alias("hours"),
         F.avg("active_users").alias("avg_active_users"), F.avg("ctr").alias("avg_ctr"),
         F.avg("purchase_rate").alias("avg_purchase_rate"), F.avg("revenue_per_user").alias("avg_arpu"))
@@ -165,9 +165,8 @@ def alert_islands(windows: DataFrame, condition: Column, min_windows: int, step_
         F.count(F.lit(1)).alias("n_windows"))
     return (out.where(F.col("n_windows") >= min_windows)
                .select(*keys,
-                       F.timestamp_seconds(F.col("_first") * step_seconds).cast("timestamp_ntz").alias("alert_start"),
-                       F.timestamp_seconds((F.col("_last") + 1) * step_seconds).cast("timestamp_ntz")
-                       .alias("alert_end"),
+                       ntz_from_bucket(F.col("_first"), step_seconds).alias("alert_start"),
+                       ntz_from_bucket(F.col("_last") + 1, step_seconds).alias("alert_end"),
                        "n_windows"))
 
 

@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .sequences import _shuffle_partitions
+
 from ..functions.exprs import try_ratio
 
 # Recall sizes (top-N list lengths) and the MMR settings.
@@ -243,7 +245,7 @@ MMR_SCHEMA = "user_id long, item_id long, score double, category_id string, mmr_
 def _mmr_pandas(d: DataFrame, max_select: int) -> DataFrame:
     cols = d.select("user_id", "item_id", F.col("score").cast("double").alias("score"),
                     "category_id", "_lam")
-    n_parts = int(d.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n_parts = _shuffle_partitions(d.sparkSession)
     clustered = (cols.repartition(n_parts, "user_id")
                      .sortWithinPartitions("user_id", F.desc("score"), F.asc("item_id")))
     return clustered.mapInPandas(lambda it: _mmr_batches(it, max_select), MMR_SCHEMA)

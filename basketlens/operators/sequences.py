@@ -18,6 +18,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def _shuffle_partitions(spark) -> int:
+    """The session's shuffle partition count (200 when unset or not numeric)."""
+    try:
+        return int(spark.conf.get("spark.sql.shuffle.partitions"))
+    except (TypeError, ValueError):
+        return 200
+
+
 def _micros(ts: str) -> Column:
     return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"),
                             F.col(ts).cast("timestamp_ntz"))
@@ -86,7 +94,7 @@ def global_rank(df: DataFrame, value: str, out: str = "rank", partitions: int |
     per partition is ever combined in one place. Null values get no rank.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("_n"))
-    n_parts = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n_parts = partitions or _shuffle_partitions(df.sparkSession)
     ranged = (counts.repartitionByRange(n_parts, F.col(value))
                     .sortWithinPartitions(F.col(value))
                     .withColumn("_pid", F.spark_partition_id()))

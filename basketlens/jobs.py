@@ -67,7 +67,7 @@ def recommendation_run(fx, out_dir: str) -> str:
              .select("user_id", F.col("params")["lambda"].cast("double").alias("lam")))
     s = scored.join(lam, "user_id", "left").withColumn("lam", F.coalesce("lam", F.lit(rc.MMR_LAMBDA)))
     ranked = materialize(rc.cut(rc.mmr_rerank(s, F.col("lam"))), "mmr-ranked")
-    recs = rc.with_reasons(ranked, ft.recent_items(fx.behaviors), ft.item_stats(fx.behaviors))
+    recs = rc.with_reasons(ranked, ft.recent_items(fx.behaviors), ft.item_purchase_rate(fx.behaviors))
     path = f"{out_dir.rstrip('/')}/recommendations"
     recs.write.mode("overwrite").parquet(path)
     io.emit(rc.impressions(spark_read(fx.spark, path), fx.as_of).select("value"),

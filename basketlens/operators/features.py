@@ -67,6 +67,14 @@ def item_stats(b: DataFrame) -> DataFrame:
     return s.withColumn("purchase_rate", ratio_or_zero("total_purchases", "total_clicks"))
 
 
+def item_purchase_rate(b: DataFrame) -> DataFrame:
+    """A4's purchase_rate alone (no distinct aggregate, so no Expand)."""
+    s = b.groupBy("item_id").agg(
+        F.count(F.when(_is("click"), True)).alias("total_clicks"),
+        F.count(F.when(_is("purchase"), True)).alias("total_purchases"))
+    return s.select("item_id", ratio_or_zero("total_purchases", "total_clicks").alias("purchase_rate"))
+
+
 def item_popularity(b: DataFrame) -> DataFrame:
     """A18 (ours): ``ln(1 + clicks + 3*carts + 5*purchases)``."""
     s = b.groupBy("item_id").agg(

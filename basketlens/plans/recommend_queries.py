@@ -121,7 +121,7 @@ FROM ({SCORED_SQL}) s LEFT JOIN rec USING (user_id) LEFT JOIN st USING (item_id)
 def recommend_reason(fx):
     """Reason label of every scored candidate."""
     s = _scored(fx).withColumnRenamed("path", "mmr_rank")
-    r = rc.with_reasons(s, ft.recent_items(fx.behaviors), ft.item_stats(fx.behaviors))
+    r = rc.with_reasons(s, ft.recent_items(fx.behaviors), ft.item_purchase_rate(fx.behaviors))
     return r.select("user_id", "item_id", "reason")
 
 
@@ -158,7 +158,7 @@ def recommend_all(fx):
              .select("user_id", F.col("params")["lambda"].cast("double").alias("lam")))
     s = scored.join(lam, "user_id", "left").withColumn("lam", F.coalesce("lam", F.lit(rc.MMR_LAMBDA)))
     ranked = rc.cut(rc.mmr_rerank(s, F.col("lam")))
-    return rc.with_reasons(ranked, ft.recent_items(b), ft.item_stats(b))
+    return rc.with_reasons(ranked, ft.recent_items(b), ft.item_purchase_rate(b))
 
 
 @query("recommend")

@@ -111,7 +111,7 @@ def training_matrix(entities_with_features: DataFrame, numeric: list[str], categ
                     split_col: str = "split"):
     """M1: label-encode categoricals (``handleInvalid='keep'``), assemble and
     standardise; the encoders and the scaler are fit on the train split only.
-    Returns (fitted pipeline model, transformed DataFrame)."""
+    Returns (fitted feature model, transformed DataFrame)."""
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import StandardScaler, StringIndexer, VectorAssembler
 

@@ -164,6 +164,50 @@ def mmr_rerank(scored: DataFrame, lam: Column | float = MMR_LAMBDA,
         F.col("s.cat").alias("category_id"), F.col("mmr_rank").cast("bigint").alias("mmr_rank"))
 
 
+def mmr_select_many(score, code, prefix, nonempty, lam, starts, sizes, max_select: int):
+    """``mmr_select`` for many users at once: candidates are laid out in a
+    padded (users x max candidates) matrix and all users advance one greedy
+    step per iteration. Same arithmetic and first-index tie rule as the
+    per-user loop. Returns, per user, the chosen row positions in order."""
+    import numpy as np
+
+    n_users = len(starts)
+    if n_users == 0:
+        return []
+    width = int(sizes.max())
+    rows = np.repeat(np.arange(n_users), sizes)
+    cols = np.arange(len(score)) - np.repeat(starts, sizes)
+    sc = np.full((n_users, width), -np.inf)
+    cd = np.full((n_users, width), -1, dtype=np.int64)
+    pf = np.full((n_users, width), -2, dtype=np.int64)
+    ne = np.zeros((n_users, width), dtype=bool)
+    sc[rows, cols], cd[rows, cols], pf[rows, cols], ne[rows, cols] = score, code, prefix, nonempty
+    alive = np.zeros((n_users, width), dtype=bool)
+    alive[rows, cols] = True
+    steps = np.minimum(max_select, sizes)
+    chosen = np.zeros((n_users, int(steps.max())), dtype=np.int64)
+    alive[:, 0] = False
+    max_sim = np.full((n_users, width), 0.1)
+    every = np.arange(n_users)
+    lam_col = lam[:, None]
+
+    def absorb(j, who):
+        same = cd[who] == cd[who, j[who]][:, None]
+        pre = ne[who] & ne[who, j[who]][:, None] & (pf[who] == pf[who, j[who]][:, None])
+        max_sim[who] = np.maximum(max_sim[who], np.where(same, 0.8, np.where(pre, 0.5, 0.1)))
+
+    absorb(np.zeros(n_users, dtype=np.int64), every)
+    for k in range(1, chosen.shape[1]):
+        who = every[steps > k]
+        mmr = np.where(alive[who], lam_col[who] * sc[who] - (1.0 - lam_col[who]) * max_sim[who], -np.inf)
+        j = np.zeros(n_users, dtype=np.int64)
+        j[who] = np.argmax(mmr, axis=1)          # first index wins ties
+        chosen[who, k] = j[who]
+        alive[who, j[who]] = False
+        absorb(j, who)
+    return [starts[u] + chosen[u, :steps[u]] for u in range(n_users)]
+
+
 MMR_SCHEMA = "user_id long, item_id long, score double, category_id string, mmr_rank long"
 
 
@@ -205,22 +249,16 @@ def _mmr_batches(batches, max_select: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         users = pdf["user_id"].to_numpy()
         cats = pdf["category_id"].fillna("").astype(str)
-        code = pd.factorize(cats)[0]
-        prefix = pd.factorize(cats.str.slice(0, 3))[0]
-        nonempty = (cats.str.len() > 0).to_numpy()
-        score = pdf["score"].to_numpy(dtype=np.float64)
-        lam = pdf["_lam"].to_numpy(dtype=np.float64)
         starts = np.flatnonzero(np.r_[True, users[1:] != users[:-1]])
-        ends = np.r_[starts[1:], len(users)]
-        pos, rank = [], []
-        for s0, e0 in zip(starts, ends):
-            picks = mmr_select(score[s0:e0], code[s0:e0], prefix[s0:e0], nonempty[s0:e0],
-                               float(lam[s0]), max_select)
-            pos.extend(s0 + p for p in picks)
-            rank.extend(range(len(picks)))
+        sizes = np.diff(np.r_[starts, len(users)])
+        picks = mmr_select_many(pdf["score"].to_numpy(dtype=np.float64), pd.factorize(cats)[0],
+                                pd.factorize(cats.str.slice(0, 3))[0], (cats.str.len() > 0).to_numpy(),
+                                pdf["_lam"].to_numpy(dtype=np.float64)[starts], starts, sizes, max_select)
+        pos = np.concatenate(picks) if picks else np.zeros(0, dtype=np.int64)
         out = pdf.iloc[pos][["user_id", "item_id", "score", "category_id"]].copy()
         out["category_id"] = out["category_id"].fillna("")
-        out["mmr_rank"] = np.asarray(rank, dtype=np.int64)
+        out["mmr_rank"] = np.concatenate([np.arange(len(p)) for p in picks]).astype(np.int64) if picks \
+            else np.zeros(0, dtype=np.int64)
         return out
 
     carry = None
@@ -239,6 +277,50 @@ def _mmr_batches(batches, max_select: int):
         yield run(carry)
 
 
+def mmr_select_many(score, code, prefix, nonempty, lam, starts, sizes, max_select: int):
+    """``mmr_select`` for many users at once: candidates are laid out in a
+    padded (users x max candidates) matrix and all users advance one greedy
+    step per iteration. Same arithmetic and first-index tie rule as the
+    per-user loop. Returns, per user, the chosen row positions in order."""
+    import numpy as np
+
+    n_users = len(starts)
+    if n_users == 0:
+        return []
+    width = int(sizes.max())
+    rows = np.repeat(np.arange(n_users), sizes)
+    cols = np.arange(len(score)) - np.repeat(starts, sizes)
+    sc = np.full((n_users, width), -np.inf)
+    cd = np.full((n_users, width), -1, dtype=np.int64)
+    pf = np.full((n_users, width), -2, dtype=np.int64)
+    ne = np.zeros((n_users, width), dtype=bool)
+    sc[rows, cols], cd[rows, cols], pf[rows, cols], ne[rows, cols] = score, code, prefix, nonempty
+    alive = np.zeros((n_users, width), dtype=bool)
+    alive[rows, cols] = True
+    steps = np.minimum(max_select, sizes)
+    chosen = np.zeros((n_users, int(steps.max())), dtype=np.int64)
+    alive[:, 0] = False
+    max_sim = np.full((n_users, width), 0.1)
+    every = np.arange(n_users)
+    lam_col = lam[:, None]
+
+    def absorb(j, who):
+        same = cd[who] == cd[who, j[who]][:, None]
+        pre = ne[who] & ne[who, j[who]][:, None] & (pf[who] == pf[who, j[who]][:, None])
+        max_sim[who] = np.maximum(max_sim[who], np.where(same, 0.8, np.where(pre, 0.5, 0.1)))
+
+    absorb(np.zeros(n_users, dtype=np.int64), every)
+    for k in range(1, chosen.shape[1]):
+        who = every[steps > k]
+        mmr = np.where(alive[who], lam_col[who] * sc[who] - (1.0 - lam_col[who]) * max_sim[who], -np.inf)
+        j = np.zeros(n_users, dtype=np.int64)
+        j[who] = np.argmax(mmr, axis=1)          # first index wins ties
+        chosen[who, k] = j[who]
+        alive[who, j[who]] = False
+        absorb(j, who)
+    return [starts[u] + chosen[u, :steps[u]] for u in range(n_users)]
+
+
 MMR_SCHEMA = "user_id long, item_id long, score double, category_id string, mmr_rank long"
 
 

@@ -156,11 +156,16 @@ def significance(results: DataFrame, alpha: float = 0.05) -> DataFrame:
     lift (0 when control is 0), pooled two-proportion z-test, two-sided p,
     significant at ``alpha``. Guards as in the reference: no exposures ->
     z 0, p 1, not significant; a non-positive variance -> z 0, p 1."""
-    c = results.where(F.col("variant") == "control").select(
-        "experiment_id", "metric", F.col("value").alias("c_value"), F.col("exposures").alias("c_n"))
-    t = results.where(F.col("variant") != "control").select(
-        "experiment_id", "metric", "variant", F.col("value").alias("t_value"), F.col("exposures").alias("t_n"))
-    j = t.join(c, ["experiment_id", "metric"])
+    # control values beside every row: a window over the few variant rows of
+    # one (experiment, metric), so the results are computed once (no self-join)
+    w = Window.partitionBy("experiment_id", "metric")
+    is_c = F.col("variant") == "control"
+    j = (results.withColumn("c_value", F.max(F.when(is_c, F.col("value"))).over(w))
+                .withColumn("c_n", F.max(F.when(is_c, F.col("exposures"))).over(w))
+                .withColumn("_has_c", F.max(is_c.cast("int")).over(w))
+                .where(~is_c & (F.col("_has_c") == 1))
+                .select("experiment_id", "metric", "variant", F.col("value").alias("t_value"),
+                        F.col("exposures").alias("t_n"), "c_value", "c_n"))
     lift = F.when(F.col("c_value") > 0, (F.col("t_value") - F.col("c_value")) / F.col("c_value")).otherwise(0.0)
     both = (F.col("c_n") > 0) & (F.col("t_n") > 0)
     p_pool = (F.col("c_value") * F.col("c_n") + F.col("t_value") * F.col("t_n")) / (F.col("c_n") + F.col("t_n"))

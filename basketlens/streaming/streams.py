@@ -90,24 +90,30 @@ INTEREST_OUT = T.StructType([
     T.StructField("item_id", T.LongType()), T.StructField("ts", T.TimestampType()),
     T.StructField("occurrences", T.LongType()), T.StructField("interest", T.BooleanType()),
     T.StructField("recent_items", T.StringType())])
-INTEREST_STATE = T.StructType([T.StructField("recent", T.StringType()), T.StructField("seq", T.StringType())])
+INTEREST_STATE = T.StructType([T.StructField("recent", T.StringType()), T.StructField("seq", T.StringType()),
+                               T.StructField("last_ms", T.LongType())])
 
 
-def _interest_fn(window_events: int, min_count: int, seq_len: int, ttl_ms: int | None):
+def _interest_fn(window_events: int, min_count: int, seq_len: int, ttl_ms: int | None, timeout_on: bool):
     def fn(key, pdfs, state):
         if state.hasTimedOut:
             state.remove()
             return
         recent: list[int] = []
         seq: list[str] = []
+        last_ms = None
         if state.exists:
-            r, s = state.get
+            r, s, last_ms = state.get
             recent = [int(x) for x in r.split(",") if x]
             seq = [x for x in s.split(",") if x]
         rows = []
         pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts", "event_id"], kind="mergesort")
         last_ts = None
         for ev, uid, item, ts in zip(pdf["event_id"], pdf["user_id"], pdf["item_id"], pdf["ts"]):
+            now_ms = int(pd.Timestamp(ts).value // 1_000_000)
+            if ttl_ms is not None and last_ms is not None and now_ms - last_ms > ttl_ms:
+                recent, seq = [], []             # the user's state expired before this event
+            last_ms = now_ms
             recent.insert(0, int(item))          # newest first, duplicates kept
             del recent[window_events:]
             member = f"{pd.Timestamp(ts).value}:{int(item)}"
@@ -119,8 +125,8 @@ def _interest_fn(window_events: int, min_count: int, seq_len: int, ttl_ms: int |
             rows.append((int(ev), int(uid), int(item), ts, occ, occ >= min_count,
                          ",".join(str(x) for x in recent)))
             last_ts = ts
-        state.update((",".join(str(x) for x in recent), ",".join(seq)))
-        if ttl_ms is not None and last_ts is not None:
+        state.update((",".join(str(x) for x in recent), ",".join(seq), last_ms))
+        if timeout_on and last_ts is not None:
             state.setTimeoutTimestamp(int(pd.Timestamp(last_ts).value // 1_000_000) + ttl_ms)
         if rows:
             yield pd.DataFrame(rows, columns=[f.name for f in INTEREST_OUT.fields])
@@ -137,7 +143,7 @@ def user_interest_state(df: DataFrame, window_events: int = 10, min_count: int =
     timeout = GroupStateTimeout.EventTimeTimeout if (ttl_ms is not None and df.isStreaming) \
         else GroupStateTimeout.NoTimeout
     return d.groupBy("user_id").applyInPandasWithState(
-        _interest_fn(window_events, min_count, seq_len, ttl_ms if timeout != GroupStateTimeout.NoTimeout else None),
+        _interest_fn(window_events, min_count, seq_len, ttl_ms, timeout != GroupStateTimeout.NoTimeout),
         INTEREST_OUT, INTEREST_STATE, "append", timeout)
 
 

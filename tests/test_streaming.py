@@ -132,3 +132,20 @@ def test_unpaid_orders_stream_subset_of_batch(spark, fx):
     batch = {r.event_id for r in cart.unanswered(starts, paid, "user_id", 900).collect()}
     got = {r.event_id for r in out.collect()}
     assert got and got <= batch
+
+
+def test_interest_state_expires_after_ttl(spark):
+    from datetime import datetime, timedelta
+    t0 = datetime(2024, 1, 1)
+    rows = [(1, 1, 5, t0), (2, 1, 5, t0 + timedelta(hours=1)), (3, 1, 5, t0 + timedelta(hours=30)),
+            (4, 1, 5, t0 + timedelta(hours=31)), (5, 1, 5, t0 + timedelta(hours=32))]
+    df = spark.createDataFrame(rows, "event_id long, user_id long, item_id long, ts timestamp_ntz")
+    src = _two_files(df, "event_id", 3)
+    res = {}
+    for ttl in (24.0, None):
+        stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{src}/part=*")
+        out = _run(spark, st.user_interest_state(st.with_event_time(stream), ttl_hours=ttl),
+                   f"ttl_{'none' if ttl is None else int(ttl)}")
+        res[ttl] = {r.event_id: r.occurrences for r in out.collect()}
+    assert res[24.0] == {1: 1, 2: 2, 3: 1, 4: 2, 5: 3}
+    assert res[None] == {1: 1, 2: 2, 3: 3, 4: 4, 5: 5}

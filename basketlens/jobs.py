@@ -50,7 +50,7 @@ def daily_feature_etl(fx, out_dir: str, dt: str) -> dict[str, str]:
         paths[name] = f"{out_dir.rstrip('/')}/{name}"
         io.write_daily(df, paths[name], dt)
     paths["item_similarity"] = f"{out_dir.rstrip('/')}/item_similarity"
-    io.write_table(sm.item_similarity(sm.item_cooccurrence(day)), paths["item_similarity"])
+    io.write_table(sm.item_similarity(sm.item_cooccurrence(day), sm.item_marginals(day)), paths["item_similarity"])
     return paths
 
 

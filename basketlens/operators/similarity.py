@@ -45,13 +45,29 @@ def item_cooccurrence(b: DataFrame, block_items: int = 2048) -> DataFrame:
                  .groupBy("item_i", "item_j").agg(F.sum("c").alias("cooccurrence")))
 
 
-def item_similarity(pairs: DataFrame) -> DataFrame:
+def item_marginals(b: DataFrame) -> DataFrame:
+    """Symmetric marginal of every item straight from (user, item, m), without
+    the pair table: the pairs containing ``i`` sum to
+    ``sum_u m_ui * (M_u - m_ui) + m_ui * (m_ui - 1) / 2`` (M_u = the user's
+    purchases), so the heavy self-join is not recomputed for the marginals."""
+    m = purchase_multiplicity(b)
+    tot = m.groupBy("user_id").agg(F.sum("m").alias("_M"))
+    c = (F.col("m") * (F.col("_M") - F.col("m")) + F.col("m") * (F.col("m") - 1) / 2).cast("bigint")
+    return (m.join(tot, "user_id").groupBy(F.col("item_id").alias("item"))
+             .agg(F.sum(c).alias("item_count")))
+
+
+def item_similarity(pairs: DataFrame, marginals: DataFrame | None = None) -> DataFrame:
     """J2 (symmetric marginals): ``count(i)`` sums the co-occurrence of every
-    pair that contains ``i`` on either side; Jaccard = c / (n_i + n_j - c)."""
-    sides = (pairs.select(F.col("item_i").alias("item"), "cooccurrence")
-                  .unionByName(pairs.where(F.col("item_i") != F.col("item_j"))
-                               .select(F.col("item_j").alias("item"), "cooccurrence")))
-    counts = sides.groupBy("item").agg(F.sum("cooccurrence").alias("item_count"))
+    pair that contains ``i`` on either side; Jaccard = c / (n_i + n_j - c).
+    Pass ``item_marginals(b)`` to avoid re-reading the pairs for the counts."""
+    if marginals is not None:
+        counts = marginals
+    else:
+        sides = (pairs.select(F.col("item_i").alias("item"), "cooccurrence")
+                      .unionByName(pairs.where(F.col("item_i") != F.col("item_j"))
+                                   .select(F.col("item_j").alias("item"), "cooccurrence")))
+        counts = sides.groupBy("item").agg(F.sum("cooccurrence").alias("item_count"))
     a = counts.select(F.col("item").alias("item_i"), F.col("item_count").alias("count_i"))
     c = counts.select(F.col("item").alias("item_j"), F.col("item_count").alias("count_j"))
     return (pairs.join(a, "item_i").join(c, "item_j")
@@ -75,11 +91,11 @@ def item_similarity_left(pairs: DataFrame) -> DataFrame:
 def similar_topn(sim: DataFrame, n: int = 11) -> DataFrame:
     """Per item, the ``n`` most similar other items (similarity desc, id asc).
     Both directions of every non-self pair are candidates."""
-    edges = (sim.where(F.col("item_i") != F.col("item_j"))
-                .select(F.col("item_i").alias("item_id"), F.col("item_j").alias("similar_item"), "similarity")
-                .unionByName(sim.where(F.col("item_i") != F.col("item_j"))
-                             .select(F.col("item_j").alias("item_id"), F.col("item_i").alias("similar_item"),
-                                     "similarity")))
+    both = F.explode(F.array(
+        F.struct(F.col("item_i").alias("item_id"), F.col("item_j").alias("similar_item")),
+        F.struct(F.col("item_j").alias("item_id"), F.col("item_i").alias("similar_item")))).alias("e")
+    edges = (sim.where(F.col("item_i") != F.col("item_j")).select(both, "similarity")
+                .select("e.item_id", "e.similar_item", "similarity"))     # one pass, both directions
     w = Window.partitionBy("item_id").orderBy(F.desc("similarity"), F.asc("similar_item"))
     return (edges.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < n)
                  .withColumn("rank", F.col("rank").cast("bigint")))

@@ -52,7 +52,7 @@ VIEWS = ("behaviors", "items", "as_of_t")
 def _recall_parts(fx):
     b = fx.behaviors
     pop = catalogue_popularity(fx)
-    sim_top = sm.similar_topn(sm.item_similarity(sm.item_cooccurrence(b)), rc.SIMILAR_PER_ITEM)
+    sim_top = sm.similar_topn(sm.item_similarity(sm.item_cooccurrence(b), sm.item_marginals(b)), rc.SIMILAR_PER_ITEM)
     popular = sm.topn_by_group(pop, None, "popularity_score", "item_id", rc.POPULAR_N)
     cat_top = sm.topn_by_group(pop, "category_id", "popularity_score", "item_id", rc.CATEGORY_N)
     return {

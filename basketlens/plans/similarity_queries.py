@@ -55,7 +55,7 @@ def item_cooccurrence(fx):
 @query("item_similarity", views=("behaviors",), oracle=SIM_SQL)
 def item_similarity(fx):
     """Jaccard similarity with symmetric marginals."""
-    return sm.item_similarity(sm.item_cooccurrence(fx.behaviors))
+    return sm.item_similarity(sm.item_cooccurrence(fx.behaviors), sm.item_marginals(fx.behaviors))
 
 
 @query("item_similarity_left", views=("behaviors",), oracle=f"""
@@ -77,7 +77,7 @@ SELECT item_id, similar_item, similarity, rank FROM (
 WHERE rank < 11""")
 def similar_topn(fx):
     """Top-11 similar items per item."""
-    return sm.similar_topn(sm.item_similarity(sm.item_cooccurrence(fx.behaviors))).select(
+    return sm.similar_topn(sm.item_similarity(sm.item_cooccurrence(fx.behaviors), sm.item_marginals(fx.behaviors))).select(
         "item_id", "similar_item", "similarity", "rank")
 
 

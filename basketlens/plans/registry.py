@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import ship_package
 from ..sources.fixtures import Fixtures
 from .oracle_views import with_views
 
@@ -23,6 +24,7 @@ def query(name: str, oracle: str | None = None, views: tuple[str, ...] = (),
           extra_views: dict | None = None):
     def deco(fn: Callable[[Fixtures], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship_package(spark)
             return fn(Fixtures(spark, sf_dir))
         run.__name__ = name
         run.__doc__ = fn.__doc__

@@ -43,6 +43,7 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -70,3 +71,25 @@ def cluster_conf(input_bytes: int, executor_cores: int, executors: int,
         "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(parts),
         "spark.sql.files.maxPartitionBytes": str(256 << 20),
     }
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``basketlens`` importable in the Python workers (once per
+    SparkContext): the package is zipped on the driver and distributed with
+    ``addPyFile``, Spark's own file distribution. Needed for the grouped-map
+    operators whose functions live in this package."""
+    import shutil
+
+    sc = spark.sparkContext
+    key = sc.applicationId
+    if key in _SHIPPED:
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    staging = tempfile.mkdtemp(prefix="basketlens-pkg-")
+    archive = shutil.make_archive(os.path.join(staging, "basketlens"), "zip",
+                                  root_dir=os.path.dirname(pkg_dir), base_dir="basketlens")
+    sc.addPyFile(archive)
+    _SHIPPED.add(key)

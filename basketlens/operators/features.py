@@ -13,15 +13,24 @@ def _is(action: str) -> Column:
     return F.col("action") == action
 
 
-def user_stats(b: DataFrame) -> DataFrame:
-    """A1: per-user conditional counts, distinct items/sessions, mean dwell."""
-    return b.groupBy("user_id").agg(
-        F.count(F.when(_is("click"), True)).alias("total_clicks"),
-        F.count(F.when(_is("add_to_cart"), True)).alias("total_add_to_cart"),
-        F.count(F.when(_is("purchase"), True)).alias("total_purchases"),
-        F.countDistinct("item_id").alias("unique_items_viewed"),
-        F.countDistinct("session_id").alias("total_sessions"),
-        mean_from_cents(F.sum(cents("dwell_time")), F.count("dwell_time")).alias("avg_dwell_time"))
+def user_stats(b: DataFrame, sessions: DataFrame | None = None) -> DataFrame:
+    """A1: per-user conditional counts, distinct items/sessions, mean dwell.
+
+    ``sessions`` (user_id, total_sessions) replaces ``countDistinct(session_id)``
+    when given, so the events need no session id."""
+    aggs = [F.count(F.when(_is("click"), True)).alias("total_clicks"),
+            F.count(F.when(_is("add_to_cart"), True)).alias("total_add_to_cart"),
+            F.count(F.when(_is("purchase"), True)).alias("total_purchases"),
+            F.countDistinct("item_id").alias("unique_items_viewed")]
+    if sessions is None:
+        aggs.append(F.countDistinct("session_id").alias("total_sessions"))
+    aggs.append(mean_from_cents(F.sum(cents("dwell_time")), F.count("dwell_time")).alias("avg_dwell_time"))
+    s = b.groupBy("user_id").agg(*aggs)
+    if sessions is not None:
+        s = s.join(sessions, "user_id", "left").select(
+            "user_id", "total_clicks", "total_add_to_cart", "total_purchases", "unique_items_viewed",
+            F.coalesce("total_sessions", F.lit(0).cast("bigint")).alias("total_sessions"), "avg_dwell_time")
+    return s
 
 
 def user_hour_hist(b: DataFrame) -> DataFrame:
@@ -50,9 +59,9 @@ def top_categories(b: DataFrame, k: int = 3) -> DataFrame:
                     lambda s: s["category_id"]).alias("top_categories"))
 
 
-def user_features(b: DataFrame) -> DataFrame:
+def user_features(b: DataFrame, sessions: DataFrame | None = None) -> DataFrame:
     """Stats LEFT peak hour LEFT top categories."""
-    return (user_stats(b)
+    return (user_stats(b, sessions)
             .join(peak_hour(user_hour_hist(b)), "user_id", "left")
             .join(top_categories(b), "user_id", "left"))
 

@@ -52,3 +52,21 @@ def sessionize(df: DataFrame, key: str = "user_id", ts: str = "ts", tiebreak: st
             .withColumn("session_seq", (F.col("_offset") + F.col("_first_new") + F.col("_run")).cast("bigint"))
             .withColumn("session_id", key_concat(key, "session_seq")))
     return out.drop("_t", "_b", "_prev", "_start", "_run", "_first_new", "_offset")
+
+
+def session_counts(df: DataFrame, key: str = "user_id", ts: str = "ts", tiebreak: str = "event_id",
+                   gap_seconds: int = 6 * 3600, bucket_seconds: int = 3600) -> DataFrame:
+    """Sessions per key from the per-(key, bucket) gap summary alone (the same
+    rule as ``sessionize``), without joining session ids back to the events."""
+    gap = gap_seconds * 1_000_000
+    d = (df.withColumn("_t", _micros(ts))
+           .withColumn("_b", F.floor(F.col("_t") / F.lit(bucket_seconds * 1_000_000))))
+    w = Window.partitionBy(key, "_b").orderBy("_t", tiebreak)
+    d = d.withColumn("_start", F.when(F.col("_t") - F.lag("_t").over(w) > gap, 1).otherwise(0))
+    summary = d.groupBy(key, "_b").agg(F.min("_t").alias("_first"), F.max("_t").alias("_last"),
+                                       F.sum("_start").alias("_n_int"))
+    wb = Window.partitionBy(key).orderBy("_b")
+    starts = F.when(F.lag("_last").over(wb).isNull() | (F.col("_first") - F.lag("_last").over(wb) > gap), 1) \
+        .otherwise(0) + F.col("_n_int")
+    return (summary.withColumn("_s", starts).groupBy(key)
+                   .agg(F.sum("_s").cast("bigint").alias("total_sessions")))

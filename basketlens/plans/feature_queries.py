@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.exprs import r6
 from ..operators import features as ft
 from ..operators.io import read_behaviors
+from ..operators.sessions import session_counts
 from .registry import query
 
 # Shared oracle fragments --------------------------------------------------
@@ -58,7 +59,7 @@ def scan_behaviors(fx):
 @query("user_stats", views=("behaviors",), oracle=USER_STATS_SQL)
 def user_stats(fx):
     """A1: per-user behaviour statistics."""
-    return ft.user_stats(fx.sessionized)
+    return ft.user_stats(fx.behaviors, session_counts(fx.behaviors))
 
 
 @query("user_hour_hist", views=("behaviors",), oracle=HOUR_HIST_SQL)
@@ -86,7 +87,7 @@ FROM ({USER_STATS_SQL}) st LEFT JOIN ({PEAK_SQL}) pk USING (user_id)
      LEFT JOIN ({TOPCAT_SQL}) tc USING (user_id)""")
 def user_features(fx):
     """Assembled user profile features (flagship ETL slice)."""
-    return ft.user_features(fx.sessionized).withColumn(
+    return ft.user_features(fx.behaviors, session_counts(fx.behaviors)).withColumn(
         "top_categories", F.array_join("top_categories", ","))
 
 

@@ -10,32 +10,21 @@ that may be lost.)
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import features as ft
 from .operators import io
 from .operators import similarity as sm
-from .session import ensure_checkpoint_dir
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` under the shared checkpoint dir and return a fresh scan of it."""
-    spark = df.sparkSession
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    path = f"{base}/basketlens/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+from .sources.shared import drop_materialized, materialize, written
 
 
 def daily_feature_etl(fx, out_dir: str, dt: str) -> dict[str, str]:
     """The daily batch: user, item and session features for day ``dt``
     (S1 day filter, A1-A6, J1), written into their ``dt`` partitions (S7),
     and item similarity (A5, J2) written as a table (S8)."""
-    day = io.read_behaviors(fx.behaviors, dt=dt).join(
-        fx.behaviors.select("event_id", "price"), "event_id")
+    kept = written()
+    day = io.read_behaviors(fx.behaviors, dt=dt, extra=("price",))
     day = materialize(day, f"behaviors-{dt}")            # one scan feeds four outputs
     from .operators.sessions import sessionize
     sess_day = sessionize(day)
@@ -51,6 +40,7 @@ def daily_feature_etl(fx, out_dir: str, dt: str) -> dict[str, str]:
         io.write_daily(df, paths[name], dt)
     paths["item_similarity"] = f"{out_dir.rstrip('/')}/item_similarity"
     io.write_table(sm.item_similarity(sm.item_cooccurrence(day), sm.item_marginals(day)), paths["item_similarity"])
+    drop_materialized(fx.spark, kept)
     return paths
 
 
@@ -61,6 +51,7 @@ def recommendation_run(fx, out_dir: str) -> str:
     from .operators import recommend as rc
     from .operators import experiments as ex
 
+    kept = written()
     scored = materialize(rq._scored(fx), "scored-candidates")
     lam = (ex.variant_params(ex.assign_variants(fx.users, fx.spark), fx.spark)
              .where(F.col("experiment_id") == "diversity_strategy")
@@ -72,6 +63,7 @@ def recommendation_run(fx, out_dir: str) -> str:
     recs.write.mode("overwrite").parquet(path)
     io.emit(rc.impressions(spark_read(fx.spark, path), fx.as_of).select("value"),
             f"{out_dir.rstrip('/')}/impressions", fmt="text", mode="overwrite")
+    drop_materialized(fx.spark, kept)
     return path
 
 

@@ -3,7 +3,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -115,16 +115,6 @@ def validate_users(users: DataFrame) -> DataFrame:
     return users.withColumn("reasons", F.array_join(failed, ",")).withColumn("valid", F.size(failed) == 0)
 
 
-CATEGORY_TREE_SQL = """
-WITH RECURSIVE tree AS (
-  SELECT category_id, name, parent_id, 1 AS level, name AS path FROM {cats} WHERE parent_id IS NULL
-  UNION ALL
-  SELECT c.category_id, c.name, c.parent_id, t.level + 1, concat(t.path, ' > ', c.name)
-  FROM {cats} c JOIN tree t ON c.parent_id = t.category_id WHERE t.level < {max_depth}
-)
-SELECT * FROM tree"""
-
-
 def categories(region: DataFrame, nation: DataFrame) -> DataFrame:
     """Category table: regions are roots, nations their children."""
     roots = region.select(F.col("r_regionkey").cast("bigint").alias("category_id"),
@@ -134,11 +124,32 @@ def categories(region: DataFrame, nation: DataFrame) -> DataFrame:
     return roots.unionByName(kids)
 
 
-def category_tree(spark: SparkSession, cats: DataFrame, max_depth: int = 10) -> DataFrame:
-    """Level and path by a recursive CTE (depth-guarded against cycles)."""
-    name = "_basketlens_categories"
-    cats.createOrReplaceTempView(name)
-    return spark.sql(CATEGORY_TREE_SQL.format(cats=name, max_depth=max_depth))
+def category_tree(cats: DataFrame) -> DataFrame:
+    """Level (roots: 1) and path of every category below a root, of any
+    depth: one join a level against the categories, each level written to
+    shared storage so that the plan doesn't grow. A category that is its own
+    ancestor raises an error."""
+    from ..sources.shared import materialize
+
+    cats = cats.select("category_id", "name", "parent_id")
+    level = materialize(cats.where(F.col("parent_id").isNull())
+                        .select("category_id", "name", "parent_id", F.lit(1).alias("level"), F.col("name").alias("path"),
+                                F.array("category_id").alias("_above")), "category-level")
+    levels = [level]
+    while True:
+        up = level.select(F.col("category_id").alias("_p"), F.col("level").alias("_l"), F.col("path").alias("_path"), "_above")
+        loop = F.raise_error(F.concat(F.lit("category tree has a loop at "), F.col("category_id").cast("string"))).cast("array<bigint>")
+        level = materialize(cats.join(up, F.col("parent_id") == F.col("_p")).select(
+            "category_id", "name", "parent_id", (F.col("_l") + 1).alias("level"), F.concat("_path", F.lit(" > "), "name").alias("path"),
+            F.when(F.array_contains("_above", F.col("category_id")), loop)
+             .otherwise(F.concat(F.col("_above"), F.array("category_id"))).alias("_above")), "category-level")
+        if level.isEmpty():
+            break
+        levels.append(level)
+    out = levels[0]
+    for x in levels[1:]:
+        out = out.unionByName(x)
+    return out.drop("_above")
 
 
 def duplicate_siblings(items: DataFrame, id_col: str, name_col: str, parent_col: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import cents, mean_from_cents, ratio_or_zero, sorted_csv
+from ..functions.exprs import cents, mean_from_cents, ratio_or_zero
 from .sequences import bounded_history, global_rank
 
 
@@ -97,15 +97,21 @@ def item_popularity(b: DataFrame) -> DataFrame:
 def session_features(b: DataFrame) -> DataFrame:
     """Per session start/end/size/items/purchases/duration/converted.
 
-    ``items_viewed`` is the sorted set of items (bounded by the catalogue);
-    the multiplicity is ``actions_in_session``.
+    ``items_viewed`` lists each item with its number of events, ``item:n``,
+    in the order of first events. Events are first counted per (session,
+    item), so a session's list is as long as its distinct items, however many
+    events it has.
     """
-    s = b.groupBy("session_id", "user_id").agg(
-        F.min("ts").alias("session_start"), F.max("ts").alias("session_end"),
-        F.count(F.lit(1)).alias("actions_in_session"),
-        F.collect_set("item_id").alias("_items"),
-        F.sum(F.when(_is("purchase"), 1).otherwise(0)).cast("bigint").alias("purchases_in_session"))
-    return (s.withColumn("items_viewed", sorted_csv("_items")).drop("_items")
+    per_item = b.groupBy("session_id", "user_id", "item_id").agg(
+        F.min(F.struct("ts", "event_id")).alias("_first"), F.max("ts").alias("_last"), F.count(F.lit(1)).alias("_n"),
+        F.sum(F.when(_is("purchase"), 1).otherwise(0)).alias("_bought"))
+    s = per_item.groupBy("session_id", "user_id").agg(
+        F.min("_first.ts").alias("session_start"), F.max("_last").alias("session_end"),
+        F.sum("_n").alias("actions_in_session"),
+        F.array_sort(F.collect_list(F.struct("_first", "item_id", "_n"))).alias("_items"),
+        F.sum("_bought").cast("bigint").alias("purchases_in_session"))
+    items = F.transform("_items", lambda x: F.concat_ws(":", x["item_id"].cast("string"), x["_n"].cast("string")))
+    return (s.withColumn("items_viewed", F.array_join(items, ",")).drop("_items")
              .withColumn("_dur_us", F.timestamp_diff("MICROSECOND", F.col("session_start"), F.col("session_end")))
              .withColumn("session_duration", F.col("_dur_us") / 1e6)
              .withColumn("converted", F.when(F.col("purchases_in_session") > 0, 1).otherwise(0)))

@@ -14,9 +14,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .sequences import _shuffle_partitions
+from .sequences import _shuffle_partitions, interval_anti_join, lag_within, month_index
 
-from .sequences import interval_anti_join
+# How long a reservation holds, in seconds.
+RESERVATION_TTL_SECONDS = 3600
 
 REPLAY_SCHEMA = ("sku long, seq long, op string, qty int, ts timestamp_ntz, accepted int, "
                  "available_before long, available_after long, total_after long, reserved_after long")
@@ -145,13 +146,13 @@ def daily_snapshot(replayed: DataFrame) -> DataFrame:
 
 def orphan_rollbacks(ledger: DataFrame) -> DataFrame:
     """ROLLBACK ops whose original (seq - 1 of the same sku) is missing
-    or is not a DEDUCT (anti join on the equality key (sku, seq - 1))."""
-    rb = ledger.where(F.col("op") == "ROLLBACK").select("sku", "seq", (F.col("seq") - 1).alias("orig_seq"))
-    orig = ledger.where(F.col("op") == "DEDUCT").select("sku", F.col("seq").alias("orig_seq"))
-    return rb.join(orig, ["sku", "orig_seq"], "left_anti")
+    or is not a DEDUCT (a lag by month buckets, so no window over a sku)."""
+    d = lag_within(ledger.select("sku", "seq", "ts", "op"), "sku", month_index("ts"), ["seq"], {"op": "prev_op", "seq": "prev_seq"})
+    original = (F.col("prev_op") == "DEDUCT") & (F.col("prev_seq") == F.col("seq") - 1)
+    return d.where((F.col("op") == "ROLLBACK") & ~F.coalesce(original, F.lit(False))).select("sku", (F.col("seq") - 1).alias("orig_seq"), "seq")
 
 
-def expired_reservations(ledger: DataFrame, ttl_seconds: int = 86400) -> DataFrame:
+def expired_reservations(ledger: DataFrame, ttl_seconds: int = RESERVATION_TTL_SECONDS) -> DataFrame:
     """ST8 batch twin: RESERVE ops with no DEDUCT of the same sku within
     (reserve time, reserve time + ttl] (time-bucketed interval anti join)."""
     r = ledger.where(F.col("op") == "RESERVE").select("sku", "seq", "ts")
@@ -162,13 +163,12 @@ def expired_reservations(ledger: DataFrame, ttl_seconds: int = 86400) -> DataFra
 
 
 def price_changes(ledger: DataFrame) -> DataFrame:
-    """Each price point against the previous one of the same sku
-    (equi join on (sku, seq - 1), so no per-sku window), with the change
+    """Each price point against the previous one of the same sku (a
+    lag by month buckets, so no window over a sku), with the change
     amount and the percentage string: HALF_UP to 4 decimals of the ratio,
     times 100, trailing zeros stripped, '%' suffix; 'N/A' when old is 0."""
     cur = ledger.select("sku", "seq", "ts", F.col("unit_price_cents").alias("new_cents"))
-    prev = ledger.select("sku", (F.col("seq") + 1).alias("seq"), F.col("unit_price_cents").alias("old_cents"))
-    j = cur.join(prev, ["sku", "seq"])
+    j = lag_within(cur, "sku", month_index("ts"), ["seq"], {"new_cents": "old_cents", "seq": "prev_seq"}).where("prev_seq = seq - 1")
     diff = F.col("new_cents") - F.col("old_cents")
     q = diff * 10000
     d = F.col("old_cents")

@@ -25,12 +25,12 @@ BEHAVIOR_EVENT_SCHEMA = T.StructType([
 ])
 
 
-def read_behaviors(df: DataFrame, dt: str | None = None, dt_col: str = "ts") -> DataFrame:
-    """Project the behaviour columns; optionally keep one day.
+def read_behaviors(df: DataFrame, dt: str | None = None, dt_col: str = "ts", extra: tuple[str, ...] = ()) -> DataFrame:
+    """Project the behaviour columns (and ``extra`` ones); optionally keep one day.
 
     The day filter is a plain predicate, so on a ``dt``-partitioned table it
     becomes partition pruning and on a file scan a pushed filter."""
-    out = df.select(*[c for c in BEHAVIOR_COLUMNS if c in df.columns])
+    out = df.select(*[c for c in (*BEHAVIOR_COLUMNS, *extra) if c in df.columns])
     if dt is not None:
         out = out.where(F.to_date(F.col(dt_col)) == F.lit(dt).cast("date"))
     return out
@@ -140,19 +140,3 @@ def to_json_rows(df: DataFrame, key: str | None = None) -> DataFrame:
 def emit(df: DataFrame, path: str, fmt: str = "json", mode: str = "append") -> None:
     """Write rows to a sink, or append a batch to a stream's input dir."""
     df.write.mode(mode).format(fmt).save(path)
-
-
-def latest_per_key(df: DataFrame, key: str | list[str], ts: str, tiebreak: list[str] | None = None,
-                   start=None, end=None) -> DataFrame:
-    """Newest row per key in (start, end]. ``max_by`` over a struct is a
-    partial aggregate, so a hot key is reduced map-side (no window sort)."""
-    keys = [key] if isinstance(key, str) else list(key)
-    d = df
-    if start is not None:
-        d = d.where(F.col(ts) > start)
-    if end is not None:
-        d = d.where(F.col(ts) <= end)
-    rest = [c for c in d.columns if c not in keys]
-    order = F.struct(F.col(ts), *[F.col(c) for c in (tiebreak or [])])
-    agg = d.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("_row"))
-    return agg.select(*keys, "_row.*")

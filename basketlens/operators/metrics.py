@@ -150,6 +150,16 @@ def ratio_windows(m: DataFrame, num: Column, den: Column, step_seconds: int) ->
              .withColumn("ratio", try_ratio("num", "den")))
 
 
+def trailing_ratio_windows(m: DataFrame, num: Column, den: Column, step_seconds: int, steps: int) -> DataFrame:
+    """Like ``ratio_windows`` at every step, over the last ``steps`` steps:
+    rows are counted per step first, and only the counts are spread."""
+    per = m.groupBy(bucket_index("ts", step_seconds).alias("_i")).agg(
+        F.count(F.when(num, True)).alias("_num"), F.count(F.when(den, True)).alias("_den"))
+    spread = per.select(F.explode(F.sequence(F.col("_i"), F.col("_i") + steps - 1)).alias("window_idx"), "_num", "_den")
+    return (spread.groupBy("window_idx").agg(F.sum("_num").alias("num"), F.sum("_den").alias("den"))
+            .withColumn("ratio", try_ratio("num", "den")))
+
+
 def alert_islands(windows: DataFrame, condition: Column, min_windows: int, step_seconds: int,
                   series: list[str] | None = None) -> DataFrame:
     """Runs of >= ``min_windows`` consecutive windows where ``condition``

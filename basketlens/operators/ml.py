@@ -133,6 +133,11 @@ def fit_gbt(train: DataFrame, max_iter: int = 20, max_depth: int = 4, seed: int
                          seed=seed).fit(train)
 
 
+# The search grid (depth, trees, step size, row and feature sampling).
+FULL_GRID = {"maxDepth": [3, 5, 7], "maxIter": [100, 200, 300], "stepSize": [0.01, 0.05, 0.1],
+             "subsamplingRate": [0.8, 1.0], "featureSubsetStrategy": ["all", "sqrt"]}
+
+
 def grid_search_gbt(train: DataFrame, folds: int = 3, grid: dict | None = None, parallelism: int = 4):
     """M3: grid search with k-fold cross-validation on AUC."""
     from pyspark.ml.classification import GBTClassifier
@@ -140,8 +145,7 @@ def grid_search_gbt(train: DataFrame, folds: int = 3, grid: dict | None = None,
     from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 
     gbt = GBTClassifier(featuresCol="features", labelCol="label", seed=42)
-    grid = grid or {"maxDepth": [3, 5, 7], "maxIter": [10, 20, 30], "stepSize": [0.05, 0.1, 0.2],
-                    "subsamplingRate": [0.8, 1.0], "featureSubsetStrategy": ["all", "sqrt"]}
+    grid = grid or FULL_GRID
     b = ParamGridBuilder()
     for name, values in grid.items():
         b = b.addGrid(getattr(gbt, name), values)
@@ -167,19 +171,25 @@ def fit_als(matrix: DataFrame, rank: int = 16, reg: float = 0.1, alpha: float =
                          .withColumn("item_id", F.col("item_id").cast("int")))
 
 
-def permutation_importance(model, scored_input: DataFrame, features: list[str], seed: int = 42) -> DataFrame:
-    """M5: AUC drop when one raw feature column is permuted. The permutation
-    pairs each row's rank (by a seeded hash) with another row's value by an
-    equi join on rank, so it is a shuffle, not a driver-side loop."""
+def permuted(df: DataFrame, feature: str, id_col: str, seed: int = 42) -> DataFrame:
+    """``df`` with one column permuted among its rows. Rows are ranked by
+    their id and, again, by a seeded hash of it; each takes the value of the
+    row whose second rank is its first. ``id_col`` must be unique and not null
+    (else ranks would be shared and rows multiplied or lost), which is checked."""
+    bad = df.groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) | F.col(id_col).isNull())
+    if not bad.isEmpty():
+        raise ValueError(f"{id_col} must be unique and not null")
+    first = global_rank(df.withColumn("_k", F.struct(id_col)), "_k", out="_ra").drop("_ra_ties", "_k")
+    second = global_rank(df.select(feature, F.struct(F.xxhash64(F.col(id_col), F.lit(seed)), F.col(id_col)).alias("_k")), "_k", out="_ra")
+    return first.drop(feature).join(second.select("_ra", feature), "_ra").select(*df.columns)
+
+
+def permutation_importance(model, scored_input: DataFrame, features: list[str], id_col: str = "event_id",
+                           seed: int = 42) -> DataFrame:
+    """M5: AUC drop when one raw feature column is permuted (``permuted``):
+    one distributed evaluation for each feature."""
     from pyspark.ml.evaluation import BinaryClassificationEvaluator
     ev = BinaryClassificationEvaluator(labelCol="label", rawPredictionCol="rawPrediction")
     base = ev.evaluate(model.transform(scored_input))
-    keyed = scored_input.withColumn("_row", F.xxhash64(*scored_input.columns))
-    rows = []
-    for i, f in enumerate(features):
-        a = global_rank(keyed, "_row", out="_ra").drop("_ra_ties")
-        perm_key = F.xxhash64(F.col("_row"), F.lit(seed + i))
-        b = global_rank(keyed.withColumn("_pk", perm_key), "_pk", out="_ra").select("_ra", F.col(f).alias("_pv"))
-        shuffled = a.join(b, "_ra").withColumn(f, F.col("_pv")).drop("_pv", "_ra", "_row")
-        rows.append((f, base - ev.evaluate(model.transform(shuffled))))
+    rows = [(f, base - ev.evaluate(model.transform(permuted(scored_input, f, id_col, seed + i)))) for i, f in enumerate(features)]
     return scored_input.sparkSession.createDataFrame(rows, "feature string, auc_drop double")

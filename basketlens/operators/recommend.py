@@ -38,8 +38,9 @@ PATH_SIMILAR, PATH_POPULAR, PATH_CATEGORY = 1, 2, 3
 def recent_for_recall(b: DataFrame, n: int = RECENT_FOR_RECALL) -> DataFrame:
     """Each user's n most recent items (duplicates kept)."""
     w = Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))
-    return (b.withColumn("recent_rank", F.row_number().over(w) - 1).where(F.col("recent_rank") < n)
-             .select("user_id", F.col("item_id").alias("recent_item"), "recent_rank"))
+    # the filter is on the bare rank: only then is a partial limit planned before the shuffle
+    return (b.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n)
+             .select("user_id", F.col("item_id").alias("recent_item"), (F.col("_r") - 1).alias("recent_rank")))
 
 
 def recall_similar(recent: DataFrame, similar_top: DataFrame) -> DataFrame:
@@ -277,53 +278,6 @@ def _mmr_batches(batches, max_select: int):
         yield run(carry)
 
 
-def mmr_select_many(score, code, prefix, nonempty, lam, starts, sizes, max_select: int):
-    """``mmr_select`` for many users at once: candidates are laid out in a
-    padded (users x max candidates) matrix and all users advance one greedy
-    step per iteration. Same arithmetic and first-index tie rule as the
-    per-user loop. Returns, per user, the chosen row positions in order."""
-    import numpy as np
-
-    n_users = len(starts)
-    if n_users == 0:
-        return []
-    width = int(sizes.max())
-    rows = np.repeat(np.arange(n_users), sizes)
-    cols = np.arange(len(score)) - np.repeat(starts, sizes)
-    sc = np.full((n_users, width), -np.inf)
-    cd = np.full((n_users, width), -1, dtype=np.int64)
-    pf = np.full((n_users, width), -2, dtype=np.int64)
-    ne = np.zeros((n_users, width), dtype=bool)
-    sc[rows, cols], cd[rows, cols], pf[rows, cols], ne[rows, cols] = score, code, prefix, nonempty
-    alive = np.zeros((n_users, width), dtype=bool)
-    alive[rows, cols] = True
-    steps = np.minimum(max_select, sizes)
-    chosen = np.zeros((n_users, int(steps.max())), dtype=np.int64)
-    alive[:, 0] = False
-    max_sim = np.full((n_users, width), 0.1)
-    every = np.arange(n_users)
-    lam_col = lam[:, None]
-
-    def absorb(j, who):
-        same = cd[who] == cd[who, j[who]][:, None]
-        pre = ne[who] & ne[who, j[who]][:, None] & (pf[who] == pf[who, j[who]][:, None])
-        max_sim[who] = np.maximum(max_sim[who], np.where(same, 0.8, np.where(pre, 0.5, 0.1)))
-
-    absorb(np.zeros(n_users, dtype=np.int64), every)
-    for k in range(1, chosen.shape[1]):
-        who = every[steps > k]
-        mmr = np.where(alive[who], lam_col[who] * sc[who] - (1.0 - lam_col[who]) * max_sim[who], -np.inf)
-        j = np.zeros(n_users, dtype=np.int64)
-        j[who] = np.argmax(mmr, axis=1)          # first index wins ties
-        chosen[who, k] = j[who]
-        alive[who, j[who]] = False
-        absorb(j, who)
-    return [starts[u] + chosen[u, :steps[u]] for u in range(n_users)]
-
-
-MMR_SCHEMA = "user_id long, item_id long, score double, category_id string, mmr_rank long"
-
-
 def _mmr_pandas(d: DataFrame, max_select: int) -> DataFrame:
     cols = d.select("user_id", "item_id", F.col("score").cast("double").alias("score"),
                     "category_id", "_lam")
@@ -356,7 +310,3 @@ def impressions(recs: DataFrame, request_ts: Column) -> DataFrame:
                      F.concat_ws("-", F.lit("batch"), F.col("user_id").cast("string")).alias("request_id"),
                      request_ts.alias("timestamp"))
     return ev.withColumn("value", F.to_json(F.struct(*ev.columns)))
-
-
-def ctr_of(clicks: Column, impressions_: Column) -> Column:
-    return try_ratio(clicks, impressions_)

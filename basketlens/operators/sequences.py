@@ -90,16 +90,21 @@ def global_rank(df: DataFrame, value: str, out: str = "rank", partitions: int |
 
     Distinct values with their counts are range-partitioned and sorted; a
     per-partition running count (``mapInPandas``, no shuffle) plus the total
-    of all earlier partitions is the number of smaller values. Only one row
-    per partition is ever combined in one place. Null values get no rank.
+    of all earlier partitions is the number of smaller values. The running
+    counts are written, with the partition they were made in, before the
+    totals are taken: range boundaries come from a sample, so evaluating the
+    partitioning once for the counts and again for the totals would only be
+    right if Spark happened to reuse the exchange. Only one row per partition
+    is ever combined in one place. Null values get no rank.
     """
+    from ..sources.shared import materialize
     counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("_n"))
     n_parts = partitions or _shuffle_partitions(df.sparkSession)
     ranged = (counts.repartitionByRange(n_parts, F.col(value))
                     .sortWithinPartitions(F.col(value))
                     .withColumn("_pid", F.spark_partition_id()))
     schema = T.StructType(ranged.schema.fields + [T.StructField("_before_local", T.LongType())])
-    local = ranged.mapInPandas(_running_before, schema)
+    local = materialize(ranged.mapInPandas(_running_before, schema), "global-rank")
     totals = local.groupBy("_pid").agg(F.sum("_n").alias("_tot"))
     # one row per partition: a global window here is bounded by the partition count
     offsets = totals.select("_pid", F.coalesce(
@@ -111,24 +116,64 @@ def global_rank(df: DataFrame, value: str, out: str = "rank", partitions: int |
     return df.join(ranks, value, "left")
 
 
+def number_within(df: DataFrame, key: str, bucket: Column, order: list[Column], out: str = "seq") -> DataFrame:
+    """1-based position of each row in its key's total order, without a window
+    over a whole key. ``bucket`` must not decrease along the order: rows are
+    numbered inside (key, bucket) and shifted by the sizes of the key's
+    earlier buckets (one summary row each)."""
+    d = df.withColumn("_b", bucket).repartition(key, "_b")   # shared by the numbering and the summary
+    sizes = d.groupBy(key, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(F.col(key).alias("_k"), F.col("_b").alias("_kb"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = d.withColumn("_r", F.row_number().over(Window.partitionBy(key, "_b").orderBy(*order)))
+    return (inside.join(offsets, F.col(key).eqNullSafe(F.col("_k")) & F.col("_b").eqNullSafe(F.col("_kb")))
+            .withColumn(out, (F.col("_before") + F.col("_r")).cast("bigint")).drop("_b", "_k", "_kb", "_before", "_r"))
+
+
+def lag_within(df: DataFrame, key: str, bucket: Column, order: list[str], values: dict[str, str]) -> DataFrame:
+    """Add the previous row's ``values`` (column -> new name) in each key's
+    total order (columns ``order``), without a window over a whole key: a lag
+    inside (key, bucket), and for a bucket's first row the last row of the
+    key's bucket before. ``bucket`` must not decrease along the order. The
+    first row of a key gets nulls."""
+    d = df.withColumn("_b", bucket).repartition(key, "_b")   # shared by the lag and the summary
+    packed = F.struct(*[F.col(c).alias(n) for c, n in values.items()])
+    last = d.groupBy(key, "_b").agg(F.max_by(packed, F.struct(*order)).alias("_last"))
+    carried = last.select(F.col(key).alias("_k"), F.col("_b").alias("_kb"),
+                          F.lag("_last").over(Window.partitionBy(key).orderBy("_b")).alias("_carried"))
+    w = Window.partitionBy(key, "_b").orderBy(*order)
+    out = (d.withColumn("_prev", F.lag(packed).over(w))
+            .join(carried, F.col(key).eqNullSafe(F.col("_k")) & F.col("_b").eqNullSafe(F.col("_kb")))
+            .withColumn("_prev", F.coalesce("_prev", "_carried")))
+    return out.select(*df.columns, *[F.col(f"_prev.{n}").alias(n) for n in values.values()])
+
+
+def month_index(ts: str) -> Column:
+    """Months since year 0: a time bucket for long histories."""
+    return F.year(ts) * 12 + F.month(ts)
+
+
 def interval_anti_join(starts: DataFrame, answers: DataFrame, key: str, within_seconds: int,
                        start_ts: str = "ts", answer_ts: str = "ts") -> DataFrame:
     """Start rows with no answer of the same key in (t, t + within].
 
     The equality key is (key, time bucket of width ``within``): an answer in
     bucket ``c`` can only serve starts in buckets ``c`` and ``c - 1``, so it
-    is sent to both and the range test runs inside one (key, bucket) pair.
-    A key with a third of all rows is therefore spread over all its time
-    buckets instead of comparing every start with every answer in one task.
+    is sent to both. Only the next answer after a start matters: inside a
+    (key, bucket) the rows are read once from the latest to the earliest,
+    carrying the last answer seen, so a full bucket costs a sort, not a
+    comparison of every start with every answer.
     """
     w = F.make_dt_interval(secs=F.lit(within_seconds))
-    s = starts.withColumn("_b", _bucket_of(start_ts, within_seconds))
-    a = (answers.select(F.col(key).alias("_k"), F.col(answer_ts).alias("_a_ts"))
-                .withColumn("_ab", _bucket_of("_a_ts", within_seconds))
-                .select("_k", "_a_ts", F.explode(F.array(F.col("_ab"), F.col("_ab") - 1)).alias("_b2")))
-    cond = ((F.col(key) == F.col("_k")) & (F.col("_b") == F.col("_b2"))
-            & (F.col("_a_ts") > F.col(start_ts)) & (F.col("_a_ts") <= F.col(start_ts) + w))
-    return s.join(a, cond, "left_anti").drop("_b")
+    s = starts.withColumn("_b", _bucket_of(start_ts, within_seconds)).withColumn("_is_answer", F.lit(0))
+    a = (answers.where(F.col(key).isNotNull() & F.col(answer_ts).isNotNull())
+                .select(F.col(key), F.col(answer_ts).alias(start_ts), F.col(answer_ts).alias("_a_ts"), F.lit(1).alias("_is_answer"))
+                .withColumn("_ab", _bucket_of(start_ts, within_seconds))
+                .withColumn("_b", F.explode(F.array(F.col("_ab"), F.col("_ab") - 1))).drop("_ab"))
+    # an answer at the very time of a start doesn't serve it: it comes after it here
+    later = Window.partitionBy(key, "_b").orderBy(F.desc(start_ts), F.asc("_is_answer")).rowsBetween(Window.unboundedPreceding, -1)
+    both = s.unionByName(a, allowMissingColumns=True).withColumn("_next", F.last("_a_ts", ignorenulls=True).over(later))
+    return both.where((F.col("_is_answer") == 0) & (F.col("_next").isNull() | (F.col("_next") > F.col(start_ts) + w))).select(*starts.columns)
 
 
 def _bucket_of(ts: str, seconds: int) -> Column:

@@ -97,8 +97,9 @@ def similar_topn(sim: DataFrame, n: int = 11) -> DataFrame:
     edges = (sim.where(F.col("item_i") != F.col("item_j")).select(both, "similarity")
                 .select("e.item_id", "e.similar_item", "similarity"))     # one pass, both directions
     w = Window.partitionBy("item_id").orderBy(F.desc("similarity"), F.asc("similar_item"))
-    return (edges.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < n)
-                 .withColumn("rank", F.col("rank").cast("bigint")))
+    # the filter is on the bare rank: only then is a partial limit planned before the shuffle
+    return (edges.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+                 .withColumn("rank", (F.col("rank") - 1).cast("bigint")))
 
 
 def topn_by_group(df: DataFrame, group: str | None, score: str, item: str, n: int) -> DataFrame:
@@ -109,5 +110,5 @@ def topn_by_group(df: DataFrame, group: str | None, score: str, item: str, n: in
         w = Window.orderBy(F.desc(score), F.asc(item))  # over at most n rows
         return top.withColumn("rank", (F.row_number().over(w) - 1).cast("bigint"))
     w = Window.partitionBy(group).orderBy(F.desc(score), F.asc(item))
-    return (df.withColumn("rank", (F.row_number().over(w) - 1).cast("bigint"))
-              .where(F.col("rank") < n))
+    return (df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+              .withColumn("rank", (F.col("rank") - 1).cast("bigint")))

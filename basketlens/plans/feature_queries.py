@@ -40,13 +40,18 @@ SELECT user_id, string_agg(category_id, ',' ORDER BY r) AS top_categories FROM (
         WHERE action = 'purchase' GROUP BY ALL)) WHERE r <= 3 GROUP BY user_id"""
 
 SESSION_SQL = """
-SELECT session_id, user_id, min(ts) AS session_start, max(ts) AS session_end,
-       count(*) AS actions_in_session,
-       array_to_string(list_sort(list_distinct(list(CAST(item_id AS VARCHAR)))), ',') AS items_viewed,
-       CAST(sum(CASE WHEN action = 'purchase' THEN 1 ELSE 0 END) AS BIGINT) AS purchases_in_session,
-       date_diff('microsecond', min(ts), max(ts)) / 1e6 AS session_duration,
-       CASE WHEN sum(CASE WHEN action = 'purchase' THEN 1 ELSE 0 END) > 0 THEN 1 ELSE 0 END AS converted
-FROM behaviors GROUP BY session_id, user_id"""
+WITH viewed AS (
+  SELECT session_id, user_id, string_agg(CAST(item_id AS VARCHAR) || ':' || CAST(n AS VARCHAR), ',' ORDER BY first) AS items_viewed
+  FROM (SELECT session_id, user_id, item_id, count(*) AS n, min({'t': ts, 'e': event_id}) AS first
+        FROM behaviors GROUP BY session_id, user_id, item_id) GROUP BY session_id, user_id),
+s AS (
+  SELECT session_id, user_id, min(ts) AS session_start, max(ts) AS session_end, count(*) AS actions_in_session,
+         CAST(sum(CASE WHEN action = 'purchase' THEN 1 ELSE 0 END) AS BIGINT) AS purchases_in_session
+  FROM behaviors GROUP BY session_id, user_id)
+SELECT session_id, user_id, session_start, session_end, actions_in_session, items_viewed, purchases_in_session,
+       date_diff('microsecond', session_start, session_end) / 1e6 AS session_duration,
+       CASE WHEN purchases_in_session > 0 THEN 1 ELSE 0 END AS converted
+FROM s JOIN viewed USING (session_id, user_id)"""
 
 
 @query("scan_behaviors", views=("behaviors",), oracle="""

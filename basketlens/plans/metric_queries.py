@@ -193,6 +193,38 @@ def ctr_drop_alerts(fx):
     return mt.alert_islands(w, F.col("ratio") < 0.5, 2, 3600)
 
 
+@query("error_rate_alerts_5m", views=("raw_behaviors",), oracle=f"""
+WITH e AS (SELECT epoch_us(ts) // 60000000 + unnest(range(0, 5)) AS window_idx, is_error FROM ({MON_SQL})),
+w AS (SELECT window_idx, count(*) FILTER (WHERE is_error) AS num, count(*) AS den FROM e GROUP BY 1),
+h AS (SELECT window_idx, window_idx - row_number() OVER (ORDER BY window_idx) AS isl FROM w
+      WHERE CAST(num AS DOUBLE) / NULLIF(den, 0) > 0.05)
+SELECT make_timestamp(min(window_idx) * 60000000) AS alert_start,
+       make_timestamp((max(window_idx) + 1) * 60000000) AS alert_end, count(*) AS n_windows
+FROM h GROUP BY isl HAVING count(*) >= 3""")
+def error_rate_alerts_5m(fx):
+    """Error share over the last 5 minutes above 5 % for 2 minutes
+    (evaluated each minute)."""
+    m = _mon(fx)
+    w = mt.trailing_ratio_windows(m, F.col("is_error"), F.lit(True), 60, 5)
+    return mt.alert_islands(w, F.col("ratio") > 0.05, 3, 60)
+
+
+@query("ctr_drop_alerts_1h", views=("raw_behaviors",), oracle=f"""
+WITH e AS (SELECT epoch_us(ts) // 600000000 + unnest(range(0, 6)) AS window_idx, action FROM ({MON_SQL})),
+w AS (SELECT window_idx, count(*) FILTER (WHERE action = 'click') AS num, count(*) FILTER (WHERE action = 'impression') AS den FROM e GROUP BY 1),
+h AS (SELECT window_idx, window_idx - row_number() OVER (ORDER BY window_idx) AS isl FROM w
+      WHERE CAST(num AS DOUBLE) / NULLIF(den, 0) < 0.01)
+SELECT make_timestamp(min(window_idx) * 600000000) AS alert_start,
+       make_timestamp((max(window_idx) + 1) * 600000000) AS alert_end, count(*) AS n_windows
+FROM h GROUP BY isl HAVING count(*) >= 2""")
+def ctr_drop_alerts_1h(fx):
+    """Click rate over the last hour below 1 % for 10 minutes
+    (evaluated every 10 minutes)."""
+    m = _mon(fx)
+    w = mt.trailing_ratio_windows(m, F.col("action") == "click", F.col("action") == "impression", 600, 6)
+    return mt.alert_islands(w, F.col("ratio") < 0.01, 2, 600)
+
+
 @query("top_items_by_impression", views=("raw_behaviors",), oracle="""
 SELECT item_id, count(*) AS impressions FROM raw_behaviors WHERE action = 'impression'
 GROUP BY item_id ORDER BY impressions DESC, item_id LIMIT 10""")

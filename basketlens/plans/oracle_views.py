@@ -16,7 +16,7 @@ VIEWS: dict[str, tuple] = {
                     WHEN 'signup' THEN 'add_to_cart' WHEN 'purchase' THEN 'purchase' ELSE 'error' END AS action,
                e.ts, e.value AS dwell_time,
                CASE WHEN e.event_type = 'purchase' THEN e.value ELSE 0.0 END AS price
-        FROM events e JOIN part p ON p.p_partkey = CAST(json_extract_string(e.props, '$.k') AS BIGINT)"""),
+        FROM events e LEFT JOIN part p ON p.p_partkey = CAST(json_extract_string(e.props, '$.k') AS BIGINT)"""),
     "behaviors": (("raw_behaviors",), """
         SELECT * EXCLUDE (prev_ts, s), CAST(s AS BIGINT) AS session_seq,
                CAST(user_id AS VARCHAR) || ':' || CAST(CAST(s AS BIGINT) AS VARCHAR) AS session_id

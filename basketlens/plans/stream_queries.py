@@ -15,7 +15,7 @@ WITH g AS (SELECT user_id, time_bucket(INTERVAL {interval}, ts) + INTERVAL {inte
            FROM behaviors GROUP BY ALL)
 SELECT user_id, 'click_count_{label}' AS feature_name, CAST(clicks AS DOUBLE) AS feature_value, timestamp,
        '{label}' AS window FROM g
-UNION ALL SELECT user_id, 'cart_count_{label}', CAST(carts AS DOUBLE), timestamp, '{label}' FROM g
+UNION ALL SELECT user_id, 'add_to_cart_count_{label}', CAST(carts AS DOUBLE), timestamp, '{label}' FROM g
 UNION ALL SELECT user_id, 'purchase_count_{label}', CAST(purchases AS DOUBLE), timestamp, '{label}' FROM g
 UNION ALL SELECT user_id, 'ctr_{label}', CAST(purchases AS DOUBLE) / clicks, timestamp, '{label}' FROM g
           WHERE clicks > 0"""

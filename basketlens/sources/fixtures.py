@@ -9,9 +9,10 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.sequences import month_index, number_within
 from ..operators.sessions import sessionize
 from .tables import Tables
 
@@ -19,6 +20,7 @@ from .tables import Tables
 ACTION_MAP = {"view": "impression", "click": "click", "signup": "add_to_cart", "purchase": "purchase"}
 # Ledger op per lineitem return flag.
 LEDGER_OP = {"A": "DEDUCT", "N": "RESERVE", "R": "ROLLBACK"}
+# The fixture's session gap and the total order of its ledger.
 SESSION_GAP_SECONDS = 6 * 3600
 LEDGER_ORDER = ("l_shipdate", "l_orderkey", "l_linenumber", "l_suppkey", "l_quantity",
                 "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus")
@@ -60,7 +62,7 @@ class Fixtures(Tables):
                       F.when(F.col("event_type") == "purchase", F.col("value"))
                        .otherwise(F.lit(0.0)).alias("price"))
         part = self.part.select(F.col("p_partkey").alias("item_id"), F.col("p_type").alias("category_id"))
-        return ev.join(part, "item_id").select(
+        return ev.join(part, "item_id", "left").select(
             "event_id", "user_id", "item_id", "category_id", "action", "ts", "dwell_time", "price")
 
     @cached_property
@@ -110,8 +112,7 @@ class Fixtures(Tables):
     def ledger(self) -> DataFrame:
         """One op per lineitem, ``seq`` = position within the sku's history."""
         l = self.lineitem
-        w = Window.partitionBy("l_partkey").orderBy(*LEDGER_ORDER)
-        led = l.withColumn("seq", F.row_number().over(w).cast("bigint"))
+        led = number_within(l, "l_partkey", month_index("l_shipdate"), [F.col(c) for c in LEDGER_ORDER])
         return led.select(
             F.col("l_partkey").alias("sku"), "seq",
             _case_map(F.col("l_returnflag"), LEDGER_OP, "ADD").alias("op"),

@@ -52,7 +52,7 @@ def window_features(df: DataFrame, window: str = "5 minutes", label: str = "5min
         F.count(F.when(F.col("action") == "purchase", True)).alias("purchases"))
     feats = F.array(
         F.struct(F.lit(f"click_count_{label}").alias("name"), F.col("clicks").cast("double").alias("value")),
-        F.struct(F.lit(f"cart_count_{label}").alias("name"), F.col("add_to_cart").cast("double").alias("value")),
+        F.struct(F.lit(f"add_to_cart_count_{label}").alias("name"), F.col("add_to_cart").cast("double").alias("value")),
         F.struct(F.lit(f"purchase_count_{label}").alias("name"), F.col("purchases").cast("double").alias("value")),
         F.when(F.col("clicks") > 0, F.struct(F.lit(f"ctr_{label}").alias("name"),
                                               (F.col("purchases") / F.col("clicks")).alias("value"))))
@@ -94,6 +94,15 @@ INTEREST_STATE = T.StructType([T.StructField("recent", T.StringType()), T.Struct
                                T.StructField("last_ms", T.LongType())])
 
 
+def _in_time_order(pdfs, columns: list[str], by: tuple[str, ...] = ("ts", "event_id")):
+    """Rows of one key's micro-batch in order. Spark hands them over unsorted,
+    so the needed columns (only) are held; a micro-batch is as large as the
+    source's trigger limit allows (``max_files_per_trigger``)."""
+    parts = [pdf[columns] for pdf in pdfs]
+    whole = parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)
+    return whole.sort_values(list(by), kind="mergesort").itertuples(index=False, name=None)
+
+
 def _interest_fn(window_events: int, min_count: int, seq_len: int, ttl_ms: int | None, timeout_on: bool):
     def fn(key, pdfs, state):
         if state.hasTimedOut:
@@ -107,9 +116,8 @@ def _interest_fn(window_events: int, min_count: int, seq_len: int, ttl_ms: int |
             recent = [int(x) for x in r.split(",") if x]
             seq = [x for x in s.split(",") if x]
         rows = []
-        pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts", "event_id"], kind="mergesort")
         last_ts = None
-        for ev, uid, item, ts in zip(pdf["event_id"], pdf["user_id"], pdf["item_id"], pdf["ts"]):
+        for ev, uid, item, ts in _in_time_order(pdfs, ["event_id", "user_id", "item_id", "ts"]):
             now_ms = int(pd.Timestamp(ts).value // 1_000_000)
             if ttl_ms is not None and last_ms is not None and now_ms - last_ms > ttl_ms:
                 recent, seq = [], []             # the user's state expired before this event
@@ -155,7 +163,7 @@ def refresh_signals(interest: DataFrame) -> DataFrame:
 
 
 # -- ST8: reservation expiry -------------------------------------------------
-def expired_reservations_stream(reserves: DataFrame, deducts: DataFrame, ttl: str = "1 day") -> DataFrame:
+def expired_reservations_stream(reserves: DataFrame, deducts: DataFrame, ttl: str = "1 hour") -> DataFrame:
     """ST8: stream-stream left outer interval join; a reservation with no
     DEDUCT of the same sku within ``ttl`` is emitted (null side) once the
     watermark passes its expiry."""
@@ -185,14 +193,18 @@ def cart_abandonment(df: DataFrame, threshold_hours: float = 24.0) -> DataFrame:
             yield pd.DataFrame([(int(key[0]), pd.Timestamp(last_ms, unit="ms"), "abandoned")],
                                columns=["user_id", "last_add", "status"])
             return
-        pdf = pd.concat(list(pdfs), ignore_index=True).sort_values("ts", kind="mergesort")
         last_ms = state.get[0] if state.exists else None
-        for action, ts in zip(pdf["action"], pdf["ts"]):
-            ms = int(pd.Timestamp(ts).value // 1_000_000)
-            if action == "add_to_cart":
-                last_ms = ms
-            elif action == "purchase":
-                last_ms = None
+        # only the latest add and the latest purchase matter: one pass, no sort, nothing held
+        latest = {"add_to_cart": None, "purchase": None}
+        for pdf in pdfs:
+            for action, ts in pdf.groupby("action")["ts"].max().items():
+                if action in latest and (latest[action] is None or ts > latest[action]):
+                    latest[action] = ts
+        added, paid = latest["add_to_cart"], latest["purchase"]
+        if paid is not None:
+            last_ms = None
+        if added is not None and (paid is None or added > paid):
+            last_ms = int(pd.Timestamp(added).value // 1_000_000)
         if last_ms is None:
             if state.exists:
                 state.remove()
@@ -221,14 +233,14 @@ def ledger_state(df: DataFrame) -> DataFrame:
     """ST11: the X2 replay as keyed streaming state per sku (ops of a sku
     must arrive in seq order across micro-batches)."""
     def fn(key, pdfs, state):
-        pdf = pd.concat(list(pdfs), ignore_index=True).sort_values("seq", kind="mergesort")
+        ops = list(_in_time_order(pdfs, ["seq", "op", "qty", "opening"], by=("seq",)))
         if state.exists:
             avail, total, reserved, prev_op, prev_ok, prev_qty = state.get
         else:
-            avail = total = int(pdf["opening"].iloc[0])
+            avail = total = int(ops[0][3])
             reserved, prev_op, prev_ok, prev_qty = 0, None, False, 0
         rows = []
-        for seq, op, q in zip(pdf["seq"], pdf["op"], pdf["qty"]):
+        for seq, op, q, _ in ops:
             q = int(q)
             before, ok = avail, False
             if op in ("DEDUCT", "RESERVE") and avail >= q:
@@ -278,27 +290,58 @@ def start(df: DataFrame, sink: str, checkpoint: str, fmt: str = "parquet", mode:
     return w.start()
 
 
-def upsert_stream(df: DataFrame, table_path: str, key: str, ts: str, checkpoint: str):
-    """S9 for streams: each micro-batch is upserted into a parquet table
-    (latest version found by partition discovery, full-outer merge, new
-    version directory ``v=<epoch>``; a replayed epoch rewrites the same
-    directory, so the sink is idempotent)."""
+def _published(spark: SparkSession, table_path: str) -> list[int]:
+    """Versions whose write has been committed (Spark's _SUCCESS marker)."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(table_path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return []
+    names = [x.getPath().getName() for x in fs.listStatus(root)]
+    return sorted(int(n[2:]) for n in names if n.startswith("v=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{table_path}/{n}/_SUCCESS")))
+
+
+def read_upserted(spark: SparkSession, table_path: str, before: int | None = None) -> DataFrame | None:
+    """The newest published version of an upserted table (of those before an
+    epoch); None if there is none. A damaged version raises."""
+    versions = [v for v in _published(spark, table_path) if before is None or v < before]
+    return spark.read.parquet(f"{table_path}/v={versions[-1]:012d}") if versions else None
+
+
+def upsert_stream(df: DataFrame, table_path: str, key: str, ts: str, checkpoint: str, keep_versions: int = 2):
+    """S9 for streams: each micro-batch is merged (full outer) with the
+    version published before its epoch and written as version ``v=<epoch>``.
+    A replayed epoch starts from the same base and rewrites its own version,
+    so the sink is idempotent; a base that can't be read fails the batch.
+    Versions beyond the last ``keep_versions`` are removed."""
     from ..operators.io import upsert_latest
 
     def merge(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        try:
-            versions = spark.read.parquet(table_path)          # partition column v
-            latest = versions.where(F.col("v") == versions.select(F.max("v")).scalar()).drop("v")
-            base = latest if latest.take(1) else None
-        except Exception:  # noqa: BLE001  (first batch: no table yet)
-            base = None
+        base = read_upserted(spark, table_path, before=epoch)
         out = batch if base is None else upsert_latest(base, batch, key, ts)
         out.write.mode("overwrite").parquet(f"{table_path}/v={epoch:012d}")
+        for old in [v for v in _published(spark, table_path) if v < epoch][: -keep_versions or None]:
+            path = spark._jvm.org.apache.hadoop.fs.Path(f"{table_path}/v={old:012d}")
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
     return start(df, table_path, checkpoint, foreach_batch=merge)
 
 
+def distinct_events(df: DataFrame, id_col: str = "event_id", ts: str = "ts", watermark: str = DEFAULT_WATERMARK) -> DataFrame:
+    """Each event once: repeats of an id that arrive within the watermark
+    are dropped (``dropDuplicatesWithinWatermark``; the state keeps an id no
+    longer than that). On a batch: one row for each id."""
+    if not df.isStreaming:
+        return df.dropDuplicates([id_col])
+    return with_event_time(df, ts, watermark).dropDuplicatesWithinWatermark([id_col])
+
+
+def late_rows(progress) -> int:
+    """Rows that a query's stateful operators dropped as later than the
+    watermark, from its ``recentProgress``."""
+    return sum(int(s.get("numRowsDroppedByWatermark", 0)) for p in progress for s in p.get("stateOperators", []))
+
+
 def unpaid_orders_stream(orders: DataFrame, payments: DataFrame, timeout: str = "15 minutes") -> DataFrame:
     """J19 streaming form: orders (add_to_cart) with no payment (purchase) of
     the same user within ``timeout``: a stream-stream left outer interval

@@ -1,6 +1,8 @@
 """Sources/sinks round trips, status audit, model version, ML jobs."""
 
 import json
+
+import pytest
 import tempfile
 from datetime import datetime, timedelta
 
@@ -99,3 +101,24 @@ def test_als_recommends_known_items(spark):
     model = ml.fit_als(m, rank=4, max_iter=3)
     recs = model.recommendForAllUsers(5)
     assert recs.count() > 0
+
+
+def test_permuted_keeps_every_row_and_value(spark):
+    rows = [(i, float(i % 7), i % 2) for i in range(300)]          # many equal rows but for the id
+    df = spark.createDataFrame(rows, "event_id long, x double, label int")
+    out = ml.permuted(df, "x", "event_id").collect()
+    assert sorted((r.event_id, r.label) for r in out) == [(i, l) for i, _, l in rows]
+    assert sorted(r.x for r in out) == sorted(x for _, x, _ in rows)
+    assert sum(r.x != rows[r.event_id][1] for r in out) > 100
+    with pytest.raises(ValueError, match="unique"):
+        ml.permuted(df.unionByName(df.limit(1)), "x", "event_id")
+
+
+def test_checkpoint_folder_must_be_shared_on_a_cluster(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from basketlens import session
+    fake = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: None, set=lambda k, v: None),
+                           sparkContext=SimpleNamespace(master="spark://host:7077", setCheckpointDir=lambda p: None))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.ensure_checkpoint_dir(fake)

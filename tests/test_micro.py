@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 from datetime import datetime, timedelta
 from itertools import combinations
 
@@ -103,6 +104,59 @@ def test_global_rank_matches_sql_rank(spark):
     assert got == {i: srt.index(v) + 1 for i, v in vals}
 
 
+@pytest.mark.parametrize("reuse,adaptive", [("true", "true"), ("false", "true"), ("false", "false")])
+def test_global_rank_does_not_depend_on_the_plan(spark, reuse, adaptive):
+    """Every price of lineitem: the same as SQL rank(), whether or not Spark reuses the range exchange."""
+    import duckdb
+    path = "/root/testdata/sf0.1/lineitem.parquet"
+    want = duckdb.sql(f"SELECT l_extendedprice AS p, min(r) AS r FROM (SELECT l_extendedprice, rank() OVER (ORDER BY l_extendedprice) AS r FROM '{path}') GROUP BY 1").df()
+    old = {k: spark.conf.get(k) for k in ("spark.sql.exchange.reuse", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.exchange.reuse", reuse)
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+        df = spark.read.parquet(path).select(F.col("l_extendedprice").alias("p"))
+        got = sequences.global_rank(df, "p", out="rk").groupBy("p").agg(F.min("rk").alias("lo"), F.max("rk").alias("hi")).toPandas()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    both = want.merge(got, on="p", how="outer")
+    assert len(both) == len(want) and (both.lo == both.r).all() and (both.hi == both.r).all()
+
+
+def test_category_tree_is_as_deep_as_the_data_and_refuses_loops(spark):
+    chain = [(i, f"c{i}", i - 1 if i else None) for i in range(25)]
+    schema = "category_id long, name string, parent_id long"
+    out = {r.category_id: r.level for r in catalog.category_tree(spark.createDataFrame(chain, schema)).collect()}
+    assert out == {i: i + 1 for i in range(25)}
+    with pytest.raises(Exception, match="loop"):
+        catalog.category_tree(spark.createDataFrame([(1, "a", None), (2, "b", 1), (1, "a", 2)], schema))
+
+
+def test_number_and_lag_within_equal_plain_windows(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice([1, 1, 1, 2, 3, None]), rng.randrange(40), i, rng.randrange(9)) for i in range(400)]
+    df = spark.createDataFrame(rows, "k long, t long, id long, v long")
+    from pyspark.sql import Window
+    w = Window.partitionBy("k").orderBy("t", "id")
+    want = {r.id: (r.s, r.p) for r in df.withColumn("s", F.row_number().over(w)).withColumn("p", F.lag("v").over(w)).collect()}
+    bucket = F.floor(F.col("t") / 7)
+    got_n = {r.id: r.s for r in sequences.number_within(df, "k", bucket, [F.col("t"), F.col("id")], out="s").collect()}
+    got_l = {r.id: r.p for r in sequences.lag_within(df, "k", bucket, ["t", "id"], {"v": "p"}).collect()}
+    assert {i: (got_n[i], got_l[i]) for i in want} == want
+
+
+def test_interval_anti_join_equals_brute_force(spark):
+    import datetime as dt
+    rng = random.Random(8)
+    t0 = dt.datetime(2024, 1, 1)
+    s = [(rng.choice([1, 1, 1, 2, None]), t0 + dt.timedelta(seconds=rng.randrange(4000)), i) for i in range(300)]
+    a = [(rng.choice([1, 2, 2, None]), t0 + dt.timedelta(seconds=rng.randrange(4000))) for _ in range(25)]
+    out = sequences.interval_anti_join(spark.createDataFrame(s, "k long, ts timestamp_ntz, id long"), spark.createDataFrame(a, "k long, ts timestamp_ntz"), "k", 300)
+    assert out.columns == ["k", "ts", "id"]
+    want = {i for k, t, i in s if not any(k is not None and k == ak and t < at <= t + dt.timedelta(seconds=300) for ak, at in a)}
+    assert {r.id for r in out.collect()} == want
+
+
 def test_md5_mod_matches_python(spark):
     keys = [f"{u}:ranking_model_v2" for u in range(200)]
     df = spark.createDataFrame([(k,) for k in keys], "k string")
@@ -255,7 +309,7 @@ def test_upsert_partial_columns(spark):
 def test_category_tree_levels(spark):
     cats = spark.createDataFrame([(1, "root", None), (2, "mid", 1), (3, "leaf", 2), (9, "orphan", 99)],
                                  "category_id long, name string, parent_id long")
-    out = {r.category_id: (r.level, r.path) for r in catalog.category_tree(spark, cats).collect()}
+    out = {r.category_id: (r.level, r.path) for r in catalog.category_tree(cats).collect()}
     assert out == {1: (1, "root"), 2: (2, "root > mid"), 3: (3, "root > mid > leaf")}
 
 

@@ -1,16 +1,13 @@
 """Plan properties: native operators stay in the JVM, scans are pruned."""
 
+import re
+
 import pytest
 
 import __spark_entry__ as entry
 
 from .conftest import SF_SMALL
 
-PYTHON_OK = {"recommend", "impressions", "inventory_replay", "inventory_balance", "inventory_change_log",
-             "low_stock", "inventory_snapshot", "user_segments", "auc_rank", "training_matrix",
-             "ctr_model_scores", "als_recommendations"}
-
-
 def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
@@ -26,9 +23,25 @@ def test_no_row_at_a_time_python(spark, name):
 def test_scan_is_pruned_and_filtered(spark):
     df = entry.queries()["hourly_kpis_7d"](spark, SF_SMALL)
     plan = df._jdf.queryExecution().executedPlan().toString()
-    assert "ReadSchema: struct<event_id:bigint,ts:timestamp_ntz,user_id:bigint,event_type:string,value:double," \
-           "props:string>" in plan or "ReadSchema" in plan
-    assert "PushedFilters" in plan
+    scans = [set(re.findall(r"([a-z_]+)#", x)) for x in re.findall(r"FileScan parquet \[([^\]]*)\]", plan)]
+    # the log without unused columns, the catalogue's keys, and the newest time
+    assert {"event_id", "ts", "user_id", "event_type", "value", "props"} in scans or {"ts", "user_id", "event_type", "value"} in scans, scans
+    assert max(map(len, scans)) <= 6
+    assert re.search(r"PushedFilters: \[[^\]]*event_type", plan)
+
+
+@pytest.mark.parametrize("name", ["similar_topn", "category_topn", "recall_similar", "recommend"])
+def test_top_k_per_group_is_limited_before_the_shuffle(spark, name):
+    assert "WindowGroupLimit" in _plan(entry.queries()[name](spark, SF_SMALL))
+
+
+def test_ledger_queries_share_one_scan(spark):
+    """The numbering and its bucket summary read one exchange."""
+    for name in ("price_change", "orphan_rollbacks"):
+        df = entry.queries()[name](spark, SF_SMALL)
+        df.collect()
+        final = _plan(df).split("== Initial Plan ==")[0]
+        assert "ReusedExchange" in final, name
 
 
 def test_cooccurrence_has_no_cartesian(spark):

@@ -82,6 +82,35 @@ def recall_candidates(paths: list[DataFrame], exclude: DataFrame | None = None,
     return c
 
 
+def merge_popular(users: DataFrame, recalled: DataFrame, popular_top: DataFrame, exclude: DataFrame | None = None) -> DataFrame:
+    """U1/U2/J11 with the popular list merged inside each user's row: the
+    recalled (user, item, path) rows, distinct and without the exclude list,
+    meet as one array per user (bounded by the recall design), and the popular
+    items that the user wasn't recalled and doesn't exclude are added there.
+    So the popular list, the same for all users, is never shuffled. Paths are
+    those of ``recall_candidates``: an item keeps its best path."""
+    popular = popular_top.agg(F.sort_array(F.collect_list("item_id")).alias("p"))  # at most POPULAR_N items
+    r = recalled.groupBy("user_id", "item_id").agg(F.min("path").alias("path"))
+    rows = users.select("user_id").distinct()
+    if exclude is not None:
+        out = exclude.select("user_id", "item_id").distinct()
+        r = r.join(out, ["user_id", "item_id"], "left_anti")
+        barred = out.join(F.broadcast(popular_top.select("item_id")), "item_id", "left_semi")
+        rows = rows.join(barred.groupBy("user_id").agg(F.collect_list("item_id").alias("_out")), "user_id", "left")
+    else:
+        rows = rows.withColumn("_out", F.lit(None).cast("array<bigint>"))
+    mine = r.groupBy("user_id").agg(F.collect_list(F.struct("item_id", "path")).alias("_mine"))
+    rows = rows.join(mine, "user_id", "full_outer")
+    none = F.array().cast("array<bigint>")
+    p = popular.select("p").scalar()
+    rows = rows.withColumn("_mine", F.coalesce("_mine", F.expr("cast(array() as array<struct<item_id:bigint,path:int>>)"))).withColumn("_popular", p)
+    own = F.transform("_mine", lambda x: F.struct(
+        x["item_id"].alias("item_id"), F.when(F.array_contains("_popular", x["item_id"]), F.least(x["path"], F.lit(PATH_POPULAR))).otherwise(x["path"]).alias("path")))
+    rest = F.array_except(F.array_except(F.col("_popular"), F.coalesce("_out", none)), F.transform("_mine", lambda x: x["item_id"]))
+    more = F.transform(rest, lambda i: F.struct(i.alias("item_id"), F.lit(PATH_POPULAR).alias("path")))
+    return rows.select("user_id", F.explode(F.concat(own, more)).alias("x")).select("user_id", "x.item_id", "x.path")
+
+
 def recent_purchases(b: DataFrame, as_of: Column, days: int = 7) -> DataFrame:
     """Exclude list: items the user bought in the ``days`` before as_of."""
     return (b.where((F.col("action") == "purchase")

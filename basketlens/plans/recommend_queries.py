@@ -9,6 +9,8 @@ from ..operators import experiments as ex
 from ..operators import features as ft
 from ..operators import recommend as rc
 from ..operators import similarity as sm
+from ..sources.shared import materialize
+from .experiment_queries import EXP_VIEWS
 from .registry import query
 from .similarity_queries import POP_SQL, SIM_SQL, catalogue_popularity
 
@@ -50,8 +52,8 @@ VIEWS = ("behaviors", "items", "as_of_t")
 
 
 def _recall_parts(fx):
-    b = fx.behaviors
-    pop = catalogue_popularity(fx)
+    b = fx.shared_behaviors
+    pop = materialize(catalogue_popularity(fx, b), "popularity")  # read by three paths and the scores
     sim_top = sm.similar_topn(sm.item_similarity(sm.item_cooccurrence(b), sm.item_marginals(b)), rc.SIMILAR_PER_ITEM)
     popular = sm.topn_by_group(pop, None, "popularity_score", "item_id", rc.POPULAR_N)
     cat_top = sm.topn_by_group(pop, "category_id", "popularity_score", "item_id", rc.CATEGORY_N)
@@ -59,14 +61,15 @@ def _recall_parts(fx):
         "similar": rc.recall_similar(rc.recent_for_recall(b), sim_top),
         "popular": rc.recall_popular(fx.users, popular),
         "category": rc.recall_category(ft.top_categories(b), cat_top),
+        "popular_top": popular,
         "pop": pop,
     }
 
 
 def _candidates(fx):
     p = _recall_parts(fx)
-    return rc.recall_candidates([p["similar"], p["popular"], p["category"]],
-                                exclude=rc.recent_purchases(fx.behaviors, fx.as_of)), p["pop"]
+    return rc.merge_popular(fx.users, p["similar"].unionByName(p["category"]), p["popular_top"],
+                            exclude=rc.recent_purchases(fx.shared_behaviors, fx.as_of)), p["pop"]
 
 
 def _scored(fx):
@@ -121,7 +124,7 @@ FROM ({SCORED_SQL}) s LEFT JOIN rec USING (user_id) LEFT JOIN st USING (item_id)
 def recommend_reason(fx):
     """Reason label of every scored candidate."""
     s = _scored(fx).withColumnRenamed("path", "mmr_rank")
-    r = rc.with_reasons(s, ft.recent_items(fx.behaviors), ft.item_purchase_rate(fx.behaviors))
+    r = rc.with_reasons(s, ft.recent_items(fx.shared_behaviors), ft.item_purchase_rate(fx.shared_behaviors))
     return r.select("user_id", "item_id", "reason")
 
 
@@ -151,7 +154,7 @@ def category_similarity(fx):
 def recommend_all(fx):
     """M8: recall -> score -> MMR (lambda from the user's diversity variant)
     -> top 20 -> reason, for every user."""
-    b = fx.behaviors
+    b = fx.shared_behaviors
     scored = _scored(fx)
     lam = (ex.variant_params(ex.assign_variants(fx.users, fx.spark), fx.spark)
              .where(F.col("experiment_id") == "diversity_strategy")
@@ -161,14 +164,56 @@ def recommend_all(fx):
     return rc.with_reasons(ranked, ft.recent_items(b), ft.item_purchase_rate(b))
 
 
-@query("recommend")
+# Each user's candidates in order, and 20 greedy steps of the re-ranking.
+RECOMMEND_VIEWS = {
+    **EXP_VIEWS,
+    "lambdas": (("assign",), """
+        SELECT user_id, CASE variant WHEN 'treatment_a' THEN 0.3e0 WHEN 'treatment_b' THEN 0.7e0 ELSE 0.5e0 END AS lam
+        FROM assign WHERE experiment_id = 'diversity_strategy'"""),
+    "ordered": (("lambdas", "behaviors", "items", "as_of_t"), f"""
+        SELECT s.user_id, s.item_id, s.score, coalesce(s.category_id, '') AS cat, coalesce(l.lam, {rc.MMR_LAMBDA}e0) AS lam,
+               row_number() OVER (PARTITION BY s.user_id ORDER BY s.score DESC, s.item_id) AS pos
+        FROM ({SCORED_SQL}) s LEFT JOIN lambdas l USING (user_id)"""),
+    "mmr": (("ordered",), f"""
+        SELECT user_id, CAST(0 AS BIGINT) AS mmr_rank, item_id, score, cat, [pos] AS taken, [cat] AS cats FROM ordered WHERE pos = 1
+        UNION ALL
+        SELECT user_id, mmr_rank + 1, item_id, score, cat, list_append(taken, pos), list_append(cats, cat) FROM (
+          SELECT m.user_id, m.mmr_rank, c.item_id, c.score, c.cat, m.taken, m.cats, c.pos,
+                 row_number() OVER (PARTITION BY m.user_id ORDER BY c.lam * c.score - (1.0e0 - c.lam) * list_max(
+                   [CASE WHEN k = c.cat THEN 0.8e0 WHEN length(k) > 0 AND length(c.cat) > 0 AND substr(k, 1, 3) = substr(c.cat, 1, 3)
+                         THEN 0.5e0 ELSE 0.1e0 END FOR k IN m.cats]) DESC, c.pos) AS r
+          FROM mmr m JOIN ordered c ON c.user_id = m.user_id AND NOT list_contains(m.taken, c.pos)
+          WHERE m.mmr_rank + 1 < {rc.NUM_RECOMMENDATIONS}) WHERE r = 1""", True),
+}
+RECOMMEND_SQL = f"""
+SELECT m.user_id, m.mmr_rank, m.item_id, m.score, m.cat AS category_id,
+       CASE WHEN coalesce(list_contains(rec.recent, m.item_id), false) THEN '{rc.REASON_RECENT}'
+            WHEN coalesce(st.purchase_rate, 0.0) > 0.1 THEN '{rc.REASON_POPULAR}'
+            ELSE '{rc.REASON_DEFAULT}' END AS reason
+FROM mmr m LEFT JOIN (
+  SELECT user_id, list(item_id) AS recent FROM (
+    SELECT user_id, item_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r
+    FROM behaviors) WHERE r <= 10 GROUP BY user_id) rec USING (user_id)
+LEFT JOIN (
+  SELECT item_id, CASE WHEN count(*) FILTER (WHERE action = 'click') > 0
+                       THEN CAST(count(*) FILTER (WHERE action = 'purchase') AS DOUBLE)
+                            / count(*) FILTER (WHERE action = 'click') ELSE 0.0 END AS purchase_rate
+  FROM behaviors GROUP BY item_id) st USING (item_id)"""
+
+
+@query("recommend", views=("mmr", "behaviors"), extra_views=RECOMMEND_VIEWS, oracle=RECOMMEND_SQL)
 def recommend(fx):
     """Top-20 diversified recommendations with reasons for all
-    users (MMR is a greedy fold: checked against brute force in pytest)."""
+    users."""
     return recommend_all(fx).select("user_id", "mmr_rank", "item_id", "score", "category_id", "reason")
 
 
-@query("impressions")
+@query("impressions", views=("mmr", "as_of_t"), extra_views=RECOMMEND_VIEWS, oracle="""
+SELECT user_id, item_id, mmr_rank AS position, 'batch-' || user_id AS request_id,
+       '{"user_id":' || user_id || ',"item_id":' || item_id || ',"position":' || mmr_rank
+       || ',"action":"impression","request_id":"batch-' || user_id || '","timestamp":"'
+       || strftime((SELECT as_of FROM as_of_t), '%Y-%m-%dT%H:%M:%S.%g') || '"}' AS value
+FROM mmr""")
 def impressions(fx):
     """Impression events (JSON) for the batch recommendations."""
     return rc.impressions(recommend_all(fx), fx.as_of).select(

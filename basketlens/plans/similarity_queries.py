@@ -39,9 +39,9 @@ SELECT i.item_id, i.category_id,
 FROM items i LEFT JOIN behaviors b ON b.item_id = i.item_id GROUP BY ALL"""
 
 
-def catalogue_popularity(fx):
+def catalogue_popularity(fx, behaviors=None):
     """Every catalogue item with its A18 score (0 without behaviour)."""
-    pop = ft.item_popularity(fx.behaviors)
+    pop = ft.item_popularity(fx.behaviors if behaviors is None else behaviors)
     return (fx.items.select("item_id", "category_id").join(pop, "item_id", "left")
               .withColumn("popularity_score", F.coalesce("popularity_score", F.lit(0.0))))
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..operators.sequences import month_index, number_within
 from ..operators.sessions import sessionize
+from .shared import materialize
 from .tables import Tables
 
 # Event-type to behaviour-action mapping of the fixture.
@@ -50,7 +51,7 @@ class Fixtures(Tables):
         return self.lineitem.select(F.max("l_shipdate")).scalar()
 
     # -- behaviour log ---------------------------------------------------
-    def _behavior_rows(self, with_errors: bool) -> DataFrame:
+    def _behavior_rows(self, with_errors: bool, with_category: bool = True) -> DataFrame:
         e = self.events
         if not with_errors:
             # on the source column, so it is pushed into the parquet scan
@@ -61,20 +62,29 @@ class Fixtures(Tables):
                       "ts", F.col("value").alias("dwell_time"),
                       F.when(F.col("event_type") == "purchase", F.col("value"))
                        .otherwise(F.lit(0.0)).alias("price"))
+        if not with_category:
+            return ev
         part = self.part.select(F.col("p_partkey").alias("item_id"), F.col("p_type").alias("category_id"))
         return ev.join(part, "item_id", "left").select(
             "event_id", "user_id", "item_id", "category_id", "action", "ts", "dwell_time", "price")
 
     @cached_property
     def raw_behaviors(self) -> DataFrame:
-        """Every event as a behaviour row, ``error`` rows included (monitoring)."""
-        return self._behavior_rows(with_errors=True)
+        """Every event as a behaviour row, ``error`` rows included (monitoring;
+        no category, so no join with the catalogue)."""
+        return self._behavior_rows(with_errors=True, with_category=False)
 
     @cached_property
     def behaviors(self) -> DataFrame:
         """Clean behaviour log (no ``error`` rows)."""
         return self._behavior_rows(with_errors=False)
 
+    @cached_property
+    def shared_behaviors(self) -> DataFrame:
+        """``behaviors`` written once to shared storage, for plans that read the
+        log many times: the JSON is parsed and the catalogue joined once."""
+        return materialize(self.behaviors, "behaviors")
+
     @cached_property
     def sessionized(self) -> DataFrame:
         """Clean behaviour log with 6 h gap sessions (``session_id``); only the

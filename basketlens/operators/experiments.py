@@ -93,6 +93,11 @@ def assign_variants(users: DataFrame, spark: SparkSession, config: list[dict] =
                     .alias("variant"))
 
 
+def active_variants(spark: SparkSession, config: list[dict] = EXPERIMENTS) -> DataFrame:
+    """The variants of the active experiments, with their hash range."""
+    return variant_bounds(experiments_df(spark, config).where(F.col("status") == "active")).select("experiment_id", "variant", "lo", "hi", "params")
+
+
 def variant_params(assign: DataFrame, spark: SparkSession, config: list[dict] = EXPERIMENTS) -> DataFrame:
     """Config lookup by (experiment, variant); unknown -> empty map."""
     bounds = variant_bounds(experiments_df(spark, config)).select("experiment_id", "variant", "params")

@@ -23,7 +23,7 @@ REPLAY_SCHEMA = ("sku long, seq long, op string, qty int, ts timestamp_ntz, acce
                  "available_before long, available_after long, total_after long, reserved_after long")
 
 
-def _replay_batches(batches):
+def _replay_batches(batches, strict: bool = True):
     import numpy as np
     import pandas as pd
 
@@ -64,9 +64,14 @@ def _replay_batches(batches):
                     reserved += q
                     ok = True
             elif op == "ROLLBACK":
-                # restores the previous op's quantity when it was an accepted
-                # DEDUCT; that DEDUCT has no other successor, so once only
-                if prev_op == "DEDUCT" and prev_ok:
+                # strict: restores the previous op's quantity when it was an
+                # accepted DEDUCT; that DEDUCT has no other successor, so once
+                # only. Not strict: always restores its own quantity.
+                if not strict:
+                    avail += q
+                    total += q
+                    ok = True
+                elif prev_op == "DEDUCT" and prev_ok:
                     avail += prev_qty
                     total += prev_qty
                     ok = True
@@ -91,7 +96,7 @@ def _replay_batches(batches):
         yield out
 
 
-def replay(ledger: DataFrame, opening: DataFrame, partitions: int | None = None) -> DataFrame:
+def replay(ledger: DataFrame, opening: DataFrame, partitions: int | None = None, strict: bool = True) -> DataFrame:
     """Replay every sku's ops in ``seq`` order from its opening stock.
 
     DEDUCT n: rejected if available < n, else available -= n, total -= n.
@@ -100,12 +105,15 @@ def replay(ledger: DataFrame, opening: DataFrame, partitions: int | None = None)
     DEDUCT; restores that op's quantity to available and total.
     CANCEL n: releases a reservation (reserved -= n, available += n).
     ADD n: available += n, total += n.
+
+    ``strict=False`` accepts every ROLLBACK n (available += n, total += n), so
+    a rollback can be repeated and its amount isn't checked.
     """
     n = partitions or _shuffle_partitions(ledger.sparkSession)
     d = (ledger.select("sku", "seq", "op", "qty", "ts").join(opening, "sku", "left")
                .withColumn("opening", F.coalesce("opening", F.lit(0).cast("bigint")))
                .repartition(n, "sku").sortWithinPartitions("sku", "seq"))
-    return d.mapInPandas(_replay_batches, REPLAY_SCHEMA)
+    return d.mapInPandas(lambda batches: _replay_batches(batches, strict), REPLAY_SCHEMA)
 
 
 def balances(replayed: DataFrame) -> DataFrame:

@@ -97,6 +97,17 @@ def pair_cosine(pairs: DataFrame, emb: DataFrame, left: str, right: str, id_col:
     return j.withColumn("cosine", F.try_divide(dot, na * nb)).drop("_a", "_b")
 
 
+def embedding_neighbours(pairs: DataFrame, emb: DataFrame, n: int = 10) -> DataFrame:
+    """each item's ``n`` nearest items by embedding cosine among the given
+    pairs (item_i, item_j), both ways; ties to the smaller id."""
+    d = pair_cosine(pairs.where("item_i <> item_j").select("item_i", "item_j"), emb, "item_i", "item_j").where(F.col("cosine").isNotNull())
+    both = d.select(F.explode(F.array(F.struct(F.col("item_i").alias("item_id"), F.col("item_j").alias("neighbour")),
+                                      F.struct(F.col("item_j").alias("item_id"), F.col("item_i").alias("neighbour")))).alias("e"), "cosine")
+    w = Window.partitionBy("item_id").orderBy(F.desc("cosine"), F.asc("neighbour"))
+    return (both.select("e.item_id", "e.neighbour", "cosine").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+            .withColumn("rank", F.col("rank").cast("bigint")))
+
+
 def dimension_contributions(emb: DataFrame, k: int = 10) -> DataFrame:
     """Per dimension, mean |v_d * centroid(label)_d| over all
     vectors; top-k dimensions. Centroids are one row per label (bounded)."""
@@ -167,8 +178,31 @@ def fit_als(matrix: DataFrame, rank: int = 16, reg: float = 0.1, alpha: float =
     from pyspark.ml.recommendation import ALS
     als = ALS(userCol="user_id", itemCol="item_id", ratingCol="weight", implicitPrefs=True, rank=rank,
               regParam=reg, alpha=alpha, maxIter=max_iter, seed=seed, coldStartStrategy="drop")
-    return als.fit(matrix.withColumn("user_id", F.col("user_id").cast("int"))
-                         .withColumn("item_id", F.col("item_id").cast("int")))
+    return als.fit(matrix)
+
+
+def _dense(df: DataFrame, col: str) -> DataFrame:
+    """(col, _id): the distinct ids numbered from 1 (a distributed rank)."""
+    return global_rank(df.select(col).where(F.col(col).isNotNull()).distinct(), col, out="_id").select(col, F.col("_id").cast("int").alias("_id"))
+
+
+def als_top_n(matrix: DataFrame, candidates: DataFrame, n: int = 10, **params) -> DataFrame:
+    """M4: the ``n`` best candidates (user_id, item_id) of each user by ALS.
+    Only given candidates (the recall result) are scored, never every user
+    with every item. ALS takes 32-bit ids, so users and items are numbered
+    densely first; ids of any size are right. Output: user_id, rank (0-based),
+    item_id, rating."""
+    users, items = _dense(matrix, "user_id"), _dense(matrix, "item_id")
+
+    def coded(df: DataFrame) -> DataFrame:
+        u, i = users.withColumnRenamed("_id", "_u"), items.withColumnRenamed("_id", "_i")
+        return df.join(u, "user_id").join(i, "item_id").withColumnsRenamed({"user_id": "_user", "item_id": "_item", "_u": "user_id", "_i": "item_id"})
+
+    model = fit_als(coded(matrix).select("user_id", "item_id", "weight"), **params)
+    scored = model.transform(coded(candidates.select("user_id", "item_id").distinct()))
+    w = Window.partitionBy("_user").orderBy(F.desc("prediction"), F.asc("_item"))
+    top = scored.select("_user", "_item", "prediction").withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n)
+    return top.select(F.col("_user").alias("user_id"), (F.col("_r") - 1).cast("bigint").alias("rank"), F.col("_item").alias("item_id"), F.col("prediction").alias("rating"))
 
 
 def permuted(df: DataFrame, feature: str, id_col: str, seed: int = 42) -> DataFrame:

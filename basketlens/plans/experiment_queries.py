@@ -75,6 +75,17 @@ def assign_variants(fx):
     return ex.assign_variants(fx.users, fx.spark)
 
 
+@query("active_variants", views=("bounds", "assign"), extra_views=EXP_VIEWS, oracle="""
+SELECT b.experiment_id, b.variant, b.hi - b.weight AS lo, b.hi, count(a.user_id) AS users
+FROM bounds b LEFT JOIN assign a ON a.experiment_id = b.experiment_id AND a.variant = b.variant
+WHERE b.status = 'active' GROUP BY ALL""")
+def active_variants(fx):
+    """Variants of the active experiments, their range, and the users assigned to them."""
+    a = ex.assign_variants(fx.users, fx.spark).groupBy("experiment_id", "variant").agg(F.count("user_id").alias("users"))
+    v = ex.active_variants(fx.spark).select("experiment_id", "variant", F.col("lo").cast("bigint").alias("lo"), F.col("hi").cast("bigint").alias("hi"))
+    return v.join(a, ["experiment_id", "variant"], "left").withColumn("users", F.coalesce("users", F.lit(0).cast("bigint")))
+
+
 @query("user_variant_params", views=("assign", "cfg"), extra_views=EXP_VIEWS, oracle="""
 SELECT a.user_id, a.experiment_id, a.variant,
        CASE WHEN a.experiment_id = 'ranking_model_v2' THEN 'model' WHEN a.experiment_id = 'diversity_strategy'

@@ -9,10 +9,11 @@ from ..operators import asof as ao
 from ..operators import ml
 from ..operators import similarity as sm
 from ..operators.io import labelled_interactions
-from .recommend_queries import SCORED_SQL, _scored
+from ..sources.shared import materialize
+from .recommend_queries import SCORED_SQL, _candidates, _scored
 from .registry import query
 from .similarity_queries import COOC_SQL, POP_SQL, catalogue_popularity
-from .store_queries import _views
+from .store_queries import ITEM_DAILY, USER_DAILY, _views
 
 FEATURES = ["u_clicks", "u_purchases", "i_clicks", "i_purchases"]
 
@@ -154,36 +155,105 @@ def feature_importance(fx):
                     r6("mean_abs_contribution").alias("mean_abs_contribution"))
 
 
-def _training(fx):
+@query("embedding_neighbours", views=("behaviors",), oracle=f"""
+WITH c AS (
+  SELECT p.item_i, p.item_j,
+         list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))
+           / (sqrt(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[])))
+              * sqrt(list_dot_product(CAST(b.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])))) AS cosine
+  FROM ({COOC_SQL}) p JOIN embeddings a ON a.vec_id = p.item_i JOIN embeddings b ON b.vec_id = p.item_j
+  WHERE p.item_i <> p.item_j)
+SELECT item_id, neighbour, round(cosine, 6) AS cosine, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(cosine, 9) DESC, neighbour) AS rank
+  FROM (SELECT item_i AS item_id, item_j AS neighbour, cosine FROM c UNION ALL SELECT item_j, item_i, cosine FROM c))
+WHERE rank <= 10""")
+def embedding_neighbours(fx):
+    """top-10 items by embedding cosine among the co-purchased ones."""
+    pairs = materialize(sm.item_cooccurrence(fx.behaviors).select("item_i", "item_j"), "copurchased")
+    return ml.embedding_neighbours(pairs, fx.embeddings).withColumn("cosine", r6("cosine"))
+
+
+def _frame(fx):
+    """Labelled events with point-in-time features, category and split,
+    written once: fits and scores read it several times."""
     pit = ao.historical_features(labelled_interactions(fx.behaviors), _views(fx))
     items = fx.items.select("item_id", "category_id")
     d = ml.hash_split(pit.join(items, "item_id", "left"), "event_id")
-    return ml.training_matrix(d, FEATURES, ["category_id"])
-
-
-@query("training_matrix")
+    for c in FEATURES:
+        d = d.withColumn(c, F.coalesce(F.col(c).cast("double"), F.lit(0.0)))
+    return materialize(d.select("event_id", "user_id", "item_id", "label", "split", "category_id", *FEATURES), "training-frame")
+
+
+def _model(frame, max_iter: int = 10):
+    """(PipelineModel from raw columns to probabilities, feature model)."""
+    from pyspark.ml import PipelineModel
+    features, t = ml.training_matrix(frame, FEATURES, ["category_id"])
+    gbt = ml.fit_gbt(t.where(F.col("split") == "train"), max_iter=max_iter, max_depth=4)
+    return PipelineModel(stages=[features, gbt])
+
+
+_STANDARD = ", ".join(f"round((t.{c} - s.m_{c}) / s.d_{c}, 6) AS f_{c}" for c in [*FEATURES, "category"])
+_MOMENTS = ", ".join(f"avg({c}) AS m_{c}, stddev_samp({c}) AS d_{c}" for c in [*FEATURES, "category"])
+
+
+@query("training_matrix", views=("behaviors", "items"), oracle=f"""
+WITH e AS (SELECT event_id, user_id, item_id, ts AS event_timestamp, CASE WHEN action = 'purchase' THEN 1 ELSE 0 END AS label,
+                  CASE WHEN CAST(CAST('0x' || md5(CAST(event_id AS VARCHAR) || ':42') AS UHUGEINT) % CAST(100 AS UHUGEINT) AS BIGINT) < 80
+                       THEN 'train' ELSE 'test' END AS split FROM behaviors),
+ud AS ({USER_DAILY}), idl AS ({ITEM_DAILY}),
+f AS (SELECT e.event_id, e.label, e.split, i.category_id,
+  coalesce(CASE WHEN ud.event_timestamp > e.event_timestamp - INTERVAL 30 DAY THEN ud.u_clicks END, 0)::DOUBLE AS u_clicks,
+  coalesce(CASE WHEN ud.event_timestamp > e.event_timestamp - INTERVAL 30 DAY THEN ud.u_purchases END, 0)::DOUBLE AS u_purchases,
+  coalesce(CASE WHEN idl.event_timestamp > e.event_timestamp - INTERVAL 7 DAY THEN idl.i_clicks END, 0)::DOUBLE AS i_clicks,
+  coalesce(CASE WHEN idl.event_timestamp > e.event_timestamp - INTERVAL 7 DAY THEN idl.i_purchases END, 0)::DOUBLE AS i_purchases
+  FROM e LEFT JOIN items i ON i.item_id = e.item_id
+         ASOF LEFT JOIN ud ON e.user_id = ud.user_id AND e.event_timestamp >= ud.event_timestamp
+         ASOF LEFT JOIN idl ON e.item_id = idl.item_id AND e.event_timestamp >= idl.event_timestamp),
+codes AS (SELECT category_id, row_number() OVER (ORDER BY count(*) DESC, category_id) - 1 AS code FROM f WHERE split = 'train' GROUP BY category_id),
+t AS (SELECT f.*, coalesce(codes.code, (SELECT count(*) FROM codes))::DOUBLE AS category FROM f LEFT JOIN codes USING (category_id)),
+s AS (SELECT {_MOMENTS} FROM t WHERE split = 'train')
+SELECT t.event_id, t.label, t.split, {_STANDARD} FROM t, s""")
 def training_matrix(fx):
-    """M1: encoded, standardised training matrix (fit on the train split)."""
+    """M1: encoded (by train frequency), standardised training matrix (fit on
+    the train split), as columns f_*."""
     from pyspark.ml.functions import vector_to_array
-    _, t = _training(fx)
-    return t.select("event_id", "label", "split", vector_to_array("features").alias("features"))
+    _, t = ml.training_matrix(_frame(fx), FEATURES, ["category_id"])
+    v = t.withColumn("v", vector_to_array("features"))
+    return v.select("event_id", "label", "split", *[F.round(F.col("v")[i], 6).alias(f"f_{c}") for i, c in enumerate([*FEATURES, "category"])])
 
 
 @query("ctr_model_scores")
 def ctr_model_scores(fx):
     """M3/M6: GBT trained on the train split, scores on the test split."""
-    _, t = _training(fx)
-    model = ml.fit_gbt(t.where(F.col("split") == "train"), max_iter=10, max_depth=4)
-    s = ml.positive_probability(model, t.where(F.col("split") == "test"))
+    frame = _frame(fx)
+    s = ml.positive_probability(_model(frame), frame.where(F.col("split") == "test"))
     return s.select("event_id", "label", "score")
 
 
+@query("model_scored_candidates")
+def model_scored_candidates(fx):
+    """M6: the recall candidates scored by the CTR model on the users' and
+    items' latest daily features (the popularity fallback is
+    ``score_candidates``)."""
+    cands, pop = _candidates(fx)
+    user, item = (ao.latest_rows(v.df, v.keys, "event_timestamp").select(*v.keys, *v.features) for v in _views(fx))
+    rows = (cands.join(user, "user_id", "left").join(item, "item_id", "left")
+            .join(pop.select("item_id", "category_id", "popularity_score"), "item_id", "left"))
+    for c in FEATURES:
+        rows = rows.withColumn(c, F.coalesce(F.col(c).cast("double"), F.lit(0.0)))
+    s = ml.positive_probability(_model(_frame(fx)), rows)
+    return s.select("user_id", "item_id", "path", "category_id", "score")
+
+
+@query("permutation_importance")
+def permutation_importance(fx):
+    """M5: AUC drop on the test split when one feature is permuted."""
+    frame = _frame(fx)
+    test = frame.where(F.col("split") == "test").select("event_id", "label", "category_id", *FEATURES)
+    return ml.permutation_importance(_model(frame), test, FEATURES, "event_id")
+
+
 @query("als_recommendations")
 def als_recommendations(fx):
-    """M4: implicit ALS top-10 items per user."""
-    model = ml.fit_als(ml.interaction_matrix(fx.behaviors))
-    recs = model.recommendForAllUsers(10)
-    return recs.select(F.col("user_id").cast("bigint").alias("user_id"),
-                       F.posexplode("recommendations").alias("rank", "r")).select(
-        "user_id", F.col("rank").cast("bigint").alias("rank"), F.col("r.item_id").cast("bigint").alias("item_id"),
-        F.col("r.rating").alias("rating"))
+    """M4: implicit ALS top-10 of each user's recall candidates."""
+    return ml.als_top_n(ml.interaction_matrix(fx.shared_behaviors), _candidates(fx)[0], 10)

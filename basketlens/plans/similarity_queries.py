@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.exprs import r6
 from ..operators import features as ft
 from ..operators import similarity as sm
+from ..sources.shared import materialize
 from .registry import query
 
 COOC_SQL = """
@@ -65,7 +66,8 @@ JOIN (SELECT item_i, sum(cooccurrence) AS n FROM ({COOC_SQL}) GROUP BY item_i) a
 JOIN (SELECT item_i, sum(cooccurrence) AS n FROM ({COOC_SQL}) GROUP BY item_i) b ON b.item_i = p.item_j""")
 def item_similarity_left(fx):
     """J2 (reference form): left-side marginals only."""
-    return sm.item_similarity_left(sm.item_cooccurrence(fx.behaviors))
+    pairs = materialize(sm.item_cooccurrence(fx.behaviors), "cooccurrence")  # read for the pairs and both counts
+    return sm.item_similarity_left(pairs)
 
 
 @query("similar_topn", views=("behaviors",), oracle=f"""

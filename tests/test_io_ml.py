@@ -95,12 +95,18 @@ def test_gbt_grid_search_and_permutation_importance(spark):
     assert {r.feature for r in imp.collect()} == set(feats)
 
 
-def test_als_recommends_known_items(spark):
+def test_als_scores_only_candidates_and_takes_large_ids(spark):
     fx = Fixtures(spark, SF_SMALL)
-    m = ml.interaction_matrix(fx.behaviors)
-    model = ml.fit_als(m, rank=4, max_iter=3)
-    recs = model.recommendForAllUsers(5)
-    assert recs.count() > 0
+    big = 5_000_000_000
+    m = ml.interaction_matrix(fx.behaviors).withColumn("user_id", F.col("user_id") + big).withColumn("item_id", F.col("item_id") + big)
+    cands = m.where("weight > 2").select("user_id", "item_id")
+    recs = ml.als_top_n(m, cands, 5, rank=4, max_iter=3).collect()
+    allowed = {(r.user_id, r.item_id) for r in cands.collect()}
+    assert recs and {(r.user_id, r.item_id) for r in recs} <= allowed
+    per = {}
+    for r in sorted(recs, key=lambda r: (r.user_id, r["rank"])):
+        per.setdefault(r.user_id, []).append((r["rank"], -r.rating))
+    assert all([k for k, _ in v] == list(range(len(v))) and [s for _, s in v] == sorted(s for _, s in v) and len(v) <= 5 for v in per.values())
 
 
 def test_permuted_keeps_every_row_and_value(spark):

@@ -8,7 +8,8 @@ concatenates the vocabulary strings (with a space between, as a file without
 a decoder asks for).
 
 Edge cases: a null text is the empty text (no ids, empty decoded text); texts
-of any length are encoded whole; repeated rows and extra columns are kept.
+of any length are encoded whole; repeated rows and extra columns are kept,
+but a column that has the name of an output column is replaced.
 """
 
 from __future__ import annotations
@@ -16,7 +17,6 @@ from __future__ import annotations
 import hashlib
 import json
 import unicodedata
-from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
 import numpy as np
@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import add_columns
+
 #: Words remembered by one worker; beyond it the memory is emptied and refilled.
 CACHE_WORDS = 400_000
 CACHE_WORD_CHARS = 64
@@ -178,11 +180,6 @@ def _source(df: DataFrame, path: str):
     return df.sparkSession.sparkContext.broadcast((hashlib.sha256(text.encode()).hexdigest(), text))
 
 
-def _free_name(df: DataFrame, name: str) -> None:
-    if name in df.columns:
-        raise ValueError(f"the output column {name!r} is already in the table; rename one of them")
-
-
 def _lists(ids: list[np.ndarray]) -> pa.ListArray:
     ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int32), *ids])))
@@ -193,37 +190,25 @@ def encode(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids
 
     Null and empty texts get an empty array. A map-only job: nothing is
     shuffled, memory is one Arrow batch and the word memory."""
-    _free_name(df, ids_col)
     source = _source(df, path)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def ids(texts: pa.Array) -> list[pa.Array]:
         codec = _codec(source)
-        for batch in batches:
-            column = batch.column(batch.schema.get_field_index(text_col))
-            for at in range(0, batch.num_rows, 256):  # few rows at a time: long texts make long lists
-                part = batch.slice(at, 256)
-                ids = [codec.encode(x.as_py()).astype(np.int32) for x in column.slice(at, 256)]
-                yield pa.RecordBatch.from_arrays([*part.columns, _lists(ids)], names=[*part.schema.names, ids_col])
+        return [_lists([codec.encode(x.as_py()).astype(np.int32) for x in texts])]
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType()))]))
+    return add_columns(df, [text_col], [T.StructField(ids_col, T.ArrayType(T.IntegerType()))], ids)
 
 
 def decode(df: DataFrame, path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     """``df`` (all columns) with ``text_col``, the text of the ids in
     ``ids_col`` (null ids: empty text)."""
-    _free_name(df, text_col)
     source = _source(df, path)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def texts(lists: pa.Array) -> list[pa.Array]:
         codec = _codec(source)
-        for batch in batches:
-            column = batch.column(batch.schema.get_field_index(ids_col))
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                texts = [codec.decode(x.values.to_numpy() if x.is_valid else []) for x in column.slice(at, 256)]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, text_col])
+        return [pa.array([codec.decode(x.values.to_numpy() if x.is_valid else []) for x in lists], pa.string())]
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(text_col, T.StringType())]))
+    return add_columns(df, [ids_col], [T.StructField(text_col, T.StringType())], texts)
 
 
 def digests(df: DataFrame, path: str, text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -232,25 +217,17 @@ def digests(df: DataFrame, path: str, text_col: str = "text", with_ids: bool = F
     asked for. Encodes and decodes in one pass."""
     new = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
     new += [T.StructField("ids", T.ArrayType(T.IntegerType()))] * with_ids
-    for f in new:
-        _free_name(df, f.name)
     source = _source(df, path)
-    rest = [c for c in df.columns if c != text_col]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def made(texts: pa.Array) -> list[pa.Array]:
         codec = _codec(source)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                n, ids_sha, text_sha, kept = [], [], [], []
-                for x in part.column(part.schema.get_field_index(text_col)):
-                    ids = codec.encode(x.as_py())
-                    n.append(len(ids))
-                    ids_sha.append(hashlib.sha256(ids).hexdigest())
-                    text_sha.append(hashlib.sha256(codec.decode(ids).encode("utf-8")).hexdigest())
-                    kept += [ids.astype(np.int32)] * with_ids
-                columns = [*(part.column(part.schema.get_field_index(c)) for c in rest), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
-                columns += [_lists(kept)] * with_ids
-                yield pa.RecordBatch.from_arrays(columns, names=[*rest, *(f.name for f in new)])
-
-    return df.withColumn(text_col, F.col(text_col).cast("string")).mapInArrow(run, T.StructType([*(df.schema[c] for c in rest), *new]))
+        n, ids_sha, text_sha, kept = [], [], [], []
+        for x in texts:
+            ids = codec.encode(x.as_py())
+            n.append(len(ids))
+            ids_sha.append(hashlib.sha256(ids).hexdigest())
+            text_sha.append(hashlib.sha256(codec.decode(ids).encode("utf-8")).hexdigest())
+            kept += [ids.astype(np.int32)] * with_ids
+        return [pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string()), *([_lists(kept)] * with_ids)]
+
+    return add_columns(df.withColumn(text_col, F.col(text_col).cast("string")), [text_col], new, made, drop=(text_col,))

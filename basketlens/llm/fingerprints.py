@@ -36,6 +36,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import add_columns
+
 ID_LANES, LIKE_LANES = 32, 256
 #: Word hashes remembered by one worker.
 MEMORY_WORDS = 300_000
@@ -127,16 +129,8 @@ class Fingerprint:
 
 def fingerprints(df: DataFrame, text_col: str = "text", out_col: str = "fingerprint") -> DataFrame:
     """``df`` with the fingerprint of ``text_col`` (a map-only job)."""
-    if out_col in df.columns:
-        raise ValueError(f"the output column {out_col!r} is already in the table; rename one of them")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.schema.get_field_index(text_col)
-            prints = [str(Fingerprint.of(x.as_py())) for x in batch.column(at)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(prints, pa.string())], names=[*batch.schema.names, out_col])
-
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out_col, T.StringType())]))
+    return add_columns(df, [text_col], [T.StructField(out_col, T.StringType())],
+                       lambda texts: [pa.array([str(Fingerprint.of(x.as_py())) for x in texts], pa.string())])
 
 
 def edited(text: str, following: str) -> str:
@@ -172,15 +166,12 @@ def with_following(docs: DataFrame) -> DataFrame:
     if bounds:
         known = spark.sparkContext.broadcast(np.array(bounds, dtype=np.int64))
 
-        def bucket_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                at = batch.schema.get_field_index("doc_id")
-                x = batch.column(at)
-                b = np.searchsorted(known.value, x.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False), side="right")
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(b, pa.int64())], names=[*batch.schema.names, "bucket"])
+        def bucket_of(ids: pa.Array) -> list[pa.Array]:
+            x = ids.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
+            return [pa.array(np.searchsorted(known.value, x, side="right"), pa.int64())]
 
         def add(df):
-            return df.mapInArrow(bucket_of, T.StructType([*df.schema.fields, T.StructField("bucket", T.LongType())]))
+            return add_columns(df, ["doc_id"], [T.StructField("bucket", T.LongType())], bucket_of, rows=1000)
     else:
         def add(df):
             return df.withColumn("bucket", F.lit(0).cast("long"))

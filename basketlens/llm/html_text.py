@@ -21,7 +21,9 @@ white space inside a line becomes one space.
 Edge cases: null and empty pages, and pages without text, give the empty
 text; an element that is never closed ends where its parent does, a noise
 element that is never closed at the next block; broken tags and stray ``<``
-are text or skipped, never an error; pages of any length are read whole.
+are text or skipped, never an error; pages of any length are read whole;
+repeated rows and extra columns are kept, but one that has the name of the
+output column is replaced.
 """
 
 from __future__ import annotations
@@ -35,6 +37,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .common import add_columns
+
 WINDOW = 3
 SURGE = 60
 LINK_SHARE = 0.6
@@ -227,12 +231,5 @@ def extract(page: str | None) -> str:
 
 def extract_text(df: DataFrame, html_col: str = "html", text_col: str = "text") -> DataFrame:
     """``df`` (all columns) with the main text of ``html_col``: a map-only job."""
-    if text_col in df.columns:
-        raise ValueError(f"the output column {text_col!r} is already in the table; rename one of them")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [extract(x.as_py()) for x in batch.column(batch.schema.get_field_index(html_col))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, text_col])
-
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(text_col, T.StringType())]))
+    return add_columns(df, [html_col], [T.StructField(text_col, T.StringType())],
+                       lambda pages: [pa.array([extract(x.as_py()) for x in pages], pa.string())])

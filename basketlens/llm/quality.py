@@ -21,7 +21,9 @@ texts.
 
 Edge cases: null and empty texts have measures like any other (all zero);
 rows of ``labels`` that repeat an id or have null labels are reduced to the
-largest label or ignored; without positives every text scores 0.5.
+largest label or ignored; without positives every text scores 0.5; repeated
+rows and extra columns are kept, but one that has the name of the score
+column is replaced.
 """
 
 from __future__ import annotations
@@ -34,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import add_columns
 from .texthash import Chunk, constants, mix, word_chunks
 
 SAMPLE_POSITIVE = 12_000
@@ -255,16 +258,9 @@ def fit(docs: DataFrame, positives: DataFrame) -> Model:
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """``docs`` (all columns) with the score of each whole text, 0 to 1."""
-    if score_col in docs.columns:
-        raise ValueError(f"the output column {score_col!r} is already in the table; rename one of them")
     known = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            s = known.value.scores(batch.column(batch.schema.get_field_index(text_col)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s, pa.float64())], names=[*batch.schema.names, score_col])
-
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(score_col, T.DoubleType())]))
+    return add_columns(docs, [text_col], [T.StructField(score_col, T.DoubleType())],
+                       lambda texts: [pa.array(known.value.scores(texts), pa.float64())], rows=1000)
 
 
 def trusted_positives(labels: DataFrame, held_out) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..session import ship_package
 from ..sources.tables import read_table
 from . import ann, bpe, fingerprints, html_text, jaccard_join, mixing, quality, toxicity, url_filter, warc
-from .common import crc_remainder, materialize
+from .common import crc_remainder, materialize, prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -45,6 +45,7 @@ def _query(name: str, oracle: str | None = None):
     def register(fn: Callable[[SparkSession, str], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             ship_package(spark)
+            prepare(spark)
             return fn(spark, sf_dir)
         run.__name__, run.__doc__ = name, fn.__doc__
         QUERIES[name] = run

@@ -21,7 +21,8 @@ Scoring is a map-only job over whole texts.
 
 Edge cases: null, empty and wordless texts have no match and get the score of
 a clean text; repeated labels of an id count by their largest; without toxic
-labels every text scores 0.
+labels every text scores 0; repeated rows and extra columns are kept, but one
+that has the name of the score column is replaced.
 """
 
 from __future__ import annotations
@@ -40,6 +41,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import add_columns
+
 SAMPLE_TOXIC, SAMPLE_CLEAN = 5_000, 10_000
 MAX_CANDIDATES = 20_000
 MAX_PATTERNS = 4_000
@@ -291,13 +294,6 @@ def _learned(sample: DataFrame, n: dict[int, int], exceptions: Iterable[str]) ->
 def score(docs: DataFrame, lexicon: Lexicon, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """``docs`` (all columns) with the score of each whole text, 0 to 1. The
     lexicon is broadcast (at most MAX_PATTERNS patterns and the exceptions)."""
-    if score_col in docs.columns:
-        raise ValueError(f"the output column {score_col!r} is already in the table; rename one of them")
     known = docs.sparkSession.sparkContext.broadcast(lexicon)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            s = [known.value.score(x.as_py()) for x in batch.column(batch.schema.get_field_index(text_col))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s, pa.float64())], names=[*batch.schema.names, score_col])
-
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(score_col, T.DoubleType())]))
+    return add_columns(docs, [text_col], [T.StructField(score_col, T.DoubleType())],
+                       lambda texts: [pa.array([known.value.score(x.as_py()) for x in texts], pa.float64())], rows=1000)

@@ -9,17 +9,20 @@ that ends a rule's host, the segments of the path are walked.
 Edge cases: a null url, or one without ``://``, has an empty host and path
 and fits no rule; it gets the default verdict (allow: the lists only say
 what they name). Host labels are compared after lower-casing A-Z; a port is
-part of the host, as written.
+part of the host, as written. Repeated rows and extra columns are kept; a
+column called host, path, rule or verdict is replaced.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .common import add_columns
+
 #: The trie is broadcast: beyond so many rules it is refused.
 MAX_RULES = 1_000_000
 _LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
@@ -84,20 +87,14 @@ def judge(df: DataFrame, rules: Iterable[tuple[str, str, str]], url_col: str = "
     """``df`` with host, path, rule (null: none fits) and verdict. The rules
     are a list kept by the caller, checked against MAX_RULES and broadcast;
     a map-only job."""
-    new = ["host", "path", "rule", "verdict"]
-    if clash := [c for c in new if c in df.columns]:
-        raise ValueError(f"output columns {clash} are already in the table; rename them")
     trie = df.sparkSession.sparkContext.broadcast(RuleTrie(rules, default))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = trie.value
-        for batch in batches:
-            out: list[list] = [[], [], [], []]
-            for url in batch.column(batch.schema.get_field_index(url_col)).to_pylist():
-                host, path = split_url(url)
-                best = t.match(host, path)
-                for column, x in zip(out, (host, path, best and best[2], best[1] if best else t.default)):
-                    column.append(x)
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, pa.string()) for c in out)], names=[*batch.schema.names, *new])
-
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, *(T.StructField(c, T.StringType()) for c in new)]))
+    def verdicts(urls: pa.Array) -> list[pa.Array]:
+        t, out = trie.value, []
+        for url in urls.to_pylist():
+            host, path = split_url(url)
+            best = t.match(host, path)
+            out.append((host, path, best and best[2], best[1] if best else t.default))
+        return [pa.array(column, pa.string()) for column in (zip(*out) if out else ([],) * 4)]
+
+    return add_columns(df, [url_col], [T.StructField(c, T.StringType()) for c in ("host", "path", "rule", "verdict")], verdicts, rows=1000)

@@ -18,7 +18,7 @@ that Spark commits, lists only those of successful attempts.
 Edge cases: a null html is an empty payload; a null url is left out; a null
 page_id is written as such and read back as null; all rows of the largest
 page_id of a group of equal payloads are responses; an empty table gives an
-empty manifest and no records.
+empty manifest and no records; a damaged or truncated record is an error.
 """
 
 from __future__ import annotations
@@ -45,6 +45,7 @@ GZIP_LEVEL = 3
 READ_BYTES = 1 << 18
 
 MAGIC = b"\x1f\x8b\x08"  # fixed value: RFC 1952, deflate
+START = b"WARC/"  # fixed value: how a record begins
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"  # fixed value: WARC 1.1
 MANIFEST = "path string, bytes long, records long"
 RECORDS = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
@@ -197,26 +198,27 @@ def scan_range(source, size: int, start: int, end: int) -> Iterator[bytes]:
 
 def _member(fill, at: int, size: int) -> tuple[bytes | None, int]:
     """The record of the gzip member at ``at`` and the offset behind it;
-    (None, ...) if no WARC record begins there."""
-    z, parts, got, offset = zlib.decompressobj(31), [], 0, at
-    while True:
+    (None, ...) if no WARC record begins there. A member that begins like a
+    record but is damaged or cut off raises an error."""
+    probe, head, offset = zlib.decompressobj(31), b"", at
+    try:
+        while len(head) < len(START) and not probe.eof and (data := fill(offset, 64)):
+            head += probe.decompress(data[:64], len(START) - len(head))
+            if probe.unconsumed_tail:
+                break
+            offset += min(64, len(data))
+    except zlib.error:
+        return None, at
+    if head != START:
+        return None, at
+    z, parts, offset = zlib.decompressobj(31), [], at
+    while not z.eof:
         data = fill(offset, 1)
         if not data:
-            return None, at
-        try:
-            piece = z.decompress(data)
-        except zlib.error:
-            if got >= 5:
-                raise  # a WARC header has been read: the member is damaged
-            return None, at
-        parts.append(piece)
-        got += len(piece)
-        if got >= 5 and not b"".join(parts[:2])[:5].startswith(b"WARC/") and not b"".join(parts)[:5] == b"WARC/":
-            return None, at
+            raise ValueError(f"the record at byte {at} is cut off")
+        parts.append(z.decompress(data))
         offset += len(data) - len(z.unused_data)
-        if z.eof:
-            record = b"".join(parts)
-            return (record, offset) if record.startswith(b"WARC/") and b"\r\n\r\n" in record else (None, at)
+    return b"".join(parts), offset
 
 
 def read(manifest: DataFrame, split_bytes: int = SPLIT_BYTES, payloads: bool = True) -> DataFrame:

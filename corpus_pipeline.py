@@ -12,7 +12,8 @@ shared storage between them (a lost executor costs part of one stage).
 5. tokens: ids of every document, with its position in the mix.
 
 Edge cases: null and empty texts are scored, never linked with others, and
-have no tokens; an empty table passes through all stages.
+have no tokens; an empty table passes through all stages; columns beyond
+those of ``documents`` are kept up to the mixture, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from basketlens.llm import bpe, jaccard_join, mixing, quality, toxicity
-from basketlens.llm.common import crc_remainder, materialize
+from basketlens.llm.common import crc_remainder, free_name, materialize, prepare
 from basketlens.llm.queries import MIX_BLOCK, MIX_EXPONENT, vocabulary_path
 from basketlens.session import ship_package
 from basketlens.sources.tables import read_table
@@ -33,36 +34,34 @@ ORACLE_SQL = None
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a quality score of at least the threshold."""
-    ship_package(spark)
     held_out = crc_remainder(F.col("doc_id"), 5) == 0
     model = quality.fit(docs, quality.trusted_positives(read_table(spark, sf_dir, "labels"), held_out))
-    return quality.score(docs, model, score_col="_score").where(F.col("_score") >= quality.THRESHOLD).select(*docs.columns)
+    score = free_name(docs, "score")
+    return quality.score(docs, model, score_col=score).where(F.col(score) >= quality.THRESHOLD).select(*docs.columns)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score below the threshold."""
-    ship_package(spark)
     held_out = crc_remainder(F.col("doc_id"), 4) == 2
     lexicon = toxicity.learn(docs, read_table(spark, sf_dir, "labels").where(~held_out))
-    return toxicity.score(docs, lexicon, score_col="_score").where(F.col("_score") < toxicity.THRESHOLD).select(*docs.columns)
+    score = free_name(docs, "score")
+    return toxicity.score(docs, lexicon, score_col=score).where(F.col(score) < toxicity.THRESHOLD).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
-    ship_package(spark)
     return jaccard_join.keep_one(docs, words=5, percent=80)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents in the order of the mix of their sources."""
-    mixed = mixing.mix(docs, mixing.temperature_weights(docs, MIX_EXPONENT), block_rows=MIX_BLOCK)
-    return mixing.in_order(mixed, int(spark.conf.get("spark.sql.shuffle.partitions"))).select(*docs.columns)
+    rows = mixing.scheduled(docs, mixing.temperature_weights(docs, MIX_EXPONENT), block_rows=MIX_BLOCK)
+    return mixing.in_order(rows, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document; position is its place in the mix (from 0;
     null if ``docs`` isn't a scan of part files)."""
-    ship_package(spark)
     rows = docs.select("doc_id", "lang", "source", "text")
     try:
         part = F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("int")
@@ -76,13 +75,22 @@ def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return bpe.digests(rows, vocabulary_path(), with_ids=True)
 
 
-STAGES = [
+def _stage(fn):
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ship_package(spark)
+        prepare(spark)
+        return fn(spark, docs, sf_dir)
+    run_stage.__name__, run_stage.__doc__ = fn.__name__, fn.__doc__
+    return run_stage
+
+
+STAGES = [(name, _stage(fn)) for name, fn in (
     ("quality", keep_good),
     ("toxicity", drop_toxic),
     ("near_duplicates", drop_near_duplicates),
     ("mixture", mix_sources),
     ("tokens", encode_tokens),
-]
+)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

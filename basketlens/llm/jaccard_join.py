@@ -11,10 +11,10 @@ compared, exactly.
 
 Steps, each a Spark job whose result is a table on shared storage:
 
-1. sizes, set hashes and token counts. Counts are kept in CELLS cells (a
-   bounded array for each task, summed by cell range), so they cost the same
-   for any vocabulary. They only decide the order, so the error that a shared
-   cell causes can't lose a pair.
+1. sizes, set hashes and token counts. Counts are kept in CELL_ROWS rows of
+   cells (a bounded array for each task, summed by cell range), so they cost
+   the same for any vocabulary. They only decide the order, so the error that
+   a shared cell causes can't lose a pair.
 2. one representative (the smallest id) for every distinct set: copies are
    linked through it, and never compared.
 3. prefixes under the first order; tokens in the prefixes of two or more
@@ -41,6 +41,7 @@ link graph; a null id is linked with nothing and has a null component.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,11 +49,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import BROADCAST_IDS, materialize, rows_of
 from .texthash import constants, mix, word_chunks
 
-CELLS_LOG2 = 19          # cells of the token counts: 2**19
-CELL_RANGE = 4096        # cells that one row of partial counts holds
+CELLS_LOG2 = 20          # cells of a row of the token counts: 2**20
+CELL_ROWS = 4            # rows; the least of a token's cells counts
+CELL_RANGE = 1 << 15     # cells that one row of partial counts holds
 BLOCK = 512              # members of a token's group in one block of step 5
 _U = np.uint64
 _PLACE = constants(64, 5)
@@ -83,6 +85,10 @@ def shingle_sets(column: pa.Array, words: int) -> Iterator[np.ndarray]:
                 yield empty
 
 
+def _set_hash(tokens: np.ndarray, which: int) -> np.uint64:
+    return mix(tokens ^ _PLACE[which]).sum(dtype=np.uint64)
+
+
 def least_common(n, m, percent: int):
     """Smallest overlap of sets of n and m members that are similar enough."""
     return -((-percent * (n + m)) // (100 + percent))
@@ -93,10 +99,22 @@ def prefix_length(n: int, percent: int) -> int:
     return n - (-((-percent * n) // 100)) + 1
 
 
+def _cell_ids(tokens: np.ndarray) -> Iterator[np.ndarray]:
+    """The cell of each token in each row: other bits of its hash, and of that mixed again."""
+    mask = _U((1 << CELLS_LOG2) - 1)
+    bits = tokens
+    for row in range(CELL_ROWS):
+        if row % 3 == 0 and row:
+            bits = mix(bits ^ _PLACE[61])
+        yield ((bits >> _U(64 - CELLS_LOG2 * (row % 3 + 1))) & mask).astype(np.int64) + (row << CELLS_LOG2)
+
+
 def _ordered(tokens: np.ndarray, classes: np.ndarray, order: int, size: int) -> np.ndarray:
     """The first ``size`` tokens under one of the orders, first to last."""
-    cls = classes[(tokens >> _U(64 - CELLS_LOG2)).astype(np.int64)].astype(np.uint64)
-    key = (cls << _U(58)) | (mix(tokens ^ _ORDER[order]) >> _U(6))
+    cls = None
+    for at in _cell_ids(tokens):
+        cls = classes[at] if cls is None else np.minimum(cls, classes[at])
+    key = (cls.astype(np.uint64) << _U(58)) | (mix(tokens ^ _ORDER[order]) >> _U(6))
     if size < len(key):
         few = np.argpartition(key, size - 1)[:size]
         return tokens[few[np.argsort(key[few], kind="stable")]]
@@ -108,76 +126,92 @@ def _lists(values: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *(v.view(np.int64) for v in values)])))
 
 
+def _halves(values: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, values)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int32), *((v >> _U(32)).astype(np.uint32).view(np.int32) for v in values)])))
+
+
 def _summaries(docs: DataFrame, words: int) -> DataFrame:
     """Per document: doc_id, n, s1, s2 (set hash); and, as rows with part and
     counts, each task's token counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.zeros(1 << CELLS_LOG2, dtype=np.int64)
+        cells = np.zeros(CELL_ROWS << CELLS_LOG2, dtype=np.int32)
         names = ["doc_id", "n", "s1", "s2", "part", "counts"]
+
+        def count(tokens: np.ndarray) -> None:
+            for row, at in enumerate(_cell_ids(tokens)):
+                cells[row << CELLS_LOG2 : (row + 1) << CELLS_LOG2] += np.bincount(at - (row << CELLS_LOG2), minlength=1 << CELLS_LOG2).astype(np.int32)
+
         for batch in batches:
             n, s1, s2, waiting, held = [], [], [], [], 0
             for tokens in shingle_sets(batch.column(1), words):
                 n.append(len(tokens))
-                s1.append(mix(tokens ^ _PLACE[62]).sum(dtype=np.uint64))
-                s2.append(mix(tokens ^ _PLACE[63]).sum(dtype=np.uint64))
-                waiting.append(tokens >> _U(64 - CELLS_LOG2))
+                s1.append(_set_hash(tokens, 62))
+                s2.append(_set_hash(tokens, 63))
+                waiting.append(tokens)
                 held += len(tokens)
-                if held >= 1 << 18:
-                    cells += np.bincount(np.concatenate(waiting).astype(np.int64), minlength=len(cells))
+                if held >= 1 << 20:
+                    count(np.concatenate(waiting))
                     waiting, held = [], 0
             if held:
-                cells += np.bincount(np.concatenate(waiting).astype(np.int64), minlength=len(cells))
+                count(np.concatenate(waiting))
             k = batch.num_rows
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(np.array(s1, np.uint64).view(np.int64)), pa.array(np.array(s2, np.uint64).view(np.int64)),
-                                              pa.nulls(k, pa.int32()), pa.nulls(k, pa.list_(pa.int64()))], names=names)
+                                              pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names=names)
         for at in range(0, len(cells), CELL_RANGE):
             some = cells[at : at + CELL_RANGE]
             if some.any():
-                yield pa.RecordBatch.from_arrays([*(pa.nulls(1, pa.int64()) for _ in range(4)), pa.array([at // CELL_RANGE], pa.int32()), pa.array([some.tolist()], pa.list_(pa.int64()))], names=names)
+                yield pa.RecordBatch.from_arrays([*(pa.nulls(1, pa.int64()) for _ in range(4)), pa.array([at // CELL_RANGE], pa.int32()), pa.array([zlib.compress(some.astype("<i4").tobytes(), 1)], pa.binary())], names=names)
 
-    return docs.mapInArrow(run, "doc_id long, n long, s1 long, s2 long, part int, counts array<long>")
+    return docs.mapInArrow(run, "doc_id long, n long, s1 long, s2 long, part int, counts binary")
 
 
 def _classes(counts: DataFrame) -> np.ndarray:
-    """Frequency class of every cell (a byte each: CELLS bytes reach the
-    driver, for a table of any size). Class 0: no more than a cell gets by
-    chance; then one class for every doubling."""
+    """Frequency class of every cell (eight bytes each reach the driver, for a
+    table of any size). Class 0: hardly more than a cell gets by chance; then
+    one class for every doubling."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for part, some in zip(batch.column(0).to_pylist(), batch.column(1)):
-                sums[part] = sums.get(part, 0) + some.values.to_numpy()
+                sums[part] = sums.get(part, 0) + np.frombuffer(zlib.decompress(some.as_py()), "<i4").astype(np.int64)
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.astype("<i8").tobytes() for x in sums.values()], pa.binary())], names=["part", "sums"])
 
-    cells = np.zeros(1 << CELLS_LOG2, dtype=np.int64)
+    cells = np.zeros(CELL_ROWS << CELLS_LOG2, dtype=np.int64)
     for row in counts.repartition("part").mapInArrow(add, "part int, sums binary").collect():
         cells[row["part"] * CELL_RANGE : (row["part"] + 1) * CELL_RANGE] = np.frombuffer(row["sums"], "<i8")
     usual = float(np.median(cells))
-    excess = (cells - usual) / (6.0 * np.sqrt(usual + 1.0))
-    return np.where(excess > 1, np.clip(np.floor(np.log2(np.maximum(excess, 1))) + 1, 0, 31), 0).astype(np.uint8)
+    out = np.zeros(len(cells), dtype=np.uint8)
+    for at in range(0, len(cells), 1 << 16):
+        excess = (cells[at : at + (1 << 16)] - usual) / (1.5 * np.sqrt(usual + 1.0))
+        out[at : at + (1 << 16)] = np.where(excess > 1, np.minimum(np.floor(np.log2(np.maximum(excess, 1))) + 1, 31), 0)
+    return out
 
 
 def _prefixes(docs: DataFrame, classes, words: int, percent: int) -> DataFrame:
-    """(doc_id, n, prefix) of texts with words, under the first order."""
+    """(doc_id, n, s1, prefix) of texts with words, under the first order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, n, prefix = [], [], []
+            at, n, s1, prefix = [], [], [], []
             for k, tokens in enumerate(shingle_sets(batch.column(1), words)):
                 if len(tokens):
                     at.append(k)
                     n.append(len(tokens))
+                    s1.append(_set_hash(tokens, 62))
                     prefix.append(_ordered(tokens, classes.value, 0, prefix_length(len(tokens), percent)))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(n, pa.int64()), _lists(prefix)], names=["doc_id", "n", "prefix"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(n, pa.int32()), pa.array(np.array(s1, np.uint64).view(np.int64)), _lists(prefix)],
+                                             names=["doc_id", "n", "s1", "prefix"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, prefix array<long>")
+    return docs.mapInArrow(run, "doc_id long, n int, s1 long, prefix array<long>")
 
 
 def _full_sets(docs: DataFrame, classes, words: int, percent: int) -> DataFrame:
-    """(node, n, tokens, p2, p3): the set and its prefixes under the other orders."""
+    """(node, n, tokens, p2, p3): the set and, as the upper halves of the
+    tokens, its prefixes under the other orders."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -185,14 +219,14 @@ def _full_sets(docs: DataFrame, classes, words: int, percent: int) -> DataFrame:
                 part = batch.slice(start, 512)
                 sets = list(shingle_sets(part.column(1), words))
                 p = [[_ordered(t, classes.value, o, prefix_length(len(t), percent)) if len(t) else t for t in sets] for o in (1, 2)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(t) for t in sets], pa.int64()), _lists(sets), *map(_lists, p)],
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(t) for t in sets], pa.int32()), _lists(sets), *map(_halves, p)],
                                                  names=["node", "n", "tokens", "p2", "p3"])
 
-    return docs.mapInArrow(run, "node long, n long, tokens array<long>, p2 array<long>, p3 array<long>")
+    return docs.mapInArrow(run, "node long, n int, tokens array<long>, p2 array<int>, p3 array<int>")
 
 
 def _size_ok(percent: int):
-    return F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * percent
+    return F.least("a_n", "b_n").cast("long") * 100 >= F.greatest("a_n", "b_n").cast("long") * percent
 
 
 def _needed(percent: int):
@@ -204,18 +238,26 @@ def _position_ok(percent: int):
     return F.least(F.col("a_n") - F.col("a_pos"), F.col("b_n") - F.col("b_pos")) >= _needed(percent)
 
 
+def _with_sets(pairs: DataFrame, sets: DataFrame, *columns: str) -> DataFrame:
+    """(a, b, x, y): the pairs with these columns of a's and of b's set. Few
+    pairs are broadcast (they are counted), so of the sets only what a pair
+    needs is shuffled, by pair."""
+    ends = pairs.select("a", "b", F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(True).alias("left")),
+                                                    F.struct(F.col("b").alias("node"), F.lit(False).alias("left")))).alias("e")).select("a", "b", "e.node", "e.left")
+    got = sets.select("node", F.struct(*columns).alias("s")).join(F.broadcast(ends) if pairs.count() <= BROADCAST_IDS else ends, "node")
+    return got.groupBy("a", "b").agg(F.first(F.when(F.col("left"), F.col("s")), ignorenulls=True).alias("x"),
+                                     F.first(F.when(~F.col("left"), F.col("s")), ignorenulls=True).alias("y"))
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose prefixes meet under the second and third order
     and whose sets are similar enough: a, b, common."""
-    def side(x: str) -> DataFrame:
-        return sets.select(F.col("node").alias(x), F.col("n").alias(f"{x}_n"), F.col("tokens").alias(f"{x}_t"), F.col("p2").alias(f"{x}_2"), F.col("p3").alias(f"{x}_3"))
-
-    common = F.size(F.array_intersect("a_t", "b_t"))
-    return (pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
-            .where(_size_ok(percent) & F.arrays_overlap("a_2", "b_2") & F.arrays_overlap("a_3", "b_3"))
-            .withColumn("common", common)
-            .where(F.col("common") * 100 >= (F.col("a_n") + F.col("b_n") - F.col("common")) * percent)
-            .select("a", "b", "common").distinct())
+    some = (_with_sets(pairs, sets, "n", "p2", "p3").select("a", "b", F.col("x.n").alias("a_n"), F.col("y.n").alias("b_n"), "x", "y")
+            .where(_size_ok(percent) & F.arrays_overlap("x.p2", "y.p2") & F.arrays_overlap("x.p3", "y.p3")).select("a", "b"))
+    some = materialize(some, "jj-candidates")
+    total = F.col("x.n").cast("long") + F.col("y.n")
+    return (_with_sets(some, sets, "n", "tokens").withColumn("common", F.size(F.array_intersect("x.tokens", "y.tokens")))
+            .where(F.col("common") * 100 >= (total - F.col("common")) * percent).select("a", "b", "common"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -263,13 +305,11 @@ def similar_links(docs: DataFrame, words: int = 4, percent: int = 85, prepared:
     sets that connect all similar documents: of a group of near copies, not
     every pair, but enough for the same components."""
     p = prepared or _Prepared(docs, words, percent)
-    nodes = p.reps.select(F.col("rep").alias("doc_id")).distinct()
-    prefixes = materialize(_prepared_prefixes(p), "jj-prefixes")
-    entries = (prefixes.join(nodes, "doc_id", "left_semi")
-               .select(F.col("doc_id").alias("node"), "n", F.posexplode("prefix").alias("pos", "token")))
-    shared = prefixes.select(F.col("doc_id").alias("node"), F.explode("prefix").alias("token")).groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
-    shared = shared.where("lo < hi").select("token")
-    entries = materialize(entries.join(shared, "token"), "jj-entries")
+    prefixes = materialize(_prefixes(p.docs.where("doc_id IS NOT NULL"), p.classes, p.words, p.percent), "jj-prefixes")
+    shared = prefixes.select("s1", F.explode("prefix").alias("token")).groupBy("token").agg(F.min("s1").alias("lo"), F.max("s1").alias("hi"))
+    shared = materialize(shared.where("lo <> hi").select("token"), "jj-shared")  # by two different sets
+    entries = prefixes.select(F.col("doc_id").alias("node"), "n", F.posexplode("prefix").alias("pos", "token"))
+    entries = materialize(entries.join(shared, "token").join(p.reps.select(F.col("rep").alias("node")), "node", "left_semi"), "jj-entries")
 
     # Step 4: within a band of sizes, the member with the fewest rarer tokens against the others.
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(-np.log(percent / 100.0) if percent < 100 else 1.0))
@@ -280,7 +320,7 @@ def similar_links(docs: DataFrame, words: int = 4, percent: int = 85, prepared:
             .where((F.col("a") != F.col("b")) & _size_ok(percent) & _position_ok(percent))
             .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     star = materialize(star, "jj-star-pairs")
-    sets = materialize(_full_sets(_texts(p, _ends(star)), p.classes, p.words, p.percent), "jj-sets")
+    sets = materialize(_full_sets(_texts(p, materialize(_ends(star), "jj-star-ids")), p.classes, p.words, p.percent), "jj-sets")
     first = materialize(_verified(star, sets, percent), "jj-star-links")
 
     # Step 5: members of a token's group that are not yet connected.
@@ -299,7 +339,7 @@ def similar_links(docs: DataFrame, words: int = 4, percent: int = 85, prepared:
             .where((F.col("a_node") < F.col("b_node")) & (F.col("a_component") != F.col("b_component")) & _size_ok(percent) & _position_ok(percent))
             .select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct())
     rest = materialize(rest.join(star, ["a", "b"], "left_anti"), "jj-rest-pairs")
-    more = _ends(rest).join(sets.select(F.col("node").alias("doc_id")), "doc_id", "left_anti")
+    more = materialize(_ends(rest).join(sets.select(F.col("node").alias("doc_id")), "doc_id", "left_anti"), "jj-more-ids")
     more = materialize(_full_sets(_texts(p, more), p.classes, p.words, p.percent), "jj-more-sets")
     second = _verified(rest, sets.unionByName(more), percent)
     return materialize(first.unionByName(second), "jj-links")
@@ -310,11 +350,7 @@ def _ends(pairs: DataFrame) -> DataFrame:
 
 
 def _texts(p: _Prepared, ids: DataFrame) -> DataFrame:
-    return p.docs.join(ids, "doc_id", "left_semi")
-
-
-def _prepared_prefixes(p: _Prepared) -> DataFrame:
-    return _prefixes(p.docs.where("doc_id IS NOT NULL"), p.classes, p.words, p.percent)
+    return rows_of(p.docs, ids)
 
 
 def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
@@ -336,11 +372,11 @@ def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` (all columns) without the near copies: of each component the
     document with the smallest id stays (of rows that repeat it, one). Rows
     without words, or without an id, stay."""
-    marked = jaccard_components(docs, words, percent)
-    gone = materialize(marked.where("n_shingles > 0 AND doc_id <> component_id").select("doc_id").distinct(), "jj-gone")
-    rest = docs.join(gone.withColumnRenamed("doc_id", "_gone"), F.col("doc_id") == F.col("_gone"), "left_anti")
-    twice = materialize(marked.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_twice")), "jj-repeated")
-    if twice.isEmpty():
-        return rest
-    again = rest.join(twice, F.col("doc_id") == F.col("_twice"), "left_semi").dropDuplicates(["doc_id"])
-    return rest.join(twice, F.col("doc_id") == F.col("_twice"), "left_anti").unionByName(again)
+    marked = materialize(jaccard_components(docs, words, percent).where("n_shingles > 0 AND doc_id IS NOT NULL"), "jj-marked")
+    copies = materialize(marked.where("doc_id <> component_id").select("doc_id").distinct(), "jj-copies")
+    rest = rows_of(docs, copies, without=True)
+    repeated = materialize(marked.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"), "jj-repeated")
+    if repeated.isEmpty():
+        return rest.select(*docs.columns)
+    again = rows_of(rest, repeated).dropDuplicates(["doc_id"])
+    return rows_of(rest, repeated, without=True).unionByName(again).select(*docs.columns)

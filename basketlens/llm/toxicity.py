@@ -47,7 +47,7 @@ SAMPLE_TOXIC, SAMPLE_CLEAN = 5_000, 10_000
 MAX_CANDIDATES = 20_000
 MAX_PATTERNS = 4_000
 LEAST_TEXTS = 6          # toxic texts that a pattern occurs in
-LEAST_G = 40.0           # its log-likelihood ratio statistic
+LEAST_G = 30.0           # its log-likelihood ratio statistic (or 1.2 for each toxic text, if they are few)
 LEAST_WEIGHT = 2.0       # its log odds ratio
 BEGINNINGS = range(4, 9)  # letters of a word beginning
 LONGEST_WORD = 40        # longer words are only matched by their beginnings
@@ -244,7 +244,7 @@ def _learned(sample: DataFrame, n: dict[int, int], exceptions: Iterable[str]) ->
     weight = F.log((a + 0.5) / (n_t - a + 0.5)) - F.log((b + 0.5) / (n_c - b + 0.5))
     rows = (_counted(sample, lambda t: patterns(fold(t)), "pattern").where(a >= min(LEAST_TEXTS, max(2, n_t // 10)))
             .select("pattern", weight.alias("weight"), _g(a, b, n_t, n_c).alias("g"))
-            .where((F.col("weight") >= LEAST_WEIGHT) & (F.col("g") >= min(LEAST_G, 4.0 + n_t / 10)))
+            .where((F.col("weight") >= LEAST_WEIGHT) & (F.col("g") >= min(LEAST_G, 1.2 * n_t)))
             .orderBy(F.desc("g"), F.length("pattern"), "pattern").limit(MAX_CANDIDATES).collect())
     weights: dict[str, float] = {}
     taken: set[str] = set()       # all beginnings of the chosen patterns

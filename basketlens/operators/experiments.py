@@ -18,17 +18,14 @@ from .asof import asof_join
 # The default experiment configuration (declared order matters
 # for the variant ranges).
 EXPERIMENTS = [
-    {"experiment_id": "ranking_model_v2", "name": "Ranking Model v2", "status": "active",
-     "start_date": "2024-01-01", "end_date": "2024-03-01",
+    {"experiment_id": "ranking_model_v2", "status": "active",
      "variants": [("control", 50, {"model": "xgboost_v1"}), ("treatment", 50, {"model": "xgboost_v2"})],
      "metrics": ["ctr", "purchase_rate", "revenue_per_user"]},
-    {"experiment_id": "diversity_strategy", "name": "diversity strategy", "status": "active",
-     "start_date": "2024-01-15", "end_date": "2024-02-15",
+    {"experiment_id": "diversity_strategy", "status": "active",
      "variants": [("control", 33, {"lambda": "0.5"}), ("treatment_a", 33, {"lambda": "0.3"}),
                   ("treatment_b", 34, {"lambda": "0.7"})],
      "metrics": ["ctr", "diversity_score", "session_length"]},
-    {"experiment_id": "cold_start_strategy", "name": "cold start strategy", "status": "draft",
-     "start_date": "2024-02-01", "end_date": "2024-03-01",
+    {"experiment_id": "cold_start_strategy", "status": "draft",
      "variants": [("control", 50, {"strategy": "popular"}), ("treatment", 50, {"strategy": "content_based"})],
      "metrics": ["new_user_ctr", "new_user_retention"]},
 ]
@@ -37,9 +34,7 @@ EXPERIMENTS = [
 METRIC_EVENTS = {"ctr": "click", "purchase_rate": "purchase", "revenue_per_user": "purchase_value"}
 
 CONFIG_SCHEMA = T.StructType([
-    T.StructField("experiment_id", T.StringType()), T.StructField("name", T.StringType()),
-    T.StructField("status", T.StringType()), T.StructField("start_date", T.StringType()),
-    T.StructField("end_date", T.StringType()),
+    T.StructField("experiment_id", T.StringType()), T.StructField("status", T.StringType()),
     T.StructField("variants", T.ArrayType(T.StructType([
         T.StructField("name", T.StringType()), T.StructField("weight", T.IntegerType()),
         T.StructField("params", T.MapType(T.StringType(), T.StringType()))]))),
@@ -48,8 +43,7 @@ CONFIG_SCHEMA = T.StructType([
 
 
 def experiments_df(spark: SparkSession, config: list[dict] = EXPERIMENTS) -> DataFrame:
-    rows = [(e["experiment_id"], e["name"], e["status"], e["start_date"], e["end_date"],
-             [(n, w, p) for n, w, p in e["variants"]], e["metrics"]) for e in config]
+    rows = [(e["experiment_id"], e["status"], [(n, w, p) for n, w, p in e["variants"]], e["metrics"]) for e in config]
     return spark.createDataFrame(rows, CONFIG_SCHEMA)
 
 

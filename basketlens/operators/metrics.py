@@ -56,6 +56,7 @@ def segment_summary(users: DataFrame, rates: DataFrame) -> DataFrame:
         F.avg("purchase_rate").alias("avg_purchase_rate"), F.avg("avg_order_value").alias("avg_order_value"))
 
 
+# Cohort labels and their limits in days.
 def cohort_labels(days_user: Column, days_item: Column) -> tuple[Column, Column]:
     """User cohort (<=7 new, <=30 medium, else old) and item cohort."""
     uc = (F.when(days_user <= 7, "new_user").when(days_user <= 30, "medium_user").otherwise("old_user"))

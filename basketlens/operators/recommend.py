@@ -7,8 +7,9 @@ recall (three paths) -> exclude -> score -> MMR re-rank -> cut -> reason.
   (scalar subquery over the top-k), so there is no cross join.
 * Every per-user array is bounded by the recall design (recent 6 x similar
   11 + popular 101 + top-3 categories x 31 candidates), never by the data.
-* MMR is a greedy, order-dependent fold; it runs natively as ``aggregate``
-  over the user's sorted candidate array (JVM, no Python worker).
+* MMR is a greedy, order-dependent fold; it runs over user-clustered Arrow
+  batches in ``mapInPandas``, all users of a batch at a time, or natively as
+  ``aggregate`` over the user's sorted candidate array (same result).
 """
 
 from __future__ import annotations
@@ -144,8 +145,8 @@ def mmr_rerank(scored: DataFrame, lam: Column | float = MMR_LAMBDA,
                max_select: int = MMR_MAX_SELECT, engine: str = "pandas") -> DataFrame:
     """Maximal Marginal Relevance per user.
 
-    ``engine="pandas"`` (default) runs the greedy loop per user with numpy in
-    a grouped-map ``applyInPandas``; ``engine="native"`` runs the same fold as
+    ``engine="pandas"`` (default) runs the greedy steps with numpy in
+    ``mapInPandas``; ``engine="native"`` runs the same fold as
     Spark higher-order functions (no Python worker, but interpreted lambdas).
     Both give identical output.
 

@@ -32,14 +32,21 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop_written(spark: SparkSession) -> int:
-    """Delete every table that ``materialize`` wrote in this process; call it
-    once the results that read them have been written. Returns their number."""
-    n = 0
-    while _WRITTEN:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
-        n += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
-    return n
+def written() -> int:
+    """How many tables ``materialize`` has written and not deleted."""
+    return len(_WRITTEN)
+
+
+def drop_written(spark: SparkSession, since: int = 0, keep: int = 0) -> int:
+    """Delete the tables that ``materialize`` wrote after the first ``since``,
+    but for the last ``keep``; call it when nothing will read them any more.
+    Returns their number."""
+    gone = _WRITTEN[since : len(_WRITTEN) - keep]
+    del _WRITTEN[since : len(_WRITTEN) - keep]
+    for name in gone:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return len(gone)
 
 
 #: Rows of an Arrow batch: texts are long, and a batch is held on both sides.

@@ -49,7 +49,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, materialize, rows_of
+from .common import BROADCAST_IDS, drop_written, materialize, rows_of, written
 from .texthash import constants, mix, word_chunks
 
 CELLS_LOG2 = 20          # cells of a row of the token counts: 2**20
@@ -209,20 +209,22 @@ def _prefixes(docs: DataFrame, classes, words: int, percent: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n int, s1 long, prefix array<long>")
 
 
-def _full_sets(docs: DataFrame, classes, words: int, percent: int) -> DataFrame:
-    """(node, n, tokens, p2, p3): the set and, as the upper halves of the
-    tokens, its prefixes under the other orders."""
+def _sets(p: _Prepared, ids: DataFrame, full: bool) -> DataFrame:
+    """(node, n, tokens) of the documents ``ids``; or (node, n, p2, p3), the
+    prefixes of their sets under the other orders, as the upper halves of the
+    tokens."""
+    words, percent, classes = p.words, p.percent, p.classes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
                 sets = list(shingle_sets(part.column(1), words))
-                p = [[_ordered(t, classes.value, o, prefix_length(len(t), percent)) if len(t) else t for t in sets] for o in (1, 2)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(t) for t in sets], pa.int32()), _lists(sets), *map(_halves, p)],
-                                                 names=["node", "n", "tokens", "p2", "p3"])
+                lists = [_lists(sets)] if full else [
+                    _halves([_ordered(t, classes.value, o, prefix_length(len(t), percent)) if len(t) else t for t in sets]) for o in (1, 2)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(t) for t in sets], pa.int32()), *lists], names=["node", "n", *(["tokens"] if full else ["p2", "p3"])])
 
-    return docs.mapInArrow(run, "node long, n int, tokens array<long>, p2 array<int>, p3 array<int>")
+    return rows_of(p.docs, ids).mapInArrow(run, "node long, n int, " + ("tokens array<long>" if full else "p2 array<int>, p3 array<int>"))
 
 
 def _size_ok(percent: int):
@@ -249,15 +251,22 @@ def _with_sets(pairs: DataFrame, sets: DataFrame, *columns: str) -> DataFrame:
                                      F.first(F.when(~F.col("left"), F.col("s")), ignorenulls=True).alias("y"))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _verified(p: _Prepared, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) whose prefixes meet under the second and third order
-    and whose sets are similar enough: a, b, common."""
-    some = (_with_sets(pairs, sets, "n", "p2", "p3").select("a", "b", F.col("x.n").alias("a_n"), F.col("y.n").alias("b_n"), "x", "y")
-            .where(_size_ok(percent) & F.arrays_overlap("x.p2", "y.p2") & F.arrays_overlap("x.p3", "y.p3")).select("a", "b"))
+    and whose sets are similar enough: a, b, common. Prefixes are made for all
+    ends of the pairs, whole sets only for those of the pairs that remain."""
+    ids = materialize(_ends(pairs), "jj-ids")
+    some = (_with_sets(pairs, _sets(p, ids, full=False), "n", "p2", "p3").select("a", "b", F.col("x.n").alias("a_n"), F.col("y.n").alias("b_n"), "x", "y")
+            .where(_size_ok(p.percent) & F.arrays_overlap("x.p2", "y.p2") & F.arrays_overlap("x.p3", "y.p3")).select("a", "b"))
     some = materialize(some, "jj-candidates")
+    ids = materialize(_ends(some), "jj-ids")
     total = F.col("x.n").cast("long") + F.col("y.n")
-    return (_with_sets(some, sets, "n", "tokens").withColumn("common", F.size(F.array_intersect("x.tokens", "y.tokens")))
-            .where(F.col("common") * 100 >= (total - F.col("common")) * percent).select("a", "b", "common"))
+    return (_with_sets(some, _sets(p, ids, full=True), "n", "tokens").withColumn("common", F.size(F.array_intersect("x.tokens", "y.tokens")))
+            .where(F.col("common") * 100 >= (total - F.col("common")) * p.percent).select("a", "b", "common"))
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -305,6 +314,7 @@ def similar_links(docs: DataFrame, words: int = 4, percent: int = 85, prepared:
     sets that connect all similar documents: of a group of near copies, not
     every pair, but enough for the same components."""
     p = prepared or _Prepared(docs, words, percent)
+    before = written()
     prefixes = materialize(_prefixes(p.docs.where("doc_id IS NOT NULL"), p.classes, p.words, p.percent), "jj-prefixes")
     shared = prefixes.select("s1", F.explode("prefix").alias("token")).groupBy("token").agg(F.min("s1").alias("lo"), F.max("s1").alias("hi"))
     shared = materialize(shared.where("lo <> hi").select("token"), "jj-shared")  # by two different sets
@@ -320,8 +330,7 @@ def similar_links(docs: DataFrame, words: int = 4, percent: int = 85, prepared:
             .where((F.col("a") != F.col("b")) & _size_ok(percent) & _position_ok(percent))
             .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     star = materialize(star, "jj-star-pairs")
-    sets = materialize(_full_sets(_texts(p, materialize(_ends(star), "jj-star-ids")), p.classes, p.words, p.percent), "jj-sets")
-    first = materialize(_verified(star, sets, percent), "jj-star-links")
+    first = materialize(_verified(p, star), "jj-star-links")
 
     # Step 5: members of a token's group that are not yet connected.
     found = materialize(components(first), "jj-star-components")
@@ -339,18 +348,9 @@ def similar_links(docs: DataFrame, words: int = 4, percent: int = 85, prepared:
             .where((F.col("a_node") < F.col("b_node")) & (F.col("a_component") != F.col("b_component")) & _size_ok(percent) & _position_ok(percent))
             .select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct())
     rest = materialize(rest.join(star, ["a", "b"], "left_anti"), "jj-rest-pairs")
-    more = materialize(_ends(rest).join(sets.select(F.col("node").alias("doc_id")), "doc_id", "left_anti"), "jj-more-ids")
-    more = materialize(_full_sets(_texts(p, more), p.classes, p.words, p.percent), "jj-more-sets")
-    second = _verified(rest, sets.unionByName(more), percent)
-    return materialize(first.unionByName(second), "jj-links")
-
-
-def _ends(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-
-
-def _texts(p: _Prepared, ids: DataFrame) -> DataFrame:
-    return rows_of(p.docs, ids)
+    links = materialize(first.unionByName(_verified(p, rest)), "jj-links")
+    drop_written(docs.sparkSession, before, keep=1)  # only the links are read from here on
+    return links
 
 
 def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
@@ -372,7 +372,9 @@ def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` (all columns) without the near copies: of each component the
     document with the smallest id stays (of rows that repeat it, one). Rows
     without words, or without an id, stay."""
+    before = written()
     marked = materialize(jaccard_components(docs, words, percent).where("n_shingles > 0 AND doc_id IS NOT NULL"), "jj-marked")
+    drop_written(docs.sparkSession, before, keep=1)
     copies = materialize(marked.where("doc_id <> component_id").select("doc_id").distinct(), "jj-copies")
     rest = rows_of(docs, copies, without=True)
     repeated = materialize(marked.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"), "jj-repeated")

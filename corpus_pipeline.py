@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from basketlens.llm import bpe, jaccard_join, mixing, quality, toxicity
-from basketlens.llm.common import crc_remainder, free_name, materialize, prepare
+from basketlens.llm.common import crc_remainder, drop_written, free_name, materialize, prepare, written
 from basketlens.llm.queries import MIX_BLOCK, MIX_EXPONENT, vocabulary_path
 from basketlens.session import ship_package
 from basketlens.sources.tables import read_table
@@ -96,6 +96,8 @@ STAGES = [(name, _stage(fn)) for name, fn in (
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tokens of the corpus made from ``sf_dir``'s documents."""
     docs = read_table(spark, sf_dir, "documents")
+    before = written()
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        drop_written(spark, before, keep=1)  # later stages read only this one
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -121,13 +121,19 @@ def number_within(df: DataFrame, key: str, bucket: Column, order: list[Column],
     over a whole key. ``bucket`` must not decrease along the order: rows are
     numbered inside (key, bucket) and shifted by the sizes of the key's
     earlier buckets (one summary row each)."""
-    d = df.withColumn("_b", bucket).repartition(key, "_b")   # shared by the numbering and the summary
-    sizes = d.groupBy(key, "_b").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(F.col(key).alias("_k"), F.col("_b").alias("_kb"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    inside = d.withColumn("_r", F.row_number().over(Window.partitionBy(key, "_b").orderBy(*order)))
-    return (inside.join(offsets, F.col(key).eqNullSafe(F.col("_k")) & F.col("_b").eqNullSafe(F.col("_kb")))
-            .withColumn(out, (F.col("_before") + F.col("_r")).cast("bigint")).drop("_b", "_k", "_kb", "_before", "_r"))
+    d = _bucketed(df, key, bucket)
+    sizes = d.groupBy("_kb").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("_kb.k").orderBy("_kb.b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_kb", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = d.withColumn("_r", F.row_number().over(Window.partitionBy("_kb").orderBy(*order)))
+    return (inside.join(offsets, "_kb").withColumn(out, (F.col("_before") + F.col("_r")).cast("bigint")).drop("_kb", "_before", "_r"))
+
+
+def _bucketed(df: DataFrame, key: str, bucket: Column) -> DataFrame:
+    """Rows dealt by ``_kb``, (key, bucket) as one struct: equal structs may
+    hold nulls, so windows, summaries and the joins between them all use this
+    one exchange, null keys included."""
+    return df.withColumn("_kb", F.struct(F.col(key).alias("k"), bucket.alias("b"))).repartition("_kb")
 
 
 def lag_within(df: DataFrame, key: str, bucket: Column, order: list[str], values: dict[str, str]) -> DataFrame:
@@ -136,14 +142,12 @@ def lag_within(df: DataFrame, key: str, bucket: Column, order: list[str], values
     inside (key, bucket), and for a bucket's first row the last row of the
     key's bucket before. ``bucket`` must not decrease along the order. The
     first row of a key gets nulls."""
-    d = df.withColumn("_b", bucket).repartition(key, "_b")   # shared by the lag and the summary
+    d = _bucketed(df, key, bucket)
     packed = F.struct(*[F.col(c).alias(n) for c, n in values.items()])
-    last = d.groupBy(key, "_b").agg(F.max_by(packed, F.struct(*order)).alias("_last"))
-    carried = last.select(F.col(key).alias("_k"), F.col("_b").alias("_kb"),
-                          F.lag("_last").over(Window.partitionBy(key).orderBy("_b")).alias("_carried"))
-    w = Window.partitionBy(key, "_b").orderBy(*order)
-    out = (d.withColumn("_prev", F.lag(packed).over(w))
-            .join(carried, F.col(key).eqNullSafe(F.col("_k")) & F.col("_b").eqNullSafe(F.col("_kb")))
+    last = d.groupBy("_kb").agg(F.max_by(packed, F.struct(*order)).alias("_last"))
+    carried = last.select("_kb", F.lag("_last").over(Window.partitionBy("_kb.k").orderBy("_kb.b")).alias("_carried"))
+    w = Window.partitionBy("_kb").orderBy(*order)
+    out = (d.withColumn("_prev", F.lag(packed).over(w)).join(carried, "_kb")
             .withColumn("_prev", F.coalesce("_prev", "_carried")))
     return out.select(*df.columns, *[F.col(f"_prev.{n}").alias(n) for n in values.values()])
 

@@ -46,7 +46,7 @@ MAX_LISTS = 16_384       # centroids held in memory; beyond it lists grow and ar
 BLOCK_ROWS = 4_096       # vectors, or queries, that one block holds
 BOUNDARY = 1.1           # replicate to centroids within this ratio of the nearest distance (1 - cosine)
 REPLICAS = 4
-COVERED = 0.95           # of the sample's true neighbours, for setting the search ratio
+COVERED = 0.97           # of the sample's true neighbours, for setting the search ratio
 NEIGHBOURS = 5           # for which it is set
 TRIALS = 400             # sample rows used as queries for it
 DEGREE = 24              # edges of a node of the centroid graph

@@ -4,16 +4,21 @@ The markup is stripped first: the page becomes a list of lines, one for every
 block-level element's own text (inline elements and line breaks don't end a
 line). Scripts, styles, forms and comments leave no text; menus, page
 headers, footers, sidebars, notices, adverts and reader comments, known by
-their element or by the words of their class, id or role, leave empty lines.
-If the page marks its article (``article`` or ``main``), the lines outside
-it are empty too; if not, lines that are mostly links are.
+their element or by the words of their class, id or role, leave empty lines
+(none inside a marked article). Lines that are mostly links are empty too,
+except in a marked article (``article`` or ``main``).
 
 Then the lengths of the lines are summed over sliding windows of WINDOW
 lines. The text surges where such a sum reaches SURGE characters after
 emptiness and dives where the next window is empty; every stretch between a
 surge and its dive is kept, with the short lines at its ends that the
 windows touch. If no sum reaches SURGE, the longest stretch is kept (a short
-article). In a marked article any text surges.
+article).
+
+The mark of an article is a prior for the stretches: one that holds marked
+lines gives these alone; one that holds none is kept if it is longer than all
+marked text that surges (the marks are on teasers then). If no marked stretch
+surges, the longest of them is kept as well.
 
 Kept lines are joined by an empty line. Character references are decoded,
 white space inside a line becomes one space.
@@ -138,7 +143,8 @@ def lines(page: str) -> list[Line]:
 
     def end_line() -> None:
         text = _tidy("".join(parts))
-        if text or noise or not out or out[-1].text:  # markup alone makes one empty line, every noise block one more
+        # markup alone makes one empty line, every noise block outside a marked article one more
+        if text or noise and not main or not out or out[-1].text:
             out.append(Line(text, len(_tidy("".join(links))) if links else 0, main > 0))
         parts.clear()
         links.clear()
@@ -195,38 +201,57 @@ def _matched(tokens: list[tuple[str, str, str]]) -> set[int]:
     return found
 
 
-def stretches(lengths: list[int], surge: int = SURGE) -> list[tuple[int, int]]:
-    """[start, end) of the stretches between surges and dives of the sums of
-    ``lengths`` over sliding windows; the longest, if no sum surges."""
+def _stretches(lengths: list[int]) -> list[tuple[int, int, int, bool]]:
+    """(start, end, characters, whether a sum surges) of all stretches of
+    ``lengths`` that end in a dive of the sums over sliding windows."""
     n = len(lengths)
     total = [0]
     for x in lengths:
         total.append(total[-1] + x)
     sums = [total[min(n, i + WINDOW)] - total[i] for i in range(n)]
-    found, i, best, largest = [], 0, None, 0
+    found, i = [], 0
     while i < n:
         if not lengths[i]:
             i += 1
             continue
         j, surged = i, False
         while j < n and sums[j]:  # until the dive: the next window is empty
-            surged |= sums[j] >= surge
+            surged |= sums[j] >= SURGE
             j += 1
-        if surged:
-            found.append((i, j))
-        if total[j] - total[i] > largest:
-            largest, best = total[j] - total[i], (i, j)
+        found.append((i, j, total[j] - total[i], surged))
         i = j
-    return found or ([best] if best else [])
+    return found
+
+
+def stretches(lengths: list[int]) -> list[tuple[int, int]]:
+    """[start, end) of the stretches between surges and dives of the sums of
+    ``lengths`` over sliding windows; the longest, if no sum surges."""
+    found = _stretches(lengths)
+    return [x[:2] for x in found if x[3]] or [x[:2] for x in sorted(found, key=lambda x: -x[2])[:1]]
+
+
+def _marked_lines(rows: list[Line], lengths: list[int]) -> list[int]:
+    """Positions of the lines kept of a page that marks an article."""
+    found = _stretches(lengths)
+    inside = [[i for i in range(start, end) if rows[i].main and lengths[i]] for start, end, _, _ in found]
+    sizes = [sum(lengths[i] for i in at) for at in inside]
+    kept = {k for k, x in enumerate(found) if inside[k] and x[3]}
+    marked = sum(sizes[k] for k in kept)
+    if not kept:
+        kept = {max(range(len(found)), key=lambda k: sizes[k])}
+    kept |= {k for k, x in enumerate(found) if not inside[k] and x[3] and x[2] > marked}
+    return [i for k in sorted(kept) for i in inside[k] or range(found[k][0], found[k][1])]
 
 
 def extract(page: str | None) -> str:
     """The main text of a page."""
     rows = lines(page or "")
-    marked = any(r.main and r.text for r in rows)
-    keep = [bool(r.text) and (r.main if marked else r.links <= LINK_SHARE * len(r.text)) for r in rows]
-    lengths = [len(r.text) if k else 0 for r, k in zip(rows, keep)]
-    return "\n\n".join(rows[i].text for start, end in stretches(lengths, 1 if marked else SURGE) for i in range(start, end) if keep[i])
+    lengths = [len(r.text) if r.main or r.links <= LINK_SHARE * len(r.text) else 0 for r in rows]
+    if any(r.main and r.text for r in rows):
+        kept = _marked_lines(rows, lengths)
+    else:
+        kept = [i for start, end in stretches(lengths) for i in range(start, end)]
+    return "\n\n".join(rows[i].text for i in kept if lengths[i])
 
 
 def extract_text(df: DataFrame, html_col: str = "html", text_col: str = "text") -> DataFrame:

@@ -57,6 +57,15 @@ def test_noise_goes(noise, marked):
         assert ht.extract(inside) == f"Title\n\n{PLAIN}\n\nShort."
 
 
+def test_surges_and_dives_decide_on_marked_pages_too():
+    menu = "<ul>" + "".join(f"<li><a href=/{i}>Entry {i}</a></li>" for i in range(5)) + "</ul>"
+    card = "<article><p>A teaser.</p></article>"
+    article = f"<article><h1>Title</h1><p>{PARAGRAPH}</p><p>Short.</p></article>"
+    assert ht.extract(f"{article}{menu}{card}") == f"Title\n\n{PLAIN}\n\nShort."                      # a card doesn't surge
+    assert ht.extract(f"{card}{menu}<div><p>{PARAGRAPH}</p><p>Short.</p></div>") == f"A teaser.\n\n{PLAIN}\n\nShort."  # nor is it the article
+    assert ht.extract(f"<div>{PARAGRAPH}</div>{article}") == f"Title\n\n{PLAIN}\n\nShort."             # the marks are a prior
+
+
 def test_link_lists_without_a_marked_article_go():
     links = "".join(f"<li><a href=/{i}>A headline of another article, number {i}, as a link</a></li>" for i in range(9))
     assert ht.extract(f"<ul>{links}</ul><p>{PARAGRAPH}</p><p>See <a href=x>this</a> too.</p><ul>{links}</ul>") == f"{PLAIN}\n\nSee this too."

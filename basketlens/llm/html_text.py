@@ -4,9 +4,12 @@ The markup is stripped first: the page becomes a list of lines, one for every
 block-level element's own text (inline elements and line breaks don't end a
 line). Scripts, styles, forms and comments leave no text; menus, page
 headers, footers, sidebars, notices, adverts and reader comments, known by
-their element or by the words of their class, id or role, leave empty lines
-(none inside a marked article). Lines that are mostly links are empty too,
-except in a marked article (``article`` or ``main``).
+their element or by the words of their class, id or role, leave empty lines,
+but none where they stand inside an article: in a marked one (``article`` or
+``main``), or beside text of their own parent. An element that holds most of
+the article, or most of the text of an unmarked page, is no noise. Lines that
+are mostly links are empty too, except in a marked article and where one or
+two of them stand between lines of text.
 
 Then the lengths of the lines are summed over sliding windows of WINDOW
 lines. The text surges where such a sum reaches SURGE characters after
@@ -70,29 +73,84 @@ NOISE_WORDS = frozenset(("ad ads advert adverts advertisement advertising adsens
                          "pagination pager copyright legal disclaimer complementary contentinfo").split())
 
 
+#: What a class says of the layout around an element's content, not of the content: has-sidebar.
+_LAYOUT_WORDS = frozenset("has with no without".split())
+#: Words that are part of an article where its own names begin with these (entry-header), inside its mark, or on an element of running text.
+_ARTICLE_WORDS = frozenset("entry article post story".split())
+_OF_ARTICLES = frozenset("header notice notices alert discussion legal".split())
+_TEXT = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote li".split())
+_COMMENT_WORDS = frozenset("comment comments reply replies disqus respond".split())
+MOST = 0.5               # of the text: an element with more of it is no noise,
+MOST_COMMENTS = 0.9      # and with the words of reader comments only with more than this
+
+
 class Line(NamedTuple):
     text: str
     links: int   # characters of it inside links
     main: bool   # inside article or main
 
 
-def _noisy(name: str, attrs: str, inside_main: bool) -> bool:
+def _noise_words(value: str, name: str, inside_main: bool) -> set[str]:
+    found: set[str] = set()
+    for part in value.split():
+        words = [w.lower() for w in _WORD.findall(part)]
+        if words and words[0] not in _LAYOUT_WORDS:
+            bad = NOISE_WORDS.intersection(words)
+            found |= bad - _OF_ARTICLES if inside_main or name in _TEXT or words[0] in _ARTICLE_WORDS else bad
+    return found
+
+
+def _noisy(name: str, attrs: str, inside_main: bool) -> str:
+    """Why an element is noise: "hidden", "element", "form", "words", "comments"; "" if it isn't."""
     if name in _NEVER:
-        return True
+        return "form" if name == "form" else "element"
     if name == "header":
-        return not inside_main
+        return "" if inside_main else "element"
     if not attrs or name in ("body", "html", *_MAIN):
-        return False
+        return ""
+    words: set[str] = set()
     for key, value in _ATTR.findall(attrs):
         key, value = key.lower(), value.strip("\"'")
         if key == "hidden" or key == "aria-hidden" and value.lower() == "true":
-            return True
+            return "hidden"
         if key == "style":
             if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-                return True
-        elif key != "itemprop" and any(w.lower() in NOISE_WORDS for w in _WORD.findall(value)):
+                return "hidden"
+        elif key != "itemprop":
+            words |= _noise_words(value, name, inside_main)
+    return "comments" if words & _COMMENT_WORDS else "words" if words else ""
+
+
+class _Sizes:
+    """Characters of text before each token: of the marked article, if the
+    page has one with text, else of all that is no menu, footer or the like."""
+
+    def __init__(self, tokens: list[tuple[str, str, str]], closed: dict[int, int]):
+        marked, plain = [0], [0]
+        main_until = never_until = -1
+        for k, (kind, x, _) in enumerate(tokens):
+            size = 0
+            if kind == "text":
+                size = len(x.strip())
+            elif kind == "open" and k in closed:
+                if x in _MAIN:
+                    main_until = max(main_until, closed[k])
+                elif x in _NEVER and x != "form":
+                    never_until = max(never_until, closed[k])
+            marked.append(marked[-1] + (size if k < main_until else 0))
+            plain.append(plain[-1] + (size if k >= never_until else 0))
+        self.marked = marked[-1] > 0
+        self.before = marked if self.marked else plain
+
+    def holds_article(self, why: str, start: int, end: int, inside_main: bool) -> bool:
+        """Whether the element from token ``start`` to ``end``, noise by ``why``, is where the article is."""
+        size, total = self.before[end] - self.before[start], self.before[-1]
+        if why == "hidden" or size <= (MOST_COMMENTS if why == "comments" else MOST) * total:
+            return False
+        if self.marked and not inside_main:  # it holds the mark
             return True
-    return False
+        # small forms and adverts can be all the text of a page without an article
+        return why != "element" and size >= (SURGE if why == "form" else 4 * SURGE)
 
 
 def _tidy(raw: str) -> str:
@@ -134,21 +192,37 @@ def lines(page: str) -> list[Line]:
     """The page as lines; noise is an empty line."""
     tokens = list(_tokens(page))
     closed = _matched(tokens)
+    ends = set(closed.values())
     out: list[Line] = []
     parts: list[str] = []
     links: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, noise begins here, main begins here
+    sizes = _Sizes(tokens, closed)
+    stack: list[tuple[str, bool, bool, int]] = []  # name, noise begins here, main begins here, position
     noise = main = link = 0
     until_block = False  # inside a noise element that is never closed
+    with_text: set[int] = set()  # elements with a line of text of their own or of a child
+    within = False  # the noise stands inside an article
 
     def end_line() -> None:
         text = _tidy("".join(parts))
-        # markup alone makes one empty line, every noise block outside a marked article one more
-        if text or noise and not main or not out or out[-1].text:
+        # markup alone makes one empty line, every noise block outside an article one more
+        if text or noise and not within or not out or out[-1].text:
             out.append(Line(text, len(_tidy("".join(links))) if links else 0, main > 0))
+            if text:
+                with_text.update(blocks()[:2])
         parts.clear()
         links.clear()
 
+    def blocks() -> list[int]:
+        """The innermost two open blocks."""
+        found = []
+        for name, _, _, at in reversed(stack):
+            if name in _BLOCK:
+                found.append(at)
+                if len(found) == 2:
+                    return found
+        return [*found, -1]
+
     for k, (kind, x, attrs) in enumerate(tokens):
         if kind == "text":
             if not noise and not until_block:
@@ -163,16 +237,20 @@ def lines(page: str) -> list[Line]:
             parts.append(" ")
         if kind == "open" and x not in _VOID:
             bad = _noisy(x, attrs, main > 0)
+            if bad and not noise and k in closed and sizes.holds_article(bad, k, closed[k], main > 0):
+                bad = ""
             if bad and k not in closed:
-                bad, until_block = False, True
+                bad, until_block = "", True
+            if bad and not noise:
+                within = main > 0 or blocks()[0] in with_text
             begins = x in _MAIN and not noise
             if k in closed:
-                stack.append((x, bad, begins))
-                noise, main, link = noise + bad, main + begins, link + (x == "a")
+                stack.append((x, bool(bad), begins, k))
+                noise, main, link = noise + bool(bad), main + begins, link + (x == "a")
         elif kind == "close":
-            if k in closed:  # closes the element it was matched with, and what is open inside
+            if k in ends:  # closes the element it was matched with, and what is open inside
                 while stack:
-                    name, bad, begins = stack.pop()
+                    name, bad, begins, _ = stack.pop()
                     noise, main, link = noise - bad, main - begins, link - (name == "a")
                     if name == x:
                         break
@@ -180,11 +258,11 @@ def lines(page: str) -> list[Line]:
     return out
 
 
-def _matched(tokens: list[tuple[str, str, str]]) -> set[int]:
-    """Positions of opening and closing tags that belong together. A closing
+def _matched(tokens: list[tuple[str, str, str]]) -> dict[int, int]:
+    """Positions of opening tags and of their closing tags. A closing
     tag closes the nearest open element of its name; elements opened inside
     it and not closed are unmatched."""
-    found: set[int] = set()
+    found: dict[int, int] = {}
     open_: list[tuple[str, int]] = []
     counts: dict[str, int] = {}
     for k, (kind, x, _) in enumerate(tokens):
@@ -196,7 +274,7 @@ def _matched(tokens: list[tuple[str, str, str]]) -> set[int]:
                 name, at = open_.pop()
                 counts[name] -= 1
                 if name == x:
-                    found |= {at, k}
+                    found[at] = k
                     break
     return found
 
@@ -243,10 +321,26 @@ def _marked_lines(rows: list[Line], lengths: list[int]) -> list[int]:
     return [i for k in sorted(kept) for i in inside[k] or range(found[k][0], found[k][1])]
 
 
+def _lengths(rows: list[Line]) -> list[int]:
+    """Characters of the lines; 0 for those that are mostly links, unless marked or a few between lines of text."""
+    out = [len(r.text) if r.main or r.links <= LINK_SHARE * len(r.text) else 0 for r in rows]
+    texts = [i for i, r in enumerate(rows) if r.text]
+    k = 0
+    while k < len(texts):
+        end = k
+        while end < len(texts) and not out[texts[end]]:
+            end += 1
+        if 0 < k < end < len(texts) and end - k < WINDOW and texts[end] - texts[k - 1] <= 2 * (end - k + 1):
+            for i in texts[k:end]:
+                out[i] = len(rows[i].text)
+        k = end + 1
+    return out
+
+
 def extract(page: str | None) -> str:
     """The main text of a page."""
     rows = lines(page or "")
-    lengths = [len(r.text) if r.main or r.links <= LINK_SHARE * len(r.text) else 0 for r in rows]
+    lengths = _lengths(rows)
     if any(r.main and r.text for r in rows):
         kept = _marked_lines(rows, lengths)
     else:

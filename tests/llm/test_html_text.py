@@ -66,6 +66,31 @@ def test_surges_and_dives_decide_on_marked_pages_too():
     assert ht.extract(f"<div>{PARAGRAPH}</div>{article}") == f"Title\n\n{PLAIN}\n\nShort."             # the marks are a prior
 
 
+ADVERT = "<div class=ad><p>Buy</p><div>this</div><p>now</p><p>!</p></div>"
+WHOLE = f"Title\n\n{PLAIN}\n\n{PLAIN}\n\n{PLAIN}\n\nShort."
+
+
+@pytest.mark.parametrize("start,end", [("<div class='layout has-sidebar'>", "</div>"), ("<div class='with-comments'>", "</div>"), ("<div id=search-results>", "</div>"),
+                                       ("<form action=x>", "</form>"), ("<div class='page comments'>", "</div>")])
+@pytest.mark.parametrize("marked", [True, False])
+def test_wrappers_of_the_article_are_no_noise(start, end, marked):
+    article = f"<div class='entry-header'><h1>Title</h1></div><p>{PARAGRAPH}</p><p class=notice>{PARAGRAPH}</p><p>{PARAGRAPH}</p>{ADVERT}<p>Short.</p>"
+    tag = "article" if marked else "div"
+    menu = "<nav><ul><li><a href=x>Menu entry</a></li></ul></nav>"
+    assert ht.extract(f"<body>{start}{menu}<{tag}>{article}</{tag}>{ADVERT}{end}</body>") == WHOLE
+    assert ht.extract(f"<body>{menu}<{tag}>{start}{article}{end}</{tag}>{ADVERT}</body>") == WHOLE
+
+
+def test_links_between_lines_of_text_are_kept():
+    assert ht.extract(f"<div><p>{PARAGRAPH}</p><p><a href=x>The report</a></p><p>Short.</p></div>") == f"{PLAIN}\n\nThe report\n\nShort."
+
+
+def test_noise_with_little_of_the_text_goes():
+    comments = f"<div class=comments><p>{PARAGRAPH}</p><p>{PARAGRAPH}</p><p>{PARAGRAPH}</p></div>"
+    assert ht.extract(f"<div><p>{PARAGRAPH}</p></div>{comments}<div>Foot.</div>") == PLAIN
+    assert ht.extract(f"<main><p>{PARAGRAPH}</p>{comments}</main>") == PLAIN
+
+
 def test_link_lists_without_a_marked_article_go():
     links = "".join(f"<li><a href=/{i}>A headline of another article, number {i}, as a link</a></li>" for i in range(9))
     assert ht.extract(f"<ul>{links}</ul><p>{PARAGRAPH}</p><p>See <a href=x>this</a> too.</p><ul>{links}</ul>") == f"{PLAIN}\n\nSee this too."

@@ -209,6 +209,8 @@ def build(rows: DataFrame, n_lists: int | None = None) -> Index | None:
         return None
     sample = (rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) < math.ceil((1 << 20) * min(1.0, 1.2 * SAMPLE_ROWS / n)))
               .select("embedding", F.xxhash64("vec_id").alias("h")).orderBy("h").limit(SAMPLE_ROWS).toPandas())
+    # a repeated row is no neighbour of its own
+    sample = sample[~pd.DataFrame({"h": sample["h"], "v": [np.asarray(x).tobytes() for x in sample["embedding"]]}).duplicated()]
     if sample.empty:
         sample = rows.limit(1).select("embedding").toPandas()
     points = unit(np.stack(sample["embedding"]))
@@ -266,7 +268,9 @@ def search(index: Index, queries: DataFrame, k: int) -> DataFrame:
             for query_id, y in zip(left["query_id"], left["embedding"]):
                 score = (x * y).sum(axis=1) / (norms * np.sqrt((y * y).sum()))
                 score[ids == query_id] = -np.inf
-                best = np.argsort(-score, kind="stable")[:k]
+                best = np.argsort(-score, kind="stable")
+                again = (ids[best[1:]] == ids[best[:-1]]) & (score[best[1:]] == score[best[:-1]])  # rows are in order of score and id
+                best = best[np.concatenate([[True], ~again])][:k]
                 out += [(query_id, ids[j], score[j]) for j in best if np.isfinite(score[j])]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 

@@ -64,6 +64,15 @@ def test_vectors_that_take_no_part(spark):
     assert [(r.query_id, r["rank"], r.vec_id) for _, r in got.iterrows()] == [(0, 1, 50), (0, 2, 1), (50, 1, 0), (50, 2, 1)]
 
 
+def test_repeated_rows_count_once(spark):
+    rows = clustered(600)
+    got, _ = search(spark, rows * 6, n_lists=6, every=20)
+    once, _ = search(spark, rows, n_lists=6, every=20)
+    want = ann.exact(ann.valid_vectors(frame(spark, rows)), ann.valid_vectors(frame(spark, rows)).where("vec_id % 20 = 0").selectExpr("vec_id query_id", "embedding"), 5)
+    assert got.groupby("query_id").size().eq(5).all() and not got.duplicated(["query_id", "vec_id"]).any()
+    assert recall(got, want) >= 0.9 and recall(once, want) >= 0.9
+
+
 def test_empty_and_single(spark):
     assert ann.build(ann.valid_vectors(frame(spark, []))) is None
     got, _ = search(spark, [(0, [1.0, 2.0])])

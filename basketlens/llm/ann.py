@@ -12,7 +12,9 @@ Search: the centroids, in memory, are the nodes of a proximity graph; a
 best-first walk with a beam finds those near a query, and the lists whose
 centroid distance is within a ratio of the closest one are searched, each
 block by matching its vectors with the queries that chose the list. The
-best of each block meet in a final top-k per query. The ratio is set when
+best of each block meet in a final top-k per query. Queries that got fewer
+than k rows search again, in WIDEN times as many lists each time and at last
+in all, so that none gets fewer than there are. The ratio is set when
 the index is fitted: so that on the sample the lists searched hold at least
 COVERED of the true neighbours. On clustered vectors that prunes nearly all
 lists; on vectors without structure (neighbours hardly nearer than strangers)
@@ -52,6 +54,7 @@ TRIALS = 400             # sample rows used as queries for it
 DEGREE = 24              # edges of a node of the centroid graph
 BEAM = 48                # least width of the best-first walk
 ROUNDS = 12              # of k-means
+WIDEN = 8                # lists of the next search of queries with too few results, as a multiple
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -144,10 +147,20 @@ class CentroidGraph:
             lists.append(node[r, j])
         return np.concatenate(rows), np.concatenate(lists)
 
-    def probes(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row, centroid) pairs: the lists that each query searches."""
+    def probes(self, x: np.ndarray, nearest: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(row, centroid) pairs: the lists that each query searches; the
+        ``nearest`` so many, if given (all, if there are no more)."""
         rows, lists = [], []
+        k = len(self.centroids)
+        if nearest is not None and nearest >= k:
+            return np.repeat(np.arange(len(x)), k), np.tile(np.arange(k), len(x))
         for at in range(0, len(x), 512):
+            if nearest is not None:
+                node, dist = self.walk(x[at : at + 512], nearest)
+                r, j = np.nonzero(np.isfinite(dist))
+                rows.append(r + at)
+                lists.append(node[r, j])
+                continue
             node, dist = self.walk(x[at : at + 512], self.beam)
             r, j = np.nonzero(np.isfinite(dist) & (dist <= np.maximum(dist[:, :1], 1e-9) * self.prune))
             rows.append(r + at)
@@ -237,17 +250,41 @@ def build(rows: DataFrame, n_lists: int | None = None) -> Index | None:
 
 def search(index: Index, queries: DataFrame, k: int) -> DataFrame:
     """The k nearest indexed rows of every query (query_id, embedding), other
-    than the rows of the query's own id: query_id, rank, vec_id, score."""
+    than the rows of the query's own id: query_id, rank, vec_id, score. Fewer
+    only where there are fewer rows."""
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+
+    def ranked(found: DataFrame) -> DataFrame:  # a replicated vector is found once in each of its lists
+        return found.distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+    n_lists = len(index.graph.value.centroids)
+    queries = queries.select("query_id", "embedding")
+    best = materialize(ranked(_found(index, queries, k)), "ann-best")
+    nearest = 1
+    while nearest < n_lists:
+        nearest = min(n_lists, nearest * WIDEN)
+        full = best.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k).select("query_id")
+        short = materialize(queries.join(full, "query_id", "left_anti").select("query_id", "embedding"), "ann-short")
+        if short.isEmpty():
+            break
+        more = _found(index, short, k, nearest)
+        best = materialize(ranked(best.drop("rank").unionByName(more)), "ann-best")
+    return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+def _found(index: Index, queries: DataFrame, k: int, nearest: int | None = None) -> DataFrame:
+    """(query_id, vec_id, score): the k best rows for every query of each
+    block searched; in the ``nearest`` lists, if given."""
     graph = index.graph
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                r, lists = graph.value.probes(unit(_matrix(batch.column(1))))
+                r, lists = graph.value.probes(unit(_matrix(batch.column(1))), nearest)
                 part = pa.Table.from_batches([batch]).take(pa.array(r)).combine_chunks().to_batches()[0]
                 yield pa.RecordBatch.from_arrays([pa.array(lists, pa.int32()), *part.columns], names=["list", "query_id", "embedding"])
 
-    asked = queries.select("query_id", "embedding").mapInArrow(choose, "list int, query_id long, embedding array<double>")
+    asked = queries.mapInArrow(choose, "list int, query_id long, embedding array<double>")
     asked = materialize(asked, "ann-asked")
     # queries of a crowded list are cut into blocks too
     crowds = asked.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("n_asked"))
@@ -274,12 +311,8 @@ def search(index: Index, queries: DataFrame, k: int) -> DataFrame:
                 out += [(query_id, ids[j], score[j]) for j in best if np.isfinite(score[j])]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
-    found = (q.groupBy("list", "block", "asked").cogroup(v.groupBy("list", "block", "asked"))
-             .applyInPandas(block, "query_id long, vec_id long, score double"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return (found.distinct()  # a replicated vector is found once in each of its lists
-            .withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-            .select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"))
+    return (q.groupBy("list", "block", "asked").cogroup(v.groupBy("list", "block", "asked"))
+            .applyInPandas(block, "query_id long, vec_id long, score double"))
 
 
 def exact(rows: DataFrame, queries: DataFrame, k: int) -> pd.DataFrame:

@@ -73,6 +73,25 @@ def test_repeated_rows_count_once(spark):
     assert recall(got, want) >= 0.9 and recall(once, want) >= 0.9
 
 
+def test_few_vectors_beside_large_clusters_get_k_rows(spark):
+    rng = np.random.default_rng(5)
+    axes = np.eye(16)
+    rows = [(i * 50 + 1, [float(v) for v in axes[i % 4] + 0.01 * rng.normal(size=16)]) for i in range(1200)]
+    rows += [(i * 50, [float(v) for v in axes[4 + i] + 0.01 * rng.normal(size=16)]) for i in range(6)]           # alone
+    rows += [(50_000 * (i + 2), [float(v) for v in axes[12] + 0.01 * rng.normal(size=16)]) for i in range(3)]    # a small group
+    got, want = search(spark, rows, n_lists=12)
+    assert len(want) == 9 * 5 and got.groupby("query_id").size().to_dict() == want.groupby("query_id").size().to_dict()
+    group = {100_000, 150_000, 200_000}
+    for i in group:
+        assert set(got[(got.query_id == i) & (got["rank"] <= 2)].vec_id) == group - {i}
+
+
+def test_widened_search_reaches_all_lists():
+    g = ann.CentroidGraph(ann.unit(np.random.default_rng(4).normal(size=(60, 8))))
+    x = ann.unit(np.random.default_rng(6).normal(size=(5, 8)))
+    assert [len(g.probes(x, n)[0]) for n in (1, 8, 60, 64)] == [5, 40, 300, 300]
+
+
 def test_empty_and_single(spark):
     assert ann.build(ann.valid_vectors(frame(spark, []))) is None
     got, _ = search(spark, [(0, [1.0, 2.0])])

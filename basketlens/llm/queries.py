@@ -93,7 +93,8 @@ FROM docs d LEFT JOIN plan p ON p.source IS NOT DISTINCT FROM d.source AND p.tur
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The place of every document in a mix of the sources."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "source")
-    return mixing.mix(docs, mixing.temperature_weights(docs, MIX_EXPONENT), block_rows=MIX_BLOCK)
+    # OP2_SQL fixes rounded shares; the pipeline mixes by exact ones
+    return mixing.mix(docs, mixing.temperature_weights(docs, MIX_EXPONENT), block_rows=MIX_BLOCK, resolution=mixing.RESOLUTION)
 
 
 OP3_SQL = r"""

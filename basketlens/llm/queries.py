@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..session import ship_package
 from ..sources.tables import read_table
-from . import ann, bpe, fingerprints, html_text, jaccard_join, mixing, quality, toxicity, url_filter, warc
+from . import ann, bpe, collocations, decontaminate, fingerprints, html_text, jaccard_join, merkle, mixing, quality, toxicity, url_filter, warc
 from .common import crc_remainder, materialize, prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -204,3 +204,122 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.fit(docs, quality.trusted_positives(read_table(spark, sf_dir, "labels"), held_out))
     return quality.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
+OP11_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+totals AS (SELECT lang, CAST(sum(len(w)) AS HUGEINT) AS n FROM words GROUP BY lang),
+grams AS (
+  SELECT lang, m, array_to_string(w[i : i + m - 1], ' ') AS phrase FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM words, range(1, 6) t(m) WHERE len(w) >= m)),
+f AS (SELECT lang, m, phrase, CAST(count(*) AS HUGEINT) AS a FROM grams GROUP BY lang, m, phrase HAVING count(*) >= 100),
+parts AS (SELECT lang, m, phrase, a, string_split(phrase, ' ') AS w FROM f),
+cuts AS (
+  SELECT lang, m, phrase, a, k, array_to_string(w[1 : k], ' ') AS x, array_to_string(w[k + 1 : m], ' ') AS y
+  FROM (SELECT *, unnest(range(1, m)) AS k FROM parts WHERE m >= 2)),
+scored AS (
+  SELECT c.lang, c.phrase, c.a, l.a AS l, r.a AS r, t.n, 1000 * c.a * t.n // (l.a * r.a) AS score, c.k
+  FROM cuts c JOIN f l ON l.lang = c.lang AND l.m = c.k AND l.phrase = c.x JOIN f r ON r.lang = c.lang AND r.m = c.m - c.k AND r.phrase = c.y JOIN totals t ON t.lang = c.lang
+  QUALIFY row_number() OVER (PARTITION BY c.lang, c.phrase ORDER BY 1000 * c.a * t.n // (l.a * r.a), c.k) = 1),
+inner_parts AS (
+  SELECT lang, a, array_to_string(w[i : i + j - 1], ' ') AS phrase
+  FROM (SELECT lang, a, w, j, unnest(range(1, m - j + 2)) AS i FROM parts, range(2, 5) t(j) WHERE j < m)),
+covered AS (SELECT lang, phrase, max(a) AS most FROM inner_parts GROUP BY lang, phrase),
+kept AS (SELECT s.* FROM scored s LEFT JOIN covered c ON c.lang = s.lang AND c.phrase = s.phrase WHERE c.most IS NULL OR 100 * c.most < 100 * s.a)
+SELECT lang, CAST(row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r,
+       CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM kept QUALIFY rank <= 2000
+"""
+
+
+@_query("op11_collocations", OP11_SQL)
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2,000 best collocations of each language."""
+    return collocations.collocations(read_table(spark, sf_dir, "documents").select("lang", "text"), min_count=100, longest=5, top=2000)
+
+
+OP12_SQL = """
+WITH RECURSIVE lower AS (
+  SELECT *, CASE WHEN crc % 5 = 0 THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS now
+  FROM (SELECT *, xor(4294967295, list_reduce([CAST(4294967295 AS BIGINT)] || [CAST(ascii(c) AS BIGINT) FOR c IN string_split(CAST(doc_id AS VARCHAR), '')],
+                 lambda acc, b: list_reduce([xor(acc, b)] || [CAST(0 AS BIGINT) FOR i IN range(8)], lambda x, z: xor(x >> 1, 3988292384 * (x & 1))))) AS crc
+        FROM documents)),
+parts AS (
+  SELECT doc_id, source,
+         array_to_string([CASE WHEN v IS NULL THEN '-' ELSE strlen(v) || ':' || v END FOR v IN [CAST(doc_id AS VARCHAR), source, lang, CAST(n_chars AS VARCHAR)]], '') AS head,
+         CASE WHEN text IS NULL THEN '-' ELSE strlen(text) || ':' || text END AS old, CASE WHEN now IS NULL THEN '-' ELSE strlen(now) || ':' || now END AS new
+  FROM lower),
+leaves AS (
+  SELECT doc_id, source, sha256(head || old) AS leaf, sha256(head || new) AS now,
+         row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM parts),
+nodes AS (
+  SELECT 0 AS level, source, i, leaf AS digest, n FROM leaves
+  UNION ALL
+  SELECT max(level) + 1, source, i // 16, sha256(string_agg(digest, '' ORDER BY i)), max((n + 15) // 16) FROM nodes WHERE n > 1 GROUP BY source, i // 16),
+tops AS (
+  SELECT source, digest, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM nodes WHERE n = 1),
+top_nodes AS (
+  SELECT 0 AS level, i, digest, n FROM tops
+  UNION ALL
+  SELECT max(level) + 1, i // 16, sha256(string_agg(digest, '' ORDER BY i)), max((n + 15) // 16) FROM top_nodes WHERE n > 1 GROUP BY i // 16),
+sides AS (
+  SELECT a.source, a.level, a.i, coalesce(string_agg(b.digest, '' ORDER BY b.i) FILTER (b.i < a.i), '') AS l, coalesce(string_agg(b.digest, '' ORDER BY b.i) FILTER (b.i > a.i), '') AS r
+  FROM nodes a JOIN nodes b ON a.source IS NOT DISTINCT FROM b.source AND a.level = b.level AND a.i // 16 = b.i // 16 WHERE a.n > 1 GROUP BY ALL),
+top_sides AS (
+  SELECT a.level, a.i, coalesce(string_agg(b.digest, '' ORDER BY b.i) FILTER (b.i < a.i), '') AS l, coalesce(string_agg(b.digest, '' ORDER BY b.i) FILTER (b.i > a.i), '') AS r
+  FROM top_nodes a JOIN top_nodes b ON a.level = b.level AND a.i // 16 = b.i // 16 WHERE a.n > 1 GROUP BY ALL),
+climb AS (
+  SELECT doc_id, source, leaf, 0 AS level, i, now AS digest, '' AS proof, false AS top FROM leaves
+  UNION ALL
+  SELECT c.doc_id, c.source, c.leaf, CASE WHEN s.l IS NULL AND NOT c.top THEN 0 ELSE c.level + 1 END, CASE WHEN c.top OR s.l IS NOT NULL THEN c.i // 16 ELSE t.i END,
+         CASE WHEN c.top THEN sha256(u.l || c.digest || u.r) WHEN s.l IS NULL THEN c.digest ELSE sha256(s.l || c.digest || s.r) END,
+         CASE WHEN c.top THEN c.proof || u.l || u.r WHEN s.l IS NULL THEN c.proof ELSE c.proof || s.l || s.r END, c.top OR s.l IS NULL
+  FROM climb c LEFT JOIN sides s ON NOT c.top AND s.source IS NOT DISTINCT FROM c.source AND s.level = c.level AND s.i = c.i
+  LEFT JOIN tops t ON t.source IS NOT DISTINCT FROM c.source LEFT JOIN top_sides u ON c.top AND u.level = c.level AND u.i = c.i
+  WHERE NOT c.top OR u.l IS NOT NULL),
+done AS (SELECT * FROM climb WHERE top QUALIFY row_number() OVER (PARTITION BY doc_id, source ORDER BY level DESC) = 1)
+SELECT d.doc_id, d.leaf, t.digest AS subroot, r.digest AS root, sha256(d.proof) AS proof_sha256, d.digest AS folded_root, d.digest = r.digest AS verified
+FROM done d JOIN tops t ON t.source IS NOT DISTINCT FROM d.source, (SELECT digest FROM top_nodes WHERE n = 1) r
+"""
+
+
+@_query("op12_merkle_manifest", OP12_SQL)
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merkle proofs of every document, checked against a copy in which a fifth of the texts are lower-cased."""
+    columns = ["doc_id", "source", "lang", "n_chars", "text"]
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    proofs = merkle.check(read_table(spark, sf_dir, "documents").select(*columns), columns, "doc_id", "source", crc_remainder(F.col("doc_id"), 5) == 0, {"text": lowered})
+    return proofs.withColumnRenamed("id", "doc_id")
+
+
+OP13_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+b AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark),
+windows AS (
+  SELECT item_id, k, array_to_string(w[i : i + k - 1], ' ') AS g
+  FROM (SELECT item_id, w, least(len(w), 10) AS k, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i FROM b WHERE len(w) > 0)),
+places AS (
+  SELECT doc_id, i, k, array_to_string(w[i : i + k - 1], ' ') AS g
+  FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, (SELECT DISTINCT k FROM windows) WHERE len(w) >= k)),
+found AS (SELECT p.doc_id, p.i, p.k, x.item_id FROM places p JOIN windows x ON x.k = p.k AND x.g = p.g),
+hits AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest(range(i, i + k)) AS j FROM found) GROUP BY doc_id),
+items AS (SELECT doc_id, list_sort(list(DISTINCT CAST(item_id AS VARCHAR))) AS ids FROM found GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(h.n, 0) AS n_hit, CAST(coalesce(len(t.ids), 0) AS BIGINT) AS n_items,
+       sha256(coalesce(array_to_string(t.ids, ','), '')) AS items_sha256, coalesce(h.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN hits h ON h.doc_id = d.doc_id LEFT JOIN items t ON t.doc_id = d.doc_id
+"""
+
+
+@_query("op13_decontaminate", OP13_SQL)
+def op13_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that lie in passages of the benchmark."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.find(docs, read_table(spark, sf_dir, "benchmark"), drop_text=True)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))

@@ -61,8 +61,10 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"][:n], _POWERS["down"][:n]
 
 
-def word_chunks(column: pa.Array) -> Iterator[Chunk]:
-    """The texts of a string column (null: empty), chunk by chunk."""
+def word_chunks(column: pa.Array, separators: np.ndarray = _WHITE, byte: np.ndarray = _BYTE) -> Iterator[Chunk]:
+    """The texts of a string column (null: empty), chunk by chunk. Other
+    ``separators`` (a flag for each byte) cut other words; other ``byte``
+    values give other hashes."""
     if column.null_count:
         column = column.fill_null("")
     column = column if pa.types.is_large_string(column.type) else column.cast(pa.large_string())
@@ -72,13 +74,13 @@ def word_chunks(column: pa.Array) -> Iterator[Chunk]:
     at = 0
     while at < n:
         to = min(n, max(at + 1, int(np.searchsorted(offsets, offsets[at] + CHUNK_BYTES, side="right")) - 1))
-        yield _chunk(data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at])
+        yield _chunk(data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at], separators, byte)
         at = to
 
 
-def _chunk(raw: np.ndarray, offsets: np.ndarray) -> Chunk:
+def _chunk(raw: np.ndarray, offsets: np.ndarray, separators: np.ndarray, byte: np.ndarray) -> Chunk:
     n = len(raw)
-    inside = ~_WHITE[raw]
+    inside = ~separators[raw]
     starts, ends = inside.copy(), inside.copy()
     starts[1:] &= ~inside[:-1]
     ends[:-1] &= ~inside[1:]
@@ -89,6 +91,6 @@ def _chunk(raw: np.ndarray, offsets: np.ndarray) -> Chunk:
     begin, end = np.flatnonzero(starts), np.flatnonzero(ends) + 1
     up, down = _powers(n + 1)
     total = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(_BYTE[_LOWER[raw]] * up[:n], out=total[1:])
+    np.cumsum(byte[_LOWER[raw]] * up[:n], out=total[1:])
     hashes = mix((total[end] - total[begin]) * down[begin] + (end - begin).astype(np.uint64))
     return Chunk(raw, offsets, begin, end, hashes, np.searchsorted(begin, offsets))

@@ -64,6 +64,7 @@ _BLOCK = frozenset(("address article aside blockquote body center dd details dia
 _SPACE = frozenset("br td th wbr img input".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _MAIN = frozenset("article main".split())
+_CONTROLS = frozenset("button label".split())
 #: Words of a class, id or role that mark an element as noise.
 NOISE_WORDS = frozenset(("ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion "
                          "menu nav navbar navigation breadcrumb breadcrumbs topbar toolbar masthead sidebar rail widget widgets aside "
@@ -84,19 +85,36 @@ MOST = 0.5               # of the text: an element with more of it is no noise,
 MOST_COMMENTS = 0.9      # and with the words of reader comments only with more than this
 
 
+#: Words that say what shape an element has; a name of these and noise words is noise through and through.
+_SHAPE_WORDS = frozenset(("top bottom left right inner outer main box slot block list links buttons button bar area section container wrapper wrap "
+                          "content group item items posts articles stories unit").split())
+#: Noise words that also mark elements of running text, outside a marked article.
+_STRONG_WORDS = frozenset(("ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr "
+                           "newsletter paywall popup disqus").split())
+_SENTENCE = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote".split())
+
+
 class Line(NamedTuple):
     text: str
     links: int   # characters of it inside links
     main: bool   # inside article or main
+    para: bool = False  # a paragraph
 
 
 def _noise_words(value: str, name: str, inside_main: bool) -> set[str]:
     found: set[str] = set()
     for part in value.split():
         words = [w.lower() for w in _WORD.findall(part)]
-        if words and words[0] not in _LAYOUT_WORDS:
-            bad = NOISE_WORDS.intersection(words)
-            found |= bad - _OF_ARTICLES if inside_main or name in _TEXT or words[0] in _ARTICLE_WORDS else bad
+        if not words or words[0] in _LAYOUT_WORDS:
+            continue
+        bad = NOISE_WORDS.intersection(words)
+        if inside_main:
+            whole = name not in _TEXT and all(w in NOISE_WORDS or w in _SHAPE_WORDS for w in words)
+            found |= bad - _OF_ARTICLES if whole else set()
+        elif name in _TEXT:
+            found |= bad & _STRONG_WORDS
+        else:
+            found |= bad - _OF_ARTICLES if words[0] in _ARTICLE_WORDS else bad
     return found
 
 
@@ -207,21 +225,30 @@ def lines(page: str) -> list[Line]:
         text = _tidy("".join(parts))
         # markup alone makes one empty line, every noise block outside an article one more
         if text or noise and not within or not out or out[-1].text:
-            out.append(Line(text, len(_tidy("".join(links))) if links else 0, main > 0))
+            inner = blocks()
+            out.append(Line(text, len(_tidy("".join(links))) if links else 0, main > 0, inner[0] >= 0 and tokens[inner[0]][1] in _SENTENCE))
             if text:
-                with_text.update(blocks()[:2])
+                with_text.update(inner)
         parts.clear()
         links.clear()
 
     def blocks() -> list[int]:
-        """The innermost two open blocks."""
+        """The innermost three open blocks, the third only below the body."""
         found = []
         for name, _, _, at in reversed(stack):
-            if name in _BLOCK:
+            if name in _BLOCK and (len(found) < 2 or name not in ("html", "body")):
                 found.append(at)
-                if len(found) == 2:
+                if len(found) == 3:
                     return found
-        return [*found, -1]
+        return [*found, -1] if len(found) < 2 else found
+
+    def in_sentence(k: int) -> bool:
+        """Whether the element at token k stands in a paragraph with text beside it."""
+        inner = blocks()[0]
+        if inner < 0 or tokens[inner][1] not in _SENTENCE or k not in closed:
+            return False
+        after = tokens[closed[k] + 1] if closed[k] + 1 < len(tokens) else ("", "", "")
+        return any(x.strip() for x in parts) or after[0] == "text" and bool(after[1].strip())
 
     for k, (kind, x, attrs) in enumerate(tokens):
         if kind == "text":
@@ -237,6 +264,8 @@ def lines(page: str) -> list[Line]:
             parts.append(" ")
         if kind == "open" and x not in _VOID:
             bad = _noisy(x, attrs, main > 0)
+            if bad and not noise and x in _CONTROLS and in_sentence(k):
+                bad = ""
             if bad and not noise and k in closed and sizes.holds_article(bad, k, closed[k], main > 0):
                 bad = ""
             if bad and k not in closed:
@@ -330,7 +359,7 @@ def _lengths(rows: list[Line]) -> list[int]:
         end = k
         while end < len(texts) and not out[texts[end]]:
             end += 1
-        if 0 < k < end < len(texts) and end - k < WINDOW and texts[end] - texts[k - 1] <= 2 * (end - k + 1):
+        if 0 < k < end < len(texts) and (end - k < WINDOW or all(rows[i].para for i in texts[k:end])) and texts[end] - texts[k - 1] <= 2 * (end - k + 1):
             for i in texts[k:end]:
                 out[i] = len(rows[i].text)
         k = end + 1

@@ -85,6 +85,26 @@ def test_links_between_lines_of_text_are_kept():
     assert ht.extract(f"<div><p>{PARAGRAPH}</p><p><a href=x>The report</a></p><p>Short.</p></div>") == f"{PLAIN}\n\nThe report\n\nShort."
 
 
+SMALL_AD = "<div class=ad><p>Buy this now</p></div>"
+
+
+@pytest.mark.parametrize("page,want", [
+    (f"<article><p>{PARAGRAPH}</p><section id='related-work'><p>Earlier work.</p></section><p>Short.</p></article>", [PLAIN, "Earlier work.", "Short."]),
+    (f"<article><p>{PARAGRAPH}</p><section id='copyright-law'><p>Law of copies.</p></section></article>", [PLAIN, "Law of copies."]),
+    (f"<article><p>{PARAGRAPH}</p><p class='share'>They share it.</p></article>", [PLAIN, "They share it."]),
+    (f"<article><p>Press the <button>Start</button> key, <label>Name</label> it. {PARAGRAPH}</p><p><button>Go</button></p></article>", [f"Press the Start key, Name it. {PLAIN}"]),
+    (f"<div><p>{PARAGRAPH}</p><p class='follow'>We follow the river.</p><p>Short.</p></div>", [PLAIN, "We follow the river.", "Short."]),
+    (f"<div><p>{PARAGRAPH}</p><p class='ad-box'>Buy.</p><p>Short.</p></div>", [PLAIN, "Short."]),
+    (f"<div><p>{PARAGRAPH}</p>{''.join(f'<p><a href={i}>Link {i}</a></p>' for i in range(5))}<p>Short.</p></div>", [PLAIN, *(f"Link {i}" for i in range(5)), "Short."]),
+    (f"<div><p>{PARAGRAPH}</p>{SMALL_AD * 3}<p>The end.</p></div>", [PLAIN, "The end."]),
+    (f"<p>{PARAGRAPH}</p>{SMALL_AD * 4}<p>The end.</p>", [PLAIN, "The end."]),
+    (f"<div><div><p>{PARAGRAPH}</p></div>{SMALL_AD * 3}<div><p>The end.</p></div></div>", [PLAIN, "The end."]),
+    (f"<article><p>{PARAGRAPH}</p><div class='related-posts'><p>Read on.</p></div><div id=comments-list><p>First!</p></div><p>Short.</p></article>", [PLAIN, "Short."]),
+])
+def test_names_and_neighbours_take_no_text_of_the_article(page, want):
+    assert ht.extract(page) == "\n\n".join(want)
+
+
 def test_noise_with_little_of_the_text_goes():
     comments = f"<div class=comments><p>{PARAGRAPH}</p><p>{PARAGRAPH}</p><p>{PARAGRAPH}</p></div>"
     assert ht.extract(f"<div><p>{PARAGRAPH}</p></div>{comments}<div>Foot.</div>") == PLAIN

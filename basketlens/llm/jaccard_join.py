@@ -27,7 +27,14 @@ Steps, each a Spark job whose result is a table on shared storage:
    and positions in the join; then the second and third order filter them.
 6. connected components of the links, by alternating stars.
 
-No candidate is capped: what step 4 leaves out, step 5 compares.
+No candidate is capped: what step 4 leaves out, step 5 compares. For
+components, members that are already connected aren't compared again;
+``similar_links(every=True)`` and ``link_counts`` compare them too and give
+every link between different sets.
+
+The node of a document is its id. An id that occurs with several different
+sets has a node for each (a 64-bit hash of id and text), so that each text is
+compared as it is; only the components of ``jaccard_components`` join them.
 
 Hashes: a token is a 64-bit hash and a set is known by 128 bits; two
 different tokens of one pair of documents share a hash with a probability
@@ -35,8 +42,11 @@ below 2**-40 for texts of a million words.
 
 Edge cases: null and empty texts have the empty set (size 0), are linked
 with nothing and are their own component; a text with fewer than n words has
-one member, the whole sequence; rows that repeat an id are one node of the
-link graph; a null id is linked with nothing and has a null component.
+one member, the whole sequence; rows that repeat an id are in one component,
+whatever their texts, but ``keep_one`` takes each text for itself; a null id
+is linked with nothing and has a null component; an empty table gives an empty
+result; extra columns are left out, and kept by ``keep_one``, whatever their
+names; texts are read whole.
 """
 
 from __future__ import annotations
@@ -49,12 +59,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, drop_written, materialize, rows_of, written
+from .common import BROADCAST_IDS, drop_written, free_name, materialize, rows_of, written
 from .texthash import constants, mix, word_chunks
 
 CELLS_LOG2 = 20          # cells of a row of the token counts: 2**20
 CELL_ROWS = 4            # rows; the least of a token's cells counts
 CELL_RANGE = 1 << 15     # cells that one row of partial counts holds
+CELL_GROUPS = 64         # groups of tasks whose counts are summed first
 BLOCK = 512              # members of a token's group in one block of step 5
 _U = np.uint64
 _PLACE = constants(64, 5)
@@ -172,17 +183,21 @@ def _classes(counts: DataFrame) -> np.ndarray:
     table of any size). Class 0: hardly more than a cell gets by chance; then
     one class for every doubling."""
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for part, some in zip(batch.column(0).to_pylist(), batch.column(1)):
-                sums[part] = sums.get(part, 0) + np.frombuffer(zlib.decompress(some.as_py()), "<i4").astype(np.int64)
-        if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.astype("<i8").tobytes() for x in sums.values()], pa.binary())], names=["part", "sums"])
-
+    def add(kind: str):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums: dict[int, np.ndarray] = {}
+            for batch in batches:
+                for part, some in zip(batch.column(0).to_pylist(), batch.column(1)):
+                    sums[part] = sums.get(part, 0) + np.frombuffer(zlib.decompress(some.as_py()), kind).astype(np.int64)
+            if sums:
+                yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([zlib.compress(x.astype("<i8").tobytes(), 1) for x in sums.values()], pa.binary())], names=["part", "sums"])
+        return run
+
+    # summed in two rounds: by range of cells and group of tasks, then by range
+    some = counts.withColumn("group", F.spark_partition_id() % F.lit(CELL_GROUPS)).repartition("part", "group").select("part", "counts").mapInArrow(add("<i4"), "part int, sums binary")
     cells = np.zeros(CELL_ROWS << CELLS_LOG2, dtype=np.int64)
-    for row in counts.repartition("part").mapInArrow(add, "part int, sums binary").collect():
-        cells[row["part"] * CELL_RANGE : (row["part"] + 1) * CELL_RANGE] = np.frombuffer(row["sums"], "<i8")
+    for row in some.repartition("part").mapInArrow(add("<i8"), "part int, sums binary").collect():
+        cells[row["part"] * CELL_RANGE : (row["part"] + 1) * CELL_RANGE] = np.frombuffer(zlib.decompress(row["sums"]), "<i8")
     usual = float(np.median(cells))
     out = np.zeros(len(cells), dtype=np.uint8)
     for at in range(0, len(cells), 1 << 16):
@@ -295,7 +310,8 @@ def components(links: DataFrame) -> DataFrame:
 
 
 class _Prepared:
-    """Tables that the steps share."""
+    """Tables that the steps share. ``docs`` and all tables made of it are
+    keyed by node, in the column doc_id."""
 
     def __init__(self, docs: DataFrame, words: int, percent: int):
         if not 1 <= words < 60 or not 1 <= percent <= 100:
@@ -303,16 +319,42 @@ class _Prepared:
         self.words, self.percent = words, percent
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
         rows = materialize(_summaries(self.docs, words), "jj-summaries")
-        self.slim = rows.where("part IS NULL").select("doc_id", "n", "s1", "s2")
         self.classes = docs.sparkSession.sparkContext.broadcast(_classes(rows.where("part IS NOT NULL").select("part", "counts")))
-        self.known = self.slim.where("n > 0 AND doc_id IS NOT NULL")
+        slim = rows.where("part IS NULL").select("doc_id", "n", "s1", "s2")
+        sets = slim.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct("s1", "s2")).alias("lo"), F.max(F.struct("s1", "s2")).alias("hi"))
+        self.several = materialize(sets.where("lo <> hi").select("doc_id"), "jj-several")
+        self.plain = self.several.isEmpty()  # nodes are ids
+        self.names = None  # node, id: of the ids with several sets
+        if not self.plain:
+            keyed = self.with_node(self.docs, "node")
+            self.names = materialize(keyed.join(self.several, "doc_id", "left_semi").select("node", F.col("doc_id").alias("id")).distinct(), "jj-names")
+            self.docs = keyed.select(F.col("node").alias("doc_id"), "text")
+            slim = materialize(_summaries(self.docs, words), "jj-summaries").where("part IS NULL").select("doc_id", "n", "s1", "s2")
+        self.slim = slim
+        self.known = slim.where("n > 0 AND doc_id IS NOT NULL")
         self.reps = materialize(self.known.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep")), "jj-representatives")
 
+    def with_node(self, df: DataFrame, name: str) -> DataFrame:
+        """``df`` (doc_id, text, ...) with each row's node."""
+        if self.plain:
+            return df.withColumn(name, F.col("doc_id").cast("long"))
+        mark = free_name(df, "several")
+        ids = self.several.select(F.col("doc_id").alias(mark))
+        few = ids.count() <= BROADCAST_IDS
+        return (df.join(F.broadcast(ids) if few else ids, F.col("doc_id").cast("long") == F.col(mark), "left")
+                .withColumn(name, F.when(F.col(mark).isNotNull(), F.xxhash64(F.col(mark), F.col("text").cast("string"))).otherwise(F.col("doc_id").cast("long"))).drop(mark))
 
-def similar_links(docs: DataFrame, words: int = 4, percent: int = 85, prepared: _Prepared | None = None) -> DataFrame:
+    def with_id(self, df: DataFrame, node: str) -> DataFrame:
+        """``df`` with the ``id`` of each node."""
+        if self.plain:
+            return df.withColumn("id", F.col(node))
+        return df.join(self.names.withColumnRenamed("node", "_node"), F.col(node) == F.col("_node"), "left").withColumn("id", F.coalesce("id", node)).drop("_node")
+
+
+def similar_links(docs: DataFrame, words: int = 4, percent: int = 85, prepared: _Prepared | None = None, every: bool = False) -> DataFrame:
     """Verified links (a, b, common) between representatives of different
-    sets that connect all similar documents: of a group of near copies, not
-    every pair, but enough for the same components."""
+    sets: with ``every`` all of them, else enough for the same components (of
+    a group of near copies, not every pair)."""
     p = prepared or _Prepared(docs, words, percent)
     before = written()
     prefixes = materialize(_prefixes(p.docs.where("doc_id IS NOT NULL"), p.classes, p.words, p.percent), "jj-prefixes")
@@ -332,9 +374,12 @@ def similar_links(docs: DataFrame, words: int = 4, percent: int = 85, prepared:
     star = materialize(star, "jj-star-pairs")
     first = materialize(_verified(p, star), "jj-star-links")
 
-    # Step 5: members of a token's group that are not yet connected.
-    found = materialize(components(first), "jj-star-components")
-    e = materialize(entries.join(found.select("node", "component"), "node", "left").withColumn("component", F.coalesce("component", "node")), "jj-connected")
+    # Step 5: members of a token's group that are not yet connected (or compared).
+    if every:
+        e = entries.withColumn("component", F.col("node"))
+    else:
+        found = materialize(components(first), "jj-star-components")
+        e = materialize(entries.join(found.select("node", "component"), "node", "left").withColumn("component", F.coalesce("component", "node")), "jj-connected")
     mixed = (e.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo < hi")
              .select("token", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")))
     open_ = materialize(e.join(mixed, "token"), "jj-open")
@@ -353,32 +398,66 @@ def similar_links(docs: DataFrame, words: int = 4, percent: int = 85, prepared:
     return links
 
 
+def _found(p: _Prepared, links: DataFrame, join_ids: bool) -> DataFrame:
+    """(node, n, id, group, component) of every row with a set. Rows of a group
+    are connected by links, and with ``join_ids`` by the same id; component is
+    the smallest id in it."""
+    owned = materialize(p.with_id(p.known, "doc_id").join(p.reps, ["s1", "s2"]).select(F.col("doc_id").alias("node"), "n", "id", "rep"), "jj-members")
+    edges = links.select("a", "b")
+    if not p.plain and join_ids:
+        several = owned.join(p.names.select("node").distinct(), "node", "left_semi")
+        first = several.groupBy("id").agg(F.min("rep").alias("b"))  # the sets of an id meet in one of them
+        edges = edges.unionByName(several.join(first, "id").where("rep <> b").select(F.col("rep").alias("a"), "b").distinct())
+    found = materialize(components(edges).withColumnRenamed("node", "rep"), "jj-components")
+    full = owned.join(found, "rep", "left").withColumn("group", F.coalesce("component", "rep")).drop("rep", "component")
+    if p.plain:
+        return full.withColumn("component", F.col("group"))
+    full = materialize(full, "jj-found")
+    return full.join(full.groupBy("group").agg(F.min("id").alias("component")), "group")
+
+
 def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_shingles and component_id,
     the smallest doc_id that links of at least ``percent`` % lead to."""
     p = _Prepared(docs, words, percent)
-    links = similar_links(docs, words, percent, p)
-    # copies meet through their representative; rows that repeat an id join its nodes
-    twice = p.known.groupBy("doc_id").agg(F.min(F.struct("s1", "s2")).alias("lo"), F.max(F.struct("s1", "s2")).alias("hi")).where("lo <> hi")
-    owned = materialize(p.known.join(p.reps, ["s1", "s2"]).select("doc_id", "n", "rep"), "jj-members")
-    extra = owned.join(twice.select("doc_id"), "doc_id", "left_semi").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    found = materialize(components(links.select("a", "b").unionByName(extra)), "jj-components")
-    full = owned.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
-    alone = p.slim.where("n = 0 OR doc_id IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return full.unionByName(alone)
+    full = _found(p, similar_links(docs, words, percent, p), join_ids=True)
+    alone = p.with_id(p.slim.where("n = 0 OR doc_id IS NULL"), "doc_id").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
+    if not p.plain:  # an empty text of an id that has others, too
+        known = full.groupBy("id").agg(F.min("component").alias("least"))
+        alone = alone.join(known, F.col("doc_id") == F.col("id"), "left").select("doc_id", "n_shingles", F.coalesce("least", "component_id").alias("component_id"))
+    return full.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id")).unionByName(alone)
+
+
+def link_counts(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
+    """Per row of ``docs`` with a set: doc_id, n_shingles, n_copies (other rows
+    with the same set) and n_links (rows with another, similar set)."""
+    p = _Prepared(docs, words, percent)
+    links = similar_links(docs, words, percent, p, every=True)
+    sizes = materialize(p.known.groupBy("s1", "s2").agg(F.count(F.lit(1)).alias("rows")).join(p.reps, ["s1", "s2"]), "jj-sizes")
+    both = links.select(F.col("a").alias("rep"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("rep"), F.col("a").alias("other")))
+    linked = both.join(sizes.select(F.col("rep").alias("other"), "rows"), "other").groupBy("rep").agg(F.sum("rows").alias("n_links"))
+    counted = sizes.join(linked, "rep", "left").select("s1", "s2", (F.col("rows") - 1).alias("n_copies"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    return p.with_id(p.known, "doc_id").join(counted, ["s1", "s2"]).select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "n_copies", "n_links")
 
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` (all columns) without the near copies: of each component the
-    document with the smallest id stays (of rows that repeat it, one). Rows
-    without words, or without an id, stay."""
+    """``docs`` (all columns) without the near copies: of each component one
+    row with the smallest id stays. Rows with other words stay, also where
+    their id repeats; so do rows without words, or without an id."""
     before = written()
-    marked = materialize(jaccard_components(docs, words, percent).where("n_shingles > 0 AND doc_id IS NOT NULL"), "jj-marked")
-    drop_written(docs.sparkSession, before, keep=1)
-    copies = materialize(marked.where("doc_id <> component_id").select("doc_id").distinct(), "jj-copies")
-    rest = rows_of(docs, copies, without=True)
-    repeated = materialize(marked.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"), "jj-repeated")
-    if repeated.isEmpty():
-        return rest.select(*docs.columns)
-    again = rows_of(rest, repeated).dropDuplicates(["doc_id"])
-    return rows_of(rest, repeated, without=True).unionByName(again).select(*docs.columns)
+    p = _Prepared(docs, words, percent)
+    marked = materialize(_found(p, similar_links(docs, words, percent, p), join_ids=False), "jj-marked")
+    if p.plain:
+        drop_written(docs.sparkSession, before, keep=1)  # only the marks are read from here on
+        copies = marked.where("node <> group").select("node").distinct()
+    else:
+        keepers = marked.groupBy("group").agg(F.min(F.struct("id", "node"))["node"].alias("keeper"))
+        copies = marked.join(keepers, "group").where("node <> keeper").select("node").distinct()
+    copies = materialize(copies, "jj-copies")
+    repeated = materialize(marked.groupBy("node").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("node"), "jj-repeated")
+    mark = free_name(docs, "node")
+    rest = rows_of(p.with_node(docs, mark), copies.withColumnRenamed("node", mark), mark, without=True)
+    if not repeated.isEmpty():
+        again = repeated.withColumnRenamed("node", mark)
+        rest = rows_of(rest, again, mark, without=True).unionByName(rows_of(rest, again, mark).dropDuplicates([mark]))
+    return rest.select(*docs.columns)

@@ -106,3 +106,81 @@ def test_prefixes_are_long_enough():
         for percent in (50, 80, 85, 100):
             need = min(c for c in range(n + 1) if 100 * c >= percent * n)
             assert jj.prefix_length(n, percent) == n - need + 1
+
+
+def other_texts(seed):
+    """Rows whose ids repeat with near copies of different groups, and with no words."""
+    rows = near_groups(seed, groups=4, copies=6)
+    rng = random.Random(seed)
+    return rows + [(rng.choice(rows)[0], t) for _, t in rng.sample(rows, 12)] + [(rows[0][0], ""), (rows[0][0], None), *rows[3:6]]
+
+
+def row_groups(rows, n, percent):
+    """Components of rows by links of their own texts."""
+    of = brute([(k, t) for k, (_, t) in enumerate(rows)], n, percent)
+    return {k: of[k] for k in of}
+
+
+@pytest.mark.parametrize("seed", [21, 22])
+def test_an_id_with_several_texts(spark, seed):
+    rows = other_texts(seed)
+    parent = {}
+    for i, t in rows:  # texts of an id meet
+        parent.setdefault(i, []).append(t)
+    groups = row_groups(rows, 4, 85)
+    root = {k: k for k in range(len(rows))}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for k in range(len(rows)):
+        for j in range(k):
+            if rows[k][0] is not None and rows[k][0] == rows[j][0] or groups.get(k) is not None and groups.get(k) == groups.get(j) and shingles(rows[k][1], 4):
+                root[find(k)] = find(j)
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        least[find(k)] = min(least.get(find(k), i), i)
+    want = sorted(((i, len(shingles(t, 4)), least[find(k)]) for k, (i, t) in enumerate(rows)), key=str)
+    assert result(jj.jaccard_components(docs_frame(spark, rows), 4, 85)) == want
+
+
+@pytest.mark.parametrize("seed", [31, 32])
+def test_keep_one_drops_only_near_copies(spark, seed):
+    rows = other_texts(seed)
+    out = [(r.doc_id, r.text) for r in jj.keep_one(docs_frame(spark, rows), 5, 80).collect()]
+    groups = row_groups(rows, 5, 80)
+    worded = [k for k, (_, t) in enumerate(rows) if shingles(t, 5)]
+    want = sorted(min(rows[k][0] for k in worded if groups[k] == g) for g in {groups[k] for k in worded})
+    assert sorted(i for i, t in out if shingles(t, 5)) == want
+    assert sorted((x for x in out if not shingles(x[1], 5)), key=str) == sorted((x for x in rows if not shingles(x[1], 5)), key=str)
+    left = [shingles(t, 5) for _, t in out if shingles(t, 5)]
+    assert not any(100 * len(a & b) >= 80 * len(a | b) for k, a in enumerate(left) for b in left[:k])
+
+
+def test_two_texts_of_an_id_are_compared_as_they_are(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
+    rows = [(5, a), (5, b), (7, a + " more"), (9, b + " more")]
+    assert result(jj.jaccard_components(docs_frame(spark, rows), 4, 85)) == [(5, 37, 5), (5, 37, 5), (7, 38, 5), (9, 38, 5)]
+    assert sorted((r.doc_id, r.text) for r in jj.keep_one(docs_frame(spark, rows), 4, 85).collect()) == [(5, a), (5, b)]
+
+
+@pytest.mark.parametrize("seed,block", [(41, 512), (42, 4)])
+def test_every_link_and_its_counts(spark, monkeypatch, seed, block):
+    monkeypatch.setattr(jj, "BLOCK", block)
+    rows = near_groups(seed, groups=3, copies=15) + other_texts(seed)[-17:]
+    sets = [shingles(t, 4) for _, t in rows]
+
+    def links(k):
+        return [j for j, b in enumerate(sets) if j != k and b and 100 * len(sets[k] & b) >= 85 * len(sets[k] | b)]
+
+    want = sorted((rows[k][0], len(a), sum(sets[j] == a for j in links(k)), sum(sets[j] != a for j in links(k))) for k, a in enumerate(sets) if a)
+    assert sorted(tuple(r) for r in jj.link_counts(docs_frame(spark, rows), 4, 85).collect()) == want
+    plain = near_groups(seed, groups=3, copies=15)
+    every = jj.similar_links(docs_frame(spark, plain), 4, 85, every=True).collect()
+    kinds = {}
+    for i, t in sorted((x for x in plain if shingles(x[1], 4)), key=lambda x: x[0]):
+        kinds.setdefault(shingles(t, 4), i)
+    known = sorted(kinds.items(), key=lambda x: x[1])
+    assert sorted((r.a, r.b, r.common) for r in every) == sorted((i, j, len(a & b)) for x, (a, i) in enumerate(known) for b, j in known[x + 1 :] if 100 * len(a & b) >= 85 * len(a | b))

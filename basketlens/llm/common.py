@@ -68,6 +68,20 @@ def rows_of(df: DataFrame, ids: DataFrame, id_col: str = "doc_id", without: bool
     return df.join(F.broadcast(ids) if few else ids, id_col, "left_anti" if without else "left_semi")
 
 
+def bounded_rows(rows: DataFrame, most: int) -> DataFrame:
+    """``rows`` if they are at most ``most``; else those with the least hashes
+    of all columns, equal rows once. Only hashes are counted and sorted."""
+    mark = free_name(rows, "hash")
+    marked = rows.withColumn(mark, F.xxhash64(*rows.columns, F.lit(11)))
+    hashes = marked.groupBy(mark).agg(F.count(F.lit(1)).alias("rows"))
+    n = hashes.agg(F.sum("rows").alias("rows"), F.count(F.lit(1)).alias("kinds")).first()
+    if (n["rows"] or 0) <= most:
+        return rows
+    if n["kinds"] > most:
+        marked = marked.where(F.col(mark) <= hashes.orderBy(mark).limit(most).agg(F.max(mark)).first()[0])
+    return marked.dropDuplicates([mark]).drop(mark)
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, with underscores added until no column is called so."""
     taken = {c.lower() for c in df.columns}

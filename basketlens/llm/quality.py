@@ -15,11 +15,12 @@ its standard error. (A prior that is too large would keep the risk from
 ever calling a text bad; one that is a little too small only costs a few
 hundredths of the scores of good texts.)
 
-The fit takes at most SAMPLE_POSITIVE and SAMPLE_UNLABELLED texts, chosen by
-a hash of their id; measuring and scoring are map-only jobs over whole
-texts.
+The fit takes about SAMPLE_POSITIVE and SAMPLE_UNLABELLED ids, chosen by a
+hash, and at most twice as many rows of them (of an id's texts those with the
+least hashes); measuring and scoring are map-only jobs over whole texts.
 
-Edge cases: null and empty texts have measures like any other (all zero);
+Edge cases: null and empty texts have measures like any other (all zero), very
+long ones are measured whole; an empty table gives an empty result;
 rows of ``labels`` that repeat an id or have null labels are reduced to the
 largest label or ignored; without positives every text scores 0.5; repeated
 rows and extra columns are kept, but one that has the name of the score
@@ -36,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_columns
+from .common import add_columns, bounded_rows
 from .texthash import Chunk, constants, mix, word_chunks
 
 SAMPLE_POSITIVE = 12_000
@@ -248,12 +249,14 @@ def _few_ids(ids: DataFrame, size: int) -> DataFrame:
 
 def fit(docs: DataFrame, positives: DataFrame) -> Model:
     """Fit on the texts of ``docs`` (doc_id, text): ``positives`` (doc_id)
-    lists the trusted ones, all of ``docs`` is the unlabelled web text."""
+    lists the trusted ones, all of ``docs`` is the unlabelled web text. At
+    most 2 * SAMPLE_POSITIVE and 2 * SAMPLE_UNLABELLED rows are measured."""
     d = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     p = _few_ids(positives.select("doc_id").distinct(), SAMPLE_POSITIVE)
-    u = _few_ids(d.select("doc_id"), SAMPLE_UNLABELLED)
-    # bounded by the sample sizes, so the ids are broadcast and no text is shuffled
-    return fit_measures(*(_measured(d.join(F.broadcast(ids), d["doc_id"] == ids["few_id"], "left_semi")) for ids in (p, u)))
+    u = _few_ids(d.select("doc_id").distinct(), SAMPLE_UNLABELLED)
+    # bounded by the sample sizes, so the ids are broadcast; an id may repeat without end, so the rows are bounded too
+    return fit_measures(*(_measured(bounded_rows(d.join(F.broadcast(ids), d["doc_id"] == ids["few_id"], "left_semi"), 2 * size))
+                          for ids, size in ((p, SAMPLE_POSITIVE), (u, SAMPLE_UNLABELLED))))
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:

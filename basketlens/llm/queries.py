@@ -62,30 +62,35 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP2_SQL = f"""
-WITH RECURSIVE sizes AS (
-  SELECT source, pow(CAST(count(*) AS DOUBLE), {MIX_EXPONENT}) AS weight FROM documents GROUP BY source),
-shares AS (
-  SELECT source, CAST(greatest(1, round(weight / (SELECT sum(weight) FROM sizes) * {mixing.RESOLUTION})) AS BIGINT) AS parts FROM sizes),
-one AS (
-  SELECT list(source ORDER BY source NULLS FIRST) AS sources, list(parts ORDER BY source NULLS FIRST) AS parts,
-         CAST(sum(parts) AS BIGINT) AS period FROM shares),
+WITH RECURSIVE size AS (SELECT CAST(greatest({MIX_BLOCK}, ceil(count(*) / {mixing.MAX_BLOCKS}.0)) AS BIGINT) AS rows FROM documents),
+sizes AS (
+  SELECT source, pow(CAST(count(*) AS DOUBLE), {MIX_EXPONENT}) AS weight, CAST((count(*) + rows - 1) // rows AS BIGINT) AS blocks
+  FROM documents, size GROUP BY source, rows),
+lists AS (
+  SELECT list(source ORDER BY source NULLS FIRST) AS sources, list(weight ORDER BY source NULLS FIRST) AS weights, list(blocks ORDER BY source NULLS FIRST) AS blocks,
+         max(weight) AS top FROM sizes),
+parts AS (
+  SELECT sources, blocks, [CAST(floor(w / top / total * 1152921504606846976.0) AS HUGEINT) FOR w IN weights] AS parts
+  FROM (SELECT *, list_reduce([w / top FOR w IN weights], lambda x, y: x + y) AS total FROM lists)),
+one AS (SELECT *, list_reduce(parts, lambda x, y: x + y) AS period FROM parts),
 fold AS (
-  SELECT CAST(-1 AS BIGINT) AS slot, CAST(0 AS BIGINT) AS i, [CAST(0 AS BIGINT) FOR p IN parts] AS done, sources, parts, period FROM one
+  SELECT CAST(-1 AS HUGEINT) AS slot, CAST(0 AS BIGINT) AS i, [CAST(0 AS BIGINT) FOR p IN parts] AS done, sources, parts, blocks, period FROM one
   UNION ALL
-  SELECT slot + 1, due.i, [CASE WHEN j = due.i THEN done[j] + 1 ELSE done[j] END FOR j IN range(1, len(parts) + 1)], sources, parts, period
-  FROM (SELECT *, list_min([{{'d': ((done[j] + 1) * period + parts[j] - 1) // parts[j], 'i': j}} FOR j IN range(1, len(parts) + 1)
-                            IF (done[j] * period) // parts[j] <= slot + 1]) AS due
-        FROM fold WHERE slot + 1 < period)),
+  SELECT now, due.i, [CASE WHEN j = due.i THEN done[j] + 1 ELSE done[j] END FOR j IN range(1, len(parts) + 1)], sources, parts, blocks, period
+  FROM (SELECT *, list_min([{{'d': x.d, 'i': x.i}} FOR x IN ready IF x.r <= now]) AS due
+        FROM (SELECT *, greatest(slot + 1, list_min([x.r FOR x IN ready])) AS now
+              FROM (SELECT *, [{{'r': done[j] * period // parts[j], 'd': ((done[j] + 1) * period + parts[j] - 1) // parts[j], 'i': j}}
+                               FOR j IN range(1, len(parts) + 1) IF done[j] < blocks[j]] AS ready FROM fold)
+              WHERE len(ready) > 0))),
 plan AS (
-  SELECT sources[i] AS source, parts[i] AS parts, period, done[i] - 1 AS turn, slot FROM fold WHERE slot >= 0),
+  SELECT sources[i] AS source, done[i] - 1 AS block, CAST(slot AS BIGINT) AS slot, CAST((done[i] - 1) * period // parts[i] AS BIGINT) AS release,
+         CAST((done[i] * period + parts[i] - 1) // parts[i] AS BIGINT) AS deadline
+  FROM fold WHERE slot >= 0),
 docs AS (
-  SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5(coalesce(CAST(doc_id AS VARCHAR), '')), doc_id NULLS FIRST) - 1 AS nr
-  FROM documents)
-SELECT d.doc_id, d.source, CAST(d.nr // {MIX_BLOCK} AS BIGINT) AS block, CAST(d.nr % {MIX_BLOCK} AS INTEGER) AS place,
-       CAST((d.nr // {MIX_BLOCK}) // p.parts * p.period + p.slot AS BIGINT) AS slot,
-       CAST((d.nr // {MIX_BLOCK}) // p.parts * p.period + (p.turn * p.period) // p.parts AS BIGINT) AS release,
-       CAST((d.nr // {MIX_BLOCK}) // p.parts * p.period + ((p.turn + 1) * p.period + p.parts - 1) // p.parts AS BIGINT) AS deadline
-FROM docs d LEFT JOIN plan p ON p.source IS NOT DISTINCT FROM d.source AND p.turn = (d.nr // {MIX_BLOCK}) % p.parts
+  SELECT doc_id, source, nr // rows AS block, nr % rows AS place
+  FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5(coalesce(CAST(doc_id AS VARCHAR), '')), doc_id NULLS FIRST) - 1 AS nr FROM documents), size)
+SELECT d.doc_id, d.source, CAST(d.block AS BIGINT) AS block, CAST(d.place AS INTEGER) AS place, p.slot, p.release, p.deadline
+FROM docs d LEFT JOIN plan p ON p.source IS NOT DISTINCT FROM d.source AND p.block = d.block
 """
 
 
@@ -93,8 +98,7 @@ FROM docs d LEFT JOIN plan p ON p.source IS NOT DISTINCT FROM d.source AND p.tur
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The place of every document in a mix of the sources."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "source")
-    # OP2_SQL fixes rounded shares; the pipeline mixes by exact ones
-    return mixing.mix(docs, mixing.temperature_weights(docs, MIX_EXPONENT), block_rows=MIX_BLOCK, resolution=mixing.RESOLUTION)
+    return mixing.mix(docs, mixing.temperature_weights(docs, MIX_EXPONENT), block_rows=mixing.block_size(docs, MIX_BLOCK))
 
 
 OP3_SQL = r"""

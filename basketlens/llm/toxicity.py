@@ -14,13 +14,15 @@ seen repeatedly and only in clean texts); a match inside an exception doesn't
 count. The sum of weights is divided by a power of the number of words, and
 that density is mapped to a probability; power and map are fitted too.
 
-The fit takes at most SAMPLE_TOXIC and SAMPLE_CLEAN labelled texts, chosen by
-a hash of their id; copies among them count once. Counting is a Spark job; the driver gets at most
+The fit takes about SAMPLE_TOXIC and SAMPLE_CLEAN labelled ids, chosen by a
+hash, and at most twice as many texts of them (those with the least hashes);
+copies among them count once. Counting is a Spark job; the driver gets at most
 MAX_CANDIDATES counted patterns and a few numbers for each sampled text.
 Scoring is a map-only job over whole texts.
 
 Edge cases: null, empty and wordless texts have no match and get the score of
-a clean text; repeated labels of an id count by their largest; without toxic
+a clean text, very long ones are matched whole; an empty table gives an empty
+result; repeated labels of an id count by their largest; without toxic
 labels every text scores 0; repeated rows and extra columns are kept, but one
 that has the name of the score column is replaced.
 """
@@ -41,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_columns
+from .common import add_columns, bounded_rows
 
 SAMPLE_TOXIC, SAMPLE_CLEAN = 5_000, 10_000
 MAX_CANDIDATES = 20_000
@@ -224,7 +226,8 @@ def learn(docs: DataFrame, labels: DataFrame, exceptions: Iterable[str] = ()) ->
         ids = chosen[0].unionByName(chosen[1])
         # at most 2 * (SAMPLE_TOXIC + SAMPLE_CLEAN) ids
         sample = (docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(ids), F.col("doc_id") == F.col("label_id"))
-                  .select("text", "toxic").mapInArrow(_signed, "text string, toxic int, signature string"))
+                  .select("text", "toxic"))
+        sample = bounded_rows(sample, 2 * (SAMPLE_TOXIC + SAMPLE_CLEAN)).mapInArrow(_signed, "text string, toxic int, signature string")
         # copies say the same thing once
         sample = sample.groupBy("signature", "toxic").agg(F.min("text").alias("text")).select("text", "toxic").persist()
         try:
@@ -282,7 +285,7 @@ def _learned(sample: DataFrame, n: dict[int, int], exceptions: Iterable[str]) ->
     w = np.where(y == 1, n[1] / n_t, n[0] / n_c)  # as frequent as among all labels
     w /= w.mean()
     best = None
-    for power in (0.0, 0.25, 0.5, 0.75, 1.0):
+    for power in (0.25, 0.5, 0.75, 1.0):
         lexicon.power = power
         line, loss = _fit_line(lexicon.density(total, words), y, w)
         if best is None or loss < best[0] - 1e-9:

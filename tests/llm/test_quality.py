@@ -99,3 +99,21 @@ def test_query_on_held_out_rows(spark):
 
 def test_query_on_a_small_table(spark):
     assert queries.QUERIES["op10_quality"](spark, SF).count() == spark.read.parquet(f"{SF}/documents.parquet").count()
+
+
+def test_a_repeated_id_stays_within_the_bound(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from basketlens.llm.common import bounded_rows
+
+    df = spark.range(3_000).select(F.lit(7).cast("long").alias("doc_id"), F.concat(F.lit("text "), (F.col("id") % 2_000).cast("string")).alias("text"))
+    assert bounded_rows(df, 3_000).count() == 3_000
+    few = bounded_rows(df, 500).collect()
+    assert len(few) == 500 and len({r.text for r in few}) == 500
+    assert bounded_rows(df, 2_500).count() == 2_000
+    monkeypatch.setattr(ql, "SAMPLE_POSITIVE", 100)
+    monkeypatch.setattr(ql, "SAMPLE_UNLABELLED", 200)
+    seen = []
+    monkeypatch.setattr(ql, "fit_measures", lambda p, u: seen.append((len(p), len(u))))
+    ql.fit(df, df.select("doc_id"))
+    assert seen == [(200, 400)]

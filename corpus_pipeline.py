@@ -55,7 +55,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents in the order of the mix of their sources."""
-    rows = mixing.scheduled(docs, mixing.temperature_weights(docs, MIX_EXPONENT), block_rows=MIX_BLOCK)
+    rows = mixing.scheduled(docs, mixing.temperature_weights(docs, MIX_EXPONENT), block_rows=mixing.block_size(docs, MIX_BLOCK))
     return mixing.in_order(rows, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 

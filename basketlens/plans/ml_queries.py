@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import r6
 from ..operators import asof as ao
+from ..operators import boosting as bo
 from ..operators import ml
 from ..operators import similarity as sm
 from ..operators.io import labelled_interactions
@@ -184,12 +185,9 @@ def _frame(fx):
     return materialize(d.select("event_id", "user_id", "item_id", "label", "split", "category_id", *FEATURES), "training-frame")
 
 
-def _model(frame, max_iter: int = 10):
-    """(PipelineModel from raw columns to probabilities, feature model)."""
-    from pyspark.ml import PipelineModel
-    features, t = ml.training_matrix(frame, FEATURES, ["category_id"])
-    gbt = ml.fit_gbt(t.where(F.col("split") == "train"), max_iter=max_iter, max_depth=4)
-    return PipelineModel(stages=[features, gbt])
+def _model(frame):
+    """(best model of the whole grid on the train split, scores of the grid)."""
+    return bo.train_model(frame.where(F.col("split") == "train"), FEATURES, ["category_id"])
 
 
 _STANDARD = ", ".join(f"round((t.{c} - s.m_{c}) / s.d_{c}, 6) AS f_{c}" for c in [*FEATURES, "category"])
@@ -222,18 +220,25 @@ def training_matrix(fx):
     return v.select("event_id", "label", "split", *[F.round(F.col("v")[i], 6).alias(f"f_{c}") for i, c in enumerate([*FEATURES, "category"])])
 
 
+@query("ctr_model_grid")
+def ctr_model_grid(fx):
+    """M3: 3-fold cross-validated AUC of the 108 points of the model grid."""
+    scores = _model(_frame(fx))[1]
+    return scores.select(*bo.GRID, "trees", r6("auc").alias("auc"), F.array_join(F.transform("fold_auc", lambda x: F.round(x, 6).cast("string")), ",").alias("fold_auc"))
+
+
 @query("ctr_model_scores")
 def ctr_model_scores(fx):
-    """M3/M6: GBT trained on the train split, scores on the test split."""
+    """M3/M6: the grid's best model, scores on the test split."""
     frame = _frame(fx)
-    s = ml.positive_probability(_model(frame), frame.where(F.col("split") == "test"))
+    s = bo.scored(frame.where(F.col("split") == "test"), _model(frame)[0])
     return s.select("event_id", "label", "score")
 
 
 @query("model_scored_candidates")
 def model_scored_candidates(fx):
-    """M6: the recall candidates scored by the CTR model on the users' and
-    items' latest daily features (the popularity fallback is
+    """M6: the recall candidates scored by the grid's best model on the users'
+    and items' latest daily features (the popularity fallback is
     ``score_candidates``)."""
     cands, pop = _candidates(fx)
     user, item = (ao.latest_rows(v.df, v.keys, "event_timestamp").select(*v.keys, *v.features) for v in _views(fx))
@@ -241,16 +246,16 @@ def model_scored_candidates(fx):
             .join(pop.select("item_id", "category_id", "popularity_score"), "item_id", "left"))
     for c in FEATURES:
         rows = rows.withColumn(c, F.coalesce(F.col(c).cast("double"), F.lit(0.0)))
-    s = ml.positive_probability(_model(_frame(fx)), rows)
+    s = bo.scored(rows, _model(_frame(fx))[0])
     return s.select("user_id", "item_id", "path", "category_id", "score")
 
 
 @query("permutation_importance")
 def permutation_importance(fx):
-    """M5: AUC drop on the test split when one feature is permuted."""
+    """M5: AUC drop of the grid's best model on the test split when one feature is permuted."""
     frame = _frame(fx)
     test = frame.where(F.col("split") == "test").select("event_id", "label", "category_id", *FEATURES)
-    return ml.permutation_importance(_model(frame), test, FEATURES, "event_id")
+    return bo.permutation_importance(test, _model(frame)[0], FEATURES)
 
 
 @query("als_recommendations")

@@ -124,32 +124,56 @@ def categories(region: DataFrame, nation: DataFrame) -> DataFrame:
     return roots.unionByName(kids)
 
 
-def category_tree(cats: DataFrame) -> DataFrame:
-    """Level (roots: 1) and path of every category below a root, of any
-    depth: one join a level against the categories, each level written to
-    shared storage so that the plan doesn't grow. A category that is its own
-    ancestor raises an error."""
+#: Rounds after which every chain of less than 2 ** TREE_ROUNDS categories has ended.
+TREE_ROUNDS = 40
+
+
+def category_ancestry(cats: DataFrame) -> DataFrame:
+    """Every category (category_id, name, parent_id) with level (roots: 1),
+    path (names from the root) and status: ``ok``, ``orphan`` (it or an
+    ancestor names a parent that doesn't exist) or ``loop`` (it is its own
+    ancestor, or below one that is); level and path only where it is ok.
+
+    Pointer doubling: each category keeps the ancestor 2**k steps above it and
+    the names in between; a round joins that ancestor's own pointer, which
+    doubles k. So a tree of depth d takes log2(d) joins, each written to
+    shared storage. A chain that hasn't ended when the rounds pass the number
+    of categories runs in a loop. A category id that occurs twice raises an
+    error; a null id is an orphan."""
     from ..sources.shared import materialize
 
     cats = cats.select("category_id", "name", "parent_id")
-    level = materialize(cats.where(F.col("parent_id").isNull())
-                        .select("category_id", "name", "parent_id", F.lit(1).alias("level"), F.col("name").alias("path"),
-                                F.array("category_id").alias("_above")), "category-level")
-    levels = [level]
-    while True:
-        up = level.select(F.col("category_id").alias("_p"), F.col("level").alias("_l"), F.col("path").alias("_path"), "_above")
-        loop = F.raise_error(F.concat(F.lit("category tree has a loop at "), F.col("category_id").cast("string"))).cast("array<bigint>")
-        level = materialize(cats.join(up, F.col("parent_id") == F.col("_p")).select(
-            "category_id", "name", "parent_id", (F.col("_l") + 1).alias("level"), F.concat("_path", F.lit(" > "), "name").alias("path"),
-            F.when(F.array_contains("_above", F.col("category_id")), loop)
-             .otherwise(F.concat(F.col("_above"), F.array("category_id"))).alias("_above")), "category-level")
-        if level.isEmpty():
+    total = cats.count()
+    twice = F.raise_error(F.concat(F.lit("category tree has a loop or repeated id at "), F.col("category_id").cast("string")))
+    known = (cats.where("category_id IS NOT NULL").groupBy("category_id").agg(F.count(F.lit(1)).alias("_n"))
+             .select(F.when(F.col("_n") > 1, twice.cast("bigint")).otherwise(F.col("category_id")).alias("_k")))
+    node = (cats.join(known, F.col("parent_id") == F.col("_k"), "left")
+            .withColumn("_missing", (F.col("parent_id").isNotNull() & F.col("_k").isNull()) | F.col("category_id").isNull())
+            # _up: the ancestor not yet passed; _names: those passed, nearest first
+            .select("category_id", "name", "parent_id", F.when(~F.col("_missing"), F.col("parent_id")).alias("_up"), F.array("name").alias("_names"),
+                    F.lit(1).alias("_steps"), F.col("_missing").alias("_orphan")))
+    node = materialize(node, "category-pointers")
+    for k in range(TREE_ROUNDS):
+        if 2 ** k > total or node.where("_up IS NOT NULL").isEmpty():
             break
-        levels.append(level)
-    out = levels[0]
-    for x in levels[1:]:
-        out = out.unionByName(x)
-    return out.drop("_above")
+        above = node.select(F.col("category_id").alias("_a"), F.col("_up").alias("_up2"), F.col("_names").alias("_names2"), F.col("_steps").alias("_steps2"), F.col("_orphan").alias("_orphan2"))
+        node = materialize(node.join(above, F.col("_up") == F.col("_a"), "left").select(
+            "category_id", "name", "parent_id", F.col("_up2").alias("_up"), F.concat("_names", F.coalesce("_names2", F.expr("cast(array() as array<string>)"))).alias("_names"),
+            (F.col("_steps") + F.coalesce("_steps2", F.lit(0))).alias("_steps"), (F.col("_orphan") | F.coalesce("_orphan2", F.lit(False))).alias("_orphan")), "category-pointers")
+    status = F.when(F.col("_up").isNotNull(), "loop").when(F.col("_orphan"), "orphan").otherwise("ok")
+    return node.withColumn("status", status).select(
+        "category_id", "name", "parent_id", F.when(F.col("status") == "ok", F.col("_steps")).alias("level"),
+        F.when(F.col("status") == "ok", F.array_join(F.reverse("_names"), " > ")).alias("path"), "status")
+
+
+def category_tree(cats: DataFrame) -> DataFrame:
+    """Level (roots: 1) and path of every category below a root, of any
+    depth. Loops and repeated ids raise an error; categories whose root is
+    missing are left out (``category_ancestry`` reports both)."""
+    tree = category_ancestry(cats)
+    loop = F.raise_error(F.concat(F.lit("category tree has a loop at "), F.col("category_id").cast("string"))).cast("int")
+    return (tree.where("status <> 'orphan'")
+            .select("category_id", "name", "parent_id", F.when(F.col("status") == "loop", loop).otherwise(F.col("level")).alias("level"), "path"))
 
 
 def duplicate_siblings(items: DataFrame, id_col: str, name_col: str, parent_col: str) -> DataFrame:

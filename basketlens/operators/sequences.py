@@ -136,20 +136,26 @@ def _bucketed(df: DataFrame, key: str, bucket: Column) -> DataFrame:
     return df.withColumn("_kb", F.struct(F.col(key).alias("k"), bucket.alias("b"))).repartition("_kb")
 
 
-def lag_within(df: DataFrame, key: str, bucket: Column, order: list[str], values: dict[str, str]) -> DataFrame:
+def lag_within(df: DataFrame, key: str, bucket: Column, order: list[str], values: dict[str, str], number: str | None = None) -> DataFrame:
     """Add the previous row's ``values`` (column -> new name) in each key's
     total order (columns ``order``), without a window over a whole key: a lag
     inside (key, bucket), and for a bucket's first row the last row of the
     key's bucket before. ``bucket`` must not decrease along the order. The
-    first row of a key gets nulls."""
+    first row of a key gets nulls. ``number`` names a column for the row's
+    1-based position in its key, made in the same pass."""
     d = _bucketed(df, key, bucket)
     packed = F.struct(*[F.col(c).alias(n) for c, n in values.items()])
-    last = d.groupBy("_kb").agg(F.max_by(packed, F.struct(*order)).alias("_last"))
-    carried = last.select("_kb", F.lag("_last").over(Window.partitionBy("_kb.k").orderBy("_kb.b")).alias("_carried"))
+    last = d.groupBy("_kb").agg(F.max_by(packed, F.struct(*order)).alias("_last"), F.count(F.lit(1)).alias("_n"))
+    along = Window.partitionBy("_kb.k").orderBy("_kb.b")
+    carried = last.select("_kb", F.lag("_last").over(along).alias("_carried"),
+                          F.coalesce(F.sum("_n").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     w = Window.partitionBy("_kb").orderBy(*order)
-    out = (d.withColumn("_prev", F.lag(packed).over(w)).join(carried, "_kb")
-            .withColumn("_prev", F.coalesce("_prev", "_carried")))
-    return out.select(*df.columns, *[F.col(f"_prev.{n}").alias(n) for n in values.values()])
+    out = d.withColumn("_prev", F.lag(packed).over(w))
+    if number:
+        out = out.withColumn("_r", F.row_number().over(w))
+    out = out.join(carried, "_kb").withColumn("_prev", F.coalesce("_prev", "_carried"))
+    made = [(F.col("_before") + F.col("_r")).cast("bigint").alias(number)] if number else []
+    return out.select(*df.columns, *made, *[F.col(f"_prev.{n}").alias(n) for n in values.values()])
 
 
 def month_index(ts: str) -> Column:

@@ -47,7 +47,7 @@ FROM replayed GROUP BY sku"""
 
 
 def _replayed(fx):
-    return inv.replay(fx.ledger, fx.opening_stock)
+    return inv.replay(fx.ledger_ops, fx.opening_stock, order=fx.ledger_order)
 
 
 @query("inventory_replay", views=("replayed",), extra_views=REPLAY_VIEWS, oracle="SELECT * FROM replayed")
@@ -67,7 +67,7 @@ RELAXED_VIEWS = {"replayed": (REPLAY_VIEWS["replayed"][0], REPLAY_VIEWS["replaye
 @query("inventory_replay_relaxed", views=("replayed",), extra_views=RELAXED_VIEWS, oracle="SELECT * FROM replayed")
 def inventory_replay_relaxed(fx):
     """X2 without the rollback guard (strict=False)."""
-    return inv.replay(fx.ledger, fx.opening_stock, strict=False)
+    return inv.replay(fx.ledger_ops, fx.opening_stock, strict=False, order=fx.ledger_order)
 
 
 @query("inventory_balance", views=("replayed",), extra_views=REPLAY_VIEWS, oracle=REPLAY_SQL_BAL)
@@ -108,7 +108,7 @@ FROM (SELECT *, lag(op) OVER (PARTITION BY sku ORDER BY seq) AS prev_op FROM led
 WHERE op = 'ROLLBACK' AND prev_op IS DISTINCT FROM 'DEDUCT'""")
 def orphan_rollbacks(fx):
     """Rollbacks without an original DEDUCT."""
-    return inv.orphan_rollbacks(fx.ledger)
+    return inv.orphan_rollbacks(fx.ledger_ops, fx.ledger_order)
 
 
 @query("expired_reservations", views=("ledger",), oracle="""
@@ -148,7 +148,7 @@ SELECT sku, seq, ts, old_cents / 100.0e0 AS old_price, new_cents / 100.0e0 AS ne
 FROM k""")
 def price_change(fx):
     """Price history with change amount and percentage text."""
-    return inv.price_changes(fx.ledger)
+    return inv.price_changes(fx.ledger_ops, fx.ledger_order)
 
 
 # -- catalogue ---------------------------------------------------------------
@@ -275,10 +275,27 @@ tree AS (
   FROM cats c JOIN tree t ON c.parent_id = t.category_id)
 SELECT * FROM tree""")
 def category_tree(fx):
-    """Category levels and paths of any depth, a join for each level."""
+    """Category levels and paths of any depth by pointer doubling."""
     return cg.category_tree(cg.categories(fx.region, fx.nation))
 
 
+@query("category_ancestry", oracle="""
+WITH RECURSIVE cats AS (
+  SELECT CAST(r_regionkey AS BIGINT) AS category_id, r_name AS name, CAST(NULL AS BIGINT) AS parent_id FROM region
+  UNION ALL SELECT CAST(n_nationkey + 100 AS BIGINT), n_name, CAST(n_regionkey AS BIGINT) FROM nation),
+tree AS (
+  SELECT category_id, 1 AS level, name AS path, category_id AS root, parent_id FROM cats
+  WHERE parent_id IS NULL OR parent_id NOT IN (SELECT category_id FROM cats)
+  UNION ALL
+  SELECT c.category_id, t.level + 1, concat(t.path, ' > ', c.name), t.root, t.parent_id FROM cats c JOIN tree t ON c.parent_id = t.category_id)
+SELECT c.category_id, c.name, c.parent_id, CASE WHEN t.parent_id IS NULL THEN t.level END AS level, CASE WHEN t.parent_id IS NULL THEN t.path END AS path,
+       CASE WHEN t.root IS NULL THEN 'loop' WHEN t.parent_id IS NOT NULL THEN 'orphan' ELSE 'ok' END AS status
+FROM cats c LEFT JOIN tree t ON t.category_id = c.category_id""")
+def category_ancestry(fx):
+    """Every category with its level, path and status (ok, orphan, loop)."""
+    return cg.category_ancestry(cg.categories(fx.region, fx.nation))
+
+
 @query("category_product_counts", oracle="""
 SELECT p_type AS category_id, count(*) AS products FROM part GROUP BY p_type""")
 def category_product_counts(fx):

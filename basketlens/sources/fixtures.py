@@ -119,17 +119,21 @@ class Fixtures(Tables):
 
     # -- inventory ledger ------------------------------------------------
     @cached_property
-    def ledger(self) -> DataFrame:
-        """One op per lineitem, ``seq`` = position within the sku's history."""
+    def ledger_ops(self) -> DataFrame:
+        """One op per lineitem, without a number; ``ledger_order`` is the order of a sku's ops."""
         l = self.lineitem
-        led = number_within(l, "l_partkey", month_index("l_shipdate"), [F.col(c) for c in LEDGER_ORDER])
-        return led.select(
-            F.col("l_partkey").alias("sku"), "seq",
-            _case_map(F.col("l_returnflag"), LEDGER_OP, "ADD").alias("op"),
-            F.col("l_quantity").cast("int").alias("qty"), F.col("l_shipdate").alias("ts"),
-            F.col("l_orderkey").alias("order_id"),
-            F.floor(F.col("l_extendedprice") * 100 / F.col("l_quantity") + 0.5).cast("bigint")
-             .alias("unit_price_cents"))
+        return l.select(
+            F.col("l_partkey").alias("sku"), _case_map(F.col("l_returnflag"), LEDGER_OP, "ADD").alias("op"),
+            F.col("l_quantity").cast("int").alias("qty"), F.col("l_shipdate").alias("ts"), *LEDGER_ORDER[1:],
+            F.floor(F.col("l_extendedprice") * 100 / F.col("l_quantity") + 0.5).cast("bigint").alias("unit_price_cents"))
+
+    ledger_order = ["ts", *LEDGER_ORDER[1:]]
+
+    @cached_property
+    def ledger(self) -> DataFrame:
+        """The ops with ``seq``, their position within the sku's history."""
+        led = number_within(self.ledger_ops, "sku", month_index("ts"), [F.col(c) for c in self.ledger_order])
+        return led.select("sku", "seq", "op", "qty", "ts", F.col("l_orderkey").alias("order_id"), "unit_price_cents")
 
     @cached_property
     def opening_stock(self) -> DataFrame:

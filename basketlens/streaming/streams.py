@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+from ..operators.inventory import apply_ops
 from ..operators.io import BEHAVIOR_EVENT_SCHEMA, decode_behavior_json
 
 DEFAULT_WATERMARK = "10 minutes"
@@ -239,31 +240,10 @@ def ledger_state(df: DataFrame) -> DataFrame:
         else:
             avail = total = int(ops[0][3])
             reserved, prev_op, prev_ok, prev_qty = 0, None, False, 0
-        rows = []
-        for seq, op, q, _ in ops:
-            q = int(q)
-            before, ok = avail, False
-            if op in ("DEDUCT", "RESERVE") and avail >= q:
-                avail -= q
-                if op == "DEDUCT":
-                    total -= q
-                else:
-                    reserved += q
-                ok = True
-            elif op == "ROLLBACK" and prev_op == "DEDUCT" and prev_ok:
-                avail += prev_qty
-                total += prev_qty
-                ok = True
-            elif op == "CANCEL" and reserved >= q:
-                reserved -= q
-                avail += q
-                ok = True
-            elif op == "ADD":
-                avail += q
-                total += q
-                ok = True
-            rows.append((int(key[0]), int(seq), op, 1 if ok else 0, before, avail))
-            prev_op, prev_ok, prev_qty = op, ok, q
+        stock = [avail, total, reserved, prev_op, prev_ok, prev_qty]
+        done = apply_ops(stock, [o[1] for o in ops], [int(o[2]) for o in ops])
+        rows = [(int(key[0]), int(o[0]), o[1], d[0], d[1], d[2]) for o, d in zip(ops, done)]
+        avail, total, reserved, prev_op, prev_ok, prev_qty = stock
         state.update((avail, total, reserved, prev_op, prev_ok, prev_qty))
         yield pd.DataFrame(rows, columns=[f.name for f in LEDGER_OUT.fields])
 

@@ -132,6 +132,27 @@ def test_category_tree_is_as_deep_as_the_data_and_refuses_loops(spark):
         catalog.category_tree(spark.createDataFrame([(1, "a", None), (2, "b", 1), (1, "a", 2)], schema))
 
 
+def test_category_loops_and_orphans_are_reported(spark):
+    schema = "category_id long, name string, parent_id long"
+    rows = [(1, "root", None), (2, "a", 1), (3, "b", 4), (4, "c", 3), (5, "d", 3), (6, "e", 99), (7, "f", 6), (8, "self", 8), (None, "g", 1), (9, None, 2)]
+    out = {r.category_id: (r.level, r.path, r.status) for r in catalog.category_ancestry(spark.createDataFrame(rows, schema)).collect()}
+    assert out == {1: (1, "root", "ok"), 2: (2, "root > a", "ok"), 3: (None, None, "loop"), 4: (None, None, "loop"), 5: (None, None, "loop"), 6: (None, None, "orphan"),
+                   7: (None, None, "orphan"), 8: (None, None, "loop"), None: (None, None, "orphan"), 9: (3, "root > a", "ok")}
+    with pytest.raises(Exception, match="loop at"):
+        catalog.category_tree(spark.createDataFrame(rows, schema)).collect()
+    assert catalog.category_ancestry(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_a_deep_category_chain_takes_few_rounds(spark, monkeypatch):
+    from basketlens.sources import shared
+    chain = [(i, f"c{i}", i - 1 if i else None) for i in range(1000)]
+    real, rounds = shared.materialize, []
+    monkeypatch.setattr(shared, "materialize", lambda df, name: rounds.append(name) or real(df, name))
+    out = catalog.category_ancestry(spark.createDataFrame(chain, "category_id long, name string, parent_id long").repartition(3))
+    last = out.where("category_id = 999").first()
+    assert last.level == 1000 and last.path.startswith("c0 > c1 > ") and last.path.endswith("c999") and len(rounds) <= 11
+
+
 def test_number_and_lag_within_equal_plain_windows(spark):
     rng = random.Random(4)
     rows = [(rng.choice([1, 1, 1, 2, 3, None]), rng.randrange(40), i, rng.randrange(9)) for i in range(400)]

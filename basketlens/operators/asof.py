@@ -6,7 +6,7 @@ at exactly the entity time is used) and ``feature_ts > entity_ts - ttl``.
 
 There is no as-of join in Spark's DataFrame API, and a window over
 ``partitionBy(key)`` would put a hot key's whole history into one task, so
-the time axis is cut into buckets:
+the time axis is cut into buckets (``time_buckets``: finer where a key is dense):
 
 1. inside each (key, bucket) the entity and feature rows are unioned and a
    ``last(..., ignorenulls)`` running window finds the in-bucket match;
@@ -26,19 +26,13 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import epoch_micros
-
-
-def _bucket(ts: str, seconds: int) -> Column:
-    m = epoch_micros(ts)
-    d = F.lit(seconds * 1_000_000).cast("bigint")
-    return ((m - F.pmod(m, d)) / d).cast("bigint")
+from .sequences import time_buckets
 
 
 def asof_join(entities: DataFrame, features: DataFrame, keys: list[str], entity_ts: str,
               feature_ts: str, feature_cols: list[str], ttl_seconds: int | None = None,
               created: str | None = None, bucket_seconds: int = 86400,
-              prefix: str = "") -> DataFrame:
+              prefix: str = "", entity_rows: int | None = None) -> DataFrame:
     """Left as-of join of ``features`` onto ``entities`` (see module doc).
 
     Output: all entity columns plus ``feature_cols`` (renamed ``prefix+col``)
@@ -49,8 +43,7 @@ def asof_join(entities: DataFrame, features: DataFrame, keys: list[str], entity_
     payload_type = features.select(payload.alias("p")).schema["p"].dataType
     null_payload = F.lit(None).cast(payload_type)
 
-    e = entities.withColumn("_b", _bucket(entity_ts, bucket_seconds))
-    f = features.withColumn("_b", _bucket(feature_ts, bucket_seconds))
+    e, f = time_buckets([(entities, entity_ts), (features, feature_ts)], keys, bucket_seconds, counts=[entity_rows, None])
     ent_struct = F.struct(*[F.col(c) for c in entities.columns])
     ent_type = entities.select(ent_struct.alias("e")).schema["e"].dataType
     c_type = features.schema[created].dataType if created else "int"
@@ -108,10 +101,10 @@ class FeatureView:
 def historical_features(entity_df: DataFrame, views: list[FeatureView], entity_ts: str = "event_timestamp",
                         bucket_seconds: int = 86400) -> DataFrame:
     """Point-in-time correct training frame; each view joined independently."""
-    out = entity_df
+    out, n = entity_df, entity_df.count()  # each join keeps the rows
     for v in views:
         out = asof_join(out, v.df, v.keys, entity_ts, v.ts, v.features, v.ttl_seconds, v.created,
-                        bucket_seconds=bucket_seconds, prefix="").drop("feature_ts")
+                        bucket_seconds=bucket_seconds, prefix="", entity_rows=n).drop("feature_ts")
     return out
 
 

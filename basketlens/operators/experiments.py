@@ -100,34 +100,35 @@ def variant_params(assign: DataFrame, spark: SparkSession, config: list[dict] =
 
 
 def exposures_and_conversions(b: DataFrame, assign: DataFrame, spark: SparkSession,
-                              config: list[dict] = EXPERIMENTS) -> tuple[DataFrame, DataFrame]:
-    """Exposures = impressions in every active experiment (with the user's
-    variant); conversions = clicks (value 1) and purchases (value = price)."""
+                              config: list[dict] = EXPERIMENTS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Exposures = impressions (user_id, exposure_ts), in every active
+    experiment with the user's variant; conversions = clicks (value 1) and
+    purchases (value = price); and the users' variants in active experiments."""
     active = [e["experiment_id"] for e in config if e["status"] == "active"]
-    a = assign.where(F.col("experiment_id").isin(active))
-    exp = (b.where(F.col("action") == "impression").select("user_id", "ts")
-             .join(a, "user_id").select("user_id", "experiment_id", "variant", F.col("ts").alias("exposure_ts")))
+    variants = assign.where(F.col("experiment_id").isin(active)).select("user_id", "experiment_id", "variant")
+    exp = b.where(F.col("action") == "impression").select("user_id", F.col("ts").alias("exposure_ts"))
     conv = (b.where(F.col("action").isin("click", "purchase"))
               .select("event_id", "user_id", "ts", F.col("action").alias("event_type"),
                       F.when(F.col("action") == "purchase", cents("price")).otherwise(F.lit(100))
-                      .alias("value_cents"))
-              .withColumn("experiment_id", F.explode(F.array(*[F.lit(x) for x in active]))))
-    return exp, conv
+                      .alias("value_cents")))
+    return exp, conv, variants
 
 
-def attribute(exposures: DataFrame, conversions: DataFrame, ttl_days: int = 30) -> DataFrame:
-    """A conversion counts only with an exposure of the same user and
-    experiment at or before it and at most ``ttl_days`` old; it takes the
-    latest exposure's variant. Unmatched conversions are dropped."""
-    j = asof_join(conversions, exposures, ["user_id", "experiment_id"], "ts", "exposure_ts",
-                  ["variant"], ttl_seconds=ttl_days * 86400)
-    return j.where(F.col("variant").isNotNull())
+def attribute(exposures: DataFrame, conversions: DataFrame, variants: DataFrame, ttl_days: int = 30) -> DataFrame:
+    """A conversion counts in an experiment only with an exposure of the
+    same user at or before it and at most ``ttl_days`` old; it takes the
+    user's variant. Unmatched conversions are dropped. A user is exposed to
+    all active experiments alike, so the as-of join runs once a user and the
+    matched conversions are fanned out over experiments after it."""
+    j = asof_join(conversions, exposures.withColumn("exposed", F.lit(True)), ["user_id"], "ts", "exposure_ts", ["exposed"], ttl_seconds=ttl_days * 86400)
+    return j.where("exposed").drop("exposed").join(variants, "user_id")
 
 
-def experiment_results(exposures: DataFrame, attributed: DataFrame) -> DataFrame:
+def experiment_results(exposures: DataFrame, attributed: DataFrame, variants: DataFrame) -> DataFrame:
     """Per (experiment, variant, metric): exposures, total, count,
     value = total / exposures and its binomial standard error."""
-    ex = exposures.groupBy("experiment_id", "variant").agg(F.count(F.lit(1)).alias("exposures"))
+    per_user = exposures.groupBy("user_id").agg(F.count(F.lit(1)).alias("_n"))
+    ex = variants.join(per_user, "user_id").groupBy("experiment_id", "variant").agg(F.sum("_n").alias("exposures"))
     m = attributed.select(
         "experiment_id", "variant",
         F.explode(F.array(

@@ -31,6 +31,64 @@ def _micros(ts: str) -> Column:
                             F.col(ts).cast("timestamp_ntz"))
 
 
+#: Rows of a key that one time bucket holds at most, about (but for equal times).
+BUCKET_ROWS = 1_000_000
+SPLIT = 16               # parts that a full bucket is cut into
+
+
+def _cell(ts: str, width: int) -> Column:
+    """Start, in microseconds, of the time cell of a width."""
+    m = _micros(ts)
+    return (m - F.pmod(m, F.lit(width).cast("bigint"))).cast("bigint")
+
+
+def time_buckets(frames: list[tuple[DataFrame, str]], keys: list[str], base_seconds: int, limit: int | None = None, out: str = "_b",
+                 counts: list[int | None] | None = None) -> list[DataFrame]:
+    """The frames (each with its time column) with ``out``, a time bucket (its
+    start) that no key fills with more than ``limit`` rows of all frames
+    together, whatever the density: a (key, bucket) of ``base_seconds`` that
+    holds more is cut into SPLIT parts, and full parts again, down to a
+    microsecond. Buckets are the same for all frames and don't decrease with time.
+
+    Full cells are found by counts with map-side partial sums, only inside the
+    full cells of the level above; no more than ``limit`` rows in all need no
+    such count (``counts``: rows of the frames, where the caller knows them).
+    A level's full cells are at most rows / limit, and are
+    joined to the rows (broadcast when Spark finds them small)."""
+    from ..sources.shared import materialize
+
+    limit = limit or BUCKET_ROWS
+    width = base_seconds * 1_000_000
+    found = [df.withColumn(out, _cell(ts, width)) for df, ts in frames]
+    total = 0
+    for (df, _), known in zip(frames, counts or [None] * len(frames)):
+        total += df.count() if known is None else known
+        if total > limit:
+            break
+    else:
+        return found
+    rows = [df.select(*keys, F.col(ts).alias("_t"), out) for df, (_, ts) in zip(found, frames)]
+    everything = rows[0]
+    for r in rows[1:]:
+        everything = everything.unionByName(r)
+    while True:
+        full = everything.groupBy(*keys, out).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit)
+        full = materialize(full.select(*[F.col(k).alias(f"_full_{k}") for k in keys], F.col(out).alias("_full")), "full-buckets")
+        if width == 1 or full.isEmpty():
+            return found
+        width = max(1, width // SPLIT)
+
+        def same(df: DataFrame) -> Column:
+            on = F.col(out) == F.col("_full")
+            for k in keys:
+                on = on & F.col(k).eqNullSafe(F.col(f"_full_{k}"))
+            return on
+
+        everything = everything.join(full, same(everything), "left_semi").withColumn(out, _cell("_t", width))
+        found = [df.join(full, same(df), "left").withColumn(out, F.when(F.col("_full").isNotNull(), _cell(ts, width)).otherwise(F.col(out)))
+                 .drop("_full", *[f"_full_{k}" for k in keys]) for df, (_, ts) in zip(found, frames)]
+
+
 def _last_n(arr: Column, n: int) -> Column:
     """Last ``n`` elements of an array (all of it when shorter)."""
     return F.slice(arr, F.greatest(F.lit(1), F.size(arr) - F.lit(n - 1)), F.lit(n))
@@ -40,7 +98,7 @@ def bounded_history(df: DataFrame, key: str, ts: str, tiebreak: str, value: str,
                     bucket_seconds: int = 86400, out: str = "history") -> DataFrame:
     """Add ``out``: array of ``value`` over the key's last ``k+1`` rows up to and
     including the current one, oldest first (like ``rowsBetween(-k, 0)``)."""
-    d = df.withColumn("_b", F.floor(_micros(ts) / F.lit(bucket_seconds * 1_000_000)))
+    d = time_buckets([(df, ts)], [key], bucket_seconds)[0]
     order = [F.col(ts), F.col(tiebreak)]
     # 1. last k rows of every (key, bucket): WindowGroupLimit keeps this partial.
     w_desc = Window.partitionBy(key, "_b").orderBy(F.col(ts).desc(), F.col(tiebreak).desc())

@@ -2,8 +2,8 @@
 
 A plain ``lag`` over ``Window.partitionBy(user)`` puts every event of a user
 in one task; a bot or shared account holding a third of the log would then
-serialise the whole job. Here the per-user timeline is cut into fixed time
-buckets: gaps are found inside each (user, bucket) partition, and only a
+serialise the whole job. Here the per-user timeline is cut into time buckets
+(``time_buckets``: finer where a user is dense): gaps are found inside each (user, bucket) partition, and only a
 one-row-per-(user, bucket) summary is ordered per user to stitch sessions
 across bucket edges. The per-user window therefore sees at most
 ``time span / bucket`` rows regardless of how many events the user has.
@@ -15,11 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import key_concat
-
-
-def _micros(ts: str):
-    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"),
-                            F.col(ts).cast("timestamp_ntz"))
+from .sequences import _micros, time_buckets
 
 
 def sessionize(df: DataFrame, key: str = "user_id", ts: str = "ts", tiebreak: str = "event_id",
@@ -30,8 +26,7 @@ def sessionize(df: DataFrame, key: str = "user_id", ts: str = "ts", tiebreak: st
     greater than ``gap_seconds`` (a gap exactly equal continues the session).
     """
     gap = gap_seconds * 1_000_000
-    d = (df.withColumn("_t", _micros(ts))
-           .withColumn("_b", F.floor(F.col("_t") / F.lit(bucket_seconds * 1_000_000))))
+    d = time_buckets([(df, ts)], [key], bucket_seconds)[0].withColumn("_t", _micros(ts))
     w = Window.partitionBy(key, "_b").orderBy("_t", tiebreak)
     d = (d.withColumn("_prev", F.lag("_t").over(w))
           .withColumn("_start", F.when(F.col("_t") - F.col("_prev") > gap, 1).otherwise(0))
@@ -59,8 +54,7 @@ def session_counts(df: DataFrame, key: str = "user_id", ts: str = "ts", tiebreak
     """Sessions per key from the per-(key, bucket) gap summary alone (the same
     rule as ``sessionize``), without joining session ids back to the events."""
     gap = gap_seconds * 1_000_000
-    d = (df.withColumn("_t", _micros(ts))
-           .withColumn("_b", F.floor(F.col("_t") / F.lit(bucket_seconds * 1_000_000))))
+    d = time_buckets([(df, ts)], [key], bucket_seconds)[0].withColumn("_t", _micros(ts))
     w = Window.partitionBy(key, "_b").orderBy("_t", tiebreak)
     d = d.withColumn("_start", F.when(F.col("_t") - F.lag("_t").over(w) > gap, 1).otherwise(0))
     summary = d.groupBy(key, "_b").agg(F.min("_t").alias("_first"), F.max("_t").alias("_last"),

@@ -65,8 +65,7 @@ def _ctx(fx):
     spark = fx.spark
     b = fx.behaviors
     assign = ex.assign_variants(fx.users, spark)
-    exposures, conv = ex.exposures_and_conversions(b, assign, spark)
-    return b, assign, exposures, conv
+    return ex.exposures_and_conversions(b, assign, spark)
 
 
 @query("assign_variants", views=("assign",), extra_views=EXP_VIEWS, oracle="SELECT * FROM assign")
@@ -108,13 +107,13 @@ def user_variant_params(fx):
 @query("ab_attribution", views=("attributed",), extra_views=EXP_VIEWS, oracle="SELECT * FROM attributed")
 def ab_attribution(fx):
     """Conversions attributed to the latest exposure within 30 days."""
-    b, assign, exposures, conv = _ctx(fx)
-    return ex.attribute(exposures, conv)
+    exposures, conv, variants = _ctx(fx)
+    return ex.attribute(exposures, conv, variants).select("event_id", "user_id", "ts", "event_type", "value_cents", "experiment_id", "variant", "feature_ts")
 
 
 def _results(fx):
-    b, assign, exposures, conv = _ctx(fx)
-    return ex.experiment_results(exposures, ex.attribute(exposures, conv))
+    exposures, conv, variants = _ctx(fx)
+    return ex.experiment_results(exposures, ex.attribute(exposures, conv, variants), variants)
 
 
 @query("ab_results", views=("results",), extra_views=EXP_VIEWS, oracle="""

@@ -95,3 +95,54 @@ def test_session_counts_match_sessionize(hot):
         s = sessionize(df, gap_seconds=gap, bucket_seconds=bucket)
         exact = {r.user_id: r["count"] for r in s.select("user_id", "session_id").distinct().groupBy("user_id").count().collect()}
         assert got == exact
+
+
+@pytest.fixture(scope="module")
+def dense(spark):
+    """One user holds nine tenths of the rows, most of them within one hour of one day."""
+    rnd = random.Random(5)
+    rows = []
+    for i in range(2000):
+        user = 1 if i % 10 else rnd.randint(2, 9)
+        at = timedelta(hours=30, microseconds=rnd.randrange(3_600_000_000)) if i % 5 else timedelta(minutes=rnd.randrange(60 * 24 * 4))
+        rows.append((i, user, rnd.randint(1, 9), rnd.choice(["click", "purchase"]), T0 + at))
+    pdf = pd.DataFrame(rows, columns=["event_id", "user_id", "item_id", "action", "ts"])
+    return pdf, spark.createDataFrame(pdf, "event_id long, user_id long, item_id long, action string, ts timestamp_ntz")
+
+
+LIMIT = 60
+
+
+def test_no_bucket_is_larger_than_the_limit(dense):
+    pdf, df = dense
+    (one,) = sequences.time_buckets([(df, "ts")], ["user_id"], 86400, limit=LIMIT)
+    sizes = one.groupBy("user_id", "_b").count().collect()
+    assert max(r["count"] for r in sizes) <= LIMIT and sum(r["count"] for r in sizes) == len(pdf)
+    assert max(pdf[pdf.user_id == 1].groupby(pdf.ts.dt.date).size()) > 10 * LIMIT      # what a fixed day would hold
+    rows = sorted(((r.user_id, r.ts, r["_b"]) for r in one.select("user_id", "ts", "_b").collect()))
+    assert all(a[2] <= b[2] for a, b in zip(rows, rows[1:]) if a[0] == b[0])           # buckets follow time
+    a, b = sequences.time_buckets([(df.where("action = 'click'"), "ts"), (df.where("action = 'purchase'"), "ts")], ["user_id"], 86400, limit=LIMIT)
+    both = {(r.event_id, r["_b"]) for x in (a, b) for r in x.collect()}
+    assert both == {(r.event_id, r["_b"]) for r in one.collect()}                      # the same for all frames
+    few = sequences.time_buckets([(df, "ts")], ["user_id"], 86400)[0].select("_b").distinct().count()
+    assert few == 4
+
+
+def test_kernels_with_cut_buckets(dense, monkeypatch):
+    pdf, df = dense
+    kernels = {
+        "sessions": lambda: {r.event_id: r.session_seq for r in sessionize(df, gap_seconds=60).collect()},
+        "history": lambda: {r.event_id: list(r.h) for r in sequences.bounded_history(df, "user_id", "ts", "event_id", "item_id", 9, out="h").collect()},
+        "asof": lambda: {r.event_id: (r.item_id, r.clicked) for r in asof.asof_join(
+            df.where("action = 'purchase'"), df.where("action = 'click'").select("user_id", df.ts.alias("fts"), df.event_id.alias("clicked"), df.event_id.alias("made")),
+            ["user_id"], "ts", "fts", ["clicked"], ttl_seconds=3600, created="made").collect()}}
+    whole = {k: f() for k, f in kernels.items()}
+    monkeypatch.setattr(sequences, "BUCKET_ROWS", LIMIT)
+    assert {k: f() for k, f in kernels.items()} == whole
+    assert len(whole["sessions"]) == len(pdf) and any(x[1] is not None for x in whole["asof"].values())
+
+
+def test_rows_at_one_moment_stay_together(spark):
+    df = spark.createDataFrame([(1, T0)] * 50 + [(None, T0 + timedelta(microseconds=3))] * 40, "user_id long, ts timestamp_ntz")
+    (one,) = sequences.time_buckets([(df, "ts")], ["user_id"], 86400, limit=20)
+    assert sorted(r["count"] for r in one.groupBy("user_id", "_b").count().collect()) == [40, 50]

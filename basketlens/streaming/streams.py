@@ -270,43 +270,104 @@ def start(df: DataFrame, sink: str, checkpoint: str, fmt: str = "parquet", mode:
     return w.start()
 
 
-def _published(spark: SparkSession, table_path: str) -> list[int]:
-    """Versions whose write has been committed (Spark's _SUCCESS marker)."""
-    root = spark._jvm.org.apache.hadoop.fs.Path(table_path)
-    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+# -- S9: upserted tables --------------------------------------------------------
+# <table>/data/e=<epoch>/_bucket=<n>/   rows of the buckets that an epoch rewrote
+# <table>/v=<epoch>/                    its manifest: the epoch of every bucket's rows
+UPSERT_BUCKETS = 64
+
+
+def _path(spark: SparkSession, name: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _listed(spark: SparkSession, name: str, prefix: str) -> list[int]:
+    """Numbers of the folders ``<prefix><number>`` in a folder."""
+    root, fs = _path(spark, name)
     if not fs.exists(root):
         return []
     names = [x.getPath().getName() for x in fs.listStatus(root)]
-    return sorted(int(n[2:]) for n in names if n.startswith("v=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{table_path}/{n}/_SUCCESS")))
+    return sorted(int(n[len(prefix):]) for n in names if n.startswith(prefix))
+
+
+def _published(spark: SparkSession, table_path: str) -> list[int]:
+    """Versions whose manifest has been committed (Spark's _SUCCESS marker)."""
+    def done(v: int) -> bool:
+        path, fs = _path(spark, f"{table_path}/v={v:012d}/_SUCCESS")
+        return fs.exists(path)
+    return [v for v in _listed(spark, table_path, "v=") if done(v)]
+
+
+def _manifest(spark: SparkSession, table_path: str, version: int) -> dict[int, tuple[int, int]]:
+    """{bucket: (epoch of its rows, buckets of the table)}; at most a row a bucket."""
+    return {r["bucket"]: (r["epoch"], r["buckets"]) for r in spark.read.parquet(f"{table_path}/v={version:012d}").collect()}
+
+
+def _rows(spark: SparkSession, table_path: str, current: dict[int, tuple[int, int]]) -> DataFrame | None:
+    paths = [f"{table_path}/data/e={epoch:012d}/_bucket={bucket}" for bucket, (epoch, _) in sorted(current.items())]
+    return spark.read.option("mergeSchema", "true").parquet(*paths) if paths else None
 
 
 def read_upserted(spark: SparkSession, table_path: str, before: int | None = None) -> DataFrame | None:
     """The newest published version of an upserted table (of those before an
     epoch); None if there is none. A damaged version raises."""
     versions = [v for v in _published(spark, table_path) if before is None or v < before]
-    return spark.read.parquet(f"{table_path}/v={versions[-1]:012d}") if versions else None
-
-
-def upsert_stream(df: DataFrame, table_path: str, key: str, ts: str, checkpoint: str, keep_versions: int = 2):
-    """S9 for streams: each micro-batch is merged (full outer) with the
-    version published before its epoch and written as version ``v=<epoch>``.
-    A replayed epoch starts from the same base and rewrites its own version,
-    so the sink is idempotent; a base that can't be read fails the batch.
-    Versions beyond the last ``keep_versions`` are removed."""
+    return _rows(spark, table_path, _manifest(spark, table_path, versions[-1])) if versions else None
+
+
+def upsert_stream(df: DataFrame, table_path: str, key: str, ts: str, checkpoint: str, keep_versions: int = 2, buckets: int = UPSERT_BUCKETS):
+    """S9 for streams: the table is dealt into ``buckets`` by a hash of the
+    key (a table keeps the number it began with). Each micro-batch is merged
+    (full outer) with the rows of the buckets that hold its keys, as published
+    before its epoch, and only those are written anew; then the epoch's
+    manifest, which names the rows of every bucket, is published. A replayed
+    epoch starts from the same manifest and rewrites its own rows, so the sink
+    is idempotent; a base that can't be read fails the batch. Versions beyond
+    the last ``keep_versions`` are removed, with the rows that only they name."""
     from ..operators.io import upsert_latest
 
     def merge(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        base = read_upserted(spark, table_path, before=epoch)
-        out = batch if base is None else upsert_latest(base, batch, key, ts)
-        out.write.mode("overwrite").parquet(f"{table_path}/v={epoch:012d}")
-        for old in [v for v in _published(spark, table_path) if v < epoch][: -keep_versions or None]:
-            path = spark._jvm.org.apache.hadoop.fs.Path(f"{table_path}/v={old:012d}")
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        versions = [v for v in _published(spark, table_path) if v < epoch]
+        current = _manifest(spark, table_path, versions[-1]) if versions else {}
+        n = next(iter(current.values()))[1] if current else buckets
+        of = F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+        batch = batch.persist()
+        try:
+            touched = {r["b"] for r in batch.select(of.alias("b")).distinct().collect()}  # buckets at most
+            if touched:
+                base = _rows(spark, table_path, {b: x for b, x in current.items() if b in touched})
+                out = upsert_latest(batch.limit(0) if base is None else base, batch, key, ts)
+                (out.withColumn("_bucket", of).repartition(len(touched), "_bucket").write.mode("overwrite")
+                 .option("partitionOverwriteMode", "static").partitionBy("_bucket").parquet(f"{table_path}/data/e={epoch:012d}"))
+        finally:
+            batch.unpersist()
+        current = {**current, **{b: (epoch, n) for b in touched}}
+        rows = [(b, e, n) for b, (e, _) in sorted(current.items())]
+        spark.createDataFrame(rows, "bucket int, epoch long, buckets int").coalesce(1).write.mode("overwrite").parquet(f"{table_path}/v={epoch:012d}")
+        _clean(spark, table_path, epoch, keep_versions)
 
     return start(df, table_path, checkpoint, foreach_batch=merge)
 
 
+def _clean(spark: SparkSession, table_path: str, epoch: int, keep_versions: int) -> None:
+    """Remove old manifests, and bucket rows of earlier epochs that no kept one names."""
+    old = [v for v in _published(spark, table_path) if v < epoch]
+    gone, kept = old[:-keep_versions] if keep_versions else old, [*(old[-keep_versions:] if keep_versions else []), epoch]
+    if not gone:
+        return
+    named = {(e, b) for v in kept for b, (e, _) in _manifest(spark, table_path, v).items()}
+    for v in gone:
+        path, fs = _path(spark, f"{table_path}/v={v:012d}")
+        fs.delete(path, True)
+    for e in (e for e in _listed(spark, f"{table_path}/data", "e=") if e < epoch):
+        folder = f"{table_path}/data/e={e:012d}"
+        rest = [b for b in _listed(spark, folder, "_bucket=") if (e, b) in named]
+        for name in [f"{folder}/_bucket={b}" for b in _listed(spark, folder, "_bucket=") if b not in rest] if rest else [folder]:
+            path, fs = _path(spark, name)
+            fs.delete(path, True)
+
+
 def distinct_events(df: DataFrame, id_col: str = "event_id", ts: str = "ts", watermark: str = DEFAULT_WATERMARK) -> DataFrame:
     """Each event once: repeats of an id that arrive within the watermark
     are dropped (``dropDuplicatesWithinWatermark``; the state keeps an id no

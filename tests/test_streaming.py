@@ -198,6 +198,38 @@ def test_upsert_stream_merges_replays_and_fails_on_a_damaged_base(spark):
     assert sorted(glob.glob(f"{table}/v=*/_SUCCESS"))[-1].startswith(newest)
 
 
+def test_an_epoch_rewrites_only_the_buckets_of_its_keys(spark):
+    import glob
+
+    src, table, ck = (tempfile.mkdtemp(prefix="basketlens-up-") for _ in range(3))
+    table = f"{table}/t"
+
+    def epoch(rows, schema="user_id long, score double, updated_at long"):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+        q = st.upsert_stream(spark.readStream.schema("user_id long, score double, updated_at long, level int").parquet(src), table, "user_id", "updated_at", ck, keep_versions=1, buckets=8)
+        q.awaitTermination()
+
+    def written():
+        return sorted(glob.glob(f"{sorted(glob.glob(f'{table}/data/e=*'))[-1]}/_bucket=*"))
+
+    want = {i: (float(i), None) for i in range(200)}
+    epoch([(i, float(i), 10) for i in range(200)])
+    assert len(written()) == 8
+    for k in range(3):
+        want[5] = (50.0 + k, None)
+        epoch([(5, 50.0 + k, 20 + k)])
+        assert len(written()) == 1
+        assert {r.user_id: (r.score, r.level) for r in st.read_upserted(spark, table).collect()} == want
+    # rows that no kept manifest names are gone
+    names = [glob.glob(f"{e}/_bucket=*") for e in sorted(glob.glob(f"{table}/data/e=*"))]
+    assert [len(x) for x in names] == [7, 1, 1] and len(glob.glob(f"{table}/v=*")) == 2
+    # an older update changes nothing, a new column is added
+    epoch([(5, 1.0, 1), (300, 3.0, 30)])
+    epoch([(7, 7.5, 40, 3)], "user_id long, score double, updated_at long, level int")
+    want |= {300: (3.0, None), 7: (7.5, 3)}
+    assert {r.user_id: (r.score, r.level) for r in st.read_upserted(spark, table).collect()} == want
+
+
 def test_distinct_events_and_late_rows(spark, fx):
     b = fx.behaviors.select("event_id", "user_id", "ts")
     twice = b.unionByName(b)

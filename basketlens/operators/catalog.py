@@ -70,6 +70,67 @@ def boosted_search(p: DataFrame, terms: list[str]) -> DataFrame:
     return p.withColumn("score", score.cast("bigint")).where(F.col("score") > 0)
 
 
+#: What a hit in a field counts for.
+FIELD_WEIGHT = {"name": 3, "description": 1, "specs": 1}
+INDEX_SHARDS = 32
+
+
+def posting_lists(p: DataFrame) -> DataFrame:
+    """(term, field, product_id, hits): how often each term occurs in
+    each field of each product."""
+    fields = {"name": tokens(F.col("name")), "description": tokens(F.col("description")),
+              "specs": F.flatten(F.transform(F.map_values("specs"), lambda v: tokens(v)))}
+    none = F.expr("cast(array() as array<string>)")
+
+    def named(field: str, terms: Column) -> Column:
+        return F.transform(F.coalesce(terms, none), lambda t: F.struct(F.lit(field).alias("field"), t.alias("term")))
+
+    found = F.flatten(F.array(*[named(f, t) for f, t in fields.items()]))
+    return (p.select("product_id", F.explode(found).alias("x")).groupBy(F.col("x.term").alias("term"), F.col("x.field").alias("field"), "product_id")
+            .agg(F.count(F.lit(1)).cast("int").alias("hits")))
+
+
+def _shard(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(INDEX_SHARDS)).cast("int")
+
+
+def write_index(p: DataFrame, path: str) -> None:
+    """Write the posting lists, partitioned by a hash of the term and range
+    split by (term, product), so that the list of a frequent term lies in as
+    many files as it fills; and the terms' document frequencies."""
+    from .sequences import _shuffle_partitions
+
+    lists = posting_lists(p).withColumn("shard", _shard(F.col("term")))
+    n = max(_shuffle_partitions(p.sparkSession), INDEX_SHARDS)
+    (lists.repartitionByRange(n, "shard", "term", "product_id").sortWithinPartitions("shard", "term", "product_id")
+     .write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("shard").parquet(f"{path}/lists"))
+    written = p.sparkSession.read.parquet(f"{path}/lists")
+    (written.groupBy("shard", "term").agg(F.count_distinct("product_id").alias("products"))
+     .write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("shard").parquet(f"{path}/terms"))
+
+
+def _lists(spark, path: str, kind: str, terms: list[str]) -> DataFrame:
+    """Rows of the terms: only their shards are listed, and of these only the
+    row groups that may hold a term are read."""
+    known = sorted({t.lower() for t in terms})
+    shards = [r[0] for r in spark.createDataFrame([(t,) for t in known], "term string").select(_shard(F.col("term"))).distinct().collect()]
+    return spark.read.parquet(f"{path}/{kind}").where(F.col("shard").isin(shards) & F.col("term").isin(known))
+
+
+def term_frequencies(spark, path: str, terms: list[str]) -> DataFrame:
+    """(term, products): how many products each of the terms occurs in."""
+    return _lists(spark, path, "terms", terms).select("term", "products")
+
+
+def search_index(spark, path: str, terms: list[str], weights: dict[str, int] | None = None) -> DataFrame:
+    """T2 (T1 with equal weights of name and description): product_id and
+    score = sum of weight * hits, from the terms' lists only. Fields without a weight don't count."""
+    weights = weights or FIELD_WEIGHT
+    weight = F.create_map(*[F.lit(x) for kv in weights.items() for x in kv])
+    return (_lists(spark, path, "lists", terms).where(F.col("field").isin(list(weights)))
+            .groupBy("product_id").agg(F.sum(F.col("hits") * weight[F.col("field")]).cast("bigint").alias("score")))
+
+
 def validate_products(req: DataFrame) -> DataFrame:
     """P10: rule checks; ``reasons`` lists every failed rule in fixed order."""
     price = F.col("price")

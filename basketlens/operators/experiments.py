@@ -204,34 +204,39 @@ def ab_rollup(b: DataFrame, assign: DataFrame) -> DataFrame:
     return r.drop(*[f"_c_{m}" for m in ("ctr", "conversion", "arpu")])
 
 
+def _retained(days: Column, first_day: Column) -> Column:
+    """Whether one of the days is 1 to 7 after the first."""
+    return F.exists(days, lambda x: (F.datediff(x, first_day) >= 1) & (F.datediff(x, first_day) <= 7))
+
+
 def new_user_retention(b: DataFrame) -> DataFrame:
     """A36 (ours): per user, retained = an event 1..7 days after the day of
     the first event. Uses the distinct (user, day) set, bounded by the
     number of days, so no self-join over raw events is needed."""
     days = b.select("user_id", F.to_date("ts").alias("d")).distinct()
     per = days.groupBy("user_id").agg(F.min("d").alias("first_day"), F.collect_set("d").alias("_days"))
-    return per.select("user_id", "first_day", F.exists(
-        "_days", lambda x: (F.datediff(x, F.col("first_day")) >= 1) & (F.datediff(x, F.col("first_day")) <= 7))
-        .alias("retained"))
+    return per.select("user_id", "first_day", _retained(F.col("_days"), F.col("first_day")).alias("retained"))
 
 
-def variant_metrics(b: DataFrame, assign: DataFrame, sessions: DataFrame, users: DataFrame,
-                    as_of: Column) -> DataFrame:
+def variant_metrics(b: DataFrame, assign: DataFrame, users: DataFrame, as_of: Column) -> DataFrame:
     """A36 (ours): per (experiment, variant): diversity_score = mean distinct
     categories per session, session_length = mean events per session,
     new_user_ctr = clicks / impressions of users whose first visit is <= 7
-    days before as_of, new_user_retention = share of retained users."""
-    sess = b.groupBy("user_id", "session_id").agg(
-        F.countDistinct("category_id").alias("cats"), F.count(F.lit(1)).alias("events"))
-    s = (assign.join(sess, "user_id").groupBy("experiment_id", "variant").agg(
-        (F.sum("cats") / F.count(F.lit(1))).alias("diversity_score"),
-        (F.sum("events") / F.count(F.lit(1))).alias("session_length")))
-    new_users = users.where(F.extract(F.lit("DAY"), as_of - F.col("first_visit")) <= 7).select("user_id")
-    nu = (b.join(new_users, "user_id", "left_semi").groupBy("user_id").agg(
-        F.count(F.when(F.col("action") == "impression", True)).alias("imp"),
-        F.count(F.when(F.col("action") == "click", True)).alias("clk")))
-    n = (assign.join(nu, "user_id").groupBy("experiment_id", "variant")
-               .agg(try_ratio(F.sum("clk"), F.sum("imp")).alias("new_user_ctr")))
-    ret = (assign.join(new_user_retention(b), "user_id").groupBy("experiment_id", "variant")
-                 .agg((F.sum(F.col("retained").cast("int")) / F.count(F.lit(1))).alias("new_user_retention")))
-    return s.join(n, ["experiment_id", "variant"], "left").join(ret, ["experiment_id", "variant"], "left")
+    days before as_of, new_user_retention = share of retained users.
+
+    The log is read once: a state for each session (its categories and days
+    are small sets), states summed to a row a user, and users to variants."""
+    sessions = b.groupBy("user_id", "session_id").agg(
+        F.size(F.collect_set("category_id")).alias("cats"), F.count(F.lit(1)).alias("events"),
+        F.count(F.when(F.col("action") == "impression", True)).alias("imp"), F.count(F.when(F.col("action") == "click", True)).alias("clk"),
+        F.collect_set(F.to_date("ts")).alias("days"))
+    per_user = sessions.groupBy("user_id").agg(
+        F.sum("cats").alias("cats"), F.sum("events").alias("events"), F.count(F.lit(1)).alias("sessions"), F.sum("imp").alias("imp"), F.sum("clk").alias("clk"),
+        F.array_distinct(F.flatten(F.collect_list("days"))).alias("days"))
+    new = F.extract(F.lit("DAY"), as_of - F.col("first_visit")) <= 7
+    per_user = (per_user.withColumn("retained", _retained(F.col("days"), F.array_min("days")).cast("int")).drop("days")
+                .join(users.select("user_id", new.alias("new")), "user_id", "left"))
+    return (assign.join(per_user, "user_id").groupBy("experiment_id", "variant").agg(
+        (F.sum("cats") / F.sum("sessions")).alias("diversity_score"), (F.sum("events") / F.sum("sessions")).alias("session_length"),
+        try_ratio(F.sum(F.when(F.col("new"), F.col("clk"))), F.sum(F.when(F.col("new"), F.col("imp")))).alias("new_user_ctr"),
+        (F.sum("retained") / F.count(F.lit(1))).alias("new_user_retention")))

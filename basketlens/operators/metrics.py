@@ -78,6 +78,16 @@ def cold_start_cohorts(b: DataFrame, users: DataFrame, items: DataFrame, as_of:
         (F.sum("clicked").cast("double") / F.count(F.lit(1))).alias("ctr"))
 
 
+def cold_start_cube(b: DataFrame, users: DataFrame, items: DataFrame, as_of: Column) -> DataFrame:
+    """A9 with margins: clicks per impression or click for every (user cohort,
+    item cohort), for each cohort alone, and in all. ``margin``: 0 a cell, 1 a
+    user cohort, 2 an item cohort, 3 all; the other column is null there. The
+    cube runs over the few cohort counts, not over the log."""
+    g = cold_start_cohorts(b, users, items, as_of).withColumn("clicks", F.round(F.col("ctr") * F.col("n")).cast("bigint"))
+    return g.cube("user_cohort", "item_cohort").agg(
+        F.grouping_id().cast("int").alias("margin"), F.sum("n").alias("n"), F.sum("clicks").alias("clicks")).withColumn("ctr", F.col("clicks") / F.col("n"))
+
+
 def cold_start_pivot(cohorts: DataFrame) -> DataFrame:
     """User cohort x item cohort grid (pivot with fixed values)."""
     return cohorts.groupBy("user_cohort").pivot("item_cohort", ["new_item", "old_item"]).agg(F.first("ctr"))
@@ -195,13 +205,49 @@ def version_share(m: DataFrame) -> DataFrame:
              .withColumn("share", F.col("requests") / total))
 
 
-def active_users_sliding(b: DataFrame, length: str = "5 minutes", slide: str = "1 minute",
-                         approx: bool = False) -> DataFrame:
-    """Distinct users per sliding window (exact in batch; sketch option)."""
-    agg = (F.approx_count_distinct("user_id") if approx else F.countDistinct("user_id")).alias("active_users")
-    return (b.groupBy(F.window("ts", length, slide).alias("w")).agg(agg)
-             .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"),
-                     "active_users"))
+MINUTE = 60
+
+
+def active_users_sliding(b: DataFrame, length_minutes: int = 5) -> DataFrame:
+    """Distinct users of every sliding window (1-minute slide), exactly,
+    without a copy of a row for each window it lies in.
+
+    Events become (user, minute) panes once. Of a user's panes in a window the
+    first one counts: a pane at minute p, with the user's pane before it at q,
+    counts in the windows that start in (max(p - length, q), p]. So each pane
+    adds one user where that range begins and takes them off behind it; a
+    running sum over the changes (at most two a minute) gives the counts."""
+    zero = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    minute = F.floor(F.timestamp_diff("SECOND", zero, F.date_trunc("minute", F.col("ts").cast("timestamp_ntz")).cast("timestamp_ntz")) / MINUTE).cast("long")
+    panes = b.where(F.col("user_id").isNotNull() & F.col("ts").isNotNull()).select("user_id", minute.alias("p")).distinct()
+    before = F.lag("p").over(Window.partitionBy("user_id").orderBy("p"))  # a row for each minute of a user
+    ranges = panes.withColumn("q", before).select(F.greatest(F.col("p") - length_minutes, F.coalesce("q", F.col("p") - length_minutes)).alias("from"), "p")
+    changes = (ranges.select(F.explode(F.array(F.struct((F.col("from") + 1).alias("s"), F.lit(1).alias("d")), F.struct((F.col("p") + 1).alias("s"), F.lit(-1).alias("d")))).alias("x"))
+               .groupBy("x.s").agg(F.sum("x.d").alias("d")))
+    along = Window.orderBy("s")  # a row for each minute of the log
+    runs = changes.withColumn("active_users", F.sum("d").over(along)).withColumn("next", F.lead("s").over(along)).where("active_users > 0")
+    starts = runs.select(F.explode(F.sequence("s", F.col("next") - 1)).alias("s"), "active_users")
+
+    def at(minutes: Column) -> Column:
+        return zero + F.make_dt_interval(mins=minutes.cast("int"))
+
+    return starts.select(at(F.col("s")).alias("window_start"), at(F.col("s") + length_minutes).alias("window_end"), F.col("active_users").cast("bigint").alias("active_users"))
+
+
+def active_user_panes(b: DataFrame, pane: str = "1 minute", lg_k: int = 12) -> DataFrame:
+    """A29/ST6: a mergeable distinct-users sketch for each pane (tumbling, so
+    the same on a stream, where a pane is emitted once)."""
+    return (b.groupBy(F.window("ts", pane).alias("w")).agg(F.hll_sketch_agg("user_id", F.lit(lg_k)).alias("users"))
+             .select(F.col("w.start").alias("pane_start"), "users"))
+
+
+def active_users_from_panes(panes: DataFrame, length_minutes: int = 5) -> DataFrame:
+    """Estimated distinct users of sliding windows: the sketches of their
+    panes merged (panes, not events, are sent to their windows)."""
+    back = F.explode(F.sequence(F.lit(0), F.lit(length_minutes - 1))).alias("k")
+    return (panes.select("pane_start", "users", back)
+            .groupBy((F.col("pane_start") - F.make_dt_interval(mins=F.col("k"))).alias("window_start"))
+            .agg(F.hll_sketch_estimate(F.hll_union_agg("users")).alias("active_users")))
 
 
 def user_ctr(b: DataFrame) -> DataFrame:

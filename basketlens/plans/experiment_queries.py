@@ -215,7 +215,7 @@ FROM s LEFT JOIN n USING (experiment_id, variant) LEFT JOIN rt USING (experiment
 def variant_metrics(fx):
     """Diversity, session length, new-user CTR and retention per variant."""
     b = fx.sessionized
-    v = ex.variant_metrics(b, ex.assign_variants(fx.users, fx.spark), None, fx.users, fx.as_of)
+    v = ex.variant_metrics(b, ex.assign_variants(fx.users, fx.spark), fx.users, fx.as_of)
     return v.select("experiment_id", "variant",
                     *[r6(c).alias(c) for c in ("diversity_score", "session_length", "new_user_ctr",
                                                "new_user_retention")])

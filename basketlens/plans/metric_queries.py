@@ -107,6 +107,15 @@ def cold_start_cohorts(fx):
     return _cohorts(fx)
 
 
+@query("cold_start_cube", views=("behaviors", "users", "items", "as_of_t"), oracle=f"""
+SELECT user_cohort, item_cohort, CAST(GROUPING(user_cohort, item_cohort) AS INTEGER) AS margin, CAST(sum(n) AS BIGINT) AS n,
+       CAST(sum(round(ctr * n)) AS BIGINT) AS clicks, sum(round(ctr * n)) / sum(n) AS ctr
+FROM ({COHORT_SQL}) GROUP BY CUBE (user_cohort, item_cohort)""")
+def cold_start_cube(fx):
+    """The cohort grid with the margins of both cohorts and the total."""
+    return mt.cold_start_cube(fx.behaviors, fx.users, fx.items, fx.as_of)
+
+
 @query("cold_start_pivot", views=("behaviors", "users", "items", "as_of_t"), oracle=f"""
 SELECT user_cohort, max(CASE WHEN item_cohort = 'new_item' THEN ctr END) AS new_item,
        max(CASE WHEN item_cohort = 'old_item' THEN ctr END) AS old_item

@@ -1,8 +1,8 @@
 """Commerce views over the driver tables (see FIXTURES.md section 3).
 
-Each view is a lazy DataFrame; nothing is cached or collected. ``as_of`` is a
-scalar subquery (``max(ts)``) so no result depends on the wall clock and no
-cross join is needed to attach it.
+Each view is a lazy DataFrame; nothing is cached or collected but ``as_of``,
+the newest event time: one value, so no result depends on the wall clock and
+no cross join is needed to attach it.
 """
 
 from __future__ import annotations
@@ -34,6 +34,10 @@ def _case_map(col: Column, mapping: dict, default) -> Column:
     return out.otherwise(F.lit(default))
 
 
+def _newest(df: DataFrame, ts: str) -> Column:
+    return F.lit(df.select(F.max(ts).cast("string")).first()[0]).cast(df.schema[ts].dataType)
+
+
 class Fixtures(Tables):
     """Driver tables plus the commerce views built from them."""
 
@@ -41,14 +45,15 @@ class Fixtures(Tables):
         super().__init__(spark, sf_dir)
 
     # -- scalars ---------------------------------------------------------
-    @property
+    @cached_property
     def as_of(self) -> Column:
-        """Newest event time (scalar subquery)."""
-        return self.events.select(F.max("ts")).scalar()
+        """Newest event time, found once a run: one value as a literal, so that
+        no plan scans the log for it again and all parts of a run agree."""
+        return _newest(self.events, "ts")
 
-    @property
+    @cached_property
     def rec_as_of(self) -> Column:
-        return self.lineitem.select(F.max("l_shipdate")).scalar()
+        return _newest(self.lineitem, "l_shipdate")
 
     # -- behaviour log ---------------------------------------------------
     def _behavior_rows(self, with_errors: bool, with_category: bool = True) -> DataFrame:

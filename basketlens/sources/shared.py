@@ -12,15 +12,20 @@ from ..session import ensure_checkpoint_dir
 _WRITTEN: list[str] = []
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A fresh folder name under the shared checkpoint dir; ``drop_materialized`` deletes it too."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/basketlens/{name}-{uuid.uuid4().hex[:12]}"
+    _WRITTEN.append(path)
+    return path
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` under the shared checkpoint dir and return a fresh scan of
     it. Cuts the lineage: a lost executor costs one stage, and branches that
     read the result see the same rows whatever the plan."""
-    spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/basketlens/{name}-{uuid.uuid4().hex[:12]}"
+    path = shared_path(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
-    _WRITTEN.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def drop_materialized(spark: SparkSession, keep: int = 0) -> int:

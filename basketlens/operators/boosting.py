@@ -134,30 +134,31 @@ def _leaf(bins: np.ndarray, feature: np.ndarray, split: np.ndarray) -> np.ndarra
 def _grow(bins: np.ndarray, n_bins: int, g: np.ndarray, h: np.ndarray, features: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """One tree on gradients and second derivatives of the cells: (feature,
     split, leaf value without step size, leaf of each cell)."""
-    size = 2 ** (depth + 1) - 1
+    size, k = 2 ** (depth + 1) - 1, len(features)
     feature, split, value, node = np.full(size, -1), np.zeros(size, np.int64), np.zeros(size), np.zeros(len(bins), np.int64)
+    codes = bins[:, features] + np.arange(k) * n_bins
+    here, local = np.arange(len(bins)), node
     for level in range(depth + 1):
         first, count = 2 ** level - 1, 2 ** level
-        here = np.flatnonzero(node >= first)
-        local = node[here] - first
         total_g, total_h = (np.bincount(local, x[here], count) for x in (g, h))
         value[first : first + count] = total_g / (total_h + PENALTY)
         if level == depth or not len(here):
             break
-        best = np.zeros(count)
-        for f in features:
-            at = local * n_bins + bins[here, f]
-            left_g, left_h = (np.cumsum(np.bincount(at, x[here], count * n_bins).reshape(count, n_bins), axis=1)[:, :-1] for x in (g, h))
-            right_g, right_h = total_g[:, None] - left_g, total_h[:, None] - left_h
-            gain = left_g ** 2 / (left_h + PENALTY) + right_g ** 2 / (right_h + PENALTY) - (total_g ** 2 / (total_h + PENALTY))[:, None]
-            gain[(left_h < LEAST_CHILD) | (right_h < LEAST_CHILD)] = 0
-            cut = gain.argmax(axis=1)
-            top = gain[np.arange(count), cut]
-            better = top > best + 1e-9
-            best[better] = top[better]
-            feature[first : first + count][better], split[first : first + count][better] = f, cut[better]
-        f = feature[node[here]]
-        node[here] = np.where(f >= 0, 2 * node[here] + 1 + (bins[here, f] > split[node[here]]), node[here])
+        # histograms of all nodes and features at once, then sums to the left of every cut
+        at = (local[:, None] * (k * n_bins) + codes[here]).ravel()
+        left_g, left_h = (np.cumsum(np.bincount(at, np.repeat(x[here], k), count * k * n_bins).reshape(count, k, n_bins), axis=2)[:, :, :-1] for x in (g, h))
+        right_g, right_h = total_g[:, None, None] - left_g, total_h[:, None, None] - left_h
+        gain = left_g ** 2 / (left_h + PENALTY) + right_g ** 2 / (right_h + PENALTY) - (total_g ** 2 / (total_h + PENALTY))[:, None, None]
+        gain[(left_h < LEAST_CHILD) | (right_h < LEAST_CHILD)] = 0
+        gain = np.round(gain, 9).reshape(count, -1)  # sums in another order give the same first best cut
+        best = gain.argmax(axis=1)
+        splits = np.flatnonzero(gain[np.arange(count), best] > 0)
+        feature[first + splits], split[first + splits] = features[best[splits] // (n_bins - 1)], best[splits] % (n_bins - 1)
+        f = feature[first + local]
+        go = f >= 0
+        here, local, f = here[go], local[go], f[go]
+        local = 2 * local + (bins[here, f] > split[first + local])
+        node[here] = 2 * count - 1 + local
     return feature, split, value, node
 
 

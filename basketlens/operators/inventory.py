@@ -293,7 +293,8 @@ def _with_previous(ledger: DataFrame, values: dict[str, str], order: list[str] |
 def orphan_rollbacks(ledger: DataFrame, order: list[str] | None = None) -> DataFrame:
     """ROLLBACK ops whose original (seq - 1 of the same sku) is missing
     or is not a DEDUCT. With ``order`` the ops have no ``seq`` and are numbered in it."""
-    d = _with_previous(ledger, {"op": "prev_op"}, order)
+    kept = [c for c in order if c != "ts"] if order else ["seq"]
+    d = _with_previous(ledger.select("sku", "ts", "op", *kept), {"op": "prev_op"}, order)
     original = (F.col("prev_op") == "DEDUCT") & (F.col("prev_seq") == F.col("seq") - 1)
     return d.where((F.col("op") == "ROLLBACK") & ~F.coalesce(original, F.lit(False))).select("sku", (F.col("seq") - 1).alias("orig_seq"), "seq")
 

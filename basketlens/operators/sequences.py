@@ -203,9 +203,10 @@ def lag_within(df: DataFrame, key: str, bucket: Column, order: list[str], values
     1-based position in its key, made in the same pass."""
     d = _bucketed(df, key, bucket)
     packed = F.struct(*[F.col(c).alias(n) for c, n in values.items()])
-    last = d.groupBy("_kb").agg(F.max_by(packed, F.struct(*order)).alias("_last"), F.count(F.lit(1)).alias("_n"))
+    # a bucket's last row with all columns, so that rows and summary read the same exchange
+    last = d.groupBy("_kb").agg(F.max_by(F.struct(*df.columns), F.struct(*order)).alias("_row"), F.count(F.lit(1)).alias("_n"))
     along = Window.partitionBy("_kb.k").orderBy("_kb.b")
-    carried = last.select("_kb", F.lag("_last").over(along).alias("_carried"),
+    carried = last.select("_kb", F.lag(F.struct(*[F.col("_row")[c].alias(n) for c, n in values.items()])).over(along).alias("_carried"),
                           F.coalesce(F.sum("_n").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     w = Window.partitionBy("_kb").orderBy(*order)
     out = d.withColumn("_prev", F.lag(packed).over(w))

@@ -1,8 +1,8 @@
 """Commerce views over the driver tables (see FIXTURES.md section 3).
 
-Each view is a lazy DataFrame; nothing is cached or collected but ``as_of``,
-the newest event time: one value, so no result depends on the wall clock and
-no cross join is needed to attach it.
+Each view is a lazy DataFrame; nothing is cached or collected. ``as_of`` is a
+scalar subquery on the newest event time (written once a run), so no result
+depends on the wall clock and no cross join is needed to attach it.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ def _case_map(col: Column, mapping: dict, default) -> Column:
 
 
 def _newest(df: DataFrame, ts: str) -> Column:
-    return F.lit(df.select(F.max(ts).cast("string")).first()[0]).cast(df.schema[ts].dataType)
+    return materialize(df.select(F.max(ts).alias("ts")), "newest").scalar()
 
 
 class Fixtures(Tables):
@@ -47,8 +47,8 @@ class Fixtures(Tables):
     # -- scalars ---------------------------------------------------------
     @cached_property
     def as_of(self) -> Column:
-        """Newest event time, found once a run: one value as a literal, so that
-        no plan scans the log for it again and all parts of a run agree."""
+        """Newest event time: found once a run and written, so that no plan
+        scans the log for it again; each use is a scalar subquery on one row."""
         return _newest(self.events, "ts")
 
     @cached_property

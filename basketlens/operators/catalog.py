@@ -255,19 +255,26 @@ ORDER_TRANSITIONS = {("CREATED", "PAID"), ("PAID", "SHIPPED"), ("SHIPPED", "COMP
                      ("CREATED", "CANCELLED")}
 
 
+AUDIT_BLOCK = 10_000     # status changes of an order that are ordered together
+
+
 def order_status_audit(status_events: DataFrame) -> DataFrame:
     """Each status change of an order against the allowed transitions
-    CREATED -> PAID -> SHIPPED -> COMPLETED (CREATED -> CANCELLED). The
-    previous status comes from an equi join on (order_id, seq - 1), so a
-    long-lived order never needs a window over its whole history."""
+    CREATED -> PAID -> SHIPPED -> COMPLETED (CREATED -> CANCELLED); the first
+    must be CREATED. The previous status is a lag by blocks of ``seq``, so a
+    long-lived order is never a window over its whole history, and the log is
+    not joined with itself. A change whose predecessor (seq - 1) is missing
+    counts as a first one."""
+    from .sequences import lag_within
+
     cur = status_events.select("order_id", "seq", "status", "ts")
-    prev = status_events.select("order_id", (F.col("seq") + 1).alias("seq"), F.col("status").alias("prev_status"))
+    prev = lag_within(cur, "order_id", F.floor(F.col("seq") / AUDIT_BLOCK), ["seq"], {"status": "prev_status", "seq": "prev_seq"})
+    prev = prev.withColumn("prev_status", F.when(F.col("prev_seq") == F.col("seq") - 1, F.col("prev_status"))).drop("prev_seq")
     allowed = F.lit(False)
     for a, b in sorted(ORDER_TRANSITIONS):
         allowed = allowed | ((F.col("prev_status") == a) & (F.col("status") == b))
     first_ok = F.col("prev_status").isNull() & (F.col("status") == "CREATED")
-    return cur.join(prev, ["order_id", "seq"], "left").withColumn(
-        "valid", F.coalesce(first_ok | allowed, F.lit(False)))
+    return prev.withColumn("valid", F.coalesce(first_ok | allowed, F.lit(False)))
 
 
 def latest_version(models: DataFrame, name_col: str = "model_name", version_col: str = "version") -> DataFrame:

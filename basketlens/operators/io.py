@@ -46,11 +46,10 @@ def decode_behavior_json(raw: DataFrame, value_col: str = "value") -> DataFrame:
 
 def decode_avro_behavior(raw: DataFrame, schema_json: str, value_col: str = "value") -> DataFrame:
     """S3: Avro messages (user_id, item_id, action, event_timestamp long).
-    Needs the spark-avro package; raises a clear error without it."""
-    try:
-        from pyspark.sql.avro.functions import from_avro
-    except ImportError as exc:  # pragma: no cover - optional package
-        raise RuntimeError("spark-avro is not available in this environment") from exc
+    Needs the spark-avro package in the session; without it Spark refuses the
+    call (AVRO_NOT_LOADED_SQL_FUNCTIONS_UNUSABLE)."""
+    from pyspark.sql.avro.functions import from_avro
+
     rec = raw.select(from_avro(F.col(value_col), schema_json).alias("r")).select("r.*")
     return rec.withColumn("ts", F.timestamp_seconds(F.col("event_timestamp")))
 

@@ -196,10 +196,12 @@ def mmr_rerank(scored: DataFrame, lam: Column | float = MMR_LAMBDA,
 
 
 def mmr_select_many(score, code, prefix, nonempty, lam, starts, sizes, max_select: int):
-    """``mmr_select`` for many users at once: candidates are laid out in a
-    padded (users x max candidates) matrix and all users advance one greedy
-    step per iteration. Same arithmetic and first-index tie rule as the
-    per-user loop. Returns, per user, the chosen row positions in order."""
+    """Greedy MMR for many users at once: each user's candidates, sorted
+    (score desc, id asc), are laid out in a padded (users x max candidates)
+    matrix and all users advance one step per iteration; the first index wins
+    ties. ``code``: category codes, ``prefix``: 3-char prefix codes,
+    ``nonempty``: category is non-empty. Returns, per user, the chosen row
+    positions in order."""
     import numpy as np
 
     n_users = len(starts)
@@ -242,35 +244,6 @@ def mmr_select_many(score, code, prefix, nonempty, lam, starts, sizes, max_selec
 MMR_SCHEMA = "user_id long, item_id long, score double, category_id string, mmr_rank long"
 
 
-def mmr_select(score, code, prefix, nonempty, lam: float, max_select: int) -> list[int]:
-    """Greedy MMR over one user's candidates, already sorted (score desc, id
-    asc). ``code``: category codes, ``prefix``: 3-char prefix codes,
-    ``nonempty``: category is non-empty. Returns chosen positions in order."""
-    import numpy as np
-
-    n = len(score)
-    if n == 0:
-        return []
-    chosen = [0]
-    alive = np.ones(n, dtype=bool)
-    alive[0] = False
-    max_sim = np.full(n, 0.1)
-
-    def absorb(j: int) -> None:
-        sim = np.where(code == code[j], 0.8,
-                       np.where(nonempty & nonempty[j] & (prefix == prefix[j]), 0.5, 0.1))
-        np.maximum(max_sim, sim, out=max_sim)
-
-    absorb(0)
-    for _ in range(min(max_select, n) - 1):
-        mmr = np.where(alive, lam * score - (1.0 - lam) * max_sim, -np.inf)
-        j = int(np.argmax(mmr))  # first index wins ties
-        chosen.append(j)
-        alive[j] = False
-        absorb(j)
-    return chosen
-
-
 def _mmr_batches(batches, max_select: int):
     """Rows arrive clustered by user and sorted (user, score desc, item asc);
     a user's rows may span Arrow batches, so the open user is carried over."""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import cart as ct
 from ..operators import catalog as cg
 from ..operators import inventory as inv
+from ..operators.sequences import number_within
 from ..sources.shared import shared_path
 from .registry import query
 
@@ -226,6 +227,25 @@ def product_index_search(fx):
     return cg.search_index(fx.spark, path, ["small", "ring", "economy"])
 
 
+@query("order_status_audit", oracle="""
+WITH e AS (
+  SELECT o_orderkey AS order_id, CAST(o_orderdate AS TIMESTAMP) AS ts, 'CREATED' AS status, 0 AS line FROM orders
+  UNION ALL
+  SELECT l_orderkey, CAST(l_shipdate AS TIMESTAMP), CASE l_returnflag WHEN 'A' THEN 'PAID' WHEN 'N' THEN 'SHIPPED' ELSE 'COMPLETED' END, l_linenumber FROM lineitem),
+s AS (SELECT *, CAST(row_number() OVER (PARTITION BY order_id ORDER BY line, ts, status) AS BIGINT) AS seq FROM e),
+p AS (SELECT *, lag(status) OVER (PARTITION BY order_id ORDER BY seq) AS prev_status FROM s)
+SELECT order_id, seq, status, ts, prev_status,
+       coalesce((prev_status IS NULL AND status = 'CREATED') OR (prev_status, status) IN (('CREATED', 'PAID'), ('PAID', 'SHIPPED'), ('SHIPPED', 'COMPLETED'), ('CREATED', 'CANCELLED')), false) AS valid
+FROM p""")
+def order_status_audit(fx):
+    """Status changes of orders (an order, then its lines by number) against the allowed transitions."""
+    made = fx.orders.select(F.col("o_orderkey").alias("order_id"), F.col("o_orderdate").cast("timestamp_ntz").alias("ts"), F.lit("CREATED").alias("status"), F.lit(0).cast("long").alias("line"))
+    flag = F.when(F.col("l_returnflag") == "A", "PAID").when(F.col("l_returnflag") == "N", "SHIPPED").otherwise("COMPLETED")
+    lines = fx.lineitem.select(F.col("l_orderkey").alias("order_id"), F.col("l_shipdate").cast("timestamp_ntz").alias("ts"), flag.alias("status"), F.col("l_linenumber").cast("long").alias("line"))
+    log = number_within(made.unionByName(lines), "order_id", F.floor(F.col("line") / 1000), [F.col("line"), F.col("ts"), F.col("status")])
+    return cg.order_status_audit(log)
+
+
 @query("products_by_category", oracle=f"""
 SELECT category_id, product_id, price,
        row_number() OVER (PARTITION BY category_id ORDER BY price DESC, product_id) - 1 AS rank,

@@ -128,3 +128,10 @@ def test_checkpoint_folder_must_be_shared_on_a_cluster(spark, monkeypatch):
                            sparkContext=SimpleNamespace(master="spark://host:7077", setCheckpointDir=lambda p: None))
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         session.ensure_checkpoint_dir(fake)
+
+
+def test_avro_needs_its_package(spark):
+    from basketlens.operators.io import decode_avro_behavior
+    raw = spark.createDataFrame([(bytearray(b"x"),)], "value binary")
+    with pytest.raises(Exception, match="(?i)avro"):
+        decode_avro_behavior(raw, '{"type":"record","name":"b","fields":[]}').collect()

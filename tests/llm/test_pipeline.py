@@ -22,7 +22,7 @@ def documents(spark):
 
 def test_all_queries_are_registered():
     names = [n for n in entry.queries() if n.startswith("op") and n[2].isdigit()]
-    assert [n.split("_")[0] for n in sorted(names, key=lambda n: int(n[2:].split("_")[0]))] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in sorted(names, key=lambda n: int(n[2:].split("_")[0]))] == [f"op{i}" for i in range(1, 14)]
     assert entry.queries()["pipeline"] is cp.run and [n for n, _ in cp.STAGES] == ["quality", "toxicity", "near_duplicates", "mixture", "tokens"]
 
 

@@ -8,6 +8,7 @@ from ..functions.exprs import r6
 from ..operators import asof as ao
 from ..operators import boosting as bo
 from ..operators import ml
+from ..operators import neighbours as nb
 from ..operators import similarity as sm
 from ..operators.io import labelled_interactions
 from ..sources.shared import materialize
@@ -174,6 +175,19 @@ def embedding_neighbours(fx):
     return ml.embedding_neighbours(pairs, fx.embeddings).withColumn("cosine", r6("cosine"))
 
 
+@query("item_neighbours", oracle="""
+WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+c AS (SELECT a.vec_id AS item_id, b.vec_id AS neighbour,
+             list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))) AS cosine
+      FROM e a JOIN e b ON a.vec_id <> b.vec_id)
+SELECT item_id, neighbour, round(cosine, 6) AS cosine, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(cosine, 12) DESC, neighbour) AS rank FROM c)
+WHERE rank <= 10""")
+def item_neighbours(fx):
+    """top-10 items by embedding cosine for every item against all items (exact up to two blocks of vectors, measured recall beyond)."""
+    return nb.all_neighbours(fx.embeddings).withColumn("cosine", r6("cosine"))
+
+
 def _frame(fx):
     """Labelled events with point-in-time features, category and split,
     written once: fits and scores read it several times."""

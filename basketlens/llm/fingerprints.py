@@ -150,8 +150,9 @@ def _buckets(docs: DataFrame) -> list[int]:
     return sorted({int(x) for x in docs.approxQuantile("doc_id", [k / wanted for k in range(1, wanted)], 0.2 / wanted)})
 
 
-def with_following(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, text, bucket, own) such that each bucket, sorted by
+def with_following(docs: DataFrame) -> tuple[DataFrame, int]:
+    """Rows (doc_id, text, bucket, own) and the number of buckets (numbered
+    from 0, some may be empty) such that each bucket, sorted by
     (doc_id, text), holds a run of neighbouring documents and, as its last
     row with own = false, the first document of the next non-empty bucket
     (of the first bucket after the last).
@@ -186,7 +187,7 @@ def with_following(docs: DataFrame) -> DataFrame:
     borrowed = (docs.join(F.broadcast(lead), F.col("doc_id").eqNullSafe(F.col("first_id")))  # at most MAX_BUCKETS rows
                 .groupBy("first_id", "target").agg(F.min("text").alias("text"))  # of rows with one id, the first
                 .select(F.col("first_id").alias("doc_id"), "text", F.col("target").alias("bucket"), F.lit(False).alias("own")))
-    return own.unionByName(borrowed)
+    return own.unionByName(borrowed), len(bounds) + 1
 
 
 def edit_report(docs: DataFrame) -> DataFrame:
@@ -198,7 +199,7 @@ def edit_report(docs: DataFrame) -> DataFrame:
     Null ids come first, rows with the same id follow each other in the order
     of their texts; a lone document follows itself."""
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = with_following(d)
+    rows, buckets = with_following(d)
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,5 +218,5 @@ def edit_report(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()])],
                                                  names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
 
-    return (rows.select("bucket", "own", "doc_id", "text").repartition("bucket")
+    return (rows.select("bucket", "own", "doc_id", "text").repartitionById(buckets, F.col("bucket").cast("int"))  # a bucket each: hashes would put several together
             .sortWithinPartitions("bucket", F.desc("own"), F.asc_nulls_first("doc_id"), "text").mapInArrow(run, schema))

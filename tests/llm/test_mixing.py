@@ -6,6 +6,7 @@ import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
+import corpus_pipeline
 from basketlens.llm import mixing as mx
 from basketlens.llm import queries
 
@@ -141,6 +142,19 @@ def test_blocks_grow_with_the_table(spark, monkeypatch):
     assert mx.block_size(df, 16) == 34 and mx.block_size(df.limit(0), 16) == 16
 
 
+def test_query_and_pipeline_have_blocks_of_one_size_at_any_size(spark, monkeypatch, tmp_path):
+    docs = spark.createDataFrame([(i, f"s{i % 3}") for i in range(400)], "doc_id long, source string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+
+    def mixes():
+        out = queries.QUERIES["op2_mixing"](spark, str(tmp_path)).orderBy("doc_id").collect()
+        return out, [tuple(r) for r in corpus_pipeline.mix_sources(spark, docs, "").collect()]
+
+    want = mixes()
+    monkeypatch.setattr(mx, "MAX_BLOCKS", 5)  # as a table of more blocks would meet it
+    assert mixes() == want and max(r.place for r in want[0]) == queries.MIX_BLOCK - 1
+
+
 def test_query_equals_its_sql(spark):
     import duckdb
 

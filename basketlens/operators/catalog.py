@@ -73,11 +73,17 @@ def boosted_search(p: DataFrame, terms: list[str]) -> DataFrame:
 #: What a hit in a field counts for.
 FIELD_WEIGHT = {"name": 3, "description": 1, "specs": 1}
 INDEX_SHARDS = 32
+INDEX_ROWS = 50_000      # products of a task that makes posting lists, about
 
 
-def posting_lists(p: DataFrame) -> DataFrame:
+def posting_lists(p: DataFrame, parts: int | None = None) -> DataFrame:
     """(term, field, product_id, hits): how often each term occurs in
-    each field of each product."""
+    each field of each product. Products are dealt to ``parts`` tasks (default:
+    the shuffle partitions) before their terms are taken out: hardly any two
+    terms are summed, so sums made while reading would hold a split's terms."""
+    from .sequences import _shuffle_partitions
+
+    p = p.select("product_id", "name", "description", "specs").repartition(parts or _shuffle_partitions(p.sparkSession), "product_id")
     fields = {"name": tokens(F.col("name")), "description": tokens(F.col("description")),
               "specs": F.flatten(F.transform(F.map_values("specs"), lambda v: tokens(v)))}
     none = F.expr("cast(array() as array<string>)")
@@ -100,12 +106,13 @@ def write_index(p: DataFrame, path: str) -> None:
     many files as it fills; and the terms' document frequencies."""
     from .sequences import _shuffle_partitions
 
-    lists = posting_lists(p).withColumn("shard", _shard(F.col("term")))
-    n = max(_shuffle_partitions(p.sparkSession), INDEX_SHARDS)
+    n = max(_shuffle_partitions(p.sparkSession), INDEX_SHARDS, -(-p.count() // INDEX_ROWS))
+    lists = posting_lists(p, n).withColumn("shard", _shard(F.col("term")))
     (lists.repartitionByRange(n, "shard", "term", "product_id").sortWithinPartitions("shard", "term", "product_id")
      .write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("shard").parquet(f"{path}/lists"))
-    written = p.sparkSession.read.parquet(f"{path}/lists")
-    (written.groupBy("shard", "term").agg(F.count_distinct("product_id").alias("products"))
+    written = p.sparkSession.read.parquet(f"{path}/lists").select("shard", "term", "product_id")
+    once = written.repartition(n, "shard", "term", "product_id").distinct()  # the fields of a product
+    (once.groupBy("shard", "term").agg(F.count("product_id").alias("products"))
      .write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("shard").parquet(f"{path}/terms"))
 
 

@@ -72,6 +72,15 @@ def test_index_gives_the_rows_of_the_scan(spark, products):
     assert catalog.term_frequencies(spark, path, ["red", "none"]).collect()[0].asDict() == {"term": "red", "products": len(n)}
 
 
+def test_posting_lists_are_summed_after_the_products_are_dealt(spark, products):
+    """No task sums the terms of a whole split of the products; rows of one id meet all the same."""
+    plan = catalog.posting_lists(products, 4)._jdf.queryExecution().executedPlan().toString()
+    assert plan.rfind("Exchange hashpartitioning(product_id") > plan.rfind("HashAggregate") > -1
+    twice = catalog.posting_lists(products.union(products), 4)
+    once = Counter({(r.term, r.field, r.product_id): 2 * r.hits for r in catalog.posting_lists(products).collect()})
+    assert Counter({(r.term, r.field, r.product_id): r.hits for r in twice.collect()}) == once and twice.count() == len(once)
+
+
 def test_a_search_reads_only_the_lists_of_its_terms(spark, products):
     path = shared.shared_path(spark, "test-index")
     catalog.write_index(products, path)

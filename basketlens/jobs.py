@@ -49,16 +49,13 @@ def recommendation_run(fx, out_dir: str) -> str:
     MMR re-rank, then recommendations and impression events are written."""
     from .plans import recommend_queries as rq
     from .operators import recommend as rc
-    from .operators import experiments as ex
 
     kept = written()
-    scored = materialize(rq._scored(fx), "scored-candidates")
-    lam = (ex.variant_params(ex.assign_variants(fx.users, fx.spark), fx.spark)
-             .where(F.col("experiment_id") == "diversity_strategy")
-             .select("user_id", F.col("params")["lambda"].cast("double").alias("lam")))
-    s = scored.join(lam, "user_id", "left").withColumn("lam", F.coalesce("lam", F.lit(rc.MMR_LAMBDA)))
-    ranked = materialize(rc.cut(rc.mmr_rerank(s, F.col("lam"))), "mmr-ranked")
-    recs = rc.with_reasons(ranked, ft.recent_items(fx.behaviors), ft.item_purchase_rate(fx.behaviors))
+    parts = rq._recall_parts(fx)
+    scored = materialize(rq._scored(fx, parts, of_users=rq.lambdas(fx)), "scored-candidates")
+    s = scored.withColumn("lam", F.coalesce("lam", F.lit(rc.MMR_LAMBDA)))
+    ranked = materialize(rc.cut(rc.mmr_rerank(s, F.col("lam"), parts=rc.user_parts(fx.users))), "mmr-ranked")
+    recs = rc.with_reasons(ranked, ft.recent_items(fx.behaviors), ft.item_purchase_rate(fx.behaviors), parts["popular_top"])
     path = f"{out_dir.rstrip('/')}/recommendations"
     recs.write.mode("overwrite").parquet(path)
     io.emit(rc.impressions(spark_read(fx.spark, path), fx.as_of).select("value"),

@@ -17,9 +17,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .sequences import _shuffle_partitions
-
 from ..functions.exprs import try_ratio
+from ..sources.shared import materialize
+from .sequences import _shuffle_partitions
 
 # Recall sizes (top-N list lengths) and the MMR settings.
 RECENT_FOR_RECALL = 6
@@ -29,6 +29,7 @@ CATEGORY_N = 31
 MMR_MAX_SELECT = 50
 MMR_LAMBDA = 0.5
 NUM_RECOMMENDATIONS = 20
+USERS_PER_TASK = 4_000   # whose candidates (some 260 each at most) are held together, about
 # Recommendation reasons (recently viewed / popular / for you).
 REASON_RECENT = "因为您最近浏览过类似商品"
 REASON_POPULAR = "热门推荐"
@@ -83,33 +84,59 @@ def recall_candidates(paths: list[DataFrame], exclude: DataFrame | None = None,
     return c
 
 
-def merge_popular(users: DataFrame, recalled: DataFrame, popular_top: DataFrame, exclude: DataFrame | None = None) -> DataFrame:
+def user_parts(users: DataFrame) -> int:
+    """Tasks that rows of all users are dealt to: about USERS_PER_TASK users
+    each, whose candidates the recall design bounds; never fewer than the
+    session's shuffle partitions."""
+    return max(_shuffle_partitions(users.sparkSession), -(-users.count() // USERS_PER_TASK))
+
+
+def merge_popular(users: DataFrame, recalled: DataFrame, popular_top: DataFrame, exclude: DataFrame | None = None,
+                  of_items: DataFrame | None = None, of_users: DataFrame | None = None) -> DataFrame:
     """U1/U2/J11 with the popular list merged inside each user's row: the
     recalled (user, item, path) rows, distinct and without the exclude list,
-    meet as one array per user (bounded by the recall design), and the popular
-    items that the user wasn't recalled and doesn't exclude are added there.
+    are written once; to each user's row come the popular items that it was
+    recalled or excludes, and the rest of the popular list is exploded there.
     So the popular list, the same for all users, is never shuffled. Paths are
-    those of ``recall_candidates``: an item keeps its best path."""
+    those of ``recall_candidates``: an item keeps its best path.
+
+    ``of_items`` (by item_id) and ``of_users`` (by user_id) are left joined:
+    popular items, which all users have, meet their rows by broadcast, and a
+    user's columns are joined before the list is exploded. So no task gets all
+    rows of a popular item."""
     popular = popular_top.agg(F.sort_array(F.collect_list("item_id")).alias("p"))  # at most POPULAR_N items
-    r = recalled.groupBy("user_id", "item_id").agg(F.min("path").alias("path"))
-    rows = users.select("user_id").distinct()
+    p = popular.select("p").scalar()
+    n = user_parts(users)
+
+    def dealt(df: DataFrame) -> DataFrame:
+        return df.repartition(n, "user_id")
+
+    # dealt before they are summed: the lists fan out from small tables, which are read by few tasks
+    r = dealt(recalled.select("user_id", "item_id", "path")).groupBy("user_id", "item_id").agg(F.min("path").alias("path"))
+    rows = dealt(users.select("user_id")).distinct()
     if exclude is not None:
-        out = exclude.select("user_id", "item_id").distinct()
+        out = dealt(exclude.select("user_id", "item_id")).distinct()
         r = r.join(out, ["user_id", "item_id"], "left_anti")
-        barred = out.join(F.broadcast(popular_top.select("item_id")), "item_id", "left_semi")
-        rows = rows.join(barred.groupBy("user_id").agg(F.collect_list("item_id").alias("_out")), "user_id", "left")
+        barred = dealt(exclude.join(F.broadcast(popular_top.select("item_id")), "item_id", "left_semi").select("user_id", "item_id"))
+        rows = rows.join(barred.groupBy("user_id").agg(F.collect_set("item_id").alias("_out")), "user_id", "left")
     else:
         rows = rows.withColumn("_out", F.lit(None).cast("array<bigint>"))
-    mine = r.groupBy("user_id").agg(F.collect_list(F.struct("item_id", "path")).alias("_mine"))
+    r = materialize(r, "recalled")
+    shared = F.array_contains(p, F.col("item_id"))
+    own = r.select("user_id", "item_id", F.when(shared, F.least("path", F.lit(PATH_POPULAR))).otherwise(F.col("path")).alias("path"))
+    # every recalled user, with the popular items among theirs
+    mine = dealt(r.select("user_id", F.when(shared, F.col("item_id")).alias("_i"))).groupBy("user_id").agg(F.collect_set("_i").alias("_mine"))
     rows = rows.join(mine, "user_id", "full_outer")
+    if of_users is not None:
+        rows, own = (x.join(dealt(of_users), "user_id", "left") for x in (rows, dealt(own)))
     none = F.array().cast("array<bigint>")
-    p = popular.select("p").scalar()
-    rows = rows.withColumn("_mine", F.coalesce("_mine", F.expr("cast(array() as array<struct<item_id:bigint,path:int>>)"))).withColumn("_popular", p)
-    own = F.transform("_mine", lambda x: F.struct(
-        x["item_id"].alias("item_id"), F.when(F.array_contains("_popular", x["item_id"]), F.least(x["path"], F.lit(PATH_POPULAR))).otherwise(x["path"]).alias("path")))
-    rest = F.array_except(F.array_except(F.col("_popular"), F.coalesce("_out", none)), F.transform("_mine", lambda x: x["item_id"]))
-    more = F.transform(rest, lambda i: F.struct(i.alias("item_id"), F.lit(PATH_POPULAR).alias("path")))
-    return rows.select("user_id", F.explode(F.concat(own, more)).alias("x")).select("user_id", "x.item_id", "x.path")
+    rest = F.array_except(F.array_except(p, F.coalesce("_out", none)), F.coalesce("_mine", none))
+    more = rows.select(*[c for c in rows.columns if c not in ("_out", "_mine")], F.explode(rest).alias("item_id"), F.lit(PATH_POPULAR).alias("path"))
+    if of_items is not None:
+        own = own.join(of_items, "item_id", "left")
+        more = more.join(F.broadcast(of_items.join(F.broadcast(popular_top.select("item_id").distinct()), "item_id", "left_semi")), "item_id", "left")
+    out = more.unionByName(own)
+    return out.select("user_id", "item_id", "path", *[c for c in out.columns if c not in ("user_id", "item_id", "path")])
 
 
 def recent_purchases(b: DataFrame, as_of: Column, days: int = 7) -> DataFrame:
@@ -119,11 +146,12 @@ def recent_purchases(b: DataFrame, as_of: Column, days: int = 7) -> DataFrame:
              .select("user_id", "item_id").distinct())
 
 
-def score_candidates(cands: DataFrame, item_features: DataFrame, model=None,
+def score_candidates(cands: DataFrame, item_features: DataFrame | None = None, model=None,
                      feature_cols: list[str] | None = None) -> DataFrame:
-    """Join item features; score with the model's positive-class
-    probability, or fall back to the item's popularity (0 when unknown)."""
-    j = cands.join(item_features, "item_id", "left")
+    """Join item features (unless ``merge_popular`` did); score with the
+    model's positive-class probability, or fall back to the item's popularity
+    (0 when unknown)."""
+    j = cands if item_features is None else cands.join(item_features, "item_id", "left")
     if model is None:
         return j.withColumn("score", F.coalesce(F.col("popularity_score"), F.lit(0.0)))
     from pyspark.ml.functions import vector_to_array
@@ -142,13 +170,14 @@ def _cat_sim(a: Column, b: Column) -> Column:
 
 
 def mmr_rerank(scored: DataFrame, lam: Column | float = MMR_LAMBDA,
-               max_select: int = MMR_MAX_SELECT, engine: str = "pandas") -> DataFrame:
+               max_select: int = MMR_MAX_SELECT, engine: str = "pandas", parts: int | None = None) -> DataFrame:
     """Maximal Marginal Relevance per user.
 
     ``engine="pandas"`` (default) runs the greedy steps with numpy in
     ``mapInPandas``; ``engine="native"`` runs the same fold as
     Spark higher-order functions (no Python worker, but interpreted lambdas).
-    Both give identical output.
+    Both give identical output. Users are dealt to ``parts`` tasks (default:
+    the shuffle partitions; ``user_parts`` bounds what a task sorts).
 
     Candidates are ordered by score desc (item id asc on ties); the first is
     taken, then repeatedly the candidate maximising
@@ -163,7 +192,7 @@ def mmr_rerank(scored: DataFrame, lam: Column | float = MMR_LAMBDA,
     lam_col = lam if isinstance(lam, Column) else F.lit(float(lam))
     d = scored.withColumn("_lam", lam_col.cast("double"))
     if engine == "pandas":
-        return _mmr_pandas(d, max_select)
+        return _mmr_pandas(d, max_select, parts)
     per_user = d.groupBy("user_id").agg(
         F.max("_lam").alias("_lam"),
         F.sort_array(F.collect_list(F.struct(
@@ -281,19 +310,32 @@ def _mmr_batches(batches, max_select: int):
         yield run(carry)
 
 
-def _mmr_pandas(d: DataFrame, max_select: int) -> DataFrame:
+def _mmr_pandas(d: DataFrame, max_select: int, parts: int | None = None) -> DataFrame:
     cols = d.select("user_id", "item_id", F.col("score").cast("double").alias("score"),
                     "category_id", "_lam")
-    n_parts = _shuffle_partitions(d.sparkSession)
+    n_parts = parts or _shuffle_partitions(d.sparkSession)
     clustered = (cols.repartition(n_parts, "user_id")
                      .sortWithinPartitions("user_id", F.desc("score"), F.asc("item_id")))
     return clustered.mapInPandas(lambda it: _mmr_batches(it, max_select), MMR_SCHEMA)
 
 
-def with_reasons(recs: DataFrame, recent_items: DataFrame, item_stats: DataFrame) -> DataFrame:
-    """Recently viewed > popular (purchase_rate > 0.1) > default."""
-    j = (recs.join(recent_items.select("user_id", "recent_items"), "user_id", "left")
-             .join(item_stats.select("item_id", "purchase_rate"), "item_id", "left"))
+def with_reasons(recs: DataFrame, recent_items: DataFrame, item_stats: DataFrame, frequent: DataFrame | None = None) -> DataFrame:
+    """Recently viewed > popular (purchase_rate > 0.1) > default. Rows of
+    the ``frequent`` items (few, recommended to nearly all users) meet their
+    rate by broadcast; for the join of the others they are dealt by user, so
+    that no task gets all rows of one item."""
+    stats, on = item_stats.select("item_id", "purchase_rate"), ["item_id"]
+    j = recs.join(recent_items.select("user_id", "recent_items"), "user_id", "left")
+    if frequent is not None:
+        few = frequent.select("item_id").distinct()
+        rates = stats.join(F.broadcast(few), "item_id", "left_semi").withColumnRenamed("purchase_rate", "_rate")
+        j = j.join(F.broadcast(few.withColumn("_few", F.lit(True))), "item_id", "left").join(F.broadcast(rates), "item_id", "left")
+        # below 0: matches nothing
+        j = j.withColumn("_deal", F.when(F.col("_few"), -1 - F.pmod(F.xxhash64("user_id"), F.lit(1 << 20))).otherwise(F.lit(0).cast("long")))
+        stats, on = stats.withColumn("_deal", F.lit(0).cast("long")), ["item_id", "_deal"]
+    j = j.join(stats, on, "left")
+    if frequent is not None:
+        j = j.withColumn("purchase_rate", F.coalesce("_rate", "purchase_rate")).drop("_few", "_rate", "_deal")
     reason = (F.when(F.coalesce(F.array_contains("recent_items", F.col("item_id")), F.lit(False)),
                      F.lit(REASON_RECENT))
                .when(F.coalesce(F.col("purchase_rate"), F.lit(0.0)) > 0.1, F.lit(REASON_POPULAR))

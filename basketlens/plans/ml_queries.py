@@ -12,7 +12,7 @@ from ..operators import neighbours as nb
 from ..operators import similarity as sm
 from ..operators.io import labelled_interactions
 from ..sources.shared import materialize
-from .recommend_queries import SCORED_SQL, _candidates, _scored
+from .recommend_queries import SCORED_SQL, _candidates, _recall_parts, _scored
 from .registry import query
 from .similarity_queries import COOC_SQL, POP_SQL, catalogue_popularity
 from .store_queries import ITEM_DAILY, USER_DAILY, _views
@@ -254,7 +254,8 @@ def model_scored_candidates(fx):
     """M6: the recall candidates scored by the grid's best model on the users'
     and items' latest daily features (the popularity fallback is
     ``score_candidates``)."""
-    cands, pop = _candidates(fx)
+    p = _recall_parts(fx)
+    cands, pop = _candidates(fx, p), p["pop"]
     user, item = (ao.latest_rows(v.df, v.keys, "event_timestamp").select(*v.keys, *v.features) for v in _views(fx))
     rows = (cands.join(user, "user_id", "left").join(item, "item_id", "left")
             .join(pop.select("item_id", "category_id", "popularity_score"), "item_id", "left"))
@@ -275,4 +276,4 @@ def permutation_importance(fx):
 @query("als_recommendations")
 def als_recommendations(fx):
     """M4: implicit ALS top-10 of each user's recall candidates."""
-    return ml.als_top_n(ml.interaction_matrix(fx.shared_behaviors), _candidates(fx)[0], 10)
+    return ml.als_top_n(ml.interaction_matrix(fx.shared_behaviors), _candidates(fx), 10)

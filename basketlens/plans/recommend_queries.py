@@ -66,16 +66,16 @@ def _recall_parts(fx):
     }
 
 
-def _candidates(fx):
-    p = _recall_parts(fx)
+def _candidates(fx, parts=None, of_items=None, of_users=None):
+    p = parts or _recall_parts(fx)
     return rc.merge_popular(fx.users, p["similar"].unionByName(p["category"]), p["popular_top"],
-                            exclude=rc.recent_purchases(fx.shared_behaviors, fx.as_of)), p["pop"]
+                            exclude=rc.recent_purchases(fx.shared_behaviors, fx.as_of), of_items=of_items, of_users=of_users)
 
 
-def _scored(fx):
-    cands, pop = _candidates(fx)
-    s = rc.score_candidates(cands, pop.select("item_id", "category_id", "popularity_score"))
-    return s.withColumn("score", r6("score"))
+def _scored(fx, parts=None, of_users=None):
+    p = parts or _recall_parts(fx)
+    cands = _candidates(fx, p, of_items=p["pop"].select("item_id", "category_id", "popularity_score"), of_users=of_users)
+    return rc.score_candidates(cands).withColumn("score", r6("score"))
 
 
 @query("recall_similar", views=VIEWS, oracle=REC_SIM_SQL)
@@ -99,7 +99,7 @@ def recall_category(fx):
 @query("recall_candidates", views=VIEWS, oracle=CANDS_SQL)
 def recall_candidates(fx):
     """Distinct union of recall paths minus recent purchases."""
-    return _candidates(fx)[0]
+    return _candidates(fx)
 
 
 @query("score_candidates", views=VIEWS, oracle=SCORED_SQL)
@@ -123,8 +123,9 @@ SELECT s.user_id, s.item_id,
 FROM ({SCORED_SQL}) s LEFT JOIN rec USING (user_id) LEFT JOIN st USING (item_id)""")
 def recommend_reason(fx):
     """Reason label of every scored candidate."""
-    s = _scored(fx).withColumnRenamed("path", "mmr_rank")
-    r = rc.with_reasons(s, ft.recent_items(fx.shared_behaviors), ft.item_purchase_rate(fx.shared_behaviors))
+    p = _recall_parts(fx)
+    s = _scored(fx, p).withColumnRenamed("path", "mmr_rank")
+    r = rc.with_reasons(s, ft.recent_items(fx.shared_behaviors), ft.item_purchase_rate(fx.shared_behaviors), p["popular_top"])
     return r.select("user_id", "item_id", "reason")
 
 
@@ -151,17 +152,20 @@ def category_similarity(fx):
                     category_sim("category_i", "category_j").alias("category_similarity"))
 
 
+def lambdas(fx):
+    """The lambda of every user's diversity variant."""
+    return (ex.variant_params(ex.assign_variants(fx.users, fx.spark), fx.spark)
+              .where(F.col("experiment_id") == "diversity_strategy")
+              .select("user_id", F.col("params")["lambda"].cast("double").alias("lam")))
+
+
 def recommend_all(fx):
     """M8: recall -> score -> MMR (lambda from the user's diversity variant)
     -> top 20 -> reason, for every user."""
-    b = fx.shared_behaviors
-    scored = _scored(fx)
-    lam = (ex.variant_params(ex.assign_variants(fx.users, fx.spark), fx.spark)
-             .where(F.col("experiment_id") == "diversity_strategy")
-             .select("user_id", F.col("params")["lambda"].cast("double").alias("lam")))
-    s = scored.join(lam, "user_id", "left").withColumn("lam", F.coalesce("lam", F.lit(rc.MMR_LAMBDA)))
-    ranked = rc.cut(rc.mmr_rerank(s, F.col("lam")))
-    return rc.with_reasons(ranked, ft.recent_items(b), ft.item_purchase_rate(b))
+    b, p = fx.shared_behaviors, _recall_parts(fx)
+    s = _scored(fx, p, of_users=lambdas(fx)).withColumn("lam", F.coalesce("lam", F.lit(rc.MMR_LAMBDA)))
+    ranked = rc.cut(rc.mmr_rerank(s, F.col("lam"), parts=rc.user_parts(fx.users)))
+    return rc.with_reasons(ranked, ft.recent_items(b), ft.item_purchase_rate(b), p["popular_top"])
 
 
 # Each user's candidates in order, and 20 greedy steps of the re-ranking.

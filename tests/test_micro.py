@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import re
 from datetime import datetime, timedelta
 from itertools import combinations
 
@@ -342,3 +343,52 @@ def test_auc_rank_matches_pairwise(spark):
     neg = [s for s, l in rows if l == 0]
     pairs = sum(1.0 if p > n else 0.5 if p == n else 0.0 for p in pos for n in neg)
     assert abs(auc - pairs / (len(pos) * len(neg))) < 1e-12
+
+
+def _recalled(spark):
+    rng = random.Random(8)
+    users = spark.createDataFrame([(u if u < 30 else None,) for u in range(31)] + [(3,)], "user_id long")
+    recalled = spark.createDataFrame([(rng.choice([*range(34), None]), rng.choice([*range(40), None]), rng.choice([1, 3])) for _ in range(400)], "user_id long, item_id long, path int")
+    popular = spark.createDataFrame([(i,) for i in range(0, 24, 2)], "item_id long")
+    out = spark.createDataFrame([(rng.randrange(30), rng.randrange(40)) for _ in range(80)], "user_id long, item_id long")
+    return users, recalled, popular, out
+
+
+def test_merged_candidates_are_those_of_the_union(spark):
+    users, recalled, popular, out = _recalled(spark)
+    known = users.where("user_id IS NOT NULL")
+    paths = [recalled.join(known.distinct(), "user_id", "left_semi"), recommend.recall_popular(known, popular)]
+    want = sorted(map(tuple, recommend.recall_candidates(paths, out).select("user_id", "item_id", "path").collect()), key=str)
+    got = recommend.merge_popular(known, paths[0], popular, out).collect()
+    assert sorted(map(tuple, got), key=str) == want
+
+
+def test_columns_of_items_and_users_come_with_the_candidates(spark):
+    users, recalled, popular, out = _recalled(spark)
+    items = spark.createDataFrame([(i, f"c{i}") for i in range(0, 40, 3)] + [(6, "again"), (7, "a"), (7, "b"), (None, "no")], "item_id long, cat string")
+    lam = spark.createDataFrame([(u, u / 2) for u in range(0, 40, 2)] + [(4, 9.0)], "user_id long, lam double")
+    plain = recommend.merge_popular(users, recalled, popular, out)
+    want = plain.join(items, "item_id", "left").join(lam, "user_id", "left").select("user_id", "item_id", "path", "cat", "lam")
+    got = recommend.merge_popular(users, recalled, popular, out, of_items=items, of_users=lam).select(*want.columns)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_tasks_of_users_are_bounded(spark, monkeypatch):
+    import __spark_entry__ as entry
+    from .conftest import SF_SMALL
+    monkeypatch.setattr(recommend, "USERS_PER_TASK", 10)
+    users = spark.read.parquet(f"{SF_SMALL}/customer.parquet").count()
+    assert users > 80 and recommend.user_parts(spark.range(users)) == -(-users // 10)
+    for name in ("recommend", "impressions"):
+        plan = entry.queries()[name](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+        assert re.search(rf"hashpartitioning\(user_id#\d+L, {-(-users // 10)}\), REPARTITION_BY_NUM", plan[plan.index("MapInPandas"):]), name
+
+
+def test_reasons_are_the_same_with_frequent_items(spark):
+    recs = spark.createDataFrame([(u, i) for u in range(20) for i in (1, 2, 3, u)] + [(None, 1), (2, None)], "user_id long, item_id long")
+    recent = spark.createDataFrame([(u, [u]) for u in range(0, 20, 3)], "user_id long, recent_items array<long>")
+    stats = spark.createDataFrame([(i, i / 20) for i in range(12)], "item_id long, purchase_rate double")
+    frequent = spark.createDataFrame([(1,), (3,), (3,), (77,)], "item_id long")
+    want = sorted(map(str, recommend.with_reasons(recs, recent, stats).collect()))
+    got = recommend.with_reasons(recs, recent, stats, frequent).select("item_id", "user_id", "reason")
+    assert sorted(map(str, got.collect())) == sorted(map(str, recommend.with_reasons(recs, recent, stats).select(*got.columns).collect())) and len(want) == 82

@@ -55,17 +55,21 @@ class Binning:
     def features(self) -> list[str]:
         return [*self.edges, *self.values]
 
-    def bin(self, feature: str) -> Column:
-        """Native bin number of a feature's column (null: 0 as a number, the last bin as a category)."""
-        x = F.col(feature)
+    def bin(self, feature: str, blank: bool = False) -> Column:
+        """Native bin number of a feature's column (null: 0 as a number, the last bin as a category), or of null."""
+        x = F.lit(None) if blank else F.col(feature)
         if feature in self.edges:
             x = F.coalesce(x.cast("double"), F.lit(0.0))
             return reduce(lambda a, e: a + (x > F.lit(e)).cast("int"), self.edges[feature], F.lit(0))
         known = self.values[feature]
         return reduce(lambda a, k: F.when(x == F.lit(known[k]), F.lit(k)).otherwise(a), range(len(known)), F.lit(len(known)))
 
-    def cell(self) -> Column:
-        return reduce(lambda a, x: a + x[1] * F.lit(self.bins ** x[0]), ((i, self.bin(f)) for i, f in enumerate(self.features)), F.lit(0)).cast("int")
+    def cell(self, features: list[str] | None = None, blank: bool = False) -> Column:
+        """Cell of a row; or what some features add to it (if ``blank``: with
+        nulls for values), so that those of a user and an item can be found
+        before their rows meet."""
+        chosen = self.features if features is None else features
+        return reduce(lambda a, x: a + x[1] * F.lit(self.bins ** x[0]), ((i, self.bin(f, blank)) for i, f in enumerate(self.features) if f in chosen), F.lit(0)).cast("int")
 
     def split(self, cells: np.ndarray) -> np.ndarray:
         """Bin numbers (a column for each feature) of cells."""
@@ -258,17 +262,25 @@ def train_model(train: DataFrame, numeric: list[str], categorical: list[str], id
     return refit(train.sparkSession, cells, binning, best_point(scores)), scores
 
 
-def scored(df: DataFrame, model: Model, out: str = "score") -> DataFrame:
+def scored(df: DataFrame, model: Model, out: str = "score", cell: Column | None = None) -> DataFrame:
     """M6: ``df`` with the probability of the positive class. Cells are found
-    natively; a batch walks the trees once for each of its distinct cells."""
+    natively (or given as a column); a task walks the trees once for each of
+    its distinct cells and keeps their scores, MAX_CELLS at most."""
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
-    def walk(cell: pd.Series) -> pd.Series:
-        kinds, at = np.unique(cell.to_numpy(np.int64), return_inverse=True)
-        return pd.Series(shared.value.trees.score(shared.value.binning.split(kinds))[at])
-
-    return df.withColumn(out, walk(model.binning.cell()))
+    def walk(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        trees, binning = shared.value.trees, shared.value.binning
+        known = np.full(binning.bins ** len(binning.features), np.nan)
+        for batch in batches:
+            cells = batch.to_numpy(np.int64)
+            new = np.unique(cells)
+            new = new[np.isnan(known[new])]
+            if len(new):
+                known[new] = trees.score(binning.split(new))
+            yield pd.Series(known[cells])
+
+    return df.withColumn(out, walk(model.binning.cell() if cell is None else cell))
 
 
 def permutation_importance(df: DataFrame, model: Model, features: list[str], id_col: str = "event_id", label: str = "label", seed: int = 42) -> DataFrame:

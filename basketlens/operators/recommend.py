@@ -314,7 +314,8 @@ def _mmr_pandas(d: DataFrame, max_select: int, parts: int | None = None) -> Data
     cols = d.select("user_id", "item_id", F.col("score").cast("double").alias("score"),
                     "category_id", "_lam")
     n_parts = parts or _shuffle_partitions(d.sparkSession)
-    clustered = (cols.repartition(n_parts, "user_id")
+    # by a hash that no input is dealt by: a shuffle left out as done already binds no one, and AQE may then part a user's rows
+    clustered = (cols.repartition(n_parts, F.xxhash64("user_id"))
                      .sortWithinPartitions("user_id", F.desc("score"), F.asc("item_id")))
     return clustered.mapInPandas(lambda it: _mmr_batches(it, max_select), MMR_SCHEMA)
 

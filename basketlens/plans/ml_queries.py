@@ -188,10 +188,11 @@ def item_neighbours(fx):
     return nb.all_neighbours(fx.embeddings).withColumn("cosine", r6("cosine"))
 
 
-def _frame(fx):
-    """Labelled events with point-in-time features, category and split,
-    written once: fits and scores read it several times."""
-    pit = ao.historical_features(labelled_interactions(fx.behaviors), _views(fx))
+def _frame(fx, b=None):
+    """Labelled events (of ``b``, the clean log if not given) with point-in-time
+    features, category and split, written once: fits and scores read it several times."""
+    b = fx.behaviors if b is None else b
+    pit = ao.historical_features(labelled_interactions(b), _views(fx, b))
     items = fx.items.select("item_id", "category_id")
     d = ml.hash_split(pit.join(items, "item_id", "left"), "event_id")
     for c in FEATURES:
@@ -254,14 +255,18 @@ def model_scored_candidates(fx):
     """M6: the recall candidates scored by the grid's best model on the users'
     and items' latest daily features (the popularity fallback is
     ``score_candidates``)."""
-    p = _recall_parts(fx)
-    cands, pop = _candidates(fx, p), p["pop"]
-    user, item = (ao.latest_rows(v.df, v.keys, "event_timestamp").select(*v.keys, *v.features) for v in _views(fx))
-    rows = (cands.join(user, "user_id", "left").join(item, "item_id", "left")
-            .join(pop.select("item_id", "category_id", "popularity_score"), "item_id", "left"))
-    for c in FEATURES:
-        rows = rows.withColumn(c, F.coalesce(F.col(c).cast("double"), F.lit(0.0)))
-    s = bo.scored(rows, _model(_frame(fx))[0])
+    b, p = fx.shared_behaviors, _recall_parts(fx)
+    views = _views(fx, b)
+    user, item = (ao.latest_rows(v.df, v.keys, "event_timestamp").select(*v.keys, *v.features) for v in views)
+    model = _model(_frame(fx, b))[0]
+    # the bins of a candidate are those of its user and those of its item
+    of_user, of_item = FEATURES[:2], [*FEATURES[2:], "category_id"]
+    users = user.select("user_id", model.binning.cell(of_user).alias("_u"))
+    items = (p["pop"].select("item_id", "category_id").join(item, "item_id", "full_outer")
+             .select("item_id", "category_id", model.binning.cell(of_item).alias("_i")))
+    rows = _candidates(fx, p, of_items=items, of_users=users)
+    unknown = model.binning.cell(of_user, blank=True), model.binning.cell(of_item, blank=True)
+    s = bo.scored(rows, model, cell=F.coalesce("_u", unknown[0]) + F.coalesce("_i", unknown[1]))
     return s.select("user_id", "item_id", "path", "category_id", "score")
 
 

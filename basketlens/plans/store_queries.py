@@ -18,8 +18,8 @@ USER_DAILY = DAILY_SQL.format(key="user_id", p="u_")
 ITEM_DAILY = DAILY_SQL.format(key="item_id", p="i_")
 
 
-def _views(fx):
-    b = fx.behaviors
+def _views(fx, b=None):
+    b = fx.behaviors if b is None else b
     return [ao.FeatureView("user_daily", ft.daily_stats(b, "user_id", "u_"), ["user_id"],
                            ["u_clicks", "u_purchases"], ttl_seconds=30 * 86400),
             ao.FeatureView("item_daily", ft.daily_stats(b, "item_id", "i_"), ["item_id"],

@@ -124,3 +124,22 @@ def test_importance_needs_unique_ids_and_bins_are_bounded(spark, fitted):
 def test_auc_of_cells():
     assert bo.auc(np.array([0.1, 0.4, 0.4, 0.9]), np.array([0, 1, 2, 3.0]), np.array([5, 1, 1, 0.0])) == pytest.approx((3 * 7 + 3 * (5 + 1)) / (6 * 7))
     assert np.isnan(bo.auc(np.array([1.0]), np.array([0.0]), np.array([2.0])))
+
+
+def test_bins_of_a_user_and_an_item_add_up_to_the_cell(spark):
+    rows = [(float(i % 13) if i % 5 else None, float(i % 7), f"c{i % 4}" if i % 3 else None) for i in range(200)]
+    df = spark.createDataFrame(rows, "a double, b double, c string")
+    binning = bo.fit_binning(df, ["a", "b"], ["c"], 8)
+    got = df.select(binning.cell().alias("whole"), (binning.cell(["a"]) + binning.cell(["b", "c"])).alias("parts"),
+                    F.when(F.col("a").isNull(), binning.cell(["a"], blank=True) + binning.cell(["b", "c"])).alias("blank")).collect()
+    assert all(r.whole == r.parts and r.blank in (None, r.whole) for r in got) and any(r.blank is not None for r in got)
+
+
+def test_scores_of_several_batches_and_given_cells(spark, fitted):
+    df, binning, cells = fitted
+    trees = next(bo.boost(cells, 8, {"max_depth": 3, "learning_rate": 0.1, "subsample": 1.0, "colsample": 1.0}, [0, 1, 2], [10]))[2]
+    model = bo.Model(binning, trees, {})
+    rows = df.crossJoin(spark.range(12)).coalesce(1).withColumn("cell", binning.cell())  # more than one Arrow batch
+    got = bo.scored(bo.scored(rows, model), model, "again", cell=F.col("cell")).select("cell", "score", "again").distinct().toPandas()
+    np.testing.assert_allclose(got["score"], trees.score(binning.split(got["cell"].to_numpy(np.int64))))
+    assert (got["score"] == got["again"]).all() and got["cell"].is_unique

@@ -381,7 +381,7 @@ def test_tasks_of_users_are_bounded(spark, monkeypatch):
     assert users > 80 and recommend.user_parts(spark.range(users)) == -(-users // 10)
     for name in ("recommend", "impressions"):
         plan = entry.queries()[name](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
-        assert re.search(rf"hashpartitioning\(user_id#\d+L, {-(-users // 10)}\), REPARTITION_BY_NUM", plan[plan.index("MapInPandas"):]), name
+        assert re.search(rf"hashpartitioning\(xxhash64\(user_id#\d+L, 42\), {-(-users // 10)}\), REPARTITION_BY_NUM", plan[plan.index("MapInPandas"):]), name
 
 
 def test_reasons_are_the_same_with_frequent_items(spark):
@@ -392,3 +392,15 @@ def test_reasons_are_the_same_with_frequent_items(spark):
     want = sorted(map(str, recommend.with_reasons(recs, recent, stats).collect()))
     got = recommend.with_reasons(recs, recent, stats, frequent).select("item_id", "user_id", "reason")
     assert sorted(map(str, got.collect())) == sorted(map(str, recommend.with_reasons(recs, recent, stats).select(*got.columns).collect())) and len(want) == 82
+
+
+def test_every_user_is_ranked_once_with_repeated_customers(spark, tmp_path):
+    import shutil
+    import __spark_entry__ as entry
+    sf = str(tmp_path / "sf")
+    shutil.copytree("/root/testdata/sf0.001", sf, copy_function=shutil.copyfile)
+    (tmp_path / "sf").chmod(0o755)
+    users = spark.read.parquet(f"{sf}/customer.parquet").toPandas()
+    spark.createDataFrame(users).union(spark.createDataFrame(users[:15])).toPandas().to_parquet(f"{sf}/customer.parquet")
+    rows = entry.queries()["recommend"](spark, sf).groupBy("user_id", "mmr_rank").count().toPandas()
+    assert (rows["count"] == 1).all() and len(rows) == 20 * len(users)

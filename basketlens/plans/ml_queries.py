@@ -261,12 +261,16 @@ def model_scored_candidates(fx):
     model = _model(_frame(fx, b))[0]
     # the bins of a candidate are those of its user and those of its item
     of_user, of_item = FEATURES[:2], [*FEATURES[2:], "category_id"]
-    users = user.select("user_id", model.binning.cell(of_user).alias("_u"))
-    items = (p["pop"].select("item_id", "category_id").join(item, "item_id", "full_outer")
-             .select("item_id", "category_id", model.binning.cell(of_item).alias("_i")))
-    rows = _candidates(fx, p, of_items=items, of_users=users)
+    users = materialize(user.select("user_id", model.binning.cell(of_user).alias("_u")), "user-bins")
+    items = materialize(p["pop"].select("item_id", "category_id").join(item, "item_id", "full_outer")
+                        .select("item_id", "category_id", model.binning.cell(of_item).alias("_i")), "item-bins")
     unknown = model.binning.cell(of_user, blank=True), model.binning.cell(of_item, blank=True)
-    s = bo.scored(rows, model, cell=F.coalesce("_u", unknown[0]) + F.coalesce("_i", unknown[1]))
+    # every sum of a user's and an item's bins is scored once: MAX_CELLS at most
+    kinds = users.agg(F.array_union(F.collect_set("_u"), F.array(unknown[0])).alias("u")).select("u").scalar()
+    cells = items.select("_i").union(fx.spark.range(1).select(unknown[1])).distinct().select("_i", F.explode(kinds).alias("_k")).select((F.col("_k") + F.col("_i")).alias("_cell"))
+    table = materialize(bo.scored(cells.distinct(), model, cell=F.col("_cell")), "cell-scores")
+    rows = _candidates(fx, p, of_items=items, of_users=users)
+    s = rows.withColumn("_cell", F.coalesce("_u", unknown[0]) + F.coalesce("_i", unknown[1])).join(F.broadcast(table), "_cell", "left")
     return s.select("user_id", "item_id", "path", "category_id", "score")
 
 
